@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, personal_data, quality_rules, secret_scan, webp
+from . import jaccard_join, language, mixing, personal_data, pieces, quality_rules, secret_scan, site_quality, url_filter, webp
 from .common import written
 
 
+#: A public vocabulary file; the path is a parameter of the operators.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Verdict, host, path of the explicit URL rules.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,10 +34,31 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # a page's address ends in the number of its document, whose label is the page's
+    number = F.expr("try_cast(regexp_extract(url, '/([0-9]+)[^/0-9]*/?(?:[?#].*)?$', 1) as bigint)")
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    labelled = pages.select("page_id", number.alias("doc_id")).join(labels, "doc_id").select("page_id", "bad")
+    out = url_filter.url_filter(pages, URL_RULES, labelled)
+    return out.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(personal_data.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decoded(pieces.sampled(docs, PIECE_MODEL, k=3), F.col("samples")[0]["ids"], PIECE_MODEL)
+    each = lambda f: F.transform("samples", f)
+    return out.select(
+        "doc_id", F.size("samples").alias("n_samples"), each(lambda x: F.size(x["ids"])).alias("n_pieces"), each(lambda x: F.xxhash64(x["ids"])).alias("ids_hash"),
+        each(lambda x: x["logp"]).alias("logp"), each(lambda x: x["score"]).alias("score"), each(lambda x: x["log_inclusion"]).alias("log_inclusion"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     media = webp.media_column(docs, F.col("text")).withColumn("read", webp.read_back("media"))
@@ -45,6 +78,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return site_quality.site_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
