@@ -1 +1 @@
-"""."""
+"""Column-to-Column functions: text, numbers, dates, flags, files and addresses."""

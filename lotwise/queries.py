@@ -1,15 +1,531 @@
-"""Driver bindings of the operators."""
+"""Operators applied to the driver's tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import dates, numbers
+from .functions import text as tx
+from .operators import audit, coverage, jobs, matching, positions, rules
+from .operators.documents import within_budget
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+Frame = Callable[[str], DataFrame]
+
+
+def query(sql: str | None = None):
+    """Registers a function of a table reader under its name, with its SQL."""
+
+    def register(f: Callable[[Frame], DataFrame]) -> Callable[[Frame], DataFrame]:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- coverage -------------------------------------------------------------------------------------
+
+ITEMS_SQL = """
+items AS (
+  SELECT l_orderkey, p_brand,
+    CASE l_returnflag WHEN 'N' THEN 'full' WHEN 'A' THEN 'analog' ELSE 'none' END AS kind,
+    l_linestatus = 'F' AND p_size % 3 = 0 AS forbidden,
+    CASE WHEN p_size >= 5 THEN p_retailprice END AS price, l_quantity AS quantity,
+    CASE WHEN p_size % 4 <> 0 THEN l_extendedprice END AS line_total, CASE WHEN p_size % 2 = 0 THEN p_retailprice END AS doc_price
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+matched AS (SELECT *, kind = 'full' OR (kind = 'analog' AND NOT forbidden) AS supplied FROM items),
+priced AS (SELECT *, CASE WHEN supplied THEN price END AS unit_price, CASE WHEN supplied THEN round(price * quantity + 1e-12, 2) END AS total_price FROM matched)"""
+COVERAGE_SQL = f"""WITH {ITEMS_SQL},
+sums AS (
+  SELECT l_orderkey, count(*) AS total, count(*) FILTER (supplied) AS supplied_count, count(*) FILTER (kind = 'full') AS full_match_count,
+    count(*) FILTER (kind = 'analog' AND NOT forbidden) AS analog_count, count(*) FILTER (kind = 'analog' AND forbidden) AS rejected_analog_count,
+    count(unit_price) AS priced_count, count(total_price) AS fully_calculated_count,
+    sum(round(unit_price + 1e-12, 2)::DECIMAL(28,2))::DOUBLE AS median_price_sum, sum(total_price::DECIMAL(28,2))::DOUBLE AS quantity_total
+  FROM priced GROUP BY l_orderkey),
+lots AS (
+  SELECT o_orderkey, o_orderstatus, o_orderpriority = '1-URGENT' AS free, coalesce(total, 0)::BIGINT AS total, coalesce(supplied_count, 0)::BIGINT AS supplied_count,
+    coalesce(full_match_count, 0)::BIGINT AS full_match_count, coalesce(analog_count, 0)::BIGINT AS analog_count, coalesce(rejected_analog_count, 0)::BIGINT AS rejected_analog_count,
+    coalesce(priced_count, 0)::BIGINT AS priced_count, coalesce(fully_calculated_count, 0)::BIGINT AS fully_calculated_count,
+    coalesce(median_price_sum, 0::DOUBLE) AS median_price_sum, coalesce(quantity_total, 0::DOUBLE) AS quantity_total
+  FROM orders LEFT JOIN sums ON o_orderkey = l_orderkey),
+shares AS (SELECT *, CASE WHEN total > 0 THEN round_even(supplied_count::DOUBLE / total::DOUBLE * 100::DOUBLE, 2) END AS coverage_percent FROM lots),
+verdicts AS (SELECT *, total > 0 AND (CASE WHEN free THEN supplied_count >= 1 ELSE coalesce(coverage_percent >= 80, false) END) AS coverage_approved,
+  supplied_count > 0 AND fully_calculated_count = supplied_count AS price_complete, supplied_count > 0 AND priced_count = supplied_count AS median_complete FROM shares)"""
+
+
+def order_items(read: Frame) -> DataFrame:
+    """Order lines as matched line items of lots."""
+    size = F.col("p_size")
+    items = read("lineitem").join(read("part"), F.col("l_partkey") == F.col("p_partkey")).select(
+        "l_orderkey", "p_brand", F.when(F.col("l_returnflag") == "N", coverage.FULL).when(F.col("l_returnflag") == "A", coverage.ANALOG).otherwise("Товар не найден").alias("correspondence"),
+        F.col("l_partkey").cast("string").alias("article"), F.lit(None).cast("string").alias("link"), (~((F.col("l_linestatus") == "F") & (size % 3 == 0))).alias("analogs_allowed"),
+        F.when(size >= 5, F.col("p_retailprice")).alias("median_price"), F.col("l_quantity").alias("quantity"),
+        F.when(size % 4 != 0, F.col("l_extendedprice")).alias("document_line_total"), F.when(size % 2 == 0, F.col("p_retailprice")).alias("document_unit_price"), F.lit("RUB").alias("document_currency"),
+    )
+    return coverage.matched_items(items)
+
+
+def order_lots(read: Frame) -> DataFrame:
+    orders = read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", (F.col("o_orderpriority") == "1-URGENT").alias("lot_divisible"))
+    return coverage.coverage(order_items(read), orders, ["l_orderkey"]).withColumnRenamed("l_orderkey", "o_orderkey")
+
+
+@query(COVERAGE_SQL + """
+SELECT o_orderkey, total, supplied_count, full_match_count, analog_count, rejected_analog_count, coverage_percent, coverage_approved, total > 0 AND NOT coverage_approved AS hard_reject,
+  CASE WHEN free THEN 'divisible_at_least_one_position' ELSE 'indivisible_at_least_80_percent' END AS coverage_rule, median_price_sum, quantity_total, price_complete FROM verdicts""")
+def coverage_by_order(read: Frame) -> DataFrame:
+    return order_lots(read).select("o_orderkey", "total", "supplied_count", "full_match_count", "analog_count", "rejected_analog_count", "coverage_percent", "coverage_approved", "hard_reject", "coverage_rule", "median_price_sum", "quantity_total", "price_complete")
+
+
+@query(COVERAGE_SQL + """
+SELECT o_orderkey, price_complete, median_complete, coverage_approved AND price_complete AS threshold_applicable, coverage_approved AND price_complete AND quantity_total < 1000000 AS value_reject,
+  CASE WHEN NOT free THEN 80 END::INTEGER AS approval_threshold FROM verdicts""")
+def coverage_price_flags(read: Frame) -> DataFrame:
+    return order_lots(read).select("o_orderkey", "price_complete", "median_complete", "threshold_applicable", "value_reject", "approval_threshold")
+
+
+@query(COVERAGE_SQL + """
+SELECT o_orderstatus, count(*) AS lots, count(*) FILTER (coverage_approved) AS approved, count(*) FILTER (total = 0) AS empty, sum(total)::BIGINT AS items, sum(quantity_total::DECIMAL(28,2))::DOUBLE AS value
+FROM verdicts GROUP BY o_orderstatus""")
+def coverage_totals_by_status(read: Frame) -> DataFrame:
+    return order_lots(read).groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("lots"), F.count_if("coverage_approved").alias("approved"), F.count_if(F.col("total") == 0).alias("empty"), F.sum("total").alias("items"), F.sum(F.col("quantity_total").cast("decimal(28,2)")).cast("double").alias("value")
+    )
+
+
+@query(f"""WITH {ITEMS_SQL}, d AS (SELECT *, round(doc_price * quantity + 1e-12, 2) AS calc FROM priced)
+SELECT CASE WHEN doc_price IS NULL AND line_total IS NULL THEN 'not_available' WHEN abs(calc - line_total) <= greatest(1.0::DOUBLE, line_total * 0.01::DOUBLE) THEN 'unit_times_quantity_matches_line_total'
+  WHEN abs(calc - line_total) > greatest(1.0::DOUBLE, line_total * 0.01::DOUBLE) THEN 'unit_times_quantity_mismatch' ELSE 'diagnostic_only' END AS document_status, count(*) AS n FROM d GROUP BY 1""")
+def document_price_status(read: Frame) -> DataFrame:
+    return coverage.document_prices(order_items(read)).groupBy("document_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- rules ----------------------------------------------------------------------------------------
+
+REASONS_SQL = COVERAGE_SQL + """,
+dates AS (SELECT l_orderkey, max(l_shipdate)::DATE AS delivery FROM lineitem GROUP BY 1),
+facts AS (SELECT v.*, o.o_totalprice, o.o_orderdate::DATE AS created, o.o_custkey, date_diff('day', DATE '1998-08-01', o.o_orderdate::DATE)::DOUBLE AS remaining, d.delivery
+  FROM verdicts v JOIN orders o USING (o_orderkey) LEFT JOIN dates d ON d.l_orderkey = o_orderkey),
+reasons AS (
+  SELECT o_orderkey, 5 AS p, 'Номенклатура. Лот неделимый. Не можем скомплектовать более 20% номенклатуры' AS r FROM facts WHERE total > 0 AND NOT coverage_approved
+  UNION ALL SELECT o_orderkey, 25, 'Оргвопросы. Отсутствует ТЗ / Нет документации / Некорректная ссылка' FROM facts WHERE total = 0
+  UNION ALL SELECT o_orderkey, 15, 'Оргвопросы. На момент согласования менее 3 рабочих дней до подачи заявки' FROM facts WHERE remaining < 3
+  UNION ALL SELECT o_orderkey, 20, 'Коммерческие условия. НМЦК менее 1 млн руб.' FROM facts WHERE (o_totalprice > 0 AND o_totalprice < 1000000) OR (coverage_approved AND price_complete AND quantity_total < 1000000)
+  UNION ALL SELECT o_orderkey, 32, 'Коммерческие условия. Не проходим по сроку поставки' FROM facts WHERE delivery > (created + INTERVAL 18 MONTH)::DATE)"""
+
+
+def order_reasons(read: Frame) -> DataFrame:
+    """Orders as tenders with their hard reasons."""
+    late = read("lineitem").groupBy("l_orderkey").agg(F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("delivery_date"))
+    facts = read("orders").select(
+        "o_orderkey", "o_custkey", F.format_string("%.2f", "o_totalprice").alias("initial_price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_created"),
+        F.datediff(F.to_date("o_orderdate"), F.lit("1998-08-01").cast("date")).cast("double").alias("remaining_days"),
+    )
+    lots = order_lots(read).drop("o_orderstatus", "status").withColumnsRenamed({"quantity_total": "supply_total"})
+    rows = lots.join(facts, "o_orderkey").join(late.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left")
+    return rules.hard_reasons(rows, F.lit("1998-08-01").cast("date"))
+
+
+@query(REASONS_SQL + """
+SELECT o_orderkey, coalesce(string_agg(r, ' | ' ORDER BY p) FILTER (r IS NOT NULL), '') AS reasons, arg_min(r, p) AS first_reason, count(r) AS n FROM verdicts LEFT JOIN reasons USING (o_orderkey) GROUP BY o_orderkey""")
+def hard_reasons_by_order(read: Frame) -> DataFrame:
+    named = F.transform("hard", lambda x: x["reason"])
+    return order_reasons(read).select("o_orderkey", F.array_join(named, " | ").alias("reasons"), F.get(named, F.lit(0)).alias("first_reason"), F.size("hard").cast("long").alias("n"))
+
+
+@query(REASONS_SQL + """,
+agg AS (SELECT o_orderkey, count(r) AS n, arg_min(r, p) AS any_r, arg_min(r, p) FILTER (r NOT LIKE 'Номенклатура. Лот%') AS other_r FROM verdicts LEFT JOIN reasons USING (o_orderkey) GROUP BY 1)
+SELECT o_orderkey, CASE WHEN n > 0 THEN 'Отказано КУ ЦП' WHEN c_nationkey % 5 = 0 THEN 'Проработка контрагента' WHEN o_orderkey % 2 = 0 THEN 'Согласовано КУ ЦП' ELSE 'Загружен Seldon' END AS status,
+  CASE WHEN n > 0 THEN coalesce(other_r, any_r) WHEN c_nationkey % 5 = 0 THEN 'Прочее' WHEN o_orderkey % 2 = 0 THEN NULL ELSE 'Прочее' END AS reason,
+  CASE WHEN n > 0 THEN 'deterministic' WHEN c_nationkey % 5 = 0 THEN 'counterparty' WHEN o_orderkey % 2 = 0 THEN 'none' ELSE 'fallback' END AS reason_origin
+FROM agg JOIN orders USING (o_orderkey) JOIN customer ON o_custkey = c_custkey""")
+def final_decision_by_order(read: Frame) -> DataFrame:
+    none = F.expr("cast(array() as array<struct<reason:string,evidence:string,confidence:string>>)")
+    model = F.when(F.col("o_orderkey") % 2 == 0, F.struct(F.lit("approve").alias("decision"), F.lit(None).cast("string").alias("primaryReason"), none.alias("detectedReasons"), F.lit("").alias("note"), F.lit("high").alias("confidence")))
+    known = read("customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_nationkey") % 5 == 0, "not_found").otherwise("matched").alias("counterparty_status"))
+    rows = order_reasons(read).join(known, "o_custkey").withColumns({"model": model, "counterparty_reason": F.lit(None).cast("string")})
+    return rules.decided(rows).select("o_orderkey", "status", "reason", "reason_origin")
+
+
+@query("""SELECT o_orderkey, date_diff('day', DATE '1998-08-01', o_orderdate::DATE) < 3 AS too_late, strftime(o_orderdate::DATE + INTERVAL 18 MONTH, '%Y-%m-%d') AS limit_date FROM orders""")
+def deadline_rule(read: Frame) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    return read("orders").select("o_orderkey", (F.datediff(day, F.lit("1998-08-01").cast("date")) < 3).alias("too_late"), F.add_months(day, 18).cast("string").alias("limit_date"))
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '(?i)(?:the|der|los)[\s\S]{0,40}(?:and|und|con)[\s\S]{0,40}(?:of|von|del)\b') AS gap_hit,
+  regexp_extract(text, '(?i)(?:the|der|los)[\s\S]{0,40}(?:and|und|con)[\s\S]{0,40}(?:of|von|del)\b') AS gap_text FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')""")
+def text_rules_docs(read: Frame) -> DataFrame:
+    pattern = r"(?i)(?:the|der|los)[\s\S]{0,40}(?:and|und|con)[\s\S]{0,40}(?:of|von|del)\b"
+    plain = read("documents").where(F.col("text").rlike(r"^[\x00-\x7f]*\z"))
+    return plain.select("doc_id", F.col("text").rlike(pattern).alias("gap_hit"), F.regexp_extract("text", pattern, 0).alias("gap_text"))
+
+
+@query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '([0-9]{1,4})', 1), lambda x: x::DOUBLE >= 35))::BIGINT AS large_numbers, coalesce(list_max(list_transform(regexp_extract_all(text, '([0-9]{1,4})', 1), lambda x: x::BIGINT)), -1) AS largest FROM documents""")
+def numeric_threshold_text(read: Frame) -> DataFrame:
+    found = F.transform(F.regexp_extract_all("text", F.lit("([0-9]{1,4})"), F.lit(1)), lambda x: x.cast("long"))
+    return read("documents").select("doc_id", F.size(F.filter(found, lambda x: x >= 35)).cast("long").alias("large_numbers"), F.coalesce(F.array_max(found), F.lit(-1).cast("long")).alias("largest"))
+
+
+@query(r"""WITH hits AS (SELECT doc_id, text, strpos(text, 'token') AS p FROM documents WHERE contains(text, 'token'))
+SELECT doc_id, trim(regexp_replace(substr(text, greatest(1, p - 60), p + 65 - greatest(1, p - 60)), '\s+', ' ', 'g')) AS evidence FROM hits""")
+def evidence_snippet(read: Frame) -> DataFrame:
+    return read("documents").where(F.col("text").contains("token")).select("doc_id", tx.snippet(F.col("text"), "token", 60).alias("evidence"))
+
+
+# --- functions ------------------------------------------------------------------------------------
+
+MONEY_SQL = "format('{:.2f}', l_extendedprice)"
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_linenumber % 3 AS k, {MONEY_SQL} AS plain FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN round(l_extendedprice, 2) WHEN 1 THEN round(l_extendedprice, 2) ELSE round(l_extendedprice, 2) END AS money,
+  CASE k WHEN 0 THEN plain::DOUBLE WHEN 1 THEN regexp_extract(regexp_replace(plain, '([0-9])([0-9]{{3}})\\.', '\\1 \\2.'), '([0-9]+(?:[.][0-9]+)?)', 1)::DOUBLE ELSE plain::DOUBLE END AS first_number FROM s""")
+def parse_money_cases(read: Frame) -> DataFrame:
+    plain = F.format_string("%.2f", "l_extendedprice")
+    spaced = F.regexp_replace(plain, r"([0-9])([0-9]{3})\.", "$1 $2.")
+    shown = F.when(F.col("l_linenumber") % 3 == 0, plain).when(F.col("l_linenumber") % 3 == 1, F.translate(spaced, ".", ",")).otherwise(F.concat(F.translate(plain, ".", ","), F.lit(" руб.")))
+    rows = read("lineitem").withColumn("s", shown)
+    return rows.select("l_orderkey", "l_linenumber", numbers.parse_money(F.col("s")).alias("money"), numbers.parse_number(F.col("s")).alias("first_number"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS parsed, strftime(o_orderdate, '%Y-%m-%d') AS normal FROM orders")
+def parse_dates_mixed(read: Frame) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    shown = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "d.M.yyyy")).otherwise(F.date_format("o_orderdate", "dd.MM.yyyy"))
+    return read("orders").withColumn("s", shown).select("o_orderkey", dates.parse_date(F.col("s")).cast("string").alias("parsed"), dates.normal_date(F.col("s")).alias("normal"))
+
+
+@query("SELECT o_orderkey, replace(replace(replace(format('{:,.2f}', o_totalprice), ',', ' '), '.', ','), '_', ' ') || ' руб.' AS shown FROM orders")
+def format_money(read: Frame) -> DataFrame:
+    return read("orders").select("o_orderkey", numbers.format_money(F.col("o_totalprice")).alias("shown"))
+
+
+@query("""SELECT event_id, coalesce(json_extract_string(props, '$.missing'), json_extract_string(props, '$.k')) AS value, CASE WHEN json_extract_string(props, '$.missing') IS NOT NULL THEN 'missing' ELSE 'k' END AS path FROM events""")
+def alias_coalesce_props(read: Frame) -> DataFrame:
+    found = tx.first_defined_with_path([(n, F.get_json_object("props", f"$.{n}")) for n in ("missing", "k")])
+    return read("events").withColumn("x", found).select("event_id", "x.value", "x.path")
+
+
+@query("""SELECT event_id, CASE WHEN k % 5 IN (0, 1) THEN 'true' WHEN k % 5 IN (2, 3) THEN 'false' END AS flag, CASE k % 3 WHEN 0 THEN 'RUB' WHEN 1 THEN 'USD' END AS currency
+FROM (SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events)""")
+def tri_state_flags(read: Frame) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    word = F.element_at(F.array(*[F.lit(x) for x in ("да", "Yes", "нет", "false", "может быть")]), (k % 5 + 1).cast("int"))
+    money = F.element_at(F.array(*[F.lit(x) for x in ("rur", " usd", "")]), (k % 3 + 1).cast("int"))
+    return read("events").select("event_id", tx.available(word).cast("string").alias("flag"), tx.currency(money).alias("currency"))
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, regexp_replace(url, '[?#].*$', '') AS shown, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS number FROM pages""")
+def url_parts(read: Frame) -> DataFrame:
+    url = F.col("url")
+    return read("pages").select("page_id", tx.host(url).alias("host"), tx.loggable_url(url).alias("shown"), F.nullif(F.regexp_extract(url, "/([0-9]+)", 1), F.lit("")).alias("number"))
+
+
+@query(r"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', chr(10), 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', chr(10), 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g') AS t FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g')) AS text FROM bare""")
+def html_to_text(read: Frame) -> DataFrame:
+    return read("pages").select("page_id", tx.page_text(F.col("html")).alias("text"))
+
+
+# --- documents ------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, (generate_subscripts(x, 1) - 1)::INTEGER AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)""")
+def doc_lines(read: Frame) -> DataFrame:
+    return positions.lines(read("documents"), ["doc_id"]).select("doc_id", "line_no", "line")
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(text) >= 500 AND regexp_matches(text, '[A-Za-z0-9]') THEN 'ok' WHEN length(text) >= 100 THEN 'short' ELSE 'unusable' END AS status FROM documents""")
+def doc_quality_status(read: Frame) -> DataFrame:
+    n = F.length("text")
+    return read("documents").select("doc_id", F.when((n >= 500) & F.col("text").rlike("[A-Za-z0-9]"), "ok").when(n >= 100, "short").otherwise("unusable").alias("status"))
+
+
+@query("""SELECT source, count(*) AS requested, count(*) FILTER (length(text) >= 500) AS parsed, string_agg(CASE WHEN length(text) < 100 THEN doc_id::VARCHAR END, ',' ORDER BY doc_id) AS unusable,
+  CASE WHEN count(*) FILTER (length(text) >= 500) = 0 THEN 'unavailable' WHEN count(*) FILTER (length(text) < 100) > 0 THEN 'partial' ELSE 'available' END AS status FROM documents GROUP BY source""")
+def doc_status_by_source(read: Frame) -> DataFrame:
+    n = F.length("text")
+    listed = F.transform(F.array_sort(F.collect_list(F.when(n < 100, F.col("doc_id")))), lambda x: x.cast("string"))
+    out = read("documents").groupBy("source").agg(F.count(F.lit(1)).alias("requested"), F.count_if(n >= 500).alias("parsed"), F.nullif(F.array_join(listed, ","), F.lit("")).alias("unusable"))
+    return out.withColumn("status", F.when(F.col("parsed") == 0, "unavailable").when(F.col("unusable").isNotNull(), "partial").otherwise("available"))
+
+
+@query("""WITH b AS (SELECT doc_id, source, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, text FROM documents)
+SELECT doc_id, used::BIGINT AS used, md5(substr(text, 1, greatest(0, 50000 - used)::BIGINT)) AS clipped_md5 FROM b""")
+def char_budget_clip(read: Frame) -> DataFrame:
+    return within_budget(read("documents").select("doc_id", "source", "text"), ["source"], ["doc_id"], "text", 50_000).select("doc_id", F.col("used").cast("long").alias("used"), F.md5("clipped").alias("clipped_md5"))
+
+
+@query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS said, count(*) AS turns FROM conversations GROUP BY conv_id""")
+def conversation_fold(read: Frame) -> DataFrame:
+    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("s")))), lambda x: x["s"])
+    return read("conversations").groupBy("conv_id").agg(F.array_join(said, "\n").alias("said"), F.count(F.lit(1)).alias("turns"))
+
+
+@query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_docs(read: Frame) -> DataFrame:
+    return read("documents").groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@query("""WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles FROM f GROUP BY conv_id""")
+def ordered_unique_list(read: Frame) -> DataFrame:
+    roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    return read("conversations").groupBy("conv_id").agg(F.array_join(tx.ordered_unique(roles), ",").alias("roles"))
+
+
+# --- windows and merges ---------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_signup FROM events""")
+def header_forward_fill(read: Frame) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return read("events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("last_signup"))
+
+
+@query("""SELECT event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS segment FROM events""")
+def segment_ids(read: Frame) -> DataFrame:
+    return positions.segments(read("events"), ["user_id"], "event_id", F.col("event_type") == "signup", "segment").select("event_id", "segment")
+
+
+@query("""SELECT source, event_type, event_id FROM (SELECT user_id AS source, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
+def dedup_first_wins(read: Frame) -> DataFrame:
+    return matching.first_by(read("events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select(F.col("user_id").alias("source"), "event_type", "event_id")
+
+
+MERGE_SQL = """WITH s AS (SELECT l_orderkey AS k, l_partkey AS part, l_suppkey % 3 AS rank, l_linenumber * 100000000 + l_suppkey * 100 + l_quantity::BIGINT AS ord, CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity END AS q, l_extendedprice AS price FROM lineitem),
+t AS (SELECT k, part, arg_max(struct_pack(q := q), ord) FILTER (rank = 1) AS s1, arg_max(struct_pack(q := q), ord) FILTER (rank = 2) AS s2, arg_max(price, ord) FILTER (rank = 2) AS p2 FROM s GROUP BY 1, 2),
+m AS (SELECT s.k, s.part, s.rank, s.ord, coalesce(s1.q, s2.q, s.q) AS quantity, coalesce(p2, s.price) AS price FROM s JOIN t USING (k, part)),
+d AS (SELECT *, row_number() OVER (PARTITION BY k, part, quantity ORDER BY rank, ord) AS rn FROM m)
+SELECT k AS l_orderkey, part AS l_partkey, rank, ord, quantity, price FROM d WHERE rn = 1"""
+
+
+@query(MERGE_SQL)
+def priority_merge(read: Frame) -> DataFrame:
+    rows = read("lineitem").select(
+        "l_orderkey", "l_partkey", (F.col("l_suppkey") % 3).alias("rank"), (F.col("l_linenumber").cast("long") * 100_000_000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("ord"), F.col("l_partkey").cast("string").alias("product"), F.lit(None).cast("string").alias("product_query"),
+        F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity")).alias("quantity"), F.lit("шт").alias("unit"), F.col("l_extendedprice").alias("document_unit_price"),
+        F.lit(None).cast("double").alias("document_line_total"), F.lit("RUB").alias("document_currency"), F.lit("").alias("document_price_evidence"),
+    )
+    return positions.merged(rows, ["l_orderkey"]).select("l_orderkey", "l_partkey", "rank", "ord", "quantity", F.col("document_unit_price").alias("price"))
+
+
+@query("SELECT user_id, arg_min(value, event_id) FILTER (event_type = 'purchase') AS first_purchase FROM events GROUP BY user_id")
+def backfill_first_non_null(read: Frame) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = read("events").select("user_id", "event_id", F.first(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("first_purchase"))
+    return matching.first_by(rows, ["user_id"], [F.col("event_id")]).select("user_id", "first_purchase")
+
+
+# --- matching -------------------------------------------------------------------------------------
+
+KNN_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, q.label AS query_label, v.vec_id, v.label, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 9) AS score FROM v q JOIN v ON q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
+
+
+def nearest(read: Frame, k: int) -> DataFrame:
+    """The stated queries (every vector whose id is divisible by 50) against all vectors."""
+    vectors = read("embeddings")
+    return matching.top_k(vectors.where(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id"), vectors, k)
+
+
+@query(KNN_SQL + " SELECT query_id, vec_id, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= 10")
+def knn_topk(read: Frame) -> DataFrame:
+    return nearest(read, 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(KNN_SQL + " SELECT query_id, count(*) FILTER (label = query_label) AS same_label, count(*) AS n FROM r WHERE rank <= 11 GROUP BY query_id")
+def knn_label_vote(read: Frame) -> DataFrame:
+    labels = read("embeddings").select("vec_id", "label")
+    met = nearest(read, 11).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
+    return met.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("query_label")).alias("same_label"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_brand, round(median(p_retailprice), 2) AS median_price, count(p_retailprice) AS priced, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS fields FROM part GROUP BY p_brand""")
+def same_product_median(read: Frame) -> DataFrame:
+    rows = read("part").select(F.lit(1).alias("q"), F.col("p_brand").alias("product_id"), F.col("p_partkey").cast("string").alias("point_id"), F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("unit_price"), F.col("p_type").alias("price_field"), F.lit("RUB").alias("currency"))
+    return matching.same_product_prices(rows, ["q"]).select(F.col("product_id").alias("p_brand"), F.round("median_price", 2).alias("median_price"), "priced", "fields")
+
+
+@query("""WITH s AS (SELECT p_brand, p_size, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2) SELECT p_brand, p_size, CASE WHEN n > 1 THEN 'median_same_product_id' ELSE 'selected_candidate' END AS price_method, n FROM s""")
+def price_source_label(read: Frame) -> DataFrame:
+    rows = read("part").select(
+        "p_brand", F.col("p_size").cast("string").alias("product_id"), F.col("p_partkey").cast("string").alias("point_id"), F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("unit_price"), F.col("p_type").alias("price_field"),
+        F.lit("RUB").alias("currency"), F.col("p_name").alias("name"), F.lit("").alias("manufacturer"), F.lit("").alias("url"),
+    )
+    chosen = rows.groupBy("p_brand", "product_id").agg(F.min_by("point_id", "pos").alias("point_id")).select("p_brand", "point_id", F.lit("Аналог").alias("correspondence"), F.lit("").alias("rationale"))
+    return matching.hydrated(chosen, rows, ["p_brand"]).select("p_brand", F.col("product_id").cast("int").alias("p_size"), "price_method", F.col("priced").alias("n"))
+
+
+@query("""SELECT o_custkey, o_orderkey, rank::INTEGER AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3""")
+def top_customers_scored(read: Frame) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return read("orders").withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("o_custkey", "o_orderkey", "rank")
+
+
+@query("""WITH r AS (SELECT s_nationkey, s_suppkey, s_suppkey % 4 AS code, s_name FROM supplier), m AS (SELECT c_custkey, s_name, row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(code = c_custkey % 4, false) DESC, s_suppkey) AS rn, count(s_suppkey) OVER (PARTITION BY c_custkey) AS n FROM customer LEFT JOIN r ON c_nationkey = s_nationkey)
+SELECT c_custkey, CASE WHEN s_name IS NULL THEN 'not_found' ELSE 'matched' END AS status, s_name AS matched_name, n AS by_inn_count FROM m WHERE rn = 1""")
+def registry_lookup(read: Frame) -> DataFrame:
+    from .operators.customer import looked_up
+
+    wanted = read("customer").select("c_custkey", F.lpad(F.col("c_nationkey").cast("string"), 10, "0").alias("inn"), F.lpad((F.col("c_custkey") % 4).cast("string"), 9, "0").alias("kpp"))
+    registry = read("supplier").select(F.lpad(F.col("s_nationkey").cast("string"), 10, "0").alias("inn"), F.lpad((F.col("s_suppkey") % 4).cast("string"), 9, "0").alias("kpp"), F.col("s_name").alias("full_name"), F.lit("").alias("short_name"), F.col("s_suppkey").alias("pos"))
+    return looked_up(wanted, registry, "c_custkey").select("c_custkey", "status", "matched_name", "by_inn_count")
+
+
+# --- jobs and audit -------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest, max(event_id) FILTER (event_type = 'purchase') AS last_purchase, count(*) AS n FROM events GROUP BY user_id")
+def job_latest_state(read: Frame) -> DataFrame:
+    return read("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"), F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("last_purchase"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def job_state_fold(read: Frame) -> DataFrame:
+    moves = F.create_map(*[F.lit(x) for p in (("signup", "dispatch"), ("view", "claim"), ("purchase", "complete"), ("error", "fail"), ("click", "requeue")) for x in p])
+    rows = read("events").select(F.col("user_id").alias("record_key"), F.col("ts").alias("event_time"), "event_id", F.try_element_at(moves, F.col("event_type")).alias("move"), F.lit("w").alias("worker"))
+    return jobs.folded(rows)
+
+
+@query("""SELECT event_id, next_start, CASE WHEN event_type = 'view' AND next_start IS NOT NULL THEN 'interrupted' ELSE event_type END AS final_status FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next_start FROM events)""")
+def job_superseded(read: Frame) -> DataFrame:
+    runs = read("events").select("event_id", F.col("user_id").alias("record_key"), F.col("ts").alias("started_at"), F.when(F.col("event_type") == "view", "running").otherwise(F.col("event_type")).alias("status"))
+    return audit.superseded(runs).select("event_id", "next_start", F.when(F.col("final_status") == "running", "view").otherwise(F.col("final_status")).alias("final_status"))
+
+
+@query("""SELECT strftime(o_orderdate, '%Y-%m') AS batch, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus = 'P') AS failed, bool_and(o_orderstatus IN ('F', 'P')) AS terminal FROM orders GROUP BY 1""")
+def batch_progress(read: Frame) -> DataFrame:
+    rows = read("orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("batch"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("queued").alias("status"))
+    return jobs.progress(rows, ["batch"])
+
+
+@query("""WITH a AS (SELECT *, count(*) FILTER (o_orderstatus = 'P') OVER (PARTITION BY o_orderpriority) AS busy FROM orders), q AS (SELECT o_orderkey, busy, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS rn FROM a WHERE o_orderstatus = 'O') SELECT o_orderkey FROM q WHERE rn <= 1200 - busy""")
+def claim_slots(read: Frame) -> DataFrame:
+    rows = read("orders").withColumn("status", F.when(F.col("o_orderstatus") == "O", "queued").otherwise(F.col("o_orderstatus")))
+    return jobs.claimable(rows, 1200, [F.col("o_orderdate"), F.col("o_orderkey")], ("o_orderpriority",), F.col("status") == "P").select("o_orderkey")
+
+
+@query("""SELECT event_id, CASE WHEN o_orderkey IS NULL THEN 'not_found' WHEN o_orderstatus = 'O' THEN 'accepted' ELSE 'status_' || o_orderstatus END AS outcome FROM events LEFT JOIN orders ON event_id = o_orderkey""")
+def dispatch_classify(read: Frame) -> DataFrame:
+    known = read("orders").select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderstatus") == "O", "dispatching").otherwise(F.col("o_orderstatus")).alias("status"))
+    return jobs.classified(read("events").select("event_id"), known, "event_id")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def never_dispatched(read: Frame) -> DataFrame:
+    busy = read("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return jobs.never(read("customer"), busy, "c_custkey").select("c_custkey", "c_name")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS click_count, count(*) FILTER (event_type = 'error') AS error_count, count(*) FILTER (event_type = 'purchase') AS purchase_count, coalesce(sum((json_extract_string(props, '$.k'))::BIGINT), 0)::BIGINT AS sum_k FROM events""")
+def run_totals(read: Frame) -> DataFrame:
+    rows = read("events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return audit.conditional_counts(rows, "event_type", ["click", "error", "purchase"], sums=("k",))
+
+
+CALLS_SQL = """WITH c AS (SELECT CASE event_type WHEN 'click' THEN 'llm' WHEN 'view' THEN 'qdrant' WHEN 'purchase' THEN 'embedding' WHEN 'signup' THEN 'qdrant_http' ELSE 'ollama_http' END AS service,
+  'm' || (user_id % 3)::VARCHAR AS model, CASE WHEN value > 50 THEN 'ok' ELSE 'error' END AS status, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events),
+i AS (SELECT 'llm_requests' AS metric, model, status, 1 AS x FROM c WHERE service = 'llm' UNION ALL SELECT 'llm_prompt_tokens', model, status, k FROM c WHERE service = 'llm'
+  UNION ALL SELECT 'llm_completion_tokens', model, status, k // 2 FROM c WHERE service = 'llm' UNION ALL SELECT 'llm_fallbacks', model, status, 1 FROM c WHERE service = 'llm' AND k % 2 = 0
+  UNION ALL SELECT 'qdrant_queries', '', status, 1 FROM c WHERE service = 'qdrant' UNION ALL SELECT 'qdrant_results', '', status, k FROM c WHERE service = 'qdrant'
+  UNION ALL SELECT 'qdrant_http_requests', '', status, 1 FROM c WHERE service = 'qdrant_http' UNION ALL SELECT 'embedding_queries', model, status, 1 FROM c WHERE service = 'embedding'
+  UNION ALL SELECT 'embedding_http_requests', model, status, 1 FROM c WHERE service = 'ollama_http'),
+n AS (SELECT metric, model, status, sum(x)::BIGINT AS value FROM i WHERE x <> 0 GROUP BY 1, 2, 3)"""
+
+
+def calls(read: Frame) -> DataFrame:
+    """Events as external calls."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    services = F.create_map(*[F.lit(x) for p in (("click", "llm"), ("view", "qdrant"), ("purchase", "embedding"), ("signup", "qdrant_http"), ("error", "ollama_http")) for x in p])
+    return read("events").select(
+        "event_id", "ts", F.lit("external_call").alias("event_type"), F.try_element_at(services, F.col("event_type")).alias("service"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"),
+        F.when(F.col("value") > 50, "ok").otherwise("error").alias("status"), k.alias("prompt_tokens"), F.floor(k / 2).cast("long").alias("completion_tokens"), k.alias("result_count"), (k % 2 == 0).alias("fallback_used"),
+    )
+
+
+@query(CALLS_SQL + " SELECT * FROM n")
+def metric_counters(read: Frame) -> DataFrame:
+    return audit.metric_counters(audit.metric_increments(calls(read)))
+
+
+@query(CALLS_SQL + """ SELECT model, status, coalesce(max(value) FILTER (metric = 'llm_requests'), 0)::BIGINT AS llm_requests, coalesce(max(value) FILTER (metric = 'llm_prompt_tokens'), 0)::BIGINT AS llm_prompt_tokens, coalesce(max(value) FILTER (metric = 'llm_completion_tokens'), 0)::BIGINT AS llm_completion_tokens FROM n GROUP BY 1, 2""")
+def metric_pivot(read: Frame) -> DataFrame:
+    return audit.metric_pivot(audit.metric_counters(audit.metric_increments(calls(read))), ["llm_requests", "llm_prompt_tokens", "llm_completion_tokens"])
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly_calls(read: Frame) -> DataFrame:
+    return audit.hourly(read("events"), "ts", ["event_type"])
+
+
+@query("SELECT event_type, sum((json_extract_string(props, '$.k'))::BIGINT)::BIGINT AS tokens, count(*) AS calls FROM events GROUP BY 1")
+def tokens_by_type(read: Frame) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return read("events").groupBy("event_type").agg(F.sum(audit.usage_total(k, F.lit(0), F.lit(0))).alias("tokens"), F.count(F.lit(1)).alias("calls"))
+
+
+@query("""WITH b AS (SELECT user_id, max(ts) AS beat FROM events GROUP BY 1), m AS (SELECT max(ts) AS ref FROM events) SELECT user_id, beat FROM b, m WHERE beat < ref - INTERVAL 7200 SECOND""")
+def stale_runs(read: Frame) -> DataFrame:
+    beats = read("events").groupBy("user_id").agg(F.max("ts").alias("beat"))
+    ref = beats.agg(F.max("beat").alias("ref"))
+    return audit.stale(beats.join(F.broadcast(ref)), "beat", F.col("ref"), 7200, F.lit(True)).select("user_id", "beat")  # ref is one row
+
+
+@query("SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
+def recent_runs(read: Frame) -> DataFrame:
+    return audit.recent(read("events").select("event_id", "ts", "user_id"), [F.desc("ts"), F.desc("event_id")], 200)
+
+
+@query("""SELECT user_id, min(ts) FILTER (event_type = 'signup') AS started, max(ts) FILTER (event_type = 'purchase') AS finished FROM events GROUP BY 1""")
+def run_timeline(read: Frame) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "stage_started").when(F.col("event_type") == "purchase", "stage_finished")
+    rows = read("events").select("user_id", "ts", kind.alias("kind"), F.col("event_type").alias("status"))
+    return audit.stage_timeline(rows, ["user_id"], "ts", "kind").select("user_id", "started", "finished")
+
+
+@query("WITH m AS (SELECT max(ts) AS ref FROM events) SELECT event_id FROM events, m WHERE ts >= ref - INTERVAL 10 DAY")
+def retention_keep(read: Frame) -> DataFrame:
+    events = read("events").select("event_id", "ts")
+    return audit.retained(events.join(F.broadcast(events.agg(F.max("ts").alias("ref")))), "ts", F.col("ref"), 10).select("event_id")  # ref is one row
+
+
+@query("SELECT user_id, max(value) AS peak_value, max(event_id) AS peak_event_id FROM events GROUP BY 1")
+def peak_high_water(read: Frame) -> DataFrame:
+    return audit.high_water(read("events"), ["user_id"], ["value", "event_id"])
+
+
+@query("SELECT user_id, max(ts) AS last FROM events GROUP BY 1 ORDER BY last DESC, user_id LIMIT 1000")
+def latest_groups(read: Frame) -> DataFrame:
+    return audit.latest_groups(read("events"), "user_id", "ts")
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def streaming_counters(read: Frame) -> DataFrame:
+    from .streaming.events import drained, hourly_counts
+
+    batch = read("events")
+    spark = batch.sparkSession
+    path = batch.inputFiles()[0] if len(batch.inputFiles()) == 1 else None
+    if path is None:
+        return audit.hourly(batch, "ts", ["event_type"])
+    folder, name = path.rsplit("/", 1)
+    rows = spark.readStream.schema(batch.schema).option("pathGlobFilter", name).parquet(folder)
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+    return drained(hourly_counts(rows, "event_type"), "lotwise_hourly").select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")

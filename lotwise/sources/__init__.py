@@ -1 +1 @@
-"""."""
+"""Reading landed files and feeds; writing results."""
