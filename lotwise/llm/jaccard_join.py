@@ -15,11 +15,13 @@ of its tokens, which bounds how deep into any global order the first shared toke
    prefixes under this order, too, before the sets are intersected.
 
 Groups are never expanded into pairs. Each index group is compared with one hub (a
-star). If x and y are in h's group and share no token outside h, their overlap is at
-most min(|x & h|, |y & h|); so besides the star only pairs for which that is enough,
-or that share a token of the prefix of what h lacks, can link. Those are compared
-directly unless the stars have already joined them. No link between classes that the
-stars leave apart is lost, so the components are exact.
+star), and what many members of a hub's family have beyond the hub joins the hub's
+tokens to a pivot set P. If x and y are in one family and share no token outside P, their
+overlap is at most min(|x & P|, |y & P|), and at most the sum of such minima over
+hash segments of P; so besides the star only pairs for which that is enough, or that
+share a token of the prefix of what P lacks, can link. Those are compared directly
+unless the stars have already joined them. No link between classes that the stars leave
+apart is lost, so the components are exact.
 
 Defined results: null and empty texts have empty sets and are linked with nothing;
 repeated rows share a class; an empty table stays empty; null ids take part and get
@@ -43,6 +45,10 @@ from .shingles import class_of, mix, shingle_sets, signed
 
 #: The second hash order's key.
 OTHER_ORDER = 0x5851F42D4C957F2D
+#: Hash segments by which overlaps with a pivot are counted (a power of two).
+SEGMENTS = 64
+#: Members from which a hub's family gets a pivot, and the share of them that a token needs to join it.
+FAMILY, POPULAR = 8, 0.25
 
 
 def missing(size):
@@ -168,15 +174,59 @@ def enough(i: Column, a: Column, b: Column) -> Column:
     return 9 * i >= 4 * (a + b)
 
 
+_MET = T.StructType([
+    T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("hsize", T.IntegerType()),
+    T.StructField("i", T.IntegerType()), T.StructField("segments", T.ArrayType(T.IntegerType())), T.StructField("rest", T.ArrayType(T.LongType())),
+])
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows' token arrays, unsigned; null is empty."""
+    values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    bounds = column.offsets.to_numpy()
+    known = np.asarray(column.is_valid())
+    return [values[a:b] if ok else values[:0] for a, b, ok in zip(bounds[:-1], bounds[1:], known, strict=True)]
+
+
+def _within(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which tokens of one sorted set the other has."""
+    if not len(other):
+        return np.zeros(len(own), bool)
+    return other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own
+
+
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """c's overlap with a token set, by segments, and what is beyond it; adds to what is already counted."""
+    for batch in batches:
+        h, c, size, hsize, before, counted, tokens, others = batch.columns
+        i, segments, rests = [], [], []
+        for own, other in zip(_lists(tokens), _lists(others), strict=True):
+            hit = _within(own, np.sort(other))
+            i.append(int(hit.sum()))
+            segments.append(np.bincount((own[hit] & np.uint64(SEGMENTS - 1)).astype(np.int64), minlength=SEGMENTS))
+            rests.append(own[~hit])
+        segments = np.array(segments, np.int32).ravel() + counted.values.to_numpy() if counted.null_count == 0 else np.array(segments, np.int32).ravel()
+        i = np.array(i, np.int32) + before.to_numpy()
+        rest = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in rests])]).astype(np.int32), pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *rests]))))
+        listed = pa.ListArray.from_arrays(np.arange(len(i) + 1, dtype=np.int32) * SEGMENTS, pa.array(segments.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([h, c, size, hsize, pa.array(i.astype(np.int32)), listed, rest], names=_MET.names)
+
+
 def star_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Written table h, c, size, i (overlap with h), hsize, rest: the prefix of c's tokens that h lacks."""
+    """Written table h, c, size, hsize, i (overlap with h), segments (the same by segments), rest (what h lacks)."""
     left = pairs.join(sets.select("c", "size", "tokens"), "c")
     both = left.join(sets.select(F.col("c").alias("h"), F.col("size").alias("hsize"), F.col("tokens").alias("htokens")), "h")
-    lacking = both.withColumn("rest", F.array_except("tokens", "htokens"))
-    i = F.col("size") - F.size("rest")
-    need = F.greatest(F.lit(1), F.col("size") - missing(F.col("size")) - i)
-    out = lacking.select("h", "c", "size", i.alias("i"), "hsize", F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.size("rest") - need + 1).cast("int")).alias("rest"))
-    return written(out, "jaccard-stars")
+    rows = both.select("h", "c", "size", "hsize", F.lit(0).alias("i"), F.lit(None).cast("array<int>").alias("segments"), "tokens", "htokens")
+    return written(rows.mapInArrow(_overlaps, _MET), "jaccard-stars")
+
+
+def with_pivots(met: DataFrame) -> DataFrame:
+    """Written table as met, counted against the family's pivot: the hub and what a fair share of its members have beyond it."""
+    families = met.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= FAMILY)
+    beyond = met.join(families, "h").select("h", "members", F.explode("rest").alias("t")).groupBy("h", "t").agg(F.count(F.lit(1)).alias("n"), F.max("members").alias("members"))
+    popular = beyond.where(F.col("n") >= F.greatest(F.lit(3), F.col("members") * POPULAR)).groupBy("h").agg(F.collect_list("t").alias("more"))
+    rows = met.join(popular, "h", "left").select("h", "c", "size", "hsize", "i", "segments", "rest", "more")
+    return written(rows.mapInArrow(_overlaps, _MET), "jaccard-pivots")
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -201,24 +251,26 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
 
 def open_pairs(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, in different components, that the stars leave possible."""
-    hubs = met.select("h", F.col("h").alias("c"), F.col("hsize").alias("size"), F.col("hsize").cast("int").alias("i"), "hsize").distinct()
-    everyone = met.select("h", "c", "size", "i", "hsize").unionByName(hubs).join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    # enough tokens of the hub: x is apart from the hub, y's size lies where min(i) can still suffice
-    top = F.floor(F.col("i") * 9 / 4).cast("int") - F.col("size")
-    low = F.ceil(F.col("size") * 4 / 5).cast("int")
-    apart = everyone.where(~enough(F.col("i"), F.col("size"), F.col("hsize")) & (top >= low))
-    apart = apart.select("h", F.col("c").alias("x"), F.col("size").alias("xsize"), F.col("i").alias("xi"), F.col("label").alias("xlabel"), F.explode(F.sequence(low, top)).alias("size"))
-    inside = apart.join(everyone, ["h", "size"]).where(enough(F.least("i", "xi"), F.col("size"), F.col("xsize")))
-    pairs = inside.select("x", F.col("c").alias("y"), "xlabel", F.col("label").alias("ylabel"))
-    # tokens that the hub lacks: groups that lie in one component need no look
-    rest = met.join(labels, "c", "left").select("h", "c", "size", F.coalesce("label", "c").alias("label"), F.explode("rest").alias("t"))
+    """Distinct (a, b), a < b, in different components, that stars and pivots leave possible."""
+    named = lambda df: df.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    of_hub = labels.select(F.col("c").alias("h"), F.col("label").alias("hlabel"))
+    everyone = named(met).select("h", "c", "size", "i", "segments", "label", F.size("rest").alias("more"), "rest")
+    # no token beyond the pivot is shared: one of the two, x, is apart from the hub; y's size lies where the overlap can still suffice
+    top, low = F.floor(F.col("i") * 9 / 4).cast("int") - F.col("size"), F.ceil(F.col("size") * 4 / 5).cast("int")
+    apart = everyone.join(of_hub, "h", "left").where((F.col("label") != F.coalesce("hlabel", "h")) & (top >= low))
+    apart = apart.select("h", F.col("c").alias("x"), F.col("size").alias("xsize"), F.col("i").alias("xi"), F.col("segments").alias("xs"), F.col("label").alias("xlabel"), F.explode(F.sequence(low, top)).alias("size"))
+    both = sum((F.least(F.col("segments")[k], F.col("xs")[k]) for k in range(SEGMENTS)), F.lit(0))
+    y = everyone.select(F.col("h").alias("yh"), F.col("size").alias("ysize"), F.col("c").alias("y"), "i", "segments", F.col("label").alias("ylabel"))
+    inside = apart.join(y, (F.col("h") == F.col("yh")) & (F.col("size") == F.col("ysize")) & (F.col("xlabel") != F.col("ylabel")) & enough(F.least("i", "xi"), F.col("ysize"), F.col("xsize")) & enough(both, F.col("ysize"), F.col("xsize")))
+    # tokens beyond the pivot: the first that the least shared number of them allows; groups in one component need no look
+    need = F.greatest(F.lit(1), F.col("size") - missing(F.col("size")) - F.col("i"))
+    rest = everyone.withColumn("t", F.explode(F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.col("more") - need + 1).cast("int"))))
     group = Window.partitionBy("h", "t")
-    mixed = rest.withColumns({"lo": F.min("label").over(group), "hi": F.max("label").over(group)}).where(F.col("lo") != F.col("hi"))
-    other = mixed.select("h", "t", F.col("c").alias("y"), F.col("size").alias("ysize"), F.col("label").alias("ylabel"))
-    beside = mixed.select("h", "t", F.col("c").alias("x"), F.col("size").alias("xsize"), F.col("label").alias("xlabel")).join(other, ["h", "t"])
-    beside = beside.where((F.col("x") < F.col("y")) & (5 * F.least("xsize", "ysize") >= 4 * F.greatest("xsize", "ysize")))
-    pairs = pairs.unionByName(beside.select("x", "y", "xlabel", "ylabel")).where(F.col("xlabel") != F.col("ylabel"))
+    mixed = rest.select("h", "t", "c", "size", "segments", "more", "label", F.min("label").over(group).alias("lo"), F.max("label").over(group).alias("hi")).where(F.col("lo") != F.col("hi"))
+    one = mixed.select("h", "t", F.col("c").alias("x"), F.col("size").alias("xsize"), F.col("segments").alias("xs"), F.col("more").alias("xmore"), F.col("label").alias("xlabel"))
+    two = mixed.select(F.col("h").alias("yh"), F.col("t").alias("yt"), F.col("c").alias("y"), F.col("size").alias("ysize"), "segments", "more", F.col("label").alias("ylabel"))
+    beside = one.join(two, (F.col("h") == F.col("yh")) & (F.col("t") == F.col("yt")) & (F.col("x") < F.col("y")) & (F.col("xlabel") != F.col("ylabel")) & enough(both + F.least("more", "xmore"), F.col("ysize"), F.col("xsize")))
+    pairs = inside.select("x", "y").unionByName(beside.select("x", "y"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -243,7 +295,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = star_overlaps(stars(index(sets)), sets)
     linked = met.where(enough(F.col("i"), F.col("size"), F.col("hsize"))).select(F.col("h").alias("a"), F.col("c").alias("b"))
     labels = components(linked)
-    more = written(compared(open_pairs(met, labels), sets), "jaccard-more")
+    more = written(compared(open_pairs(with_pivots(met), labels), sets), "jaccard-more")
     if not more.isEmpty():
         named = lambda x: F.coalesce(F.col(f"{x}l"), F.col(x)).alias(x)
         lifted = more.join(labels.select(F.col("c").alias("a"), F.col("label").alias("al")), "a", "left").join(labels.select(F.col("c").alias("b"), F.col("label").alias("bl")), "b", "left").select(named("a"), named("b"))
