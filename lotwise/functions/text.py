@@ -160,5 +160,5 @@ def page_text(html: Column, limit: int | None = None) -> Column:
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*+>.*?</\1\s*+>", "\n"), r"(?s)<!--.*?-->|<[^>]*+>", "\n")
     for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("middot", "·"), ("copy", "©"), ("amp", "&")):
         bare = F.replace(bare, F.lit(f"&{name};"), F.lit(char))
-    text = F.trim(F.regexp_replace(bare, r"\n{3,}", "\n\n"))
+    text = F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     return text if limit is None else clip(text, limit)

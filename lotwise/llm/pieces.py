@@ -44,6 +44,8 @@ from .textstats import passes
 DEEPEST = -60.0
 #: Words that are looked at first for regions above DEEPEST.
 NEAR = 128
+#: Bytes of text whose lattices are held at a time (a longer text is held whole).
+PASS_BYTES = 1_200_000
 _WORD = 2**64 - 1
 
 
@@ -62,7 +64,7 @@ class Vocabulary:
         own = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = own.vocab_size()
         self.bytes: list[bytes] = [b""] * size
-        self.byte_id = np.zeros(256, np.int64)
+        self.byte_id = np.zeros(256, np.int32)
         ranked = []
         for i in range(size):
             if own.is_control(i) or own.is_unknown(i) or own.is_unused(i):
@@ -88,8 +90,8 @@ class Vocabulary:
             ends.setdefault(node, i)
         keys = np.array([n * 256 + b for n, b in nodes], np.int64)
         order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
-        self.piece = np.full(len(nodes) + 1, -1, np.int64)
+        self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int32)[order]
+        self.piece = np.full(len(nodes) + 1, -1, np.int32)
         self.piece[list(ends)] = list(ends.values())
 
 
@@ -110,19 +112,20 @@ class Lattices:
         word = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         end = bounds[1:][word]
         starts = np.flatnonzero((data & 0xC0) != 0x80)
-        pos, node, far = starts, np.zeros(len(starts), np.int64), 0
+        end = end.astype(np.int32)
+        pos, node, far = starts.astype(np.int32), np.zeros(len(starts), np.int32), 0
         sources, targets, ids = [], [], []
         while len(pos):
             inside = pos + far < end[pos]
             pos, node = pos[inside], node[inside]
-            key = node * 256 + data[pos + far]
+            key = node.astype(np.int64) * 256 + data[pos + far]
             at = np.minimum(np.searchsorted(vocab.keys, key), len(vocab.keys) - 1)
             hit = vocab.keys[at] == key
             pos, node, far = pos[hit], vocab.child[at[hit]], far + 1
             found = vocab.piece[node]
             real = found >= 0
             sources.append(pos[real])
-            targets.append(pos[real] + far)
+            targets.append(pos[real] + np.int32(far))
             ids.append(found[real])
         after = np.append(starts[1:], n)
         covered = np.zeros(n + 1, bool)
@@ -131,25 +134,27 @@ class Lattices:
         sources, targets, ids = sources[::-1], targets[::-1], ids[::-1]
         for s, t in zip(sources, targets, strict=True):
             covered[s[nxt[s] == t]] = True
-        bare = np.flatnonzero(~np.repeat(covered[starts], after - starts)) if n else starts
+        bare = (np.flatnonzero(~np.repeat(covered[starts], after - starts)) if n else starts).astype(np.int32)
         sources.append(bare)
-        targets.append(bare + 1)
+        targets.append(bare + np.int32(1))
         ids.append(vocab.byte_id[data[bare]])
         src, dst, ident = np.concatenate(sources), np.concatenate(targets), np.concatenate(ids)
-        order = np.argsort(src, kind="stable")
+        order = np.argsort(src, kind="stable").astype(np.int32)
         src, dst, ident = src[order], dst[order], ident[order]
+        del order, sources, targets, ids
         weight = vocab.weight[ident]
         left = end[src] - src
         back = np.zeros(n + 1)
         done = dst == end[src]
-        by_left = np.argsort(left.astype(np.uint16) if n and left.max() < 65536 else left, kind="stable")
+        by_left = np.argsort(left.astype(np.uint16) if n and left.max() < 65536 else left, kind="stable").astype(np.int32)
         cuts = np.flatnonzero(np.diff(left[by_left], prepend=-1))
         for a, b in zip(cuts, np.append(cuts[1:], len(by_left)), strict=True):
             e = by_left[a:b]
             own = np.flatnonzero(np.diff(src[e], prepend=-1))
             back[src[e[own]]] = np.logaddexp.reduceat(weight[e] + np.where(done[e], 0.0, back[dst[e]]), own)
-        first = np.flatnonzero(np.diff(src, prepend=-1))
-        state = np.cumsum(np.diff(src, prepend=-1) != 0) - 1
+        fresh = np.diff(src, prepend=-1) != 0
+        first = np.flatnonzero(fresh).astype(np.int32)
+        state = np.cumsum(fresh, dtype=np.int32) - 1
         self.logp = np.minimum(weight + np.where(done, 0.0, back[dst]) - back[src], 0.0)
         alone = np.diff(np.append(first, len(src)))[state] == 1 if len(src) else np.zeros(0, bool)
         self.logp[alone] = 0.0
@@ -157,7 +162,7 @@ class Lattices:
         base = np.concatenate([[0.0], run])[first]
         self.upto = run - base[state]
         self.upto[np.append(first[1:], len(src)) - 1] = 2.0
-        number = np.full(n + 1, -1, np.int64)
+        number = np.full(n + 1, -1, np.int32)
         number[src[first]] = np.arange(len(first))
         self.next = np.where(done, -1, number[dst])
         self.ids, self.first, self.n_steps = ident, first, np.diff(np.append(first, len(src)))
@@ -181,7 +186,7 @@ class Lattices:
             more = state >= 0
             active, state = active[more], state[more]
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        steps = np.empty(bounds[-1], np.int64)
+        steps = np.empty(bounds[-1], np.int32)
         for i, (who, step) in enumerate(taken):
             steps[bounds[who] + i] = step
         return logp, steps, bounds
@@ -307,19 +312,21 @@ def _draws(key: int) -> Iterator[float]:
 def samples_of(texts: pa.Array, keys: np.ndarray, k: int, vocab: Vocabulary) -> Iterator[tuple[int, list[list[tuple[np.ndarray, float, float, float]]]]]:
     """(first row, samples of consecutive rows); a sample is ids, log probability, perturbed score, log inclusion probability."""
     with np.errstate(over="ignore"):
-        for row, n, raw, at in passes(texts):
+        for row, n, raw, at in passes(texts, PASS_BYTES):
             size = np.diff(at)
+            if not size.any():
+                yield row, [[(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for _ in range(n)]
+                continue
             shift = np.cumsum(size > 0) - (size > 0)
             data = np.insert(raw, at[:-1][size > 0], 32)  # the blank before a text's first word
             own = np.concatenate([at[:-1] + shift, [len(data)]])
             full = np.flatnonzero(size > 0)
-            starts = word_bounds(data, np.append(own[:-1][full], len(data))) if len(data) else np.zeros(0, np.int64)
+            starts = word_bounds(data, np.append(own[:-1][full], len(data)))
             units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
             words, kinds = np.asarray(units.indices).astype(np.int64), units.dictionary
-            bounds = np.frombuffer(kinds.buffers()[1], np.int64)[: len(kinds) + 1] if len(kinds) else np.zeros(1, np.int64)
-            lattices = Lattices(vocab, np.frombuffer(kinds.buffers()[2], np.uint8)[: bounds[-1]] if len(kinds) else data, bounds)
-            doc = np.searchsorted(own, starts, "right") - 1
-            doc = full[np.searchsorted(own[:-1][full], starts, "right") - 1] if len(full) else doc
+            bounds = np.frombuffer(kinds.buffers()[1], np.int64)[: len(kinds) + 1]
+            lattices = Lattices(vocab, np.frombuffer(kinds.buffers()[2], np.uint8)[: bounds[-1]], bounds)
+            doc = full[np.searchsorted(own[:-1][full], starts, "right") - 1]
             span = np.searchsorted(doc, np.arange(n + 1))
             place = np.arange(len(words)) - span[doc]
             base = mix(keys[row : row + n])

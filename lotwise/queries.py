@@ -238,7 +238,7 @@ def url_parts(read: Frame) -> DataFrame:
 
 
 @query(r"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', chr(10), 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', chr(10), 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g') AS t FROM pages)
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g')) AS text FROM bare""")
+SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM bare""")
 def html_to_text(read: Frame) -> DataFrame:
     return read("pages").select("page_id", tx.page_text(F.col("html")).alias("text"))
 
