@@ -165,9 +165,9 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The contract's columns of what personal_data() returned."""
     base = F.concat(*[joined(F.col(f"pii.{kind}"), kind) for kind in KINDS])
     rank = lambda kind: F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
-    tagged = [F.transform(F.col(f"pii.{kind}"), lambda x, kind=kind: F.struct(F.lit(i + 1).cast("long").alias("rank"), x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"))) for i, kind in enumerate(KINDS)]
+    own = lambda kind: F.transform(F.col(f"pii.{kind}"), lambda x: F.struct(F.lit(KINDS.index(kind) + 1).cast("long").alias("rank"), x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind")))
     more = F.transform(F.col("pii.found"), lambda x: F.struct(rank(x["kind"]).cast("long").alias("rank"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
-    everything = F.transform(F.array_sort(F.concat(*tagged, more)), lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string")))
+    everything = F.transform(F.array_sort(F.concat(*map(own, KINDS), more)), lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string")))
     return found.select(
         id_col,
         *[F.size(f"pii.{kind}").cast("long").alias(f"n_{kind}") for kind in KINDS],

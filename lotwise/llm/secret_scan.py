@@ -33,7 +33,7 @@ VALUE = r"^[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?"
 #: Weak parts: role, expression, probe. Roles complement each other.
 WEAK = {
     "identifier": (r"(?i:\b(?:user(?:_?name)?|login|account(?:_id)?|client_?id|access_?key(?:_?id)?))[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9+/_.@=-]{3,}+", r"(?i)user|login|account|client|access"),
-    "secret": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*+[a-z])(?=[A-Za-z0-9+/]*?[A-Z])(?=[A-Za-z0-9+/]*?[0-9])[A-Za-z0-9+/]{40}+(?![A-Za-z0-9+/=_-])", r"[A-Za-z0-9+/]{40}"),
+    "secret": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*?[a-z])(?=[A-Za-z0-9+/]*?[A-Z])(?=[A-Za-z0-9+/]*?[0-9])[A-Za-z0-9+/]{40}+(?![A-Za-z0-9+/=_-])", r"[A-Za-z0-9+/]{40}"),
     "endpoint": (rf"(?i:\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis)://)[^{WS}\"'<>]++|(?i:\b(?:host(?:name)?|endpoint|server))[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9._:/-]{{4,}}+", r"(?i)://|host|endpoint|server"),
 }
 #: Which role a base span plays.
