@@ -52,9 +52,9 @@ def table_positions(docs: DataFrame, keys: list[str], text: str = "text") -> Dat
     in_document, in_segment = Window.partitionBy(*keys, "_document").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys, "_segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     file = F.when(F.lower("line").startswith("filename:"), F.trim(F.regexp_extract("line", "(?s)^[^:]*:(.*)$", 1)))
     rows = rows.withColumns({"file": F.last(file, ignorenulls=True).over(in_document), "sheet": F.last(F.when(new_sheet, F.trim(F.regexp_extract("line", "(?s)^[^:]*:(.*)$", 1))), ignorenulls=True).over(in_segment)})
+    heads_of = lambda role: F.filter("_heads", lambda h: h["role"] == role)
     for role in ROLES:
-        own = F.element_at(F.filter("_heads", lambda h, role=role: h["role"] == role), -1)
-        own = F.when(F.size(F.filter("_heads", lambda h, role=role: h["role"] == role)) > 0, own)
+        own = F.try_element_at(heads_of(role), F.lit(-1))
         rows = rows.withColumn(f"_{role}", F.last(own, ignorenulls=True).over(in_segment))
     data = rows.where(F.col("cells").isNotNull() & (F.size("cells") > 0) & (F.size("_heads") == 0) & F.col("_product").isNotNull() & F.col("_unit").isNotNull() & F.col("_quantity").isNotNull())
     cell = lambda role: F.try_element_at("cells", F.col(f"_{role}.column"))

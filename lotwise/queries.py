@@ -94,9 +94,9 @@ def coverage_by_order(read: Frame) -> DataFrame:
 
 @query(COVERAGE_SQL + """
 SELECT o_orderkey, price_complete, median_complete, coverage_approved AND price_complete AS threshold_applicable, coverage_approved AND price_complete AND quantity_total < 1000000 AS value_reject,
-  CASE WHEN NOT free THEN 80 END::INTEGER AS approval_threshold FROM verdicts""")
+  CASE WHEN NOT free THEN 80 END::DOUBLE AS approval_threshold FROM verdicts""")
 def coverage_price_flags(read: Frame) -> DataFrame:
-    return order_lots(read).select("o_orderkey", "price_complete", "median_complete", "threshold_applicable", "value_reject", "approval_threshold")
+    return order_lots(read).select("o_orderkey", "price_complete", "median_complete", "threshold_applicable", "value_reject", F.col("approval_threshold").cast("double").alias("approval_threshold"))
 
 
 @query(COVERAGE_SQL + """
@@ -292,10 +292,10 @@ def ordered_unique_list(read: Frame) -> DataFrame:
 # --- windows and merges ---------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_signup FROM events""")
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE AS last_signup FROM events""")
 def header_forward_fill(read: Frame) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read("events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("last_signup"))
+    return read("events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).cast("double").alias("last_signup"))
 
 
 @query("""SELECT event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS segment FROM events""")
@@ -392,9 +392,9 @@ def registry_lookup(read: Frame) -> DataFrame:
 # --- jobs and audit -------------------------------------------------------------------------------
 
 
-@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest, max(event_id) FILTER (event_type = 'purchase') AS last_purchase, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest, max(event_id) FILTER (event_type = 'purchase')::DOUBLE AS last_purchase, count(*) AS n FROM events GROUP BY user_id")
 def job_latest_state(read: Frame) -> DataFrame:
-    return read("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"), F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("last_purchase"), F.count(F.lit(1)).alias("n"))
+    return read("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"), F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).cast("double").alias("last_purchase"), F.count(F.lit(1)).alias("n"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -11,11 +12,17 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = sorted(entry.oracle_sql())
 
 
+def plain(v):
+    """A value as text; whole numbers alike whether or not nulls made their column floating."""
+    if pd.api.types.is_scalar(v) and pd.isna(v):
+        return ""
+    if isinstance(v, float):
+        return str(int(v)) if v.is_integer() else repr(round(v, 6))
+    return str(v)
+
+
 def shown(df):
-    rows = []
-    for row in df[sorted(df.columns)].itertuples(index=False):
-        rows.append(tuple("" if v is None or v != v else repr(round(v, 6)) if isinstance(v, float) else str(v) for v in row))
-    return sorted(rows)
+    return sorted(tuple(map(plain, row)) for row in df[sorted(df.columns)].itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
