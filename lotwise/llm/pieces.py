@@ -16,8 +16,9 @@ Scores are kept as arrival times exp(-score), in which a truncated Gumbel variat
 exponential one over the region's mass. All variates are hashes of the row key, path and
 word, so a row's samples do not depend on how rows are dealt out.
 
-Words, lattices and walks are vectorised over a few megabytes of text at a time: equal words
-share one lattice, and k independent walks over all words supply the paths.
+Words and walks are vectorised over a part of a megabyte of text at a time: equal words share one
+lattice, which a task keeps for its next texts within a bound, and k independent walks over
+all words supply the paths.
 
 Defined results: a null text has no samples (null), an empty one has one sample without
 pieces; a text with fewer than k segmentations has as many as there are; repeated rows
@@ -44,8 +45,10 @@ from .textstats import passes
 DEEPEST = -60.0
 #: Words that are looked at first for regions above DEEPEST.
 NEAR = 128
-#: Bytes of text whose lattices are held at a time (a longer text is held whole).
-PASS_BYTES = 1_200_000
+#: Bytes of text that are segmented at a time (a longer text is a pass of its own).
+PASS_BYTES = 600_000
+#: Bytes of distinct words whose lattices a task keeps from pass to pass; beyond that it starts anew.
+KNOWN_BYTES = 2_000_000
 _WORD = 2**64 - 1
 
 
@@ -88,9 +91,18 @@ class Vocabulary:
             for b in self.bytes[i]:
                 node = nodes.setdefault((node, b), len(nodes) + 1)
             ends.setdefault(node, i)
-        keys = np.array([n * 256 + b for n, b in nodes], np.int64)
+        keys = np.array([n * 256 + b for n, b in nodes], np.int32)
         order = np.argsort(keys)
         self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int32)[order]
+        # the first two bytes lead straight to their node (-1: to none)
+        self.one, self.two = np.full(256, -1, np.int32), np.full(65536, -1, np.int32)
+        for (n, b), child in nodes.items():
+            if n == 0:
+                self.one[b] = child
+        first = {int(child): b for b, child in enumerate(self.one) if child >= 0}
+        for (n, b), child in nodes.items():
+            if n in first:
+                self.two[first[n] * 256 + b] = child
         self.piece = np.full(len(nodes) + 1, -1, np.int32)
         self.piece[list(ends)] = list(ends.values())
 
@@ -100,14 +112,56 @@ def vocabulary(model: bytes, temperature: float) -> Vocabulary:
     return Vocabulary(model, temperature)
 
 
+class Grown:
+    """An array that is appended to, with room to spare."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.empty(0, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        n = self.n + len(more)
+        if n > len(self.room):
+            room = np.empty(n + n // 4, self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : n] = more
+        self.n = n
+
+
 class Lattices:
-    """The lattices of distinct words (bytes data, ends of words) as one table of steps.
+    """The lattices of distinct words as one table of steps.
 
     A state is a byte position; its steps lie together, longest piece first (mostly the
-    likeliest), with running probabilities, so a draw is settled after a step or two.
+    likeliest), with running probabilities, so a draw is settled after a step or two. A word's
+    figures do not depend on the words that it was added with.
     """
 
-    def __init__(self, vocab: Vocabulary, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.known, self.n_bytes = vocab, {}, 0
+        self._logp, self._upto = Grown(np.float64), Grown(np.float64)
+        self._next, self._ids, self._first, self._n_steps, self._start = (Grown(np.int32) for _ in range(5))
+
+    def numbers(self, kinds: pa.Array) -> np.ndarray:
+        """The words' numbers; new words are added."""
+        if self.n_bytes > KNOWN_BYTES:
+            self.__init__(self.vocab)
+        words, fresh = kinds.to_pylist(), []
+        out = np.empty(len(words), np.int64)
+        for i, word in enumerate(words):
+            number = self.known.get(word)
+            if number is None:
+                number = self.known[word] = len(self.known)
+                fresh.append(word)
+            out[i] = number
+        if fresh:
+            raw = b"".join(fresh)
+            self.n_bytes += len(raw)
+            self.add(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in fresh])]))
+        return out
+
+    def add(self, data: np.ndarray, bounds: np.ndarray) -> None:
+        """Appends the lattices of words that lie one after another in data."""
+        vocab = self.vocab
         n = len(data)
         word = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         end = bounds[1:][word]
@@ -118,10 +172,14 @@ class Lattices:
         while len(pos):
             inside = pos + far < end[pos]
             pos, node = pos[inside], node[inside]
-            key = node.astype(np.int64) * 256 + data[pos + far]
-            at = np.minimum(np.searchsorted(vocab.keys, key), len(vocab.keys) - 1)
-            hit = vocab.keys[at] == key
-            pos, node, far = pos[hit], vocab.child[at[hit]], far + 1
+            if far < 2:
+                to = vocab.one[data[pos]] if not far else vocab.two[data[pos].astype(np.int32) * 256 + data[pos + 1]]
+                hit = to >= 0
+            else:
+                key = node * np.int32(256) + data[pos + far]
+                at = np.minimum(np.searchsorted(vocab.keys, key), len(vocab.keys) - 1)
+                hit, to = vocab.keys[at] == key, vocab.child[at]
+            pos, node, far = pos[hit], to[hit], far + 1
             found = vocab.piece[node]
             real = found >= 0
             sources.append(pos[real])
@@ -154,19 +212,29 @@ class Lattices:
             back[src[e[own]]] = np.logaddexp.reduceat(weight[e] + np.where(done[e], 0.0, back[dst[e]]), own)
         fresh = np.diff(src, prepend=-1) != 0
         first = np.flatnonzero(fresh).astype(np.int32)
-        state = np.cumsum(fresh, dtype=np.int32) - 1
-        self.logp = np.minimum(weight + np.where(done, 0.0, back[dst]) - back[src], 0.0)
-        alone = np.diff(np.append(first, len(src)))[state] == 1 if len(src) else np.zeros(0, bool)
-        self.logp[alone] = 0.0
-        run = np.cumsum(np.exp(self.logp))
-        base = np.concatenate([[0.0], run])[first]
-        self.upto = run - base[state]
-        self.upto[np.append(first[1:], len(src)) - 1] = 2.0
+        n_steps = np.diff(np.append(first, len(src)))
+        logp = np.minimum(weight + np.where(done, 0.0, back[dst]) - back[src], 0.0)
+        logp[first[n_steps == 1]] = 0.0
+        upto = np.exp(logp)
+        several, far = np.flatnonzero(n_steps > 1), 1
+        while len(several):
+            at = first[several] + far
+            upto[at] += upto[at - 1]
+            far += 1
+            several = several[n_steps[several] > far]
+        upto[np.append(first[1:], len(src)) - 1] = 2.0
         number = np.full(n + 1, -1, np.int32)
         number[src[first]] = np.arange(len(first))
-        self.next = np.where(done, -1, number[dst])
-        self.ids, self.first, self.n_steps = ident, first, np.diff(np.append(first, len(src)))
-        self.start = number[bounds[:-1]]
+        steps, states = self._logp.n, self._first.n
+        self._logp.add(logp)
+        self._upto.add(upto)
+        self._next.add(np.where(done, -1, number[dst] + states))
+        self._ids.add(ident)
+        self._first.add(first + steps)
+        self._n_steps.add(n_steps)
+        self._start.add(number[bounds[:-1]] + states)
+        self.logp, self.upto, self.next, self.ids = self._logp.room, self._upto.room, self._next.room, self._ids.room
+        self.first, self.n_steps, self.start = self._first.room, self._n_steps.room, self._start.room
 
     def walk(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One draw for each word: log probability, and its steps one after another with their bounds."""
@@ -309,7 +377,7 @@ def _draws(key: int) -> Iterator[float]:
         i += 1
 
 
-def samples_of(texts: pa.Array, keys: np.ndarray, k: int, vocab: Vocabulary) -> Iterator[tuple[int, list[list[tuple[np.ndarray, float, float, float]]]]]:
+def samples_of(texts: pa.Array, keys: np.ndarray, k: int, lattices: Lattices) -> Iterator[tuple[int, list[list[tuple[np.ndarray, float, float, float]]]]]:
     """(first row, samples of consecutive rows); a sample is ids, log probability, perturbed score, log inclusion probability."""
     with np.errstate(over="ignore"):
         for row, n, raw, at in passes(texts, PASS_BYTES):
@@ -323,9 +391,7 @@ def samples_of(texts: pa.Array, keys: np.ndarray, k: int, vocab: Vocabulary) ->
             full = np.flatnonzero(size > 0)
             starts = word_bounds(data, np.append(own[:-1][full], len(data)))
             units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-            words, kinds = np.asarray(units.indices).astype(np.int64), units.dictionary
-            bounds = np.frombuffer(kinds.buffers()[1], np.int64)[: len(kinds) + 1]
-            lattices = Lattices(vocab, np.frombuffer(kinds.buffers()[2], np.uint8)[: bounds[-1]], bounds)
+            words = lattices.numbers(units.dictionary)[np.asarray(units.indices)]
             doc = full[np.searchsorted(own[:-1][full], starts, "right") - 1]
             span = np.searchsorted(doc, np.arange(n + 1))
             place = np.arange(len(words)) - span[doc]
@@ -364,12 +430,18 @@ def samples_of(texts: pa.Array, keys: np.ndarray, k: int, vocab: Vocabulary) ->
 _SAMPLE = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("logp", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("log_inclusion", T.DoubleType())])
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], text_at: int, k: int, temperature: float, model) -> Iterator[pa.RecordBatch]:
+def text_of(ids: np.ndarray, vocab: Vocabulary) -> str:
+    """The text that ids spell, without the blank before its first word."""
+    return b"".join(map(vocab.bytes.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], text_at: int, k: int, temperature: float, model, decode: bool) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(model.value, temperature)
+    lattices = Lattices(vocab)
     for batch in batches:
         texts = batch.column(text_at)
         keys = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        for row, found in samples_of(texts, keys, k, vocab):
+        for row, found in samples_of(texts, keys, k, lattices):
             known = np.asarray(texts.slice(row, len(found)).is_valid())
             flat = [x for samples, ok in zip(found, known, strict=True) if ok for x in samples]
             ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x[0]) for x in flat])]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int32), *[x[0] for x in flat]]), pa.int32()))
@@ -377,17 +449,25 @@ def _sampled(batches: Iterator[pa.RecordBatch], text_at: int, k: int, temperatur
             counts = np.where(known, [len(x) for x in found], 0)
             column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=None), each, mask=pa.array(~known))
             rest = batch.slice(row, len(found))
-            yield pa.RecordBatch.from_arrays([*rest.columns[:-1], column], names=[*batch.schema.names[:-1], "samples"])
+            more, names = [column], ["samples"]
+            if decode:
+                more.append(pa.array([text_of(samples[0][0], vocab) if ok else None for samples, ok in zip(found, known, strict=True)], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays([*rest.columns[:-1], *more], names=[*batch.schema.names[:-1], *names])
 
 
-def sampled(docs: DataFrame, model_path: str, k: int = 3, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
-    """docs with `samples`: at most k distinct segmentations of each text, best perturbed score first."""
+def sampled(docs: DataFrame, model_path: str, k: int = 3, temperature: float = 1.0, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, decode: bool = False) -> DataFrame:
+    """docs with `samples`: at most k distinct segmentations of each text, best perturbed score first.
+
+    decode: adds `decoded`, the best sample's ids as text again, in the same pass over the rows.
+    """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(model_bytes(spark, model_path))
-    had = [c for c in docs.columns if c.lower() not in ("samples", "_key")]
+    new = [T.StructField("samples", T.ArrayType(_SAMPLE))] + ([T.StructField("decoded", T.StringType())] if decode else [])
+    had = [c for c in docs.columns if c.lower() not in ("_key", *[f.name for f in new])]
     keyed = docs.select(*[F.col(f"`{c}`") for c in had], F.xxhash64(F.lit(seed), F.col(id_col)).alias("_key"))
-    schema = T.StructType([*[f for f in docs.schema if f.name in had], T.StructField("samples", T.ArrayType(_SAMPLE))])
-    return keyed.mapInArrow(partial(_sampled, text_at=had.index(text_col), k=k, temperature=temperature, model=model), schema)
+    schema = T.StructType([*[f for f in docs.schema if f.name in had], *new])
+    return keyed.mapInArrow(partial(_sampled, text_at=had.index(text_col), k=k, temperature=temperature, model=model, decode=decode), schema)
 
 
 def decoder(spark: SparkSession, model_path: str):
@@ -396,11 +476,11 @@ def decoder(spark: SparkSession, model_path: str):
 
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
-        own = vocabulary(model.value, 1.0).bytes
+        vocab = vocabulary(model.value, 1.0)
         bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
         out = []
         for a, b, ok in zip(bounds[:-1].tolist(), bounds[1:].tolist(), np.asarray(ids.is_valid()).tolist(), strict=True):
-            out.append(b"".join(map(own.__getitem__, flat[a:b].tolist()))[1:].decode("utf-8", "replace") if ok else None)
+            out.append(text_of(flat[a:b], vocab) if ok else None)
         return pa.array(out, pa.string())
 
     return decode

@@ -50,7 +50,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decoded(pieces.sampled(docs, PIECE_MODEL, k=3), F.col("samples")[0]["ids"], PIECE_MODEL)
+    out = pieces.sampled(docs, PIECE_MODEL, k=3, decode=True)
     each = lambda f: F.transform("samples", f)
     return out.select(
         "doc_id", F.size("samples").alias("n_samples"), each(lambda x: F.size(x["ids"])).alias("n_pieces"), each(lambda x: F.xxhash64(x["ids"])).alias("ids_hash"),

@@ -120,7 +120,7 @@ def test_gumbel_top_k_is_exact():
     total = np.logaddexp.reduce(list(every.values()))
     p = {s: float(np.exp(w - total)) for s, w in every.items()}
     n, first, second, estimate = 6000, {}, {}, 0.0
-    for _, found in pieces.samples_of(pa.array(["than"] * n), np.arange(n, dtype=np.uint64), 2, vocab):
+    for _, found in pieces.samples_of(pa.array(["than"] * n), np.arange(n, dtype=np.uint64), 2, pieces.Lattices(vocab)):
         for samples in found:
             a, b = tuple(samples[0][0].tolist()), tuple(samples[1][0].tolist())
             assert a != b and samples[0][2] > samples[1][2] and abs(samples[0][1] - np.log(p[a])) < 1e-9
@@ -143,8 +143,8 @@ def test_samples_round_trip(spark):
         if x.samples:
             assert len({tuple(s.ids) for s in x.samples}) == len(x.samples) <= 4 and [s.score for s in x.samples] == sorted((s.score for s in x.samples), reverse=True)
     assert len([x for x in rows if x.doc_id == 3 and x.samples == rows[3].samples]) == 2
-    moved = {x.doc_id: x.samples for x in pieces.sampled(docs.repartition(3), MODEL, k=4).collect()}
-    assert all(moved[x.doc_id] == x.samples for x in rows)
+    moved = {x.doc_id: x for x in pieces.sampled(docs.repartition(3), MODEL, k=4, decode=True).collect()}
+    assert all(moved[x.doc_id].samples == x.samples and moved[x.doc_id].decoded == x.decoded for x in rows)
     assert pieces.sampled(docs.limit(0), MODEL).count() == 0
 
 
