@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
 from .textstats import COUNTS, text_counts
 
 _STATS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
@@ -126,5 +127,5 @@ def decide(voted: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with COUNTS, votes, base_failed, posterior and kept."""
-    return decide(with_votes(docs, text_col), threshold)
+    """docs with COUNTS, votes, base_failed, posterior and kept; texts are scanned once."""
+    return decide(written(with_votes(docs, text_col), "quality-votes"), threshold)
