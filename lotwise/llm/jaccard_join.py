@@ -283,9 +283,10 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """Written table k, id, size, component: a row for each row of docs; k is text_key(id, text).
+    """Written table k, id, size, component, root: a row for each row of docs; k is text_key(id, text).
 
     component: the smallest id reachable by links of a similarity of 0.8 or more.
+    root: the component's own class, which no other component shares, whatever the ids; null for rows without words.
     """
     members = classes(docs, id_col, text_col, size)
     left = surviving(docs, members, text_col, size)
@@ -305,8 +306,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         labels = written(lower.unionByName(single.select("c", "label")), "jaccard-final")
     named = members.where(F.col("size") > 0).join(labels, "c", "left").withColumn("root", F.coalesce("label", "c"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component"))
-    held = named.join(smallest, "root").select("k", "id", "size", "component")
-    return written(held.unionByName(members.where(F.col("size") == 0).select("k", "id", "size", F.col("id").alias("component"))), "jaccard-components")
+    held = named.join(smallest, "root").select("k", "id", "size", "component", "root")
+    return written(held.unionByName(members.where(F.col("size") == 0).select("k", "id", "size", F.col("id").alias("component"), F.lit(None).cast("long").alias("root"))), "jaccard-components")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,7 +315,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = jaccard_components(docs, id_col, text_col)
     key, own = fresh(docs, "_k", "_own")
     # a component's first row: by id, then by key; rows that repeat it in full are copies, too
-    best = found.where(F.col("size") > 0).groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "k"))["k"].alias("k"))
+    best = found.where(F.col("size") > 0).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "k"))["k"].alias("k"))
     gone = found.where(F.col("size") > 0).select("k").distinct().join(best.select("k"), "k", "left_anti")
     gone = small_side(written(gone.select(F.col("k").alias(key)), "jaccard-copies"))
     kept = docs.withColumn(own, text_key(id_col, text_col)).join(gone, F.col(own) == F.col(key), "left_anti")

@@ -345,3 +345,10 @@ def test_pipeline(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "secret_scan", "source_mixing", "sentencepiece"]
     mid = corpus_pipeline.secrets(spark, docs, "")
     assert mid.columns == docs.columns and "[secret]" in mid.where("doc_id = 201").first().text
+
+
+def test_only_linked_rows_are_copies(spark):
+    """Unlinked texts that share a null or a repeated id all stay."""
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "m n o p q r"), (5, "s t u v w x"), (5, "y z a1 b1 c1 d1"), (7, "A B C D E F")]
+    kept = jaccard_join.without_copies(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(x.text for x in kept) == sorted(t for _, t in rows[1:])
