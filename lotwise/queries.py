@@ -176,6 +176,16 @@ def text_rules_docs(read: Frame) -> DataFrame:
     return plain.select("doc_id", F.col("text").rlike(pattern).alias("gap_hit"), F.regexp_extract("text", pattern, 0).alias("gap_text"))
 
 
+@query()
+def text_rules_all_docs(read: Frame) -> DataFrame:
+    """The same rule on every document and its whole text: no letter, digit or underscore of any script may follow.
+
+    A null text has null answers. text_rules_docs covers the plain ASCII texts alone, where its SQL means the same.
+    """
+    pattern = r"(?i)(?:the|der|los)[\s\S]{0,40}(?:and|und|con)[\s\S]{0,40}(?:of|von|del)(?![\p{L}\p{M}\p{N}_])"
+    return read("documents").select("doc_id", F.col("text").rlike(pattern).alias("gap_hit"), F.regexp_extract("text", pattern, 0).alias("gap_text"))
+
+
 @query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '([0-9]{1,4})', 1), lambda x: x::DOUBLE >= 35))::BIGINT AS large_numbers, coalesce(list_max(list_transform(regexp_extract_all(text, '([0-9]{1,4})', 1), lambda x: x::BIGINT)), -1) AS largest FROM documents""")
 def numeric_threshold_text(read: Frame) -> DataFrame:
     found = F.transform(F.regexp_extract_all("text", F.lit("([0-9]{1,4})"), F.lit(1)), lambda x: x.cast("long"))

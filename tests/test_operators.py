@@ -243,3 +243,32 @@ def test_whole_tender(spark):
     registry = spark.createDataFrame([("1234567890", "1", "A", "a", 1)], "inn string, kpp string, full_name string, short_name string, pos int")
     got = {r.tender: (r.status, r.reason) for r in decide_tenders(tenders, items, registry, F.lit("2024-01-01").cast("date")).collect()}
     assert got == {"t1": (rules.LOADED, rules.OTHER), "t2": (rules.REJECTED, rules.MILITARY)}
+
+
+def plain_gap(t):
+    """The leftmost hit of the gap rule, earlier words and longer gaps first."""
+    low = t.lower()
+    word = lambda c: c == "_" or c.isalnum()
+    for s in range(len(t)):
+        for one in (w for w in ("the", "der", "los") if low.startswith(w, s)):
+            for i in range(min(s + len(one) + 40, len(t)), s + len(one) - 1, -1):
+                for two in (w for w in ("and", "und", "con") if low.startswith(w, i)):
+                    for j in range(min(i + len(two) + 40, len(t)), i + len(two) - 1, -1):
+                        for end in (j + len(w) for w in ("of", "von", "del") if low.startswith(w, j)):
+                            if end == len(t) or not word(t[end]):
+                                return t[s:end]
+    return ""
+
+
+def test_text_rules_cover_every_document(spark, tmp_path):
+    import random
+
+    import __spark_entry__ as entry
+
+    r = random.Random(3)
+    parts = ["the ", "Der ", "los ", "AND ", "und ", "con ", "of", "von", "del", " ", "é", "ö", "ñandú ", "\U0001F600", "x" * 15, "\n", "7", "_", "."]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 20))) for _ in range(400)] + ["der Bär und die Größe von", "los niños con el río del", "the and ofé", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: (x.gap_hit, x.gap_text) for x in entry.queries()["text_rules_all_docs"](spark, str(tmp_path)).collect()}
+    want = {i: (None, None) if t is None else (bool(plain_gap(t)), plain_gap(t)) for i, t in enumerate(texts)}
+    assert got == want and 20 < sum(bool(hit) for hit, _ in got.values()) < 350
