@@ -2,8 +2,8 @@
 
 Well-formed identifiers (the base kinds) are seeds. The word before and the word
 after a seed are its lexical patterns. A pattern's confidence for a kind is the
-score of the distinct instances it surrounds over all places where its word occurs
-in the corpus, so that ordinary words earn next to nothing. Words that look like
+score of all occurrences of instances it surrounds over all places where its word occurs
+in the corpus, so that ordinary words earn next to nothing and copies change nothing. Words that look like
 identifiers and stand in the same patterns get 1 - prod(1 - confidence) as score;
 they feed back into the patterns for a few rounds over the pattern-instance graph.
 What ends above the threshold is reported besides the base spans.
@@ -93,7 +93,7 @@ def discovered(items: DataFrame, words: DataFrame, rounds: int = ROUNDS, thresho
     occurs = _patterns(items)
     edges = occurs.groupBy("side", "word", "v", "kind").agg(F.count(F.lit(1)).alias("times"))
     seeded = edges.where(F.col("kind").isNotNull())
-    common = seeded.groupBy("side", "word", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
+    common = seeded.groupBy("side", "word", "kind").agg(F.sum("times").alias("seeds"), F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") >= MIN_SEEDS).drop("distinct")
     vocabulary = written(common.join(words, "word"), "pii-patterns")
     links = edges.where(F.col("kind").isNull()).drop("kind").join(vocabulary, ["side", "word"])
     links = written(links.select("side", "word", "kind", "v", "times", "seeds", "n"), "pii-links")
@@ -103,7 +103,7 @@ def discovered(items: DataFrame, words: DataFrame, rounds: int = ROUNDS, thresho
         odds = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
         score = links.join(known, ["side", "word", "kind"]).groupBy("v", "kind").agg((1 - F.exp(odds)).alias("score"))
         score = score.where(F.col("score") >= threshold)
-        found = links.join(score, ["v", "kind"]).groupBy("side", "word", "kind").agg(F.sum("score").alias("more"))
+        found = links.join(score, ["v", "kind"]).groupBy("side", "word", "kind").agg(F.sum(F.col("score") * F.col("times")).alias("more"))
         known = vocabulary.join(found, ["side", "word", "kind"], "left").select(
             "side", "word", "kind", ((F.col("seeds") + F.coalesce(F.col("more"), F.lit(0.0))) / (F.col("n") + SMOOTHING)).alias("confidence")
         )

@@ -222,3 +222,12 @@ def test_url_templates(spark):
     same = spark.createDataFrame([(i, i % 7 == 0) for i in range(400)], "page_id long, b boolean").select("page_id", F.col("b").cast("int").alias("bad"))
     got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), [], same).collect()
     assert {x.template for x in got} == {"/*/<n>"} and {x.verdict for x in got} == {"allow"}
+
+
+def test_personal_data_bootstraps_from_copies(spark):
+    """Seeds in documents that are copied many times teach as much as seeds that occur once."""
+    r = random.Random(12)
+    seeds = [(i, f"{prose(r, 6)} mailto: u{i % 10}@site.org {prose(r, 7)}") for i in range(10)]
+    rows = [(i + 1000 * c, t) for i, t in seeds for c in range(20)] + [(100, "so mailto: someone(at)9site thanks you")]
+    got = {x.doc_id: x for x in personal_data.digest(personal_data.personal_data(spark.createDataFrame(rows, DOCS))).collect()}
+    assert got[100].spans == f"email:11:{11 + len('someone(at)9site')}" and sum(x.n_found for x in got.values()) == 1
