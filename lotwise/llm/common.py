@@ -61,11 +61,11 @@ def text_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.length(F.col(text_col)), F.col(text_col))
 
 
-def spans(text: Column, pattern: str, probe: str | None = None) -> Column:
+def spans(text: Column, pattern: str, probe: str | None = None, whole: bool = False) -> Column:
     """Leftmost non-overlapping matches as array<struct<s,e,v,before,after>>, in code points, end exclusive.
 
     before and after are the stretches up to the neighbouring matches, at most 64
-    code points of each. Texts without the cheaper `probe` pattern are not searched.
+    code points of each; whole: all of the stretch and the neighbouring match. Texts without the cheaper `probe` pattern are not searched.
     """
     pat = F.lit(pattern)
 
@@ -77,7 +77,7 @@ def spans(text: Column, pattern: str, probe: str | None = None) -> Column:
             end = start + F.length(x["1"])
             one = F.struct(
                 start.cast("long").alias("s"), end.cast("long").alias("e"), x["1"].alias("v"),
-                F.right(x["0"], F.lit(64)).alias("before"), F.left(x["2"], F.lit(64)).alias("after"),
+                *([x["3"].alias("before"), x["4"].alias("after")] if whole else [F.right(x["0"], F.lit(64)).alias("before"), F.left(x["2"], F.lit(64)).alias("after")]),
             )
             return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
@@ -92,7 +92,18 @@ def spans(text: Column, pattern: str, probe: str | None = None) -> Column:
         return F.aggregate(chunks, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), moved)["out"]
 
     hits = F.regexp_extract_all(text, pat, F.lit(0))
-    zipped = let(F.split(text, pattern, -1), lambda g: F.arrays_zip(F.slice(g, 1, F.size(g) - 1).alias("0"), hits.alias("1"), F.slice(g, 2, F.size(g) - 1).alias("2")))
+    if whole:
+        own = let(F.struct(F.split(text, pattern, -1).alias("g"), hits.alias("h")), lambda z: F.struct(
+            F.slice(z["g"], 1, F.size(z["g"]) - 1).alias("gap"), z["h"].alias("hit"), F.slice(z["g"], 2, F.size(z["g"]) - 1).alias("next"),
+            F.concat(F.array(F.lit("")), z["h"]).alias("shifted"),
+        ))
+        sides = lambda z: F.arrays_zip(
+            z["gap"].alias("0"), z["hit"].alias("1"), z["next"].alias("2"),
+            F.transform(z["gap"], lambda x, i: F.concat(F.get(z["shifted"], i), x)).alias("3"), F.transform(z["next"], lambda x, i: F.concat(x, F.coalesce(F.get(z["hit"], i + 1), F.lit("")))).alias("4"),
+        )
+        zipped = let(own, sides)
+    else:
+        zipped = let(F.split(text, pattern, -1), lambda g: F.arrays_zip(F.slice(g, 1, F.size(g) - 1).alias("0"), hits.alias("1"), F.slice(g, 2, F.size(g) - 1).alias("2")))
     none = F.expr("cast(array() as array<struct<s:bigint,e:bigint,v:string,before:string,after:string>>)")
     return F.when(text.rlike(probe or pattern), let(zipped, lambda z: F.when(F.size(z) > 0, folded(z)).otherwise(none))).otherwise(none)
 

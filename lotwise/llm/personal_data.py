@@ -4,7 +4,7 @@ Well-formed identifiers (the base kinds) are seeds. The word before and the word
 after a seed are its lexical patterns. A pattern's confidence for a kind is the
 score of all occurrences of instances it surrounds over all places where its word occurs
 in the corpus, so that ordinary words earn next to nothing and copies change nothing. Words that look like
-identifiers and stand in the same patterns get 1 - prod(1 - confidence) as score;
+identifiers, with the groups of digits that follow them, and stand in the same patterns get 1 - prod(1 - confidence) as score;
 they feed back into the patterns for a few rounds over the pattern-instance graph.
 What ends above the threshold is reported besides the base spans.
 
@@ -31,8 +31,11 @@ PATTERNS = {
     "card": (r"[0-9](?:[\x20-]?+[0-9])++", r"[0-9](?:[\x20-]?+[0-9]){12}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
-#: Candidates for new identifiers: whole words with a digit or an at sign.
-CANDIDATE = rf"(?<![^{WS}])[^{WS}0-9@]*+[0-9@][^{WS}]*+"
+#: Whole words with a digit or an at sign.
+WORD = rf"(?<![^{WS}])[^{WS}0-9@]*+[0-9@][^{WS}]*+"
+#: Candidates for new identifiers: such words, and with them the groups of digits that single blanks join to their last digit or bracket.
+GROUP = rf"(?<=[0-9)])\x20[(]?+[0-9][0-9().-]*+(?![^{WS},;:!?])[,;:!?]*+(?![^{WS}])"
+CANDIDATE = rf"(?<![^{WS}])(?:[^{WS}0-9@]*+[0-9][^{WS}@]*+(?![^{WS}])(?:{GROUP})*+|[^{WS}0-9@]*+[0-9@][^{WS}]*+)"
 ROUNDS = 3
 MIN_SEEDS = 3
 SMOOTHING = 2.0
@@ -67,15 +70,15 @@ def valid(kind: str, v: Column) -> Column:
     return F.when(count.between(13, 19), let(_digits(v), _luhn)).otherwise(F.lit(False))
 
 
-def base_spans(text: Column, kind: str) -> Column:
+def base_spans(text: Column, kind: str, whole: bool = False) -> Column:
     pattern, probe = PATTERNS[kind]
-    return F.filter(spans(text, pattern, probe), lambda x: valid(kind, x["v"]))
+    return F.filter(spans(text, pattern, probe, whole), lambda x: valid(kind, x["v"]))
 
 
 def _context(items: Column, kind: Column) -> Column:
-    """The spans with their kind and the words that stand next to them."""
-    before = lambda x: F.lower(F.regexp_extract(x["before"], rf"([^{WS}]{{1,40}})[{WS}]*$", 1))
-    after = lambda x: F.lower(F.regexp_extract(x["after"], rf"^[^{WS}]*[{WS}]+([^{WS}]{{1,40}})", 1))
+    """The spans with their kind and the whole words that stand next to them."""
+    before = lambda x: F.lower(F.regexp_extract(x["before"], rf"(?<![^{WS}])([^{WS}]++)[{WS}]*+\z", 1))
+    after = lambda x: F.lower(F.regexp_extract(x["after"], rf"^[^{WS}]*+[{WS}]++([^{WS}]++)", 1))
     return F.transform(items, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("v"), before(x).alias("l"), after(x).alias("r"), kind.alias("kind")))
 
 
@@ -117,9 +120,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.col(text_col)
     own = docs.select(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("k"), text.alias("t"))
-    raw = own.select("id", "k", *[base_spans(F.col("t"), kind).alias(kind) for kind in KINDS], spans(F.col("t"), CANDIDATE, "[0-9@]").alias("other"))
+    raw = own.select("id", "k", "t", *[base_spans(F.col("t"), kind, True).alias(kind) for kind in KINDS], spans(F.col("t"), CANDIDATE, "[0-9@]", True).alias("runs"))
     lean = lambda kind: F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     taken = lambda x: reduce(lambda a, b: a | b, [F.exists(F.col(kind), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])) for kind in KINDS])
+    # where a base span takes a part of a run, the run's other words stand alone
+    raw = raw.withColumn("cut", F.filter("runs", taken)).withColumn("words", F.when(F.size("cut") > 0, spans(F.col("t"), WORD, "[0-9@]", True)))
+    alone = F.filter("words", lambda x: F.exists("cut", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+    raw = raw.withColumn("other", F.when(F.size("cut") > 0, F.concat(F.filter("runs", lambda x: ~taken(x)), alone)).otherwise(F.col("runs")))
     held = written(
         raw.select(
             "id", "k", *[lean(kind).alias(kind) for kind in KINDS],

@@ -231,3 +231,23 @@ def test_personal_data_bootstraps_from_copies(spark):
     rows = [(i + 1000 * c, t) for i, t in seeds for c in range(20)] + [(100, "so mailto: someone(at)9site thanks you")]
     got = {x.doc_id: x for x in personal_data.digest(personal_data.personal_data(spark.createDataFrame(rows, DOCS))).collect()}
     assert got[100].spans == f"email:11:{11 + len('someone(at)9site')}" and sum(x.n_found for x in got.values()) == 1
+
+
+def test_personal_data_finds_groups_and_far_contexts(spark):
+    """An identifier in groups is one span; long context words and wide gaps still are contexts."""
+    r = random.Random(13)
+    long = "contact" * 8
+    rows = [(i, f"{prose(r, 6)} tel: +44 20 7946 {1000 + i} ok {prose(r, 6)}") for i in range(30)]
+    rows += [(100 + i, f"{prose(r, 6)} {long} v{i}@site.org done {prose(r, 6)}") for i in range(30)]
+    tails = [(200, "so tel: 020 7946 0958 ok then"), (201, f"so {long} someone(at)9site done then"), (202, f"so tel:{' ' * 90}(020) 7946-0958 ok then"), (203, "run 10.0.0.1 555 1234 and 7 8")]
+    got = {x.doc_id: x.spans for x in personal_data.digest(personal_data.personal_data(spark.createDataFrame(rows + tails, DOCS))).collect()}
+    text = dict(tails)
+    at = lambda i, v: f"{text[i].index(v)}:{text[i].index(v) + len(v)}"
+    assert got[200] == "phone:" + at(200, "020 7946 0958") and got[201] == "email:" + at(201, "someone(at)9site")
+    assert got[202] == "phone:" + at(202, "(020) 7946-0958") and got[203] == "ip:" + at(203, "10.0.0.1")
+
+
+def test_candidates_are_whole_runs():
+    found = lambda t: re.findall(personal_data.CANDIDATE, t)
+    assert found("tel: 020 7946 0958, or") == ["020 7946 0958,"] and found("4111 1111 1111 1112") == ["4111 1111 1111 1112"]
+    assert found("3, 4 cats 5x u@y 12 6  7") == ["3,", "4", "5x", "u@y", "12 6", "7"]
