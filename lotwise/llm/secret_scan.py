@@ -3,10 +3,10 @@
 Base spans (assignments, access keys, hexadecimal strings) stand on their own.
 Weak parts (an account or user name, a random-looking string, an endpoint) are
 reported only where the complementary parts of a credential meet: within `reach`
-code points and the same block of text (blocks are separated by blank lines). The
-interval join is an equality join on (row, block, bucket) with buckets as wide as
-the reach: a part looks at its own bucket and at the nearest part of either
-neighbour, which pre-aggregated bucket bounds hold, so no pairs are enumerated.
+code points from the end of one to the start of the other, and the same block of text
+(blocks are separated by blank lines). The interval join is a pair of range windows over
+the starts and ends of one block's parts, so no pairs are enumerated. An identifier and
+a secret that overlap are one string and do not meet; an endpoint may hold the others.
 
 Defined results: null and empty texts have no spans; repeated rows get equal spans;
 rows that share an id but not a text are kept apart; an empty table stays empty;
@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WS, fresh, joined, small_side, spans, text_key, written
 
@@ -32,8 +33,8 @@ PATTERNS = {
 VALUE = r"^[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?"
 #: Weak parts: role, expression, probe. Roles complement each other.
 WEAK = {
-    "identifier": (r"(?i:\b(?:user(?:_?name)?|login|account(?:_id)?|client_?id|access_?key(?:_?id)?))[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9+/_.@=-]{3,}+", r"(?i)user|login|account|client|access"),
-    "secret": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*?[a-z])(?=[A-Za-z0-9+/]*?[A-Z])(?=[A-Za-z0-9+/]*?[0-9])[A-Za-z0-9+/]{40}+(?![A-Za-z0-9+/=_-])", r"[A-Za-z0-9+/]{40}"),
+    "identifier": (r"(?i:\b(?:user(?:_?name)?|login|account(?:_?(?:id|name))?|client_?id|access_?key(?:_?id)?))[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9+/_.@=-]{3,}+", r"(?i)user|login|account|client|access"),
+    "secret": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*?[a-z])(?=[A-Za-z0-9+/_-]*?[A-Z])(?=[A-Za-z0-9+/_-]*?[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9+/=_-])", r"[A-Za-z0-9+/_-]{16}"),
     "endpoint": (rf"(?i:\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis)://)[^{WS}\"'<>]++|(?i:\b(?:host(?:name)?|endpoint|server))[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9._:/-]{{4,}}+", r"(?i)://|host|endpoint|server"),
 }
 #: Which role a base span plays.
@@ -63,17 +64,18 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
 
     An identifier needs a secret and a secret an identifier; an endpoint needs both.
     """
-    keyed = parts.withColumn("bucket", F.floor(F.col("s") / reach))
-    bounds = keyed.groupBy("id", "k", "block", "bucket", "role").agg(F.min("s").alias("first"), F.max("s").alias("last"))
-    near = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))
-    spread = bounds.select("id", "k", "block", near.alias("at"), "bucket", F.col("role").alias("other"), "first", "last")
-    spread = spread.groupBy("id", "k", "block", "at").agg(F.collect_list(F.struct("other", "bucket", "first", "last")).alias("about"))  # at most 3 buckets of 3 roles
-    spread = spread.withColumnsRenamed({"id": "id_", "k": "k_", "block": "block_"})
-    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("k") == F.col("k_")) & (F.col("block") == F.col("block_")) & (F.col("bucket") == F.col("at"))
-    met = keyed.join(spread, same).drop("id_", "k_", "block_", "at")
-    hit = lambda role: F.exists("about", lambda x: (x["other"] == role) & ((F.abs(x["first"] - F.col("s")) <= reach) | (F.abs(x["last"] - F.col("s")) <= reach) | (x["bucket"] == F.col("bucket"))))
-    needs = F.when(F.col("role") == "identifier", hit("secret")).when(F.col("role") == "secret", hit("identifier")).otherwise(hit("identifier") & hit("secret"))
-    return met.where(needs).drop("about", "bucket")
+    sides = F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(True).alias("start")), F.struct(F.col("e").alias("at"), F.lit(False).alias("start"))))
+    rows = parts.withColumn("_x", sides).select(*parts.columns, "_x.at", "_x.start")
+    near = Window.partitionBy("id", "k", "block").orderBy("at")
+    after = lambda role: F.max((F.col("role") == role) & F.col("start")).over(near.rangeBetween(0, reach))
+    before = lambda role: F.max((F.col("role") == role) & ~F.col("start")).over(near.rangeBetween(-reach, 0))
+    for role in ("identifier", "secret"):
+        apart = F.when(F.col("start"), F.col(f"_{role}_before")).otherwise(F.col(f"_{role}_after"))
+        inside = (F.col("role") == "endpoint") & (F.col(f"_{role}_before") | F.col(f"_{role}_after"))
+        rows = rows.withColumn(f"_{role}_before", before(role)).withColumn(f"_{role}_after", after(role)).withColumn(f"_{role}", apart | inside)
+    met = rows.groupBy(*parts.columns).agg(F.max("_identifier").alias("_identifier"), F.max("_secret").alias("_secret"))
+    needs = F.when(F.col("role") == "identifier", F.col("_secret")).when(F.col("role") == "secret", F.col("_identifier")).otherwise(F.col("_identifier") & F.col("_secret"))
+    return met.where(needs).select(*parts.columns)
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:

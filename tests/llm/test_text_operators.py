@@ -251,3 +251,14 @@ def test_candidates_are_whole_runs():
     found = lambda t: re.findall(personal_data.CANDIDATE, t)
     assert found("tel: 020 7946 0958, or") == ["020 7946 0958,"] and found("4111 1111 1111 1112") == ["4111 1111 1111 1112"]
     assert found("3, 4 cats 5x u@y 12 6  7") == ["3,", "4", "5x", "u@y", "12 6", "7"]
+
+
+def test_secrets_of_other_lengths_link(spark):
+    """Random-looking strings of many lengths and alphabets link; distance counts from end to start; no part meets itself."""
+    values = ["aB3" + "xY9zQ7"[: n % 7] + "kL5-w_R2"[: n % 9] + "M8" * n for n in (6, 9, 15, 20)] + ["q1W2e3R4t5Y6u7I8" * 5 + "aB3dE6==", "aB3/xY9+" * 5 + "Qw=", "aB3" + "xY9" * 12 + "Q"]
+    rows = [(i, f"user=alice then {v}") for i, v in enumerate(values)] + [(50 + i, f"AccountName=shop;AccountKey={v}") for i, v in enumerate(values)]
+    rows += [(100, f"user={'long' * 60} then {values[0]}"), (101, f"user: {values[-1]}"), (102, f"{values[0]} {'x ' * 90} user=alice"), (103, f"{values[0]} {'x ' * 110} user=alice"), (104, f"only {values[0]}")]
+    rows += [(105, f"user=alice https://{values[-1]}@host.example/x")]
+    got = {x.doc_id: x.n_found for x in secret_scan.digest(secret_scan.secret_scan(spark.createDataFrame(rows, DOCS))).collect()}
+    assert all(got[i] == 2 and got[50 + i] == 2 for i in range(len(values))), got
+    assert [got[i] for i in range(100, 106)] == [2, 0, 2, 0, 0, 3]
