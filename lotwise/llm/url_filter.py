@@ -1,9 +1,9 @@
 """URL filters: explicit rules first, then a path-template tree judged by labelled purity.
 
-Per host, paths form a tree of segments. Level by level a segment stays literal only where
-it holds a real share of its parent; other segments become wildcards (<n> for numbers, <id>
-for identifiers, * for the rest). Literal siblings whose labelled rates do not differ
-from their parent's by a two-proportion test are merged into *. A template's purity is its
+Per host, paths form a tree of segments. Level by level, down to the
+deepest, a segment of at least MIN_COUNT pages stays literal if its labelled rate differs from its siblings'
+by a two-proportion test, or if it has no siblings; other segments become wildcards (<n> for
+numbers, <id> for identifiers, * for the rest), whatever the size of the host. A template's purity is its
 share of good labels, smoothed towards the same template on all hosts and towards the
 global share; templates below the threshold are blocked. Everything is grouped
 aggregation with DataFrame functions; the tree itself stays distributed.
@@ -15,15 +15,18 @@ that clash with the new ones are replaced, others pass through.
 
 from __future__ import annotations
 
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import let, small_side, written
 
+#: Pages that a literal segment needs.
+MIN_COUNT = 5
+#: Levels after which the rows that go deeper are written, so that no plan grows with the depth.
 LEVELS = 3
-MIN_COUNT, MIN_SHARE = 5, 0.02
 Z = 2.58
 STRENGTH = 20.0
 THRESHOLD = 0.5
@@ -58,11 +61,24 @@ def _typed(segment: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, ending)).otherwise(segment)
 
 
-def templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
+def templates(urls: DataFrame) -> DataFrame:
     """Adds `template` to rows with host, path and bad (1, 0, or null without a label)."""
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
     rows = urls.withColumn("_segments", segments).withColumn("template", F.lit(""))
-    for level in range(levels):
+    done, level = [], 0
+    while True:
+        if level and level % LEVELS == 0:
+            rows = written(rows, "url-rows")
+            done.append(rows.where(F.size("_segments") <= level))
+            rows = rows.where(F.size("_segments") > level)
+            # below MIN_COUNT pages no segment can stay literal, so these end here
+            groups = written(rows.groupBy("host", "template").agg((F.count(F.lit(1)) >= MIN_COUNT).alias("_many")), "url-groups").withColumnsRenamed({"host": "_h", "template": "_t"})
+            rows = rows.join(small_side(groups), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).drop("_h", "_t")
+            tail = F.transform(F.slice("_segments", level + 1, F.greatest(F.size("_segments") - level, F.lit(0))), lambda x: let(_typed(x), lambda y: F.when(y.startswith("<"), y).otherwise("*")))
+            done.append(rows.where(~F.col("_many")).drop("_many").withColumn("template", F.concat("template", F.lit("/"), F.array_join(tail, "/"))))
+            rows = rows.where("_many").drop("_many")
+            if rows.isEmpty():
+                break
         deep = F.size("_segments") > level
         own = F.when(deep, _typed(F.get("_segments", F.lit(level))))
         rows = rows.withColumn("_own", own)
@@ -70,7 +86,7 @@ def templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
             F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.sum("bad").alias("bads")
         )
         parents = rows.where(deep).groupBy("host", "template").agg(F.count(F.lit(1)).alias("all"), F.count("bad").alias("all_labelled"), F.sum("bad").alias("all_bads"))
-        frequent = counted.join(parents, ["host", "template"]).where((F.col("n") >= MIN_COUNT) & (F.col("n") >= MIN_SHARE * F.col("all")))
+        frequent = counted.join(parents, ["host", "template"]).where(F.col("n") >= MIN_COUNT)
         # merged unless the branch's labels differ from those of its siblings taken together
         rest_n, rest_bad = F.col("all_labelled") - F.col("labelled"), F.coalesce("all_bads", F.lit(0)) - F.coalesce("bads", F.lit(0))
         pooled = F.col("all_bads") / F.col("all_labelled")
@@ -81,9 +97,9 @@ def templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
         literal = small_side(written(literal, "url-branches"))
         same = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_own") == F.col("_s"))
         step = F.when(F.col("_own").startswith("<") | F.col("_s").isNotNull(), F.col("_own")).otherwise(F.lit("*"))
-        rows = rows.join(literal, same, "left").withColumn("template", F.when(deep, F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))).drop("_h", "_t", "_s")
-    more = F.when(F.size("_segments") > levels, "/**").otherwise("")
-    return rows.withColumn("template", F.concat("template", more)).drop("_segments", "_own")
+        rows = rows.join(literal, same, "left").withColumn("template", F.when(deep, F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))).drop("_h", "_t", "_s", "_own")
+        level += 1
+    return reduce(DataFrame.unionByName, done).drop("_segments")
 
 
 def purities(rows: DataFrame, strength: float = STRENGTH) -> DataFrame:

@@ -262,3 +262,15 @@ def test_secrets_of_other_lengths_link(spark):
     got = {x.doc_id: x.n_found for x in secret_scan.digest(secret_scan.secret_scan(spark.createDataFrame(rows, DOCS))).collect()}
     assert all(got[i] == 2 and got[50 + i] == 2 for i in range(len(values))), got
     assert [got[i] for i in range(100, 106)] == [2, 0, 2, 0, 0, 3]
+
+
+def test_url_branches_need_evidence_not_share_or_depth(spark):
+    """A bad section below 2% of a large host is blocked; so is a bad branch at the sixth level, and a lone deep path ends."""
+    rows = [f"http://big.org/s{i % 40}/{i}" for i in range(4000)] + [f"http://big.org/spam/{i}" for i in range(60)]
+    rows += [f"http://deep.org/a/b/c/d/e/{'bad' if i % 2 else 'good'}/{i}" for i in range(400)] + ["http://lone.org/" + "/".join(f"x{i}" for i in range(400)) + "/7", "http://lone.org/"]
+    rows = list(enumerate(rows))
+    bad = spark.createDataFrame([(i, int("/spam/" in u or "/bad/" in u)) for i, u in rows], "page_id long, bad int")
+    got = {x.page_id: x for x in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), [], bad).collect()}
+    assert len(got) == len(rows) and all(got[i].verdict == ("block" if "/spam/" in u or "/bad/" in u else "allow") for i, u in rows)
+    assert {x.template for x in got.values() if x.host == "deep.org"} == {"/a/b/c/d/e/bad/<n>", "/a/b/c/d/e/good/<n>"}
+    assert {x.template for x in got.values() if x.host == "lone.org"} == {"", "/*" * 400 + "/<n>"}
