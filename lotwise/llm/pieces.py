@@ -16,9 +16,12 @@ Scores are kept as arrival times exp(-score), in which a truncated Gumbel variat
 exponential one over the region's mass. All variates are hashes of the row key, path and
 word, so a row's samples do not depend on how rows are dealt out.
 
-Words and walks are vectorised over a part of a megabyte of text at a time: equal words share one
-lattice, which a task keeps for its next texts within a bound, and k independent walks over
-all words supply the paths.
+Lattices, walks and searches are vectorised over some megabytes of text at a time: equal words
+share one lattice, k independent walks over all words supply the paths, and the texts' searches
+draw their next paths in step.
+
+Regions of a log mass below DEEPEST are not pushed, nor is a rest of less than 1e-12 of its region:
+either could come first only with a probability below 1e-11 for each draw.
 
 Defined results: a null text has no samples (null), an empty one has one sample without
 pieces; a text with fewer than k segmentations has as many as there are; repeated rows
@@ -43,12 +46,10 @@ from .textstats import passes
 
 #: Log mass below which a region cannot come first: its time would beat others only if a variate were below exp(-60).
 DEEPEST = -60.0
-#: Words that are looked at first for regions above DEEPEST.
-NEAR = 128
+#: Words that are looked at first for regions above DEEPEST, and words of several texts that are looked at together.
+NEAR, CELLS = 128, 200_000
 #: Bytes of text that are segmented at a time (a longer text is a pass of its own).
-PASS_BYTES = 600_000
-#: Bytes of distinct words whose lattices a task keeps from pass to pass; beyond that it starts anew.
-KNOWN_BYTES = 2_000_000
+PASS_BYTES = 2_000_000
 _WORD = 2**64 - 1
 
 
@@ -59,7 +60,7 @@ def model_bytes(spark: SparkSession, path: str) -> bytes:
 
 
 class Vocabulary:
-    """Pieces as UTF-8 with plain blanks, their ranks' weights, and a trie as a sorted key table."""
+    """Pieces as UTF-8 with plain blanks, their ranks' weights, and a trie as a hash table."""
 
     def __init__(self, model: bytes, temperature: float):
         import sentencepiece
@@ -91,9 +92,7 @@ class Vocabulary:
             for b in self.bytes[i]:
                 node = nodes.setdefault((node, b), len(nodes) + 1)
             ends.setdefault(node, i)
-        keys = np.array([n * 256 + b for n, b in nodes], np.int32)
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int32)[order]
+        self._table(nodes)
         # the first two bytes lead straight to their node (-1: to none)
         self.one, self.two = np.full(256, -1, np.int32), np.full(65536, -1, np.int32)
         for (n, b), child in nodes.items():
@@ -107,141 +106,132 @@ class Vocabulary:
         self.piece[list(ends)] = list(ends.values())
 
 
+    def _table(self, nodes: dict[tuple[int, int], int]) -> None:
+        """A hash table of (node, byte), with empty places after full ones."""
+        bits = max(4, len(nodes).bit_length() + 2)
+        self.shift = np.uint32(32 - bits)
+        self.keys, self.child = np.full((1 << bits) + len(nodes), -1, np.int32), np.full((1 << bits) + len(nodes), -1, np.int32)
+        keys = np.array([n * 256 + b for n, b in nodes], np.int32)
+        for at, key, child in zip(self._slot(keys).tolist(), keys.tolist(), nodes.values(), strict=True):
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.child[at] = key, child
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint32) * np.uint32(2654435761)) >> self.shift
+
+    def after(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes that the bytes lead to (-1: to none)."""
+        key = node * np.int32(256) + byte
+        at = self._slot(key)
+        to, there = self.child[at], self.keys[at]
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        to[there < 0] = -1
+        while len(open_):
+            at[open_] += np.uint32(1)
+            there = self.keys[at[open_]]
+            to[open_] = self.child[at[open_]]
+            open_ = open_[(there != key[open_]) & (there >= 0)]
+        return to
+
+
 @lru_cache(maxsize=2)
 def vocabulary(model: bytes, temperature: float) -> Vocabulary:
     return Vocabulary(model, temperature)
 
 
-class Grown:
-    """An array that is appended to, with room to spare."""
-
-    def __init__(self, kind: type):
-        self.room, self.n = np.empty(0, kind), 0
-
-    def add(self, more: np.ndarray) -> None:
-        n = self.n + len(more)
-        if n > len(self.room):
-            room = np.empty(n + n // 4, self.room.dtype)
-            room[: self.n] = self.room[: self.n]
-            self.room = room
-        self.room[self.n : n] = more
-        self.n = n
-
-
 class Lattices:
-    """The lattices of distinct words as one table of steps.
+    """The lattices of a part's distinct words as one table of steps.
 
     A state is a byte position; its steps lie together, longest piece first (mostly the
-    likeliest), with running probabilities, so a draw is settled after a step or two. A word's
-    figures do not depend on the words that it was added with.
+    likeliest), with running probabilities, so a draw is settled after a step or two. States
+    are numbered by the bytes left to their word's end, so backward sums go over slices. A
+    word's figures do not depend on the words that it was added with.
     """
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known, self.n_bytes = vocab, {}, 0
-        self._logp, self._upto = Grown(np.float64), Grown(np.float64)
-        self._next, self._ids, self._first, self._n_steps, self._start = (Grown(np.int32) for _ in range(5))
-
-    def numbers(self, kinds: pa.Array) -> np.ndarray:
-        """The words' numbers; new words are added."""
-        if self.n_bytes > KNOWN_BYTES:
-            self.__init__(self.vocab)
-        words, fresh = kinds.to_pylist(), []
-        out = np.empty(len(words), np.int64)
-        for i, word in enumerate(words):
-            number = self.known.get(word)
-            if number is None:
-                number = self.known[word] = len(self.known)
-                fresh.append(word)
-            out[i] = number
-        if fresh:
-            raw = b"".join(fresh)
-            self.n_bytes += len(raw)
-            self.add(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in fresh])]))
-        return out
-
-    def add(self, data: np.ndarray, bounds: np.ndarray) -> None:
-        """Appends the lattices of words that lie one after another in data."""
+        self.vocab = vocab
+
+    def load(self, data: np.ndarray, bounds: np.ndarray) -> None:
+        """Sets up the lattices of words that lie one after another in data."""
         vocab = self.vocab
         n = len(data)
-        word = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        end = bounds[1:][word]
+        end = np.repeat(bounds[1:], np.diff(bounds)).astype(np.int32)
         starts = np.flatnonzero((data & 0xC0) != 0x80)
-        end = end.astype(np.int32)
+        after = np.append(starts[1:], n)
+        n_steps = np.zeros(n, np.int32)
         pos, node, far = starts.astype(np.int32), np.zeros(len(starts), np.int32), 0
-        sources, targets, ids = [], [], []
+        covered = np.zeros(n, bool)
+        char_end = np.zeros(n, np.int32)
+        char_end[starts] = after
+        levels = []
         while len(pos):
             inside = pos + far < end[pos]
-            pos, node = pos[inside], node[inside]
-            if far < 2:
-                to = vocab.one[data[pos]] if not far else vocab.two[data[pos].astype(np.int32) * 256 + data[pos + 1]]
-                hit = to >= 0
+            if not inside.all():
+                pos, node = pos[inside], node[inside]
+            byte = data[pos + far]
+            if far == 0:
+                to = vocab.one[byte]
+            elif far == 1:
+                to = vocab.two[data[pos].astype(np.int32) * 256 + byte]
             else:
-                key = node * np.int32(256) + data[pos + far]
-                at = np.minimum(np.searchsorted(vocab.keys, key), len(vocab.keys) - 1)
-                hit, to = vocab.keys[at] == key, vocab.child[at]
+                to = vocab.after(node, byte)
+            hit = to >= 0
             pos, node, far = pos[hit], to[hit], far + 1
-            found = vocab.piece[node]
-            real = found >= 0
-            sources.append(pos[real])
-            targets.append(pos[real] + np.int32(far))
-            ids.append(found[real])
-        after = np.append(starts[1:], n)
-        covered = np.zeros(n + 1, bool)
-        nxt = np.zeros(n + 1, np.int64)
-        nxt[starts] = after
-        sources, targets, ids = sources[::-1], targets[::-1], ids[::-1]
-        for s, t in zip(sources, targets, strict=True):
-            covered[s[nxt[s] == t]] = True
-        bare = (np.flatnonzero(~np.repeat(covered[starts], after - starts)) if n else starts).astype(np.int32)
-        sources.append(bare)
-        targets.append(bare + np.int32(1))
-        ids.append(vocab.byte_id[data[bare]])
-        src, dst, ident = np.concatenate(sources), np.concatenate(targets), np.concatenate(ids)
-        order = np.argsort(src, kind="stable").astype(np.int32)
-        src, dst, ident = src[order], dst[order], ident[order]
-        del order, sources, targets, ids
-        weight = vocab.weight[ident]
-        left = end[src] - src
-        back = np.zeros(n + 1)
-        done = dst == end[src]
-        by_left = np.argsort(left.astype(np.uint16) if n and left.max() < 65536 else left, kind="stable").astype(np.int32)
-        cuts = np.flatnonzero(np.diff(left[by_left], prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(by_left)), strict=True):
-            e = by_left[a:b]
-            own = np.flatnonzero(np.diff(src[e], prepend=-1))
-            back[src[e[own]]] = np.logaddexp.reduceat(weight[e] + np.where(done[e], 0.0, back[dst[e]]), own)
-        fresh = np.diff(src, prepend=-1) != 0
-        first = np.flatnonzero(fresh).astype(np.int32)
-        n_steps = np.diff(np.append(first, len(src)))
-        logp = np.minimum(weight + np.where(done, 0.0, back[dst]) - back[src], 0.0)
-        logp[first[n_steps == 1]] = 0.0
+            ident = vocab.piece[node]
+            real = ident >= 0
+            source = pos[real]
+            n_steps[source] += 1
+            covered[source[char_end[source] == source + far]] = True
+            levels.append((source, far, ident[real]))
+        bare = np.flatnonzero(~np.repeat(covered[starts], after - starts)).astype(np.int32)
+        n_steps[bare] += 1
+        levels.insert(0, (bare, 1, vocab.byte_id[data[bare]]))
+        states = np.flatnonzero(n_steps)
+        left = end[states] - states
+        order = np.argsort(left.astype(np.uint16) if n and left.max() < 65536 else left, kind="stable")
+        states, left = states[order], left[order]
+        count = n_steps[states]
+        bound = np.concatenate([[0], np.cumsum(count)])
+        number = np.full(n + 1, -1, np.int32)
+        number[states] = np.arange(len(states))
+        free = np.zeros(n, np.int32)
+        free[states] = bound[:-1]
+        nxt, ids = np.empty(bound[-1], np.int32), np.empty(bound[-1], np.int32)
+        for source, far, ident in reversed(levels):
+            at = free[source]
+            free[source] = at + 1
+            target = source + np.int32(far)
+            nxt[at] = np.where(target == end[source], -1, number[target])
+            ids[at] = ident
+        del levels
+        weight = vocab.weight[ids]
+        back = np.zeros(len(states) + 1)  # the last one is the words' end
+        cuts = np.flatnonzero(np.diff(left, prepend=-1))
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(states)).tolist(), strict=True):
+            own = slice(bound[a], bound[b])
+            weight[own] += back[nxt[own]]
+            back[a:b] = np.logaddexp.reduceat(weight[own], bound[a:b] - bound[a])
+        logp = np.minimum(weight - np.repeat(back[:-1], count), 0.0)
+        first = bound[:-1].astype(np.int32)
+        logp[first[count == 1]] = 0.0
         upto = np.exp(logp)
-        several, far = np.flatnonzero(n_steps > 1), 1
+        several, far = np.flatnonzero(count > 1), 1
         while len(several):
             at = first[several] + far
             upto[at] += upto[at - 1]
             far += 1
-            several = several[n_steps[several] > far]
-        upto[np.append(first[1:], len(src)) - 1] = 2.0
-        number = np.full(n + 1, -1, np.int32)
-        number[src[first]] = np.arange(len(first))
-        steps, states = self._logp.n, self._first.n
-        self._logp.add(logp)
-        self._upto.add(upto)
-        self._next.add(np.where(done, -1, number[dst] + states))
-        self._ids.add(ident)
-        self._first.add(first + steps)
-        self._n_steps.add(n_steps)
-        self._start.add(number[bounds[:-1]] + states)
-        self.logp, self.upto, self.next, self.ids = self._logp.room, self._upto.room, self._next.room, self._ids.room
-        self.first, self.n_steps, self.start = self._first.room, self._n_steps.room, self._start.room
+            several = several[count[several] > far]
+        upto[bound[1:] - 1] = 2.0
+        self.logp, self.upto, self.next, self.ids = logp, upto, nxt, ids
+        self.first, self.n_steps, self.start = first, count, number[bounds[:-1]]
 
     def walk(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One draw for each word: log probability, and its steps one after another with their bounds."""
-        logp, state, active = np.zeros(len(words)), self.start[words], np.arange(len(words))
-        counts, taken = np.zeros(len(words), np.int64), []
+        logp, state, active = np.zeros(len(words)), self.start[words], np.arange(len(words), dtype=np.int32)
+        counts, taken = np.zeros(len(words), np.int32), []
         while len(active):
-            u = uniform(keys[active] + np.uint64(len(taken)) * np.uint64(0xD1342543DE82EF95))
+            u = uniform(keys + np.uint64(len(taken)) * np.uint64(0xD1342543DE82EF95))
             step = self.first[state]
             open_ = np.flatnonzero(u >= self.upto[step])
             while len(open_):
@@ -249,11 +239,11 @@ class Lattices:
                 open_ = open_[u[open_] >= self.upto[step[open_]]]
             taken.append((active, step))
             logp[active] += self.logp[step]
-            counts[active] += 1
             state = self.next[step]
             more = state >= 0
-            active, state = active[more], state[more]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
+            counts[active[~more]] = len(taken)
+            active, state, keys = active[more], state[more], keys[more]
+        bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         steps = np.empty(bounds[-1], np.int32)
         for i, (who, step) in enumerate(taken):
             steps[bounds[who] + i] = step
@@ -261,28 +251,33 @@ class Lattices:
 
     def other(self, word: int, found: list[tuple[int, ...]], draws: Iterator[float]) -> tuple[int, ...]:
         """A draw from a word's segmentations without those found, by their probabilities."""
-        state, out, rest = int(self.start[word]), [], list(found)
+        state, out, exp = int(self.start[word]), [], math.exp
+        rest = []
+        for f in found:
+            tails, total = [], 0.0
+            for own in reversed(self.logp[list(f)].tolist()):
+                total += own
+                tails.append(total)
+            rest.append((f, tails[::-1]))  # the steps, and the log probability of those from each one on
         while state >= 0:
-            a = int(self.first[state])
-            steps = range(a, a + int(self.n_steps[state]))
-            depth = len(out)
-            mass = []
-            for s, own in zip(steps, self.logp[a : steps.stop].tolist(), strict=True):
-                p = math.exp(own)
-                gone = sum(math.exp(sum(self.logp[list(f[depth:])].tolist())) for f in rest if f[depth] == s)
-                mass.append(0.0 if any(f[depth] == s and len(f) == depth + 1 for f in rest) else max(p - gone, 0.0))
+            a, depth = int(self.first[state]), len(out)
+            mass = [exp(x) for x in self.logp[a : a + int(self.n_steps[state])].tolist()]
+            for f, tails in rest:
+                s = f[depth] - a
+                mass[s] = 0.0 if len(f) == depth + 1 else max(mass[s] - exp(tails[depth]), 0.0)
             total = sum(mass)
             if total <= 0:  # all but rounding errors is found
                 return ()
-            u, chosen = next(draws) * total, None
-            for s, m in zip(steps, mass, strict=True):
+            u, chosen = next(draws) * total, -1
+            for s, m in enumerate(mass):
                 if m > 0:
                     chosen = s
                     if u < m:
                         break
                     u -= m
+            chosen += a
             out.append(chosen)
-            rest = [f for f in rest if f[depth] == chosen]
+            rest = [x for x in rest if x[0][depth] == chosen]
             state = int(self.next[chosen])
         return tuple(out)
 
@@ -301,57 +296,101 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def search(k: int, key: int, logps: list[np.ndarray], steps_of, words: np.ndarray, lattices: Lattices) -> tuple[list[tuple[float, float, list]], float]:
-    """The k best: (log probability, arrival time, parts) and the time of the next region.
+class Path:
+    """A sample: its number (and walk), its time, its first own word and the log mass before that, and its parts.
 
-    parts: ("walk", r, from word, to word) and ("steps", steps) that make up a path.
+    parts: ("walk", r, from word, to word) and ("steps", steps) that make up the path.
     """
-    n = len(words)
-    rng = iter(_draws(key))
-    arrivals = lambda r, a, b: -np.log(uniform(np.uint64(key) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(r + 1) + np.arange(a, b, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)))
-    found, heap, order = [], [], 0
-
-    def push_along(path: dict, a: int) -> None:
-        """Regions that leave the path at word a or later."""
-        nonlocal order
-        with np.errstate(under="ignore", divide="ignore", over="ignore"):
-            own = path["q"][a : a + NEAR]
-            if len(path["q"]) > a + NEAR and path["before"] + own.sum() > DEEPEST:
-                own = path["q"][a:]
-            before = np.empty(len(own))
-            if len(own):
-                before[0] = path["before"]
-                np.cumsum(own[:-1], out=before[1:])
-                before[1:] += path["before"]
-            deep = int(np.searchsorted(-before, -DEEPEST))
-            mass = np.exp(before[:deep]) * (0.0 - np.expm1(own[:deep]))
-            times = path["time"] + arrivals(path["number"], a, a + deep) / mass
-        for i in np.argsort(times, kind="stable")[: k + 1].tolist():
-            if not mass[i] > 0:
-                break
-            order += 1
-            heapq.heappush(heap, (float(times[i]), order, path, int(a + i), float(mass[i]), float(before[i]), None))
-
-    first = {"q": logps[0], "time": float(-np.log(next(rng))), "number": 0, "before": 0.0, "parts": [("walk", 0, 0, n)]}
-    found.append((float(logps[0].sum()), first["time"], first["parts"]))
-    push_along(first, 0)
-    while len(found) < k and heap:
-        time, _, path, i, mass, before, known = heapq.heappop(heap)
-        known = known or [tuple(steps_of(path, i))]
-        drawn = lattices.other(int(words[i]), known, rng)
-        if not drawn:
-            continue
-        r = len(found)
-        q = np.concatenate([path["q"][:i], [lattices.logp[list(drawn)].sum()], logps[r][i + 1 :]])
-        parts = _until(path["parts"], i) + [("steps", drawn)] + ([("walk", r, i + 1, n)] if i + 1 < n else [])
-        new = {"q": q, "time": time, "number": r, "before": before + float(q[i]), "parts": parts}
-        found.append((float(q.sum()), time, parts))
-        left = mass - np.exp(before + q[i])
-        if left > 1e-12 * mass:
-            order += 1
-            heapq.heappush(heap, (time + float(-np.log(next(rng))) / left, order, path, i, left, before, [*known, drawn]))
-        push_along(new, i + 1)
-    return found, heap[0][0] if heap else np.inf
+
+    __slots__ = ("number", "time", "first", "before", "logp", "parts")
+
+    def __init__(self, number: int, time: float, first: int, before: float, logp: float, parts: list):
+        self.number, self.time, self.first, self.before, self.logp, self.parts = number, time, first, before, logp, parts
+
+
+class Searches:
+    """The searches of a part's texts, in step: each round draws one more path for every text.
+
+    walks: (log probabilities, steps, bounds) over all words; span: the texts' first words.
+    """
+
+    def __init__(self, k: int, keys: np.ndarray, span: np.ndarray, words: np.ndarray, walks: list, lattices: Lattices):
+        self.k, self.keys, self.span, self.words, self.walks, self.lattices = k, keys, span, words, walks, lattices
+        n = len(keys)
+        self.heaps, self.found, self.order = [[] for _ in range(n)], [[] for _ in range(n)], 0
+        self.draws = [_draws(key) for key in keys.tolist()]
+
+    def run(self) -> None:
+        size = np.diff(self.span)
+        texts = np.flatnonzero(size).tolist()
+        logps = np.add.reduceat(self.walks[0][0], self.span[:-1][size > 0]).tolist() if texts else []
+        for d, logp in zip(texts, logps, strict=True):
+            self.found[d].append(Path(0, -math.log(next(self.draws[d])), 0, 0.0, logp, [("walk", 0, 0, int(size[d]))]))
+        self.push(texts)
+        for r in range(1, self.k):
+            grown = [d for d in texts if len(self.found[d]) == r and self.draw(d)]
+            self.push(grown)
+
+    def draw(self, d: int) -> bool:
+        """Pops regions until one yields a path; False if none is left."""
+        heap, found, rng, a, b = self.heaps[d], self.found[d], self.draws[d], int(self.span[d]), int(self.span[d + 1])
+        while heap:
+            time, _, path, i, mass, before, known = heapq.heappop(heap)
+            if known is None:
+                _, steps, edge = self.walks[path.number]
+                known = [tuple(steps[edge[a + i] : edge[a + i + 1]].tolist())]
+            drawn = self.lattices.other(int(self.words[a + i]), known, rng)
+            if not drawn:
+                continue
+            r = len(found)
+            upto = before + float(self.lattices.logp[list(drawn)].sum())
+            parts = _until(path.parts, i) + [("steps", drawn)] + ([("walk", r, i + 1, b - a)] if i + 1 < b - a else [])
+            found.append(Path(r, time, i + 1, upto, upto + float(self.walks[r][0][a + i + 1 : b].sum()), parts))
+            left = mass - math.exp(upto)
+            if left > 1e-12 * mass:
+                self.order += 1
+                heapq.heappush(heap, (time - math.log(next(rng)) / left, self.order, path, i, left, before, [*known, drawn]))
+            return True
+        return False
+
+    def push(self, texts: list[int]) -> None:
+        """Regions that leave the texts' newest paths."""
+        left, near = np.array(texts, np.int64), NEAR
+        while len(left):  # where most words have one likely segmentation, more words are looked at
+            left = np.concatenate([self._push(some, near) for some in np.array_split(left, 1 + len(left) * near // CELLS)])
+            near *= 4
+
+    def _push(self, texts: np.ndarray, near: int) -> np.ndarray:
+        """Looks at the next `near` words of each text; the texts of which more has to be looked at."""
+        if not len(texts):
+            return texts
+        paths = [self.found[d][-1] for d in texts.tolist()]
+        r, k = paths[0].number, self.k
+        first, before, time = (np.array([getattr(p, x) for p in paths]) for x in ("first", "before", "time"))
+        at = self.span[texts] + first
+        n = self.span[texts + 1] - at
+        word = np.arange(min(near, int(n.max())))
+        there = word < n[:, None]
+        own = np.where(there, self.walks[r][0][np.minimum(at[:, None] + word, len(self.words) - 1)], 0.0)
+        upto = before[:, None] + np.cumsum(own, axis=1)
+        deeper = (n > near) & (upto[:, -1:] > DEEPEST).any(1)
+        some = ~deeper
+        prior = np.concatenate([before[:, None], upto[:, :-1]], 1)
+        looked = there & (prior > DEEPEST) & some[:, None]
+        row, col = np.nonzero(looked)
+        prior, own = prior[row, col], own[row, col]
+        mass = np.exp(prior) * (0.0 - np.expm1(own))
+        keys = self.keys[texts[row]] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(r + 1) + (first[row] + col).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        with np.errstate(divide="ignore"):
+            times = time[row] - np.log(uniform(keys)) / mass
+        open_ = np.flatnonzero(mass > 0)
+        best = open_[np.lexsort((col[open_], times[open_], row[open_]))]
+        rank = np.arange(len(best)) - np.searchsorted(row[best], row[best])
+        best = best[rank <= k]
+        for j, t, w, m, x in zip(row[best].tolist(), times[best].tolist(), (first[row[best]] + col[best]).tolist(), mass[best].tolist(), prior[best].tolist(), strict=True):
+            self.order += 1
+            heapq.heappush(self.heaps[texts[j]], (t, self.order, paths[j], w, m, x, None))
+        return texts[deeper]
 
 
 def _until(parts: list, word: int) -> list:
@@ -379,11 +418,12 @@ def _draws(key: int) -> Iterator[float]:
 
 def samples_of(texts: pa.Array, keys: np.ndarray, k: int, lattices: Lattices) -> Iterator[tuple[int, list[list[tuple[np.ndarray, float, float, float]]]]]:
     """(first row, samples of consecutive rows); a sample is ids, log probability, perturbed score, log inclusion probability."""
+    nothing = (np.zeros(0, np.int32), 0.0, 0.0, 0.0)
     with np.errstate(over="ignore"):
         for row, n, raw, at in passes(texts, PASS_BYTES):
             size = np.diff(at)
             if not size.any():
-                yield row, [[(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for _ in range(n)]
+                yield row, [[nothing] for _ in range(n)]
                 continue
             shift = np.cumsum(size > 0) - (size > 0)
             data = np.insert(raw, at[:-1][size > 0], 32)  # the blank before a text's first word
@@ -391,39 +431,27 @@ def samples_of(texts: pa.Array, keys: np.ndarray, k: int, lattices: Lattices) ->
             full = np.flatnonzero(size > 0)
             starts = word_bounds(data, np.append(own[:-1][full], len(data)))
             units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-            words = lattices.numbers(units.dictionary)[np.asarray(units.indices)]
+            _, bounds, body = units.dictionary.buffers()
+            bounds = np.frombuffer(bounds, np.int64)[: len(units.dictionary) + 1]
+            lattices.load(np.frombuffer(body, np.uint8)[: bounds[-1]], bounds)
+            words = np.asarray(units.indices)
             doc = full[np.searchsorted(own[:-1][full], starts, "right") - 1]
             span = np.searchsorted(doc, np.arange(n + 1))
-            place = np.arange(len(words)) - span[doc]
+            place = (np.arange(len(words)) - span[doc]).astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)
             base = mix(keys[row : row + n])
-            walks = [lattices.walk(words, mix(base[doc] + np.uint64(0xE7037ED1A0B428DB) * np.uint64(r + 1)) + place.astype(np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)) for r in range(k)]
+            walks = [lattices.walk(words, mix(base[doc] + np.uint64(0xE7037ED1A0B428DB) * np.uint64(r + 1)) + place) for r in range(k)]
+            found = Searches(k, base, span, words, walks, lattices)
+            found.run()
+            ids = [lattices.ids[steps] for _, steps, _ in walks]
             out = []
-            for d in range(n):
-                a, b = int(span[d]), int(span[d + 1])
-                if a == b:
-                    out.append([(np.zeros(0, np.int32), 0.0, 0.0, 0.0)])
-                    continue
-
-                def steps_of(path: dict, i: int, a: int = a) -> np.ndarray:
-                    at = 0
-                    for part in path["parts"]:
-                        m = 1 if part[0] == "steps" else part[3] - part[2]
-                        if i < at + m:
-                            if part[0] == "steps":
-                                return part[1]
-                            _, steps, edge = walks[part[1]]
-                            w = a + part[2] + i - at
-                            return steps[edge[w] : edge[w + 1]]
-                        at += m
-                    raise IndexError(i)
-
-                found, then = search(k, int(base[d]), [w[0][a:b] for w in walks], steps_of, words[a:b], lattices)
+            for paths, heap, a in zip(found.found, found.heaps, span.tolist(), strict=False):
+                then = math.log(heap[0][0]) if heap else math.inf
                 rows = []
-                for logp, time, parts in found:
-                    pieces = [np.array(p[1], np.int64) if p[0] == "steps" else walks[p[1]][1][walks[p[1]][2][a + p[2]] : walks[p[1]][2][a + p[3]]] for p in parts]
-                    x = logp + (np.log(then) if np.isfinite(then) else np.inf)
-                    rows.append((lattices.ids[np.concatenate(pieces)].astype(np.int32), logp, -float(np.log(time)), float(x if x < -30 else np.log(-np.expm1(-np.exp(min(x, 700.0)))))))
-                out.append(rows)
+                for path in paths:
+                    drawn = [lattices.ids[list(p[1])] if p[0] == "steps" else ids[p[1]][walks[p[1]][2][a + p[2]] : walks[p[1]][2][a + p[3]]] for p in path.parts]
+                    x = path.logp + then
+                    rows.append((np.concatenate(drawn), path.logp, -math.log(path.time), x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0))))))
+                out.append(rows or [nothing])
             yield row, out
 
 
