@@ -1,9 +1,15 @@
-"""Lossless WebP images: reading, a plain writer, and media columns.
+"""Lossless WebP images: reading, writing, and media columns.
 
 decode() reads any still lossless image: prefix codes, back-references, colour cache,
 code groups, and the predictor, cross-colour, subtract-green and palette transforms.
-A stream whose only varying code gives all its symbols one length (such as encode()
-writes) is unpacked by vector operations; any other is walked symbol by symbol.
+Prefix codes are tables by the next bits. In images of one code group, the symbols at all
+bit positions are looked up at once, those on the chain from the first one are kept, and
+pixels, cached colours and copies are laid out together; in images of several groups, or where
+cached colours share slots, one pixel after another. Predictors are undone by rows and blocks of rows.
+
+encode() writes samples as the green of an image: few values as a packed palette, others with
+a predictor for each block of rows (least absolute residuals); repeats as back-references,
+known colours as cache symbols, and prefix codes by the symbols' frequencies.
 
 Columns: `stored` writes bytes as grey images, `pixels` reads images as width, height and
 ARGB bytes. Defined results: null stays null; an image that cannot be read is null with
@@ -15,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,81 +44,124 @@ class Bits:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
 
+    def peek(self, n: int) -> int:
+        """The next n bits; zeros beyond the end."""
+        first = self.at >> 3
+        return (int.from_bytes(self.data[first : (self.at + n + 7) >> 3], "little") >> (self.at & 7)) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
-        if not n:
-            return 0
-        first, last = self.at >> 3, (self.at + n + 7) >> 3
-        if last > len(self.data):
-            raise ValueError("the stream ends early")
-        value = int.from_bytes(self.data[first:last], "little") >> (self.at & 7)
+        value = self.peek(n)
+        self.skip(n)
+        return value
+
+    def skip(self, n: int) -> None:
         self.at += n
-        return value & ((1 << n) - 1)
+        if self.at > 8 * len(self.data):
+            raise ValueError("the stream ends early")
+
+
+@lru_cache(maxsize=16)
+def _turned(bits: int) -> np.ndarray:
+    """The numbers below 2 ** bits with their bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
 
 
 class Code:
-    """A prefix code from its symbols' lengths."""
-
-    def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.single = used[0] if len(used) == 1 else None
-        if not used:
-            self.single = 0
-        self.table: dict[tuple[int, int], int] = {}
-        self.symbols = used
-        self.uniform = lengths[used[0]] if used and len({lengths[s] for s in used}) == 1 else None
-        if self.single is None:
-            if sum(2.0 ** -lengths[s] for s in used) != 1:
-                raise ValueError("an incomplete prefix code")
-            code = previous = 0
-            for symbol in sorted(used, key=lambda s: (lengths[s], s)):
-                code <<= lengths[symbol] - previous
-                previous = lengths[symbol]
-                self.table[previous, code] = symbol
-                code += 1
+    """A prefix code as a table of symbols and sizes by the next `depth` bits."""
+
+    def __init__(self, single: int | None, depth: int = 0, symbols=None, sizes=None):
+        self.single, self.depth = single, depth
+        self.symbols = np.array([single], np.int32) if symbols is None else symbols
+        self.sizes = np.zeros(1, np.int32) if sizes is None else sizes
+
+    @staticmethod
+    def of(lengths: np.ndarray) -> Code:
+        used = np.flatnonzero(lengths)
+        if len(used) < 2:
+            return Code(int(used[0]) if len(used) else 0)
+        sizes = lengths[used]
+        order = np.argsort(sizes, kind="stable")
+        used, sizes = used[order], sizes[order]
+        depth = int(sizes[-1])
+        spread = 1 << (depth - sizes)
+        if spread.sum() != 1 << depth:
+            raise ValueError("an incomplete prefix code")
+        turned = _turned(depth)
+        return Code(None, depth, np.repeat(used.astype(np.int32), spread)[turned], np.repeat(sizes.astype(np.int32), spread)[turned])
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        code = n = 0
-        while n < 15:
-            code, n = code << 1 | bits.read(1), n + 1
-            if (symbol := self.table.get((n, code))) is not None:
-                return symbol
-        raise ValueError("no such prefix code")
+        place = bits.peek(self.depth)
+        bits.skip(int(self.sizes[place]))
+        return int(self.symbols[place])
+
+
+#: Bits that the lengths of a code are read from at once, and the most that one of them takes.
+AHEAD, LENGTH_BITS = 4096, 14
+
+
+@lru_cache(maxsize=256)
+def _length_code(n: int, value: int) -> tuple[list[int], list[int], int]:
+    """The code of code lengths, as n numbers of three bits give it: symbols and sizes by the next bits, and their mask."""
+    outer = np.zeros(19, np.int64)
+    for i, place in enumerate(LENGTH_ORDER[:n]):
+        outer[place] = value >> 3 * i & 7
+    code = Code.of(outer)
+    return code.symbols.tolist(), code.sizes.tolist(), (1 << code.depth) - 1
+
+
+@lru_cache(maxsize=512)
+def _simple(*symbols: int) -> Code:
+    return Code(symbols[0]) if len(symbols) == 1 else Code(None, 1, np.array(symbols, np.int32), np.ones(2, np.int32))
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = [0] * alphabet
-    if bits.read(1):
-        two, wide = bits.read(1), bits.read(1)
-        symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
-        for s in symbols:
-            if s >= alphabet:
-                raise ValueError("a symbol beyond its alphabet")
-            lengths[s] = 1
-        return Code(lengths)
-    outer = [0] * 19
-    for place in LENGTH_ORDER[: 4 + bits.read(4)]:
-        outer[place] = bits.read(3)
-    code = Code(outer)
+    start = bits.peek(19)
+    if start & 1:
+        size = 8 if start & 4 else 1
+        symbols = [start >> 3 & (1 << size) - 1] + ([start >> 3 + size & 255] if start & 2 else [])
+        bits.skip(3 + size + (8 if start & 2 else 0))
+        if max(symbols) >= alphabet:
+            raise ValueError("a symbol beyond its alphabet")
+        return _simple(*sorted(set(symbols)))
+    bits.skip(1)
+    n = 4 + bits.read(4)
+    symbols, sizes, mask = _length_code(n, bits.read(3 * n))
     left = alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
+    lengths = [0] * alphabet
     symbol, last = 0, 8
+    window, room = bits.peek(AHEAD), AHEAD
     while symbol < alphabet and left:
+        if room < LENGTH_BITS:
+            bits.at += AHEAD - room
+            window, room = bits.peek(AHEAD), AHEAD
         left -= 1
-        n = code.read(bits)
+        place = window & mask
+        n, size = symbols[place], sizes[place]
+        window >>= size
+        room -= size
         if n < 16:
             lengths[symbol] = n
             last = n or last
             symbol += 1
             continue
-        value, times = (last, 3 + bits.read(2)) if n == 16 else (0, 3 + bits.read(3)) if n == 17 else (0, 11 + bits.read(7))
+        more, least = (2, 3) if n == 16 else (3, 3) if n == 17 else (7, 11)
+        times = least + (window & ((1 << more) - 1))
+        window >>= more
+        room -= more
         if symbol + times > alphabet:
             raise ValueError("lengths beyond the alphabet")
-        lengths[symbol : symbol + times] = [value] * times
+        if n == 16:
+            lengths[symbol : symbol + times] = [last] * times
         symbol += times
-    return Code(lengths)
+    bits.skip(AHEAD - room)
+    return Code.of(np.array(lengths, np.int64))
 
 
 def _extra(bits: Bits, symbol: int) -> int:
@@ -136,23 +186,25 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
     for _ in range(1 if groups is None else int(groups.max()) + 1):
         codes.append([read_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)])
     total = width * height
-    green, red, blue, alpha, _ = codes[0]
-    plain = [c.single is not None for c in (red, blue, alpha)]
-    if len(codes) == 1 and all(plain) and (green.single is not None or green.uniform) and max(green.symbols, default=0) < 256:
-        base = alpha.single << 24 | red.single << 16 | blue.single
-        if green.single is not None:
-            return np.full(total, base | green.single << 8, np.uint32)
-        n = green.uniform
-        first = bits.at >> 3
-        raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - first, (total * n + 14) // 8), first)
-        flat = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][: total * n]
-        if len(flat) < total * n:
-            raise ValueError("the stream ends early")
-        rank = np.zeros(total, np.uint16)
-        for i in range(n):
-            rank = rank << 1 | flat[i::n]
-        bits.at += total * n
-        return np.array(green.symbols, np.uint32)[rank] << np.uint32(8) | np.uint32(base)
+    own = codes[0]
+    if groups is None:
+        if own[0].single is not None and own[0].single < 256 and all(c.single is not None for c in own[1:4]):
+            return np.full(total, own[3].single << 24 | own[1].single << 16 | own[0].single << 8 | own[2].single, np.uint32)
+    if groups is None and total >= 32:
+        start = bits.at
+        image = _by_tokens(bits, own, width, total, cache_bits)
+        if image is not None:
+            return image
+        bits.at = start
+    return _by_symbols(bits, codes, groups, block, coarse, width, total, cache_bits)
+
+
+def slot(colours, cache_bits: int):
+    return (0x1E35A7BD * colours & 0xFFFFFFFF) >> (32 - cache_bits)
+
+
+def _by_symbols(bits: Bits, codes: list, groups, block: int, coarse: int, width: int, total: int, cache_bits: int) -> np.ndarray:
+    """The pixels of an image with any number of code groups, one symbol after another."""
     out = [0] * total
     cache = [0] * (1 << cache_bits) if cache_bits else None
     at = 0
@@ -185,10 +237,154 @@ def read_image(bits: Bits, width: int, height: int, main: bool = False) -> np.nd
             out[at] = c
             at += 1
             if cache is not None:
-                cache[(0x1E35A7BD * c & 0xFFFFFFFF) >> (32 - cache_bits)] = c
+                cache[slot(c, cache_bits)] = c
     return np.array(out, np.uint32)
 
 
+@lru_cache(maxsize=16)
+def _distances(width: int) -> np.ndarray:
+    """The distances that the first 120 distance codes name, in an image of this width."""
+    return np.array([max(1, x + y * width) for x, y in NEIGHBOURS])
+
+
+#: Bits at which symbols are looked up at once, and the bits that one symbol with all its parts takes at most.
+CHUNK, REACH = 1 << 18, 80
+#: Symbols that one doubled jump passes (a power of two).
+STRIDE = 16
+#: Below any position that is looked at: marks copies.
+AWAY = -(1 << 24)
+
+
+def _more(symbols: np.ndarray) -> np.ndarray:
+    """How many extra bits follow length or distance symbols."""
+    return np.where(symbols < 4, 0, (symbols - 2) >> 1)
+
+
+def _numbers(symbols: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Lengths or distance codes from their symbols and the bits at `at` (at most 18)."""
+    byte, more = at >> 3, _more(symbols)
+    wide = raw[byte] | raw[byte + 1] << np.uint32(8) | raw[byte + 2] << np.uint32(16) | raw[byte + 3] << np.uint32(24)
+    extra = (wide.astype(np.int64) >> (at & 7)) & ((1 << more) - 1)
+    return np.where(symbols < 4, symbols, (2 + (symbols & 1) << more) + extra) + 1
+
+
+def _tokens(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """symbol, pixel or repeats, and distance code of an image with one code group; None if green takes no bits.
+
+    Each bit position gets the place after the symbol that would start there; the starts are
+    the chain from the first one, followed by doubled jumps and filled in between.
+    """
+    green, red, blue, alpha, far = codes
+    if green.single is not None:
+        return None
+    varied = [code for code in (red, blue, alpha) if code.single is None]
+    advance = green.sizes + np.where((green.symbols >= 256) & (green.symbols < 280), AWAY, 0).astype(np.intp)
+    found, pixels = [], 0
+    while pixels < total:
+        first = bits.at >> 3
+        own = np.frombuffer(bits.data, np.uint8, max(0, min(len(bits.data) - first, (CHUNK + REACH) // 8 + 4)), first)
+        n = min(CHUNK, 8 * len(own))
+        if (bits.at & 7) >= n:
+            raise ValueError("the stream ends early")
+        raw = np.zeros(max(len(own), n // 8) + REACH // 8 + 8, np.uint32)
+        raw[: len(own)] = own
+        wide = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
+        ahead = np.empty((len(wide), 8), np.intp)
+        for i in range(8):
+            ahead[:, i] = wide >> np.uint32(i)
+        ahead = ahead.ravel()
+        look = lambda code, at: ahead[at] & ((1 << code.depth) - 1)
+        here = ahead[:n] & ((1 << green.depth) - 1)
+        after = advance[here]
+        after += np.arange(n)
+        copies = np.flatnonzero(after < 0)
+        if varied:
+            plain = np.flatnonzero(green.symbols[here] < 256)
+            at = after[plain]
+            for code in varied:
+                at = at + code.sizes[look(code, at)]
+            after[plain] = at
+        if len(copies):
+            at = after[copies] - AWAY + _more(green.symbols[here[copies]] - 256)
+            place = look(far, at)
+            after[copies] = at + far.sizes[place] + _more(far.symbols[place])
+        step = np.append(np.minimum(after, n), n)
+        jumps = step
+        for _ in range(STRIDE.bit_length() - 1):
+            jumps = jumps[jumps]
+        starts, p, jump = [], bits.at & 7, jumps.item
+        while p < n:
+            starts.append(p)
+            p = jump(p)
+        rows = np.empty((STRIDE, len(starts)), np.intp)
+        rows[0] = starts
+        for i in range(1, STRIDE):
+            rows[i] = step[rows[i - 1]]
+        at = rows.T.ravel()
+        at = at[: np.searchsorted(at, n)]
+        places = here[at]
+        symbol, value, code = green.symbols[places], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        start = at + green.sizes[places]
+        widths = np.ones(len(at), np.int64)
+        copy = np.flatnonzero((symbol >= 256) & (symbol < 280))
+        if len(copy):
+            of = symbol[copy] - 256
+            value[copy] = widths[copy] = _numbers(of, raw, start[copy])
+            then = start[copy] + _more(of)
+            place = look(far, then)
+            code[copy] = _numbers(far.symbols[place], raw, then + far.sizes[place])
+        plain = np.flatnonzero(symbol < 256)
+        colour = symbol[plain].astype(np.int64) << 8
+        then = start[plain]
+        for part, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            place = look(part, then)
+            colour |= part.symbols[place].astype(np.int64) << shift
+            then = then + part.sizes[place]
+        value[plain] = colour
+        upto = pixels + np.cumsum(widths)
+        some = min(int(np.searchsorted(upto, total)) + 1, len(at))
+        found.append((symbol[:some], value[:some], code[:some]))
+        bits.at = 8 * first + int(after[at[some - 1]])
+        pixels = int(upto[some - 1])
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the stream ends early")
+    if pixels > total:
+        raise ValueError("a reference beyond the image")
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if len(found) > 1 else found[0]
+
+
+def _by_tokens(bits: Bits, codes: list[Code], width: int, total: int, cache_bits: int) -> np.ndarray | None:
+    """The pixels of an image with one code group; None where cached colours depend on the pixels before."""
+    found = _tokens(bits, codes, total)
+    if found is None:
+        return None
+    symbol, value, code = found
+    copy, plain = np.flatnonzero((symbol >= 256) & (symbol < 280)), np.flatnonzero(symbol < 256)
+    times, code, colours = value[copy], code[copy], value[plain]
+    sizes = np.ones(len(symbol), np.int64)
+    sizes[copy] = times
+    start = np.cumsum(sizes) - sizes
+    out = np.zeros(total, np.uint32)
+    out[start[plain]] = colours
+    cached = np.flatnonzero(symbol >= 280)
+    if len(cached):
+        # without two colours in one slot, a slot holds its colour from that colour's first place on
+        colour, since = np.full(1 << cache_bits, -1, np.int64), np.full(1 << cache_bits, total, np.int64)
+        slots = slot(colours, cache_bits)
+        colour[slots] = colours
+        since[slots[::-1]] = start[plain[::-1]]
+        named = symbol[cached] - 280
+        if (colour[slots] != colours).any() or (since[named] >= start[cached]).any():
+            return None
+        out[start[cached]] = colour[named]
+    far = np.where(code > 120, code - 120, _distances(width)[np.minimum(code, 120) - 1])
+    if (far > start[copy]).any():
+        raise ValueError("a reference beyond the image")
+    for s, n, d in zip(start[copy].tolist(), times.tolist(), far.tolist(), strict=True):
+        out[s : s + n] = out[s - d : s - d + n] if d >= n else np.resize(out[s - d : s], n)
+    return out
+
+
 def _channels(c: int) -> tuple[int, int, int, int]:
     return c >> 24, c >> 16 & 255, c >> 8 & 255, c & 255
 
@@ -235,23 +431,78 @@ def _add(a: int, b: int) -> int:
     return ((a & 0xFF00FF00) + (b & 0xFF00FF00) & 0xFF00FF00) | ((a & 0x00FF00FF) + (b & 0x00FF00FF) & 0x00FF00FF)
 
 
+def _half(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a & b) + ((a ^ b) >> 1)
+
+
+def row_guess(mode: int, above: np.ndarray, right: np.ndarray, a: int, b: int) -> np.ndarray:
+    """What the modes without the left neighbour predict for columns a to b, by channels."""
+    if mode == 2:
+        return above[a:b]
+    if mode == 3:
+        return right[a:b]
+    if mode == 4:
+        return above[a - 1 : b - 1]
+    if mode == 8:
+        return _half(above[a - 1 : b - 1], above[a:b])
+    if mode == 9:
+        return _half(above[a:b], right[a:b])
+    return np.broadcast_to(np.array([0, 0, 0, 255], np.uint8), (b - a, 4))
+
+
 def undo_predictor(image: np.ndarray, width: int, height: int, size: int, modes: np.ndarray) -> np.ndarray:
-    out = image.tolist()
+    """Adds what was predicted: whole blocks of rows at once for one mode that looks left or up, else row by row.
+
+    A channel whose residuals are all 0 has one value everywhere, whatever the mode.
+    """
     coarse = -(-width >> size)
-    for y in range(height):
-        for x in range(width):
-            at = y * width + x
-            if not at:
-                guess = BLACK
-            elif not y:
-                guess = out[at - 1]
-            elif not x:
-                guess = out[at - width]
+    chosen = (modes >> 8 & 15).reshape(-1, coarse)
+    first = np.arange(0, height, 1 << size)
+    if set(chosen.ravel().tolist()) <= {1, 2} and (chosen == chosen[:, :1]).all():
+        out = np.full((height, width), BLACK, np.uint32)
+        for shift in (0, 8, 16, 24):
+            part = (image >> np.uint32(shift)).astype(np.uint8)
+            if not part.any():
+                continue
+            part = part.reshape(height, width)
+            part[0, 0] += np.uint8(255) if shift == 24 else np.uint8(0)
+            part[0] = np.cumsum(part[0], dtype=np.uint8)
+            for y, mode in zip(first.tolist(), chosen[:, 0].tolist(), strict=True):
+                own = slice(max(1, y), y + (1 << size))
+                from_above = slice(max(1, y) - 1, y + (1 << size))
+                if mode == 2:
+                    part[from_above] = np.cumsum(part[from_above], 0, dtype=np.uint8)
+                else:
+                    part[from_above, 0] = np.cumsum(part[from_above, 0], dtype=np.uint8)
+                    part[own] = np.cumsum(part[own], 1, dtype=np.uint8)
+            out &= np.uint32(0xFFFFFFFF ^ 255 << shift)
+            out |= part.astype(np.uint32) << np.uint32(shift)
+        return out.ravel()
+    out = np.ascontiguousarray(image).view(np.uint8).reshape(height, width, 4).copy()
+    out[0, 0, 3:] += np.uint8(255)
+    out[0] = np.cumsum(out[0], 0, dtype=np.uint8)
+    flat = out.reshape(-1, 4).view(np.uint32).ravel()
+    chosen = chosen.tolist()
+    for y in range(1, height):
+        above, row, own = out[y - 1], out[y], chosen[y >> size]
+        row[0] += above[0]
+        right = np.concatenate([above[1:], row[:1]])
+        x = 1
+        while x < width:
+            mode, end = own[x >> size], x
+            while end < width and own[end >> size] == mode:
+                end = min(width, ((end >> size) + 1) << size)
+            if mode == 1:
+                row[x - 1 : end] = np.cumsum(row[x - 1 : end], 0, dtype=np.uint8)
+            elif mode in (0, 2, 3, 4, 8, 9, 14, 15):
+                row[x:end] += row_guess(mode, above, right, x, end)
             else:
-                mode = int(modes[(y >> size) * coarse + (x >> size)]) >> 8 & 15
-                guess = _predicted(mode, out[at - 1], out[at - width], out[at - width + 1], out[at - width - 1])
-            out[at] = _add(out[at], guess)
-    return np.array(out, np.uint32)
+                at = y * width
+                for i in range(at + x, at + end):
+                    near = (int(flat[j]) for j in (i - 1, i - width, i - width + 1, i - width - 1))
+                    flat[i] = _add(int(flat[i]), _predicted(mode, *near))
+            x = end
+    return flat
 
 
 def undo_cross_colour(image: np.ndarray, width: int, height: int, size: int, factors: np.ndarray) -> np.ndarray:
@@ -341,86 +592,288 @@ class Writer:
         self.n += n
 
 
+def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths, at most `most`, of a complete prefix code for symbols that occur so often.
+
+    Each symbol first gets the bits of its information, rounded up; the room that is left
+    shortens the codes that were rounded up most.
+    """
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    own = counts[used]
+    exact = np.minimum(-np.log2(own / own.sum()), most)
+    sizes = np.maximum(np.ceil(exact - 1e-9), 1).astype(np.int64)
+    room = (1 << most) - int((1 << (most - sizes)).sum())
+    if room < 0:  # many rare symbols at the limit: the others give way, the rarest first
+        for i in np.argsort(own, kind="stable").tolist():
+            while room < 0 and sizes[i] < most:
+                sizes[i] += 1
+                room += 1 << (most - int(sizes[i]))
+    listed = sizes.tolist()
+    while room:
+        for i in np.argsort(exact - sizes, kind="stable").tolist():
+            unit = 1 << (most - listed[i])
+            if unit <= room:
+                listed[i] -= 1
+                room -= unit
+                if not room:
+                    break
+        sizes = np.array(listed)
+    out[used] = listed
+    return out
+
+
+def codewords(lengths: np.ndarray) -> np.ndarray:
+    """The code of each symbol, in the order in which its bits are written."""
+    out = np.zeros(len(lengths), np.int64)
+    used = np.flatnonzero(lengths)
+    if len(used) > 1:
+        order = used[np.argsort(lengths[used], kind="stable")]
+        room = 1 << (15 - lengths[order])
+        out[order] = _turned(15)[np.cumsum(room) - room]
+    return out
+
+
 def _put_code(out: Writer, symbols: list[int], alphabet: int) -> None:
-    """A code that gives all its symbols (a power of two of them) one length."""
-    if len(symbols) <= 2:
-        out.put(1, 1)
-        out.put(len(symbols) - 1, 1)
-        out.put(1, 1)
-        for s in symbols:
-            out.put(s, 8)
-        return
-    length = len(symbols).bit_length() - 1
-    used = {0: 2, length: 2, 17: 2, 18: 2}
-    rank = {s: i for i, s in enumerate(sorted(used))}
+    """A code of one or two symbols below 256."""
+    out.put(1, 1)
+    out.put(len(symbols) - 1, 1)
+    out.put(1, 1)
+    for s in symbols:
+        out.put(s, 8)
+
+
+#: The writer's code of code lengths: the lengths of most symbols, and runs of zeros, take four bits.
+OUTER = (4,) + (5,) * 2 + (4,) * 10 + (5,) * 4 + (4, 4)
+
+
+@lru_cache(maxsize=1)
+def _outer_words() -> tuple[list[int], tuple[int, ...]]:
+    return codewords(np.array(OUTER)).tolist(), OUTER
+
+
+def put_lengths(out: Writer, lengths: np.ndarray) -> None:
+    """A prefix code by its lengths; runs of zeros are counted."""
+    used = np.flatnonzero(lengths).tolist()
+    if len(used) <= 2 and used[-1] < 256:
+        return _put_code(out, used, len(lengths))
+    tokens, at = [], 0
+    for s, n in zip([*used, len(lengths)], [*lengths[used].tolist(), 0], strict=True):
+        run = s - at
+        while run:
+            size = min(run, 138)
+            tokens.append((18, size - 11, 7) if size >= 11 else (17, size - 3, 3) if size >= 3 else (0, 0, 0))
+            run -= size if size >= 3 else 1
+        if n:
+            tokens.append((n, 0, 0))
+        at = s + 1
+    words, sizes = _outer_words()
     out.put(0, 1)
     out.put(15, 4)
     for place in LENGTH_ORDER:
-        out.put(used.get(place, 0), 3)
+        out.put(OUTER[place], 3)
     out.put(0, 1)
+    value = n = 0
+    for symbol, extra, size in tokens:
+        own = sizes[symbol]
+        value |= (words[symbol] | extra << own) << n
+        n += own + size
+    out.put(value, n)
+
+
+#: Bytes that a back-reference repeats at least and at most, and how far back it reaches.
+LEAST, MOST, FARTHEST = 8, 4096, 1_000_000
+#: Rows and columns of a predictor block, as a power of two, and the modes that the writer tries.
+BLOCK, MODES = 8, (1, 2)
+
+
+def repeats(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of stretches that repeat earlier ones, not overlapping each other."""
+    n = len(values) - LEAST + 1
+    if n < 2:
+        return []
+    windows = np.ndarray((n,), "<u8", np.ascontiguousarray(values), strides=(1,)).copy()
+    hashed = (windows * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(hashed, kind="stable")
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    at = np.arange(n)
+    distance = np.where((before >= 0) & (windows[before] == windows) & (at - before <= FARTHEST), at - before, 0)
+    change = np.flatnonzero(np.diff(distance, prepend=-1))
+    ends = np.append(change[1:], n)
+    some = distance[change] > 0
+    found, free = [], 0
+    for start, end, far in zip(change[some].tolist(), ends[some].tolist(), distance[change[some]].tolist(), strict=True):
+        start = max(start, free)
+        while start < end:
+            length = min(end - start + LEAST - 1, MOST)
+            found.append((start, length, far))
+            start = free = start + length
+    return found
 
-    def put(symbol: int) -> None:
-        r = rank[symbol]
-        out.put(r >> 1 | (r & 1) << 1, 2)
 
-    marks = set(symbols)
-    at = 0
-    while at < alphabet:
-        if at in marks:
-            put(length)
-            at += 1
-            continue
-        run = at
-        while run < alphabet and run not in marks:
-            run += 1
-        while at < run:
-            n = min(run - at, 138)
-            if n >= 11:
-                put(18)
-                out.put(n - 11, 7)
-            elif n >= 3:
-                put(17)
-                out.put(n - 3, 3)
-            else:
-                n = 1
-                put(0)
-            at += n
+def prefix(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, extra value and its bits of lengths or distance codes."""
+    n = numbers - 1
+    high = np.frexp(np.maximum(n, 1).astype(float))[1] - 1
+    more = np.where(n < 4, 0, high - 1)
+    symbol = np.where(n < 4, n, 2 * high + (n >> np.maximum(high - 1, 0) & 1))
+    return symbol, n & ((1 << more) - 1), more
+
+
+@lru_cache(maxsize=16)
+def _near_codes(width: int) -> np.ndarray:
+    """The distance code of each short distance (0: none)."""
+    out = np.zeros(8 * width + 9, np.int64)
+    for code in range(120, 0, -1):
+        out[_distances(width)[code - 1]] = code
+    return out
+
+
+#: Bits of the colour cache, in whose slots no two greens meet, and how many of the most frequent greens are taken from it.
+CACHE_BITS, CACHED = 10, 16
+
+
+def _used(lengths: np.ndarray) -> np.ndarray:
+    """The bits that each symbol takes: none where it is the only one."""
+    return lengths if np.count_nonzero(lengths) > 1 else np.zeros_like(lengths)
+
+
+def put_image(head: Writer, values: np.ndarray, width: int, alpha: int) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the codes of an image whose green varies to head; the bits of its symbols as values and sizes."""
+    place = np.arange(len(values))
+    counts = np.bincount(values, minlength=256)
+    first = np.zeros(256, np.int64)
+    first[values[::-1]] = place[::-1]
+    frequent = np.argsort(-counts, kind="stable")[:CACHED]
+    named = np.zeros(256, np.int64)
+    named[frequent] = 280 + slot(frequent << 8 | alpha << 24, CACHE_BITS)
+    # a colour is in the cache once it has been shown
+    symbol = np.where((named[values] > 0) & (place > first[values]), named[values], values)
+    copies = np.array(repeats(values), np.int64).reshape(-1, 3)
+    covered = np.zeros(len(values) + 1, np.int32)
+    covered[copies[:, 0]] += 1
+    covered[copies[:, 0] + copies[:, 1]] -= 1
+    shown = np.cumsum(covered[:-1]) == 0
+    shown[copies[:, 0]] = True
+    times, times_extra, times_bits = prefix(copies[:, 1])
+    near = _near_codes(width)
+    code = np.where(copies[:, 2] < len(near), near[np.minimum(copies[:, 2], len(near) - 1)], 0)
+    far, far_extra, far_bits = prefix(np.where(code > 0, code, copies[:, 2] + 120))
+    symbol[copies[:, 0]] = 256 + times
+    symbol = symbol[shown]
+    green = code_lengths(np.bincount(symbol, minlength=280 + (1 << CACHE_BITS)), 15)
+    distance = code_lengths(np.bincount(far, minlength=40) if len(far) else np.eye(1, 40, dtype=np.int64)[0], 15)
+    head.put(1, 1)
+    head.put(CACHE_BITS, 4)
+    head.put(0, 1)  # one group of codes
+    put_lengths(head, green)
+    for only in (0, 0, alpha):
+        _put_code(head, [only], 256)
+    put_lengths(head, distance)
+    bits, sizes = codewords(green)[symbol].astype(np.uint64), _used(green)[symbol]
+    at = np.flatnonzero((symbol >= 256) & (symbol < 280))
+    for x, n in ((times_extra, times_bits), (codewords(distance)[far], _used(distance)[far]), (far_extra, far_bits)):
+        bits[at] |= x.astype(np.uint64) << sizes[at].astype(np.uint64)
+        sizes[at] += n
+    return bits, sizes
+
+
+def packed_bits(head: Writer, bits: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The header's bits and, after them, the symbols' (each fewer than 64), in whole bytes."""
+    before = head.n >> 6 << 6
+    end = (head.n & 63) + np.cumsum(sizes)
+    start = end - sizes
+    words = np.zeros((int(end[-1]) if len(end) else head.n & 63) // 64 + 2, np.uint64)
+    words[0] = head.value >> before
+    word, off = start >> 6, (start & 63).astype(np.uint64)
+    if len(bits):
+        # symbols that start in one word lie together
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        words[word[first]] |= np.bitwise_or.reduceat(bits << off, first)
+        over = np.flatnonzero(end >> 6 > word)
+        words[word[over] + 1] |= bits[over] >> np.uint64(1) >> (np.uint64(63) - off[over])
+    n = head.n - before if not len(end) else int(end[-1])
+    low = head.value & ((1 << before) - 1)
+    return low.to_bytes(before // 8, "little") + words.tobytes()[: (n + 7) // 8]
+
+
+def predicted(rows: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Residuals of 8-bit rows, and the mode of each block of rows, which leaves the least: the left or the upper neighbour."""
+    out = np.empty_like(rows)
+    out[0, 0] = rows[0, 0]
+    out[0, 1:] = rows[0, 1:] - rows[0, :-1]
+    out[1:, 0] = rows[1:, 0] - rows[:-1, 0]
+    modes = []
+    for top in range(0, len(rows), 1 << BLOCK):
+        own = slice(max(1, top), top + (1 << BLOCK))
+        part, above = rows[own, 1:], rows[max(1, top) - 1 : top + (1 << BLOCK) - 1, 1:][: len(rows[own])]
+        left = {1: part - rows[own, :-1], 2: part - above}
+        best = min(MODES, key=lambda m: int(np.minimum(left[m], 0 - left[m]).sum(dtype=np.int64)))
+        out[own, 1:] = left[best]
+        modes.append(best)
+    return out, modes
 
 
 def encode(samples: np.ndarray, width: int = WIDTH) -> bytes:
-    """8-bit samples as a grey lossless image: the green channel holds them, codes have one length."""
-    height = len(samples) // width
-    present = np.flatnonzero(np.bincount(samples, minlength=256))
-    n = max(0, int(len(present) - 1).bit_length())
-    symbols = present.tolist()
-    if len(symbols) < 1 << n:  # unused symbols make the code complete
-        have = set(symbols)
-        symbols = sorted(symbols + [s for s in range(256) if s not in have][: (1 << n) - len(symbols)])
+    """8-bit samples as the green channel of an opaque image."""
+    rows = samples.reshape(-1, width)
+    height = len(rows)
+    kinds = np.flatnonzero(np.bincount(samples, minlength=256))
     head = Writer()
-    head.put(0x2F, 8)
-    head.put(width - 1, 14)
-    head.put(height - 1, 14)
-    head.put(0, 6)  # opaque, version 0, no transform, no colour cache
-    head.put(0, 1)  # one group of codes
-    _put_code(head, symbols, 280)
-    for _ in range(2):
-        _put_code(head, [0], 256)
-    _put_code(head, [255], 256)
-    _put_code(head, [0], 40)
-    rank = np.zeros(256, np.uint8)
-    rank[symbols] = np.arange(len(symbols))
-    first = np.frombuffer(head.value.to_bytes((head.n + 7) // 8, "little"), np.uint8)
-    flat = np.empty(head.n + len(samples) * n, np.uint8)
-    flat[: head.n] = np.unpackbits(first, bitorder="little")[: head.n]
-    if n:
-        own = rank[samples]
-        for i in range(n):
-            flat[head.n + i :: n] = own >> (n - 1 - i) & 1
-    body = np.packbits(flat, bitorder="little").tobytes()
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 4)):  # opaque, version 0
+        head.put(value, n)
+    head.put(1, 1)
+    if len(kinds) <= 16:
+        head.put(3, 2)
+        head.put(len(kinds) - 1, 8)
+        colours = [BLACK | k << 8 for k in kinds.tolist()]
+        _put_pixels(head, [_minus(c, p) for c, p in zip(colours, [0, *colours], strict=False)])
+        packed = 3 if len(kinds) <= 2 else 2 if len(kinds) <= 4 else 1
+        index = np.searchsorted(kinds, rows).astype(np.uint8)
+        narrow, each = -(-width >> packed), 8 >> packed
+        index = np.pad(index, ((0, 0), (0, (narrow << packed) - width))).reshape(height, narrow, 1 << packed)
+        values = (index << (np.arange(1 << packed, dtype=np.uint8) * each)).sum(2, dtype=np.uint8)
+        now, alpha = narrow, 255
+    else:
+        head.put(0, 2)
+        head.put(BLOCK - 2, 3)
+        values, modes = predicted(rows)
+        coarse = -(-width >> BLOCK)
+        _put_pixels(head, [BLACK | m << 8 for m in modes for _ in range(coarse)])
+        now, alpha = width, 0
+    head.put(0, 1)
+    bits, sizes = put_image(head, np.ascontiguousarray(values).ravel(), now, alpha)
+    body = packed_bits(head, bits, sizes)
     body += b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
 
 
+def _minus(a: int, b: int) -> int:
+    return sum(((a >> k & 255) - (b >> k & 255) & 255) << k for k in (0, 8, 16, 24))
+
+
+def _put_pixels(out: Writer, pixels: list[int]) -> None:
+    """A small image by its pixels alone, with codes by frequency."""
+    out.put(0, 1)
+    codes = []
+    for shift, alphabet in ((8, 280), (16, 256), (0, 256), (24, 256)):
+        own = [p >> shift & 255 for p in pixels]
+        if len(set(own)) == 1:
+            _put_code(out, own[:1], alphabet)
+            continue
+        lengths = code_lengths(np.bincount(own, minlength=alphabet), 15)
+        put_lengths(out, lengths)
+        codes.append((own, codewords(lengths), lengths))
+    _put_code(out, [0], 40)
+    for i in range(len(pixels)):
+        for own, words, lengths in codes:
+            out.put(int(words[own[i]]), int(lengths[own[i]]))
+
+
 def padded(raw: bytes) -> bytes:
     """Bytes with blanks up to a positive multiple of PAD."""
     return raw + b" " * (-len(raw) % PAD if raw else PAD)
@@ -462,8 +915,9 @@ def feature_of(samples: np.ndarray) -> str:
 
 @F.arrow_udf(T.BinaryType())
 def stored(texts: pa.Array) -> pa.Array:
-    """Each text's UTF-8 bytes, padded, as images; null counts as empty."""
-    return pa.array([store(padded((x or "").encode())) for x in texts.to_pylist()], pa.binary())
+    """Each text's UTF-8 bytes, padded, as images; null counts as empty. Equal texts of a batch are written once."""
+    coded = texts.fill_null("").dictionary_encode()
+    return pa.array([store(padded(x.encode())) for x in coded.dictionary.to_pylist()], pa.binary()).take(coded.indices)
 
 
 _PIXELS = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("argb", T.BinaryType()), T.StructField("error", T.StringType())])
@@ -491,13 +945,15 @@ _READ = T.StructType([
 
 @F.arrow_udf(_READ)
 def read_back(media: pa.Array) -> pa.Array:
-    """Digests and features of what stored() wrote, from the decoded samples."""
+    """Digests and features of what stored() wrote, from the decoded samples; equal media of a batch are read once."""
+    coded = media.dictionary_encode()
     out = []
-    for x in media.to_pylist():
+    for x in coded.dictionary.to_pylist():
         samples = load(x)
         raw = samples.tobytes()
         out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(x), hashlib.sha256(x).hexdigest(), feature_of(samples)))
-    return pa.StructArray.from_arrays([pa.array([x[i] for x in out], pa.int64() if i in (0, 2, 3) else pa.string()) for i in range(6)], [f.name for f in _READ])
+    found = pa.StructArray.from_arrays([pa.array([x[i] for x in out], pa.int64() if i in (0, 2, 3) else pa.string()) for i in range(6)], [f.name for f in _READ])
+    return found.take(coded.indices)
 
 
 def media_column(df: DataFrame, text: Column, name: str = "media") -> DataFrame:

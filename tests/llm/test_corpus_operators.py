@@ -352,3 +352,40 @@ def test_only_linked_rows_are_copies(spark):
     rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "m n o p q r"), (5, "s t u v w x"), (5, "y z a1 b1 c1 d1"), (7, "A B C D E F")]
     kept = jaccard_join.without_copies(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(x.text for x in kept) == sorted(t for _, t in rows[1:])
+
+
+def test_stored_images_take_the_general_path(monkeypatch):
+    """Every stored image passes through prefix codes of several lengths; texts through a predictor, the cache and copies; few values through a palette."""
+    seen = []
+    monkeypatch.setattr(webp, "undo_predictor", lambda *a, f=webp.undo_predictor: (seen.append("predictor"), f(*a))[1])
+    monkeypatch.setattr(webp, "undo_palette", lambda *a, f=webp.undo_palette: (seen.append("palette"), f(*a))[1])
+    tokens = webp._tokens
+
+    def watched(*a):
+        found = tokens(*a)
+        if found is not None:
+            symbols = found[0]
+            seen.extend(name for name, some in (("copy", (symbols >= 256) & (symbols < 280)), ("cache", symbols >= 280), ("literal", symbols < 256)) if some.any())
+        return found
+
+    monkeypatch.setattr(webp, "_tokens", watched)
+    r = random.Random(7)
+    for i in range(40):
+        words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(80)]
+        raw = " ".join(r.choice(words) for _ in range(r.randint(60, 400))).encode() if i % 4 else bytes(r.choice(b"abc") for _ in range(900))
+        seen.clear()
+        payload = webp.padded(raw)
+        assert webp.load(webp.store(payload)).tobytes() == payload
+        assert ({"predictor", "literal", "cache", "copy"} if len(set(payload)) > 16 else {"palette", "literal", "cache"}) <= set(seen)
+
+
+def test_prefix_code_lengths():
+    r = np.random.default_rng(3)
+    for most, n in ((15, 300), (15, 2), (7, 19), (15, 1300), (7, 100)):
+        for skew in (0, 1, 3):
+            counts = (r.pareto(0.3, n) + 1).astype(np.int64) ** skew % 10**12 + (r.random(n) < 0.5)
+            lengths = webp.code_lengths(counts, most)
+            used = counts > 0
+            assert (lengths[used] > 0).all() and not lengths[~used].any() and lengths.max() <= most
+            if used.sum() > 1:
+                assert sum(2.0 ** -lengths[used]) == 1
