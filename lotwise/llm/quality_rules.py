@@ -3,8 +3,12 @@
 Each rule votes good (2), bad (0) or abstains (1). A document's hidden class is good
 or one of the failures that the rules look for (failures differ, so one bad class
 would make a document that fails in one way look good in all others). Votes are
-independent given the class; EM estimates each rule's accuracy within each class and
-the classes' shares over all documents, and the posterior of the good class decides.
+independent given the class, and a rule that abstains is missing from the likelihood; EM
+estimates how often each rule votes bad within each class and the classes' shares over all
+documents, and the posterior of the good class decides (kept from a posterior of `threshold`,
+0.5 by default). Priors count as PSEUDO votes of each rule in each class, whatever the number
+of documents. A rule of which no document has a good vote is one-sided: there, silence is
+what it says of documents without its failure, and counts as not bad.
 EM needs only how often each combination of votes occurs, so Spark counts the
 combinations (at most 3 ** len(RULES), whatever the input) and the driver iterates
 over that bounded table.
@@ -39,39 +43,37 @@ def _ratio(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-def _vote(bad: Column, good: Column | None = None) -> Column:
-    """Detectors of a failure vote bad or abstain; the others can vote for a document, too."""
-    vote = F.when(bad, BAD)
-    return (vote if good is None else vote.when(good, GOOD)).otherwise(ABSTAIN)
+def _vote(bad: Column, good: Column) -> Column:
+    return F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
 
 
 def rules() -> dict[str, Column]:
-    """Votes over the columns COUNTS; thresholds are fixed values."""
+    """Votes over the columns COUNTS; thresholds are fixed values. Between them, and on texts too short for it, a rule abstains."""
     letters = F.greatest(F.col("n_upper") + F.col("n_lower") + F.col("n_wide"), F.lit(1))
     words, symbols, bangs = F.col("n_words"), _ratio("n_symbols", "n_words"), _ratio("n_bang", "n_words")
     upper, repeat, lines = F.col("n_upper") / letters, _ratio("n_repeat_words", "n_words"), _ratio("n_dup_lines", "n_lines")
-    ends, length, digits = _ratio("n_end", "n_words"), _ratio("word_chars", "n_words"), _ratio("n_digit", "word_chars")
+    ends, length, digits, kinds = _ratio("n_end", "n_words"), _ratio("word_chars", "n_words"), _ratio("n_digit", "word_chars"), F.col("n_distinct")
+    some, many = words >= 5, F.col("n_lines") >= 3
     return {
-        "symbols": _vote(symbols > 0.25),
-        "upper_case": _vote((words >= 5) & (upper > 0.5)),
-        "exclamations": _vote(bangs > 0.5),
-        "repeated_windows": _vote(repeat > 0.3),
-        "repeated_lines": _vote((F.col("n_lines") >= 3) & (lines > 0.4)),
-        "variety": _vote((words >= 50) & (F.col("n_distinct") < 3 * F.sqrt(words))),
-        "digits": _vote(digits > 0.4),
+        "symbols": _vote(symbols > 0.25, some & (symbols < 0.1)),
+        "upper_case": _vote(some & (upper > 0.5), some & (upper < 0.3)),
+        "exclamations": _vote(bangs > 0.5, some & (bangs < 0.2)),
+        "repeated_windows": _vote(repeat > 0.3, (words >= 10) & (repeat < 0.1)),
+        "repeated_lines": _vote(many & (lines > 0.4), many & (lines < 0.2)),
+        "variety": _vote((words >= 50) & (kinds < 3 * F.sqrt(words)), (words >= 50) & (kinds > 4 * F.sqrt(words))),
+        "digits": _vote(digits > 0.4, some & (digits < 0.2)),
         "size": _vote(words < 10, words >= 40),
         "sentences": _vote((words >= 10) & (ends > 0.6), (words >= 10) & (ends > 0.01) & (ends < 0.3)),
-        "word_length": _vote((words >= 5) & ((length > 15) | (length < 2)), (words >= 5) & (length > 3) & (length < 9)),
+        "word_length": _vote(some & ((length > 15) | (length < 2)), some & (length > 3) & (length < 9)),
     }
 
 
 RULES = ("symbols", "upper_case", "exclamations", "repeated_windows", "repeated_lines", "variety", "digits", "size", "sentences", "word_length")
 #: EM starts from, and is drawn towards, these rates of bad votes: of a rule on its own failure, on
 #: another rule's failure, on a good document; and this share of good documents.
-PRIOR_OWN, PRIOR_OTHER, PRIOR_FALSE, PRIOR_GOOD_SHARE = 0.8, 0.05, 0.002, 0.9
-#: Weight of those rates within a bad class and within the good class, as a share of all documents: a rule is
-#: written so that it hardly ever accuses a good document, while what it catches is left to the data.
-PRIOR_WEIGHTS = (0.002, 4.0)
+PRIOR_OWN, PRIOR_OTHER, PRIOR_FALSE, PRIOR_GOOD_SHARE = 0.95, 0.005, 0.001, 0.5
+#: Votes that the rates above count as, for each rule and class.
+PSEUDO = 20.0
 ROUNDS = 100
 
 
@@ -87,17 +89,12 @@ def with_votes(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fit_votes(patterns: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of good for each vote combination (rows of votes 0..2), and P(bad vote | class, rule).
-
-    A rule that can vote for a document says nothing where it abstains.
-    """
+    """Posterior of good for each vote combination (rows of votes 0..2), and P(bad vote | class, rule, a vote)."""
     bad, good = (patterns == BAD).astype(float), (patterns == GOOD).astype(float)
-    # a detector that keeps silent has found no failure; the other rules count where they vote
-    asked = np.where(good.any(0), bad + good, 1.0)
+    asked = np.where(good.any(0), bad + good, 1.0)  # abstaining is missing, but for one-sided rules
     k = patterns.shape[1]
     # the last class is good; bad class j is the failure that rule j looks for
     prior = np.vstack([np.where(np.eye(k, dtype=bool), PRIOR_OWN, PRIOR_OTHER), np.full((1, k), PRIOR_FALSE)])
-    strength = np.append(np.full(k, PRIOR_WEIGHTS[0]), PRIOR_WEIGHTS[1])[:, None] * weights.sum()
     rates, shares = prior.copy(), np.append(np.full(k, (1 - PRIOR_GOOD_SHARE) / k), PRIOR_GOOD_SHARE)
     for _ in range(rounds):
         score = bad @ np.log(rates.T) + (asked - bad) @ np.log1p(-rates.T) + np.log(shares)
@@ -105,7 +102,7 @@ def fit_votes(patterns: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) -
         post = np.exp(score)
         post /= post.sum(1, keepdims=True)
         mass = post * weights[:, None]
-        rates = (mass.T @ bad + strength * prior) / (mass.T @ asked + strength)
+        rates = (mass.T @ bad + PSEUDO * prior) / (mass.T @ asked + PSEUDO)
         shares = np.maximum(mass.sum(0) / weights.sum(), 1e-9)
     return post[:, -1], rates
 

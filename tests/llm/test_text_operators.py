@@ -274,3 +274,37 @@ def test_url_branches_need_evidence_not_share_or_depth(spark):
     assert len(got) == len(rows) and all(got[i].verdict == ("block" if "/spam/" in u or "/bad/" in u else "allow") for i, u in rows)
     assert {x.template for x in got.values() if x.host == "deep.org"} == {"/a/b/c/d/e/bad/<n>", "/a/b/c/d/e/good/<n>"}
     assert {x.template for x in got.values() if x.host == "lone.org"} == {"", "/*" * 400 + "/<n>"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_em_recovers_known_accuracies(seed):
+    """Simulated rules of known accuracy that abstain at random: EM finds how often each is wrong on good and right on bad documents."""
+    g, k, n = np.random.default_rng(seed), 6, 200_000
+    rates = g.uniform(0.01, 0.08, (k + 1, k))
+    for step in range(3):  # a failure shows in three rules
+        rates[np.arange(k), (np.arange(k) + step) % k] = g.uniform(0.7, 0.95, k)
+    rates[-1] = g.uniform(0.005, 0.06, k)
+    kind = g.choice(k + 1, n, p=[0.05] * k + [0.7])
+    bad, abstains = g.random((n, k)) < rates[kind], g.random((n, k)) < 0.25
+    votes = np.where(abstains, quality_rules.ABSTAIN, np.where(bad, quality_rules.BAD, quality_rules.GOOD))
+    patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post, found = quality_rules.fit_votes(patterns, counts.astype(float))
+    assert np.abs(found[-1] - rates[-1]).max() < 0.05
+    weight = (counts * (1 - post))[:, None]
+    on_bad = (weight * (patterns == quality_rules.BAD)).sum(0) / (weight * (patterns != quality_rules.ABSTAIN)).sum(0)
+    assert np.abs(on_bad - bad[kind < k].mean(0)).max() < 0.05
+    assert abs((counts * post).sum() / n - 0.7) < 0.05
+    # its decisions are nearly as good as those by the true rates
+    score = (patterns == quality_rules.BAD) @ np.log(rates.T) + (patterns == quality_rules.GOOD) @ np.log1p(-rates.T) + np.log([0.05] * k + [0.7])
+    best = np.exp(score[:, -1] - np.logaddexp.reduce(score, axis=1))
+    right = lambda x: ((x[which.ravel()] >= 0.5) == (kind == k)).mean()
+    assert right(post) > right(best) - 0.02
+
+
+def test_em_does_not_depend_on_the_number_of_documents():
+    """The prior counts as a few votes: rates that the data contradict give way."""
+    patterns = np.full((2, len(quality_rules.RULES)), quality_rules.GOOD)
+    patterns[1, :3] = quality_rules.BAD
+    for scale in (1.0, 1000.0):
+        post, rates = quality_rules.fit_votes(patterns, scale * np.array([5000.0, 5000.0]))
+        assert post[0] > 0.99 and post[1] < 0.01 and rates[-1].max() < 0.01
