@@ -27,20 +27,32 @@ def parse_money(x: Column) -> Column:
     With both separators the right one is the decimal one; a single kind is decimal before
     one or two digits, else it separates thousands. Negative and broken amounts are null.
     """
-    text = F.lower(F.trim(F.replace(x.cast("string"), F.lit(" "), F.lit(" "))))
-    kept = F.regexp_replace(F.regexp_replace(text, r"[^0-9,.\-]", ""), r"[.,]+$", "")
-    comma, dot = F.locate(",", F.reverse(kept)), F.locate(".", F.reverse(kept))
-    plain = (
-        F.when((comma > 0) & (dot > 0), F.when(comma < dot, F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(kept, F.lit(","), F.lit(""))))
-        .when(comma > 0, F.when(comma.between(2, 3), F.replace(kept, F.lit(","), F.lit("."))).otherwise(F.replace(kept, F.lit(","), F.lit(""))))
-        .when((dot > 0) & ~dot.between(2, 3), F.replace(kept, F.lit("."), F.lit("")))
-        .otherwise(kept)
-    )
-    times = F.when(text.rlike(r"(?U)\bмлрд"), 1e9).when(text.rlike(r"(?U)\bмлн"), 1e6).otherwise(1.0)
+    # array elements are computed once, however often the lambda names them
+    parts = F.array(x.cast("string"), F.rtrim(F.regexp_replace(x.cast("string"), r"[^0-9,.\-]+", ""), F.lit(".,")))
+    return F.transform(F.array(parts), lambda p: _amount(p[0], p[1]))[0]
+
+
+def _amount(text: Column, kept: Column) -> Column:
+    """The amount that the digits and separators of a text make."""
+    # the digits after the last separator of each kind
+    after_comma, after_dot = F.substring_index(kept, ",", -1), F.substring_index(kept, ".", -1)
+    comma, dot = kept.contains(","), kept.contains(".")
+    short = lambda tail: F.length(tail).between(1, 2)
+    decimal_comma = comma & F.when(dot, F.length(after_comma) < F.length(after_dot)).otherwise(short(after_comma))
+    decimal_dot = dot & F.when(comma, F.length(after_dot) < F.length(after_comma)).otherwise(short(after_dot))
+    plain = F.when(decimal_comma, F.translate(kept, ",.", ".")).when(decimal_dot, F.translate(kept, ",", "")).otherwise(F.translate(kept, ",.", ""))
+    low = F.lower(text)
+    times = F.when(~low.contains("мл"), 1.0).when(low.rlike(r"(?U)\bмлрд"), 1e9).when(low.rlike(r"(?U)\bмлн"), 1e6).otherwise(1.0)
     n = F.when(kept.rlike("[0-9]"), plain.try_cast("double")) * times
     return F.when(n >= 0, n)
 
 
+def numbers_in(text: Column, pattern: str, least: float) -> Column:
+    """The numbers (decimal comma or dot) that the pattern's first group finds, from `least` on, in order."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.translate(v, ",", ".").try_cast("double"))
+    return F.filter(found, lambda v: v >= least)
+
+
 def round_money(x: Column) -> Column:
     return F.round(x + 1e-12, 2)
 
