@@ -65,6 +65,15 @@ def snippet(text: Column, pattern: str, radius: int = 180) -> Column:
     return F.when(at > 0, collapse(F.substring(text, start, at + size + radius - start)))
 
 
+def snippet_of(text: Column, pattern: str, which: Column, radius: int = 180) -> Column:
+    """snippet() of the match with this number (from 1); null for 0 or null."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    n = which.cast("int")
+    start = F.length(F.array_join(F.slice(gaps, F.lit(1), n), "")) + F.length(F.array_join(F.slice(hits, F.lit(1), n - 1), "")) + 1
+    low = F.greatest(F.lit(1), start - radius)
+    return F.when(n > 0, collapse(F.substring(text, low, start + F.length(F.get(hits, n - 1)) + radius - low)))
+
+
 def ordered_unique(xs: Column) -> Column:
     """Trimmed, non-blank items, each at its first place."""
     return F.array_distinct(F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x != ""))

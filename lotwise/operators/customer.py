@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,20 +22,29 @@ def candidates(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
 
     A place's offset is the running length of what lies between the matches.
     """
-    parts = texts.withColumn("_gaps", F.split(text, ROLE, -1)).withColumn("_hits", F.regexp_extract_all(text, F.lit(ROLE), F.lit(0)))
-    rows = parts.select("*", F.posexplode(F.arrays_zip("_gaps", "_hits")).alias("pos", "x")).where(F.col("x._hits").isNotNull())
-    w = Window.partitionBy(*keys).orderBy("pos")
-    start = F.sum(F.length("x._gaps")).over(w) + F.coalesce(F.sum(F.length("x._hits")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumns({"start": start, "word": F.lower("x._hits")})
-    low = F.greatest(F.lit(0), F.col("start") - BEFORE)
-    rows = rows.withColumn("fragment", F.substring(F.col(text), (low + 1).cast("int"), (F.col("start") + F.length("word") + AFTER - low).cast("int")))
+    gaps, hits = F.split(text, ROLE, -1), F.regexp_extract_all(text, F.lit(ROLE), F.lit(0))
+    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,word:string>>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["g"])
+        return F.struct((start + F.length(x["h"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lower(x["h"]).alias("word")))).alias("out"))
+
+    placed = F.aggregate(F.filter(F.arrays_zip(gaps.alias("g"), hits.alias("h")), lambda x: x["h"].isNotNull()), begin, step)["out"]
+    low = lambda x: F.greatest(F.lit(0), x["start"] - BEFORE)
+    # fragments are cut before the rows are dealt out, so no row carries its whole text along
+    cut = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), x["word"].alias("word"), F.substring(F.col(text), low(x) + 1, x["start"] + F.length(x["word"]) + AFTER - low(x)).alias("fragment")))
+    rows = texts.select(*keys, F.posexplode(cut).alias("pos", "x")).select(*keys, "pos", "x.*")
     role, score = F.lit("Заказчик"), F.lit(700)
     for mark, name, value in reversed(SCORES):
         role, score = F.when(F.col("word").rlike(mark), name).otherwise(role), F.when(F.col("word").rlike(mark), value).otherwise(score)
     valid = lambda pattern, check: F.array_distinct(F.filter(F.transform(F.regexp_extract_all("fragment", F.lit(pattern), F.lit(1)), check), lambda x: x.isNotNull()))
     out = rows.select(*keys, "pos", "start", role.alias("role"), (score - F.when(F.col("fragment").rlike(SUPPLIER), 800).otherwise(0)).alias("score"), valid(TAX, tax_number).alias("inns"), valid(CODE, registration_code).alias("kpps"), F.substring(collapse(F.col("fragment")), 1, 1800).alias("evidence"))
-    best = Window.partitionBy(*keys).orderBy(F.desc("score"), "pos")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MOST)
+    return best_scored(out, keys, F.col("score"), F.col("pos"), MOST)
+
+
+def best_scored(df: DataFrame, keys: list[str], score: Column, order: Column, most: int) -> DataFrame:
+    """The rows of the highest scores of each key, with their rank; the order decides between equal ones."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(score.desc(), order))).where(F.col("rank") <= most)
 
 
 def resolved(df: DataFrame) -> DataFrame:

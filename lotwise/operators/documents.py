@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import FLAGS
+from ..functions.text import FLAGS, first_defined
 
 EMPTY_FILE = FLAGS + r"пуст(?:ой|ые|ого)|empty\s+file|zero[- ]byte"
 
@@ -44,9 +44,16 @@ def availability(requested: DataFrame, parsed: DataFrame, keys: list[str]) -> Da
 
 
 def within_budget(df: DataFrame, keys: list[str], order: list[str], text: str, budget: int) -> DataFrame:
-    """Adds used (characters before the row) and clips the text where the running total passes the budget."""
-    before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("used", before).withColumn("clipped", F.substring(F.col(text), F.lit(1), F.greatest(F.lit(0), F.lit(budget) - F.col("used")).cast("int")))
+    """Adds used (characters before the row) and clips the text where the running total passes the budget.
+
+    keys and order name a row. The running totals go over lengths; texts are joined to them and never enter the window.
+    """
+    sizes = df.select(*keys, *order, F.length(text).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    used = sizes.withColumn("used", before).drop("_n").withColumnsRenamed({c: f"_{c}" for c in (*keys, *order)})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, *order)]
+    out = df.join(used, same).drop(*[f"_{c}" for c in (*keys, *order)])
+    return out.withColumn("clipped", F.substring(F.col(text), F.lit(1), F.greatest(F.lit(0), F.lit(budget) - F.col("used")).cast("int")))
 
 
 def combined_text(pages: DataFrame, parsed: DataFrame, keys: list[str], limit: int = 500_000) -> DataFrame:
@@ -65,6 +72,56 @@ def page_text(purchase: Column, names: tuple[str, ...] = ("subject", "notificati
     return F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), F.get_json_object(purchase, f"$.{n}")) for n in names])
 
 
+#: Headings and labels of the page text, and the members of a purchase that each label takes, the first defined one.
+PAGE_HEADINGS = ("--- ДАННЫЕ ЗАКУПКИ ИЗ SELDON API ---", "--- ПОЛНЫЕ СТРУКТУРИРОВАННЫЕ ДАННЫЕ SELDON ---", "--- АКТУАЛЬНЫЕ ДОКУМЕНТЫ SELDON ---")
+PAGE_NUMBER = ("etpId", "EtpId", "notificationNumber", "purchaseNumber", "number")
+PAGE_MEMBERS = (
+    ("Предмет закупки", ("subject", "purchaseSubject", "name", "purchaseName", "description")),
+    ("Начальная цена / НМЦ", ("price", "purchasePrice", "initialPrice", "maxPrice", "nmck")),
+    ("Дата публикации", ("publishDate", "firstPublishDate", "datePublish")),
+    ("Дата начала подачи", ("dateStart", "startDate", "submissionStartDate")),
+    ("Дата окончания подачи", ("dateEnd", "endDate", "submissionDeadline")),
+)
+
+
+def full_page_text(tenders: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds `page_text`: the purchase's data by label, the whole purchase as JSON, and its documents' data as a JSON list.
+
+    tenders: keys, seldon_id, report_id, etp_id, tender_url, purchase (JSON text); documents: keys, index and whatever is to be listed.
+    """
+    listed = [c for c in documents.columns if c not in (*keys, "index")]
+    files = documents.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("index", F.struct(*listed).alias("d")))).alias("_files"))
+    get = lambda names: first_defined(*[F.get_json_object("purchase", f"$.{n}") for n in names])
+    line = lambda label, value: F.concat(F.lit(f"{label}: "), F.coalesce(value.cast("string"), F.lit("")))
+    own = [line("Seldon ID", F.col("seldon_id")), line("Report ID", F.col("report_id")), line("Номер закупки на площадке", F.coalesce(get(PAGE_NUMBER), F.col("etp_id")))]
+    own += [line(label, get(names)) for label, names in PAGE_MEMBERS] + [line("Ссылка на источник", F.col("tender_url"))]
+    data = F.coalesce(F.to_json(F.transform("_files", lambda f: f["d"]), {"ignoreNullFields": "false"}), F.lit("[]"))
+    heads = [F.lit(h) for h in PAGE_HEADINGS]
+    text = F.concat_ws("\n", heads[0], *own, F.lit(""), heads[1], F.coalesce("purchase", F.lit("{}")), F.lit(""), heads[2], data)
+    return tenders.join(files, keys, "left").withColumn("page_text", text).drop("_files")
+
+
+def digest(text: Column) -> Column:
+    """Hash and length under which equal contents are one."""
+    return F.struct(F.md5(text).alias("md5"), F.sha2(text, 256).alias("sha256"), F.length(text).cast("long").alias("chars"))
+
+
+def equal_contents(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """md5, n and the first id of contents that several documents have."""
+    own = docs.select(F.col(id_col), digest(F.col(text))["md5"].alias("md5"))
+    return own.groupBy("md5").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias(f"first_{id_col}")).where("n > 1")
+
+
+#: Shortest text that counts as one, and the shortest that is still worth a mention.
+TEXT_LENGTH, SHORT_LENGTH = 500, 100
+
+
+def text_status(text: Column) -> Column:
+    """ok, short or unusable: by length and whether it has letters or digits."""
+    n = F.length(text)
+    return F.when((n >= TEXT_LENGTH) & text.rlike("[A-Za-z0-9]"), "ok").when(n >= SHORT_LENGTH, "short").otherwise("unusable")
+
+
 def first_documents(df: DataFrame, keys: list[str], order: str, most: int = 100) -> DataFrame:
     """The first documents of each tender: the limit is part of the contract."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_rn") <= most).drop("_rn")

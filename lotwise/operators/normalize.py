@@ -90,6 +90,15 @@ def allowed_fields(extracted: DataFrame, keys: list[str]) -> DataFrame:
     return first_by(kept, [*keys, "field"], [F.col("ord")])
 
 
+def written_field(fields: Column, meta: Column, name: str, value: Column, source: Column, confidence: Column, evidence: Column) -> tuple[Column, Column]:
+    """The maps of values and of their meta (struct<source, confidence, evidence>) with one more entry; a blank value changes neither."""
+    own = value.cast("string")
+    given = F.trim(F.coalesce(own, F.lit(""))) != ""
+    about = F.struct(source.alias("source"), confidence.alias("confidence"), F.substring(F.coalesce(evidence, F.lit("")), 1, 900).alias("evidence"))
+    put = lambda held, x: F.when(given, F.map_concat(F.map_filter(held, lambda k, v: k != name), F.create_map(F.lit(name), x))).otherwise(held)
+    return put(fields, own), put(meta, about)
+
+
 def validated_fields(tenders: DataFrame) -> DataFrame:
     """Fills and normalises fields (a map) from the job and the text, with warnings.
 

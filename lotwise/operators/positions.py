@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import parse_quantity
-from ..functions.text import clean, currency_in, first_defined, header_role, name_key, string_or_none, structured_cells
+from ..functions.text import clean, currency_in, first_defined, header_role, name_key, string_or_none, structured_cells, without_yo
 
 ROLES = ("product", "unit", "quantity", "unit_price", "line_total")
 #: Units, and where a row begins.
 UNITS = r"шт\.?|штук[аи]?|компл\.?|комплект(?:а|ов)?|м2|м²|м3|м³|пог\.?\s*м|м|кг|т|тн|тонн[аы]?|л|уп\.?|упак\.?|рул\.?|набор|пар[аы]?|ед\.?"
 ROW = r"(?iuU)^Строка\s+(\d+)\s*:\s*(.+)$"
+LABELLED_ROW = r"(?iuU)наименование\s+товара[^:]*:\s*([^|\n]{2,140})[|\s]+ед\.?\s*изм\.?[^:]*:\s*([^|\n]{1,40})[|\s]+(?:кол-?во|количество)[^:]*:\s*(\d+(?:[,.]\d+)?)"
+NOT_A_NAME = r"(?iuU)наименование\s+товара|кол-?во"
+HEADER_WORDS = r"(?iuU)наименование|ед\.?\s*изм|кол-?во|количество"
 TEXT_ROW = r"(?iuU)(?:^|\s)(\d{1,4})\s+([А-ЯA-ZЁ][А-ЯA-Zа-яa-zёЁ0-9\s\-–—\"«»().,/ ]{2,120}?)\s+(" + UNITS + r")\s+(\d+(?:[,.]\d+)?)(?=\s|$)"
 CAP = 100
 
@@ -68,11 +71,33 @@ def table_positions(docs: DataFrame, keys: list[str], text: str = "text") -> Dat
 
 
 def text_positions(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Line items that free text lists as number, name, unit, quantity."""
-    tidy = clean(F.col(text))
-    found = docs.select(*keys, F.posexplode(F.regexp_extract_all(tidy, F.lit(TEXT_ROW), F.lit(0))).alias("pos", "m"))
-    part = lambda i: F.regexp_extract("m", TEXT_ROW, i)
-    return found.select(*keys, "pos", clean(part(2)).alias("product"), part(3).alias("unit"), parse_quantity(part(4)).alias("quantity"), F.substring(clean(F.col("m")), 1, 500).alias("evidence"))
+    """Line items that free text lists: first those as number, name, unit, quantity, then those with a label before each part."""
+    parts = lambda value, pattern, *at: F.transform(
+        F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("m"), *[F.regexp_extract(m, pattern, i).alias(n) for n, i in zip(("product", "unit", "quantity"), at, strict=True)])
+    )
+    found = docs.select(*keys, F.posexplode(F.concat(parts(clean(F.col(text)), TEXT_ROW, 2, 3, 4), parts(F.coalesce(text, F.lit("")), LABELLED_ROW, 1, 2, 3))).alias("pos", "x"))
+    return found.select(*keys, "pos", clean(F.col("x.product")).alias("product"), clean(F.col("x.unit")).alias("unit"), parse_quantity(F.col("x.quantity")).alias("quantity"), F.substring(clean(F.col("x.m")), 1, 500).alias("evidence"))
+
+
+def unit_rows(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Line items of table rows without a header: a cell that is a unit, a quantity after it, and the nearest name before it."""
+    rows = lines(docs, keys, text).where(F.col("line").rlike(ROW))
+    cells = F.filter(F.transform(F.split(F.regexp_extract("line", ROW, 2), r"\|"), lambda c: F.regexp_replace(F.trim(c), r"^[A-Z]{1,3}:\s*", "")), lambda c: c != "")
+    rows = rows.withColumn("cells", cells)
+    rows = rows.select(*keys, "line_no", "line", "cells", F.posexplode("cells").alias("at", "unit")).where(F.col("unit").rlike(f"(?iuU)^(?:{UNITS})$"))
+    named = F.filter(F.slice("cells", F.lit(1), F.col("at")), lambda c: ~c.rlike(r"^\d{1,4}$") & ~c.rlike(HEADER_WORDS))
+    rows = rows.withColumns({"product": clean(F.try_element_at(named, F.lit(-1))), "quantity": parse_quantity(F.get("cells", F.col("at") + 1))})
+    return rows.where((F.col("product") != "") & F.col("quantity").isNotNull()).select(*keys, "line_no", "at", "product", "unit", "quantity", F.substring(clean(F.col("line")), 1, 500).alias("evidence"))
+
+
+def deterministic_positions(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Line items of a text: rows under headers, then rows with a unit, then free text; first of equal ones, at most CAP."""
+    own = lambda df, kind, *order: df.select(*keys, F.struct(F.lit(kind).alias("kind"), *[o.cast("long").alias(f"o{i}") for i, o in enumerate(order)]).alias("ord"), "product", "unit", "quantity", "evidence")
+    nothing = F.lit(0)
+    every = own(table_positions(docs, keys, text), 0, F.col("line_no"), nothing).unionByName(own(unit_rows(docs, keys, text), 1, F.col("line_no"), F.col("at"))).unionByName(own(text_positions(docs, keys, text), 2, F.col("pos"), nothing))
+    every = every.where(~F.col("product").rlike(NOT_A_NAME)).withColumn("_key", without_yo(F.lower("product")))
+    same = Window.partitionBy(*keys, "_key", "quantity", F.lower("unit")).orderBy("ord")
+    return capped(every.withColumn("_rn", F.row_number().over(same)).where("_rn = 1").drop("_rn", "_key"), keys, [F.col("ord")])
 
 
 #: Spellings in structured purchases.

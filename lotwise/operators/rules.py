@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import delivery_date, parse_date
-from ..functions.numbers import parse_money
-from ..functions.text import FLAGS, collapse, snippet
+from ..functions.numbers import numbers_in, parse_money
+from ..functions.text import FLAGS, clip, collapse, snippet, snippet_of
 
 #: The reasons that a decision may name, and the patterns that detect them in a tender's text.
 DUPLICATE = "Дубль"
@@ -100,7 +100,10 @@ def hard_rules(ref_date: Column) -> list[Rule]:
     """All rules, in their order, over the columns of hard_reasons()."""
     text, c = F.coalesce("all_text", F.lit("")), F.col
     price = parse_money(c("initial_price"))
-    volts = F.filter(F.transform(F.regexp_extract_all(text, F.lit(FLAGS + VOLTAGE_PATTERN), F.lit(1)), lambda v: F.translate(v, ",", ".").try_cast("double")), lambda v: v >= 35)
+    volts = FLAGS + VOLTAGE_PATTERN
+    high = F.when(text.rlike(volts), F.get(numbers_in(text, volts, 35), F.lit(0)))
+    named = F.regexp_extract_all(text, F.lit(volts), F.lit(1))
+    firing = F.array_position(F.transform(named, lambda v: F.translate(v, ",", ".").try_cast("double") >= 35), F.lit(True))
     delays = F.filter(F.regexp_extract_all(text, F.lit(FLAGS + PAY_DELAY_PATTERN), F.lit(0)), lambda m: F.regexp_extract(m, r"(\d+)\s*(?:(?iuU)(?:рабоч|календарн)[а-я]*)?\s*[дД]$", 1).try_cast("long") >= 90)
     created = F.coalesce(parse_date(c("date_created")), ref_date)
     delivery = delivery_date(created, parse_date(c("delivery_date")), parse_money(c("delivery_days")))
@@ -119,7 +122,7 @@ def hard_rules(ref_date: Column) -> list[Rule]:
     market = text_rule(18, MARKET, text, MARKET_PATTERN)
     rules += [
         Rule(18, MARKET, (c("report_id") == 3) & market.condition, market.evidence),
-        Rule(55, VOLTAGE, F.size(volts) > 0, snippet(text, FLAGS + r"\b(?:3[5-9]|[4-9]\d|\d{3,4})(?:[.,]\d+)?\s*к\s*в\b")),
+        Rule(55, VOLTAGE, high.isNotNull(), snippet_of(text, volts, firing)),
         Rule(35, PAY_DELAY, F.size(delays) > 0, F.get(delays, F.lit(0))),
         Rule(32, DELIVERY, delivery > limit, F.concat(F.lit("Дата заведения: "), created.cast("string"), F.lit("; предел 18 месяцев: "), limit.cast("string"), F.lit("; поставка: "), delivery.cast("string"))),
         Rule(80, WORKS, works.isNotNull() & ~works.rlike(FLAGS + NO_WORKS_PATTERN), works),
@@ -127,18 +130,72 @@ def hard_rules(ref_date: Column) -> list[Rule]:
     return rules
 
 
+#: Thresholds and labels that the checks report.
+DAYS_SOURCE, DAYS_COMPARISON, LEAST_DAYS, LONGEST_MONTHS, RULES_VERSION = "Seldon / колонка «Осталось дней»", "remainingDays < 3", 3, 18, "2026-06 / пользовательский справочник причин"
+#: Reasons that a model is never offered.
+NOT_OFFERED = (*CONTROLLED, ACTUAL_COST)
+
+
+def checks(ref_date: Column) -> Column:
+    """What the rules looked at, as a struct with a member for each check, over the columns of hard_reasons()."""
+    c = F.col
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    created = F.coalesce(parse_date(c("date_created")), ref_date)
+    delivery = delivery_date(created, parse_date(c("delivery_date")), parse_money(c("delivery_days")))
+    limit = F.add_months(created, LONGEST_MONTHS)
+    extracted = ~(yes(c("total") <= 0) | c("coverage_percent").isNull())
+    market = yes(c("all_text").rlike(FLAGS + MARKET_PATTERN))
+    return F.struct(
+        parse_money(c("initial_price")).alias("initialPriceNumeric"),
+        F.struct(F.lit(DAYS_SOURCE).alias("source"), c("remaining_days").alias("remainingDays"), F.lit(LEAST_DAYS).alias("thresholdExclusive"), F.lit(DAYS_COMPARISON).alias("comparison"), yes(c("remaining_days") < LEAST_DAYS).alias("triggered")).alias("submissionDeadlineCheck"),
+        F.struct(
+            c("coverage_percent").alias("coveragePercent"), c("coverage_rule").alias("coverageRule"), c("lot_divisible").alias("lotDivisible"), c("approval_threshold").alias("approvalThresholdInclusive"),
+            c("minimum_supplied").alias("minimumSuppliedPositions"), yes(c("coverage_approved")).alias("approved"), yes(c("hard_reject")).alias("triggered"), yes(c("price_complete")).alias("quantityAdjustedTotalComplete"),
+        ).alias("productCoverageCheck"),
+        F.struct(yes(c("documentation_missing")).alias("documentationMissing"), c("documentation_note").alias("documentationNote"), extracted.alias("productsExtracted"), (extracted & ~yes(c("documentation_missing"))).alias("automaticApprovalAllowed")).alias("documentationCheck"),
+        F.struct(c("report_id").alias("reportId"), F.lit(True).alias("commercialOnly"), market.alias("detectedInText"), yes(c("report_id") == 3).alias("rejectionApplicable"), (yes(c("report_id") == 3) & market).alias("triggered")).alias("marketResearchCheck"),
+        F.struct(created.cast("string").alias("createdDate"), delivery.cast("string").alias("deliveryDate"), F.lit(LONGEST_MONTHS).alias("maximumPeriodMonths"), limit.cast("string").alias("limitDate"), yes(delivery > limit).alias("exceedsMaximum")).alias("deliveryDeadlineCheck"),
+    )
+
+
+def with_checks(tenders: DataFrame, ref_date: Column) -> DataFrame:
+    """Adds `checks`. Missing INPUTS count as null."""
+    return _with_inputs(tenders).withColumn("checks", checks(ref_date))
+
+
+def reason_options(report: Column) -> Column:
+    """The reasons that a model may choose from: research of the market only where it applies."""
+    offered = F.array(*[F.lit(r) for r in REASONS if r not in NOT_OFFERED])
+    return F.when(F.coalesce(report.isin(1, 2), F.lit(False)), F.array_remove(offered, MARKET)).otherwise(offered)
+
+
+def decision_context(tenders: DataFrame, most_text: int = 220_000) -> DataFrame:
+    """Adds `context` (JSON: version, options, product check, hard reasons, checks) and `context_text`, the clipped text.
+
+    tenders: what hard_reasons() and with_checks() returned; product_check (a struct) if there is one.
+    """
+    product = F.col("product_check") if "product_check" in tenders.columns else F.lit(None).cast("struct<total:bigint>")
+    hard = F.transform("hard", lambda x: F.struct(x["reason"].alias("reason"), x["evidence"].alias("evidence"), x["priority"].alias("priority")))
+    context = F.struct(F.lit(RULES_VERSION).alias("rulesVersion"), reason_options(F.col("report_id")).alias("reasonOptions"), product.alias("productCheck"), hard.alias("hardReasons"), *[F.col(f"checks.{n}") for n in tenders.schema["checks"].dataType.names])
+    return tenders.withColumns({"context": F.to_json(context, {"ignoreNullFields": "false"}), "context_text": clip(F.coalesce("all_text", F.lit("")), most_text)})
+
+
 #: Columns that the rules read, with the type of those that a caller leaves out.
 INPUTS = {
     "hard_reject": "boolean", "summary": "string", "documentation_missing": "boolean", "documentation_note": "string", "total": "bigint", "coverage_percent": "double",
     "all_text": "string", "remaining_days": "double", "initial_price": "string", "value_reject": "boolean", "threshold_applicable": "boolean", "price_complete": "boolean",
-    "coverage_approved": "boolean", "supply_total": "double", "price_summary": "string", "report_id": "int", "date_created": "string", "delivery_date": "string", "delivery_days": "string",
+    "coverage_approved": "boolean", "supply_total": "double", "price_summary": "string", "coverage_rule": "string", "lot_divisible": "boolean", "approval_threshold": "double", "minimum_supplied": "int", "report_id": "int", "date_created": "string", "delivery_date": "string", "delivery_days": "string",
 }
 
 
 def hard_reasons(tenders: DataFrame, ref_date: Column) -> DataFrame:
     """Adds `hard`, the fired rules' reasons. Missing INPUTS count as null."""
+    return _with_inputs(tenders).withColumn("hard", evaluated(hard_rules(ref_date)))
+
+
+def _with_inputs(tenders: DataFrame) -> DataFrame:
     missing = {name: F.lit(None).cast(kind) for name, kind in INPUTS.items() if name not in tenders.columns}
-    return tenders.withColumns(missing).withColumn("hard", evaluated(hard_rules(ref_date))) if missing else tenders.withColumn("hard", evaluated(hard_rules(ref_date)))
+    return tenders.withColumns(missing) if missing else tenders
 
 
 def decided(tenders: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .functions import dates, numbers
 from .functions import text as tx
-from .operators import audit, coverage, jobs, matching, positions, rules
+from .operators import audit, coverage, documents, jobs, matching, normalize, positions, rules
 from .operators.documents import within_budget
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,34 +162,79 @@ def final_decision_by_order(read: Frame) -> DataFrame:
     return rules.decided(rows).select("o_orderkey", "status", "reason", "reason_origin")
 
 
-@query("""SELECT o_orderkey, date_diff('day', DATE '1998-08-01', o_orderdate::DATE) < 3 AS too_late, strftime(o_orderdate::DATE + INTERVAL 18 MONTH, '%Y-%m-%d') AS limit_date FROM orders""")
+CHECKS_SQL = """SELECT o_orderkey, date_diff('day', DATE '1998-08-01', o_orderdate::DATE) < 3 AS too_late, strftime(o_orderdate::DATE + INTERVAL 18 MONTH, '%Y-%m-%d') AS limit_date FROM orders"""
+
+
+@query(CHECKS_SQL)
 def deadline_rule(read: Frame) -> DataFrame:
     day = F.to_date("o_orderdate")
-    return read("orders").select("o_orderkey", (F.datediff(day, F.lit("1998-08-01").cast("date")) < 3).alias("too_late"), F.add_months(day, 18).cast("string").alias("limit_date"))
+    tenders = read("orders").select("o_orderkey", F.datediff(day, F.lit("1998-08-01").cast("date")).cast("double").alias("remaining_days"), F.date_format(day, "yyyy-MM-dd").alias("date_created"))
+    return rules.with_checks(tenders, F.lit("1998-08-01").cast("date")).select("o_orderkey", F.col("checks.submissionDeadlineCheck.triggered").alias("too_late"), F.col("checks.deliveryDeadlineCheck.limitDate").alias("limit_date"))
+
+
+@query(COVERAGE_SQL + """
+SELECT o_orderkey, round(o.o_totalprice, 2) AS price, v.coverage_percent AS percent, v.coverage_approved AS approved, total > 0 AND NOT v.coverage_approved AS rejected, v.price_complete AS complete, total > 0 AS extracted,
+  to_json(['rulesVersion', 'reasonOptions', 'productCheck', 'hardReasons', 'initialPriceNumeric', 'submissionDeadlineCheck', 'productCoverageCheck', 'documentationCheck', 'marketResearchCheck', 'deliveryDeadlineCheck']) AS members,
+  CASE WHEN o_orderkey % 3 = 0 THEN 21 ELSE 20 END::BIGINT AS options, CASE WHEN total > 0 AND coverage_approved THEN 0 WHEN total = 0 THEN 1 ELSE 1 END::BIGINT AS least_reasons
+FROM verdicts v JOIN orders o USING (o_orderkey)""")
+def decision_context(read: Frame) -> DataFrame:
+    lots = order_lots(read).drop("o_orderstatus", "status")
+    facts = read("orders").select("o_orderkey", F.format_string("%.2f", "o_totalprice").alias("initial_price"), F.when(F.col("o_orderkey") % 3 == 0, 3).otherwise(1).alias("report_id"))
+    day = F.lit("1998-08-01").cast("date")
+    out = rules.decision_context(rules.with_checks(rules.hard_reasons(lots.join(facts, "o_orderkey"), day), day))
+    get = lambda path: F.get_json_object("context", f"$.{path}")
+    check = lambda name: F.col(f"checks.{name}")
+    least = F.size(F.filter("hard", lambda x: x["reason"].isin(rules.INDIVISIBLE, rules.DOCUMENTATION))).cast("long")
+    return out.select(
+        "o_orderkey", check("initialPriceNumeric").alias("price"), check("productCoverageCheck.coveragePercent").alias("percent"), check("productCoverageCheck.approved").alias("approved"), check("productCoverageCheck.triggered").alias("rejected"),
+        check("productCoverageCheck.quantityAdjustedTotalComplete").alias("complete"), check("documentationCheck.productsExtracted").alias("extracted"),
+        F.to_json(F.json_object_keys("context")).alias("members"), F.size(F.from_json(get("reasonOptions"), "array<string>")).cast("long").alias("options"), least.alias("least_reasons"),
+    )
+
+
+#: A phrase for each text rule, by the number that a document's id leaves, and texts that come close; what comes of each.
+PHRASES = (
+    ("это дубль карточки", rules.DUPLICATE), ("оплата производится после оплаты генподрядчиком", rules.PAY_AFTER), ("поставка в Республику Саха (Якутия)", rules.REMOTE), ("консигнац, за счет поставщика", rules.CONSIGNMENT),
+    ("частотный привод на 6 кВ", rules.DRIVE), ("требуется ЗИП", rules.SPARES), ("военная приёмка", rules.MILITARY), ("класс безопасности 3", rules.NUCLEAR), ("МОПП подаёт самостоятельно", rules.SELF_SUBMIT),
+    ("закрытый тендер", rules.CLOSED), ("закупка отменена", rules.CANCELLED), ("опрос рынка", rules.MARKET), ("кабель 10 кВ и выключатель 110 кВ", rules.VOLTAGE), ("отсрочка платежа 120 календарных дней", rules.PAY_DELAY),
+    ("монтаж силами поставщика", rules.WORKS), ("дублёр", None), ("калининградец", None), ("кабель 34,9 кВ", None), ("отсрочка платежа 89 дней", None), ("монтаж не требуется, монтаж подрядчиком", None),
+)
+PLANTED_SQL = "".join(f" WHEN {i} THEN '{reason}'" for i, (_, reason) in enumerate(PHRASES) if reason)
+
+
+@query(f"""SELECT doc_id, CASE doc_id % {len(PHRASES)}{PLANTED_SQL} ELSE '' END AS reasons,
+  CASE WHEN doc_id % {len(PHRASES)} < {sum(r is not None for _, r in PHRASES)} THEN true END AS shown FROM documents""")
+def text_reasons_planted(read: Frame) -> DataFrame:
+    """All text rules over every document's whole text with a phrase after it: what fires, and whether the evidence shows the phrase."""
+    phrase = F.element_at(F.array(*[F.lit(p) for p, _ in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
+    core = F.element_at(F.array(*[F.lit(p.split(" и ")[-1].removesuffix(" дней")) for p, _ in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
+    tenders = read("documents").select("doc_id", core.alias("core"), F.concat_ws("\n", "text", phrase).alias("all_text"), F.lit(100.0).alias("coverage_percent"), F.lit(1).cast("long").alias("total"), F.lit(3).alias("report_id"))
+    found = rules.hard_reasons(tenders, F.lit("2024-01-01").cast("date"))
+    return found.select("doc_id", F.array_join(F.transform("hard", lambda x: x["reason"]), " | ").alias("reasons"), F.get("hard", F.lit(0))["evidence"].contains(F.col("core")).alias("shown"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?i)(?:the|der|los)[\s\S]{0,40}(?:and|und|con)[\s\S]{0,40}(?:of|von|del)\b') AS gap_hit,
-  regexp_extract(text, '(?i)(?:the|der|los)[\s\S]{0,40}(?:and|und|con)[\s\S]{0,40}(?:of|von|del)\b') AS gap_text FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*')""")
+GAP = r"(?:the|der|los)[\s\S]{0,40}(?:and|und|con)[\s\S]{0,40}(?:of|von|del)"
+
+
+@query(rf"""SELECT doc_id, regexp_matches(text, '(?i){GAP}(?:[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]|$)') AS gap_hit,
+  regexp_extract(text, '(?i)({GAP})(?:[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]|$)', 1) AS gap_text FROM documents""")
 def text_rules_docs(read: Frame) -> DataFrame:
-    pattern = r"(?i)(?:the|der|los)[\s\S]{0,40}(?:and|und|con)[\s\S]{0,40}(?:of|von|del)\b"
-    plain = read("documents").where(F.col("text").rlike(r"^[\x00-\x7f]*\z"))
-    return plain.select("doc_id", F.col("text").rlike(pattern).alias("gap_hit"), F.regexp_extract("text", pattern, 0).alias("gap_text"))
+    """A text rule on every document and its whole text; a null text has null answers."""
+    rule = rules.text_rule(1, "gap", F.col("text"), GAP + r"(?![\p{L}\p{M}\p{Nd}\p{Pc}])")
+    return read("documents").select("doc_id", rule.condition.alias("gap_hit"), F.regexp_extract("text", rules.FLAGS + GAP + r"(?![\p{L}\p{M}\p{Nd}\p{Pc}])", 0).alias("gap_text"))
 
 
 @query()
 def text_rules_all_docs(read: Frame) -> DataFrame:
-    """The same rule on every document and its whole text: no letter, digit or underscore of any script may follow.
-
-    A null text has null answers. text_rules_docs covers the plain ASCII texts alone, where its SQL means the same.
-    """
-    pattern = r"(?i)(?:the|der|los)[\s\S]{0,40}(?:and|und|con)[\s\S]{0,40}(?:of|von|del)(?![\p{L}\p{M}\p{N}_])"
+    """The same rule, but no letter number or other digit of any script may follow either."""
+    pattern = rf"(?i){GAP}(?![\p{{L}}\p{{M}}\p{{N}}_])"
     return read("documents").select("doc_id", F.col("text").rlike(pattern).alias("gap_hit"), F.regexp_extract("text", pattern, 0).alias("gap_text"))
 
 
 @query(r"""SELECT doc_id, len(list_filter(regexp_extract_all(text, '([0-9]{1,4})', 1), lambda x: x::DOUBLE >= 35))::BIGINT AS large_numbers, coalesce(list_max(list_transform(regexp_extract_all(text, '([0-9]{1,4})', 1), lambda x: x::BIGINT)), -1) AS largest FROM documents""")
 def numeric_threshold_text(read: Frame) -> DataFrame:
-    found = F.transform(F.regexp_extract_all("text", F.lit("([0-9]{1,4})"), F.lit(1)), lambda x: x.cast("long"))
-    return read("documents").select("doc_id", F.size(F.filter(found, lambda x: x >= 35)).cast("long").alias("large_numbers"), F.coalesce(F.array_max(found), F.lit(-1).cast("long")).alias("largest"))
+    found = lambda least: numbers.numbers_in(F.col("text"), "([0-9]{1,4})", least)
+    return read("documents").select("doc_id", F.size(found(35)).cast("long").alias("large_numbers"), F.coalesce(F.array_max(found(0)).cast("long"), F.lit(-1).cast("long")).alias("largest"))
 
 
 @query(r"""WITH hits AS (SELECT doc_id, text, strpos(text, 'token') AS p FROM documents WHERE contains(text, 'token'))
@@ -263,17 +308,20 @@ def doc_lines(read: Frame) -> DataFrame:
 
 @query(r"""SELECT doc_id, CASE WHEN length(text) >= 500 AND regexp_matches(text, '[A-Za-z0-9]') THEN 'ok' WHEN length(text) >= 100 THEN 'short' ELSE 'unusable' END AS status FROM documents""")
 def doc_quality_status(read: Frame) -> DataFrame:
-    n = F.length("text")
-    return read("documents").select("doc_id", F.when((n >= 500) & F.col("text").rlike("[A-Za-z0-9]"), "ok").when(n >= 100, "short").otherwise("unusable").alias("status"))
+    return read("documents").select("doc_id", documents.text_status(F.col("text")).alias("status"))
 
 
 @query("""SELECT source, count(*) AS requested, count(*) FILTER (length(text) >= 500) AS parsed, string_agg(CASE WHEN length(text) < 100 THEN doc_id::VARCHAR END, ',' ORDER BY doc_id) AS unusable,
   CASE WHEN count(*) FILTER (length(text) >= 500) = 0 THEN 'unavailable' WHEN count(*) FILTER (length(text) < 100) > 0 THEN 'partial' ELSE 'available' END AS status FROM documents GROUP BY source""")
 def doc_status_by_source(read: Frame) -> DataFrame:
-    n = F.length("text")
-    listed = F.transform(F.array_sort(F.collect_list(F.when(n < 100, F.col("doc_id")))), lambda x: x.cast("string"))
-    out = read("documents").groupBy("source").agg(F.count(F.lit(1)).alias("requested"), F.count_if(n >= 500).alias("parsed"), F.nullif(F.array_join(listed, ","), F.lit("")).alias("unusable"))
-    return out.withColumn("status", F.when(F.col("parsed") == 0, "unavailable").when(F.col("unusable").isNotNull(), "partial").otherwise("available"))
+    docs = read("documents").withColumn("n", F.length("text"))
+    requested = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_requested"))
+    # texts that are too short for one but not unusable are parsed in part: neither read nor failed
+    parsed = docs.where((F.col("n") >= documents.TEXT_LENGTH) | (F.col("n") < documents.SHORT_LENGTH)).select(
+        "source", F.col("doc_id").alias("document_index"), F.col("doc_id").cast("string").alias("file_name"), (F.col("n") >= documents.TEXT_LENGTH).alias("text_ok"), F.lit("ok").alias("status"), F.lit("").alias("warning"), F.lit("").alias("error")
+    )
+    out = documents.availability(requested, parsed, ["source"])
+    return out.select("source", F.col("n_requested").alias("requested"), F.col("documents_parsed").alias("parsed"), F.nullif(F.array_join("files_without_text", ","), F.lit("")).alias("unusable"), F.col("processing_status").alias("status"))
 
 
 @query("""WITH b AS (SELECT doc_id, source, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, text FROM documents)
@@ -282,15 +330,71 @@ def char_budget_clip(read: Frame) -> DataFrame:
     return within_budget(read("documents").select("doc_id", "source", "text"), ["source"], ["doc_id"], "text", 50_000).select("doc_id", F.col("used").cast("long").alias("used"), F.md5("clipped").alias("clipped_md5"))
 
 
+FOLDER_SQL = """docs AS (SELECT doc_id, doc_id % 7 + 1 AS q, 'Item' || chr((65 + doc_id % 20)::INTEGER) || ' ' || source AS name FROM documents)"""
+
+
+@query(f"""WITH {FOLDER_SQL} SELECT doc_id, 1 AS kind, name AS product, 'шт' AS unit, q::DOUBLE AS quantity FROM docs UNION ALL SELECT doc_id, 2, 'Насос ' || q, 'компл', q + 0.5 FROM docs""")
+def unit_row_positions(read: Frame) -> DataFrame:
+    """Line items of a row without headers and of a labelled free text, planted for each document."""
+    q = (F.col("doc_id") % 7 + 1).cast("string")
+    name = F.concat(F.lit("Item"), F.char(F.lit(65) + F.col("doc_id") % 20), F.lit(" "), F.col("source"))
+    row = F.concat(F.lit("Строка 2: A: 1 | B: "), name, F.lit(" | D: шт | E: "), q)
+    label = F.concat(F.lit("Наименование товара: Насос "), q, F.lit(" | Ед. изм.: компл | Кол-во: "), q, F.lit(",5"))
+    texts = read("documents").select("doc_id", F.concat_ws("\n", row, F.lit("Строка 3: A: 2 | B: Итого | E: 9"), label).alias("text"))
+    out = positions.deterministic_positions(texts, ["doc_id"])
+    return out.select("doc_id", F.col("ord.kind").cast("int").alias("kind"), "product", "unit", "quantity")
+
+
+@query("""SELECT doc_id, md5('--- ДАННЫЕ ЗАКУПКИ ИЗ SELDON API ---' || chr(10) || 'Seldon ID: ' || doc_id || chr(10) || 'Report ID: 3' || chr(10) || 'Номер закупки на площадке: ' || CASE WHEN doc_id % 2 = 0 THEN 'N' || doc_id ELSE 'E' END || chr(10) ||
+  'Предмет закупки: ' || source || chr(10) || 'Начальная цена / НМЦ: ' || n_chars || chr(10) || 'Дата публикации: ' || chr(10) || 'Дата начала подачи: ' || chr(10) || 'Дата окончания подачи: ' || chr(10) || 'Ссылка на источник: ' || chr(10) || chr(10) ||
+  '--- ПОЛНЫЕ СТРУКТУРИРОВАННЫЕ ДАННЫЕ SELDON ---' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '{"number":"N' || doc_id || '","name":"' || source || '","nmck":' || n_chars || '}' ELSE '{"name":"' || source || '","nmck":' || n_chars || '}' END || chr(10) || chr(10) ||
+  '--- АКТУАЛЬНЫЕ ДОКУМЕНТЫ SELDON ---' || chr(10) || '[{"fileName":"' || lang || '.txt","version":null}]') AS page_md5 FROM documents""")
+def page_text_assembly(read: Frame) -> DataFrame:
+    docs = read("documents")
+    purchase = F.to_json(F.struct(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("N"), F.col("doc_id").cast("string"))).alias("number"), F.col("source").alias("name"), F.col("n_chars").alias("nmck")))
+    tenders = docs.select("doc_id", F.col("doc_id").alias("seldon_id"), F.lit(3).alias("report_id"), F.lit("E").alias("etp_id"), F.lit(None).cast("string").alias("tender_url"), purchase.alias("purchase"))
+    files = docs.select("doc_id", F.lit(1).alias("index"), F.concat("lang", F.lit(".txt")).alias("fileName"), F.lit(None).cast("string").alias("version"))
+    return documents.full_page_text(tenders, files, ["doc_id"]).select("doc_id", F.md5("page_text").alias("page_md5"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'old' ELSE o_orderstatus END AS value, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_clerk END AS source, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE substr(repeat(o_orderpriority, 200), 1, 900) END AS evidence
+FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority, 'c' || (o_custkey % 5) AS o_clerk FROM orders)""")
+def field_writes(read: Frame) -> DataFrame:
+    """A field written with its meta over an older value; a blank one leaves both as they were."""
+    none = F.expr("cast(map() as map<string,struct<source:string,confidence:string,evidence:string>>)")
+    value = F.when(F.col("o_orderkey") % 3 == 0, "  ").otherwise(F.col("o_orderstatus"))
+    source = F.concat(F.lit("c"), (F.col("o_custkey") % 5).cast("string"))
+    fields, meta = normalize.written_field(F.create_map(F.lit("status"), F.lit("old")), none, "status", value, source, F.lit("high"), F.repeat("o_orderpriority", 200))
+    about = F.try_element_at(meta, F.lit("status"))
+    return read("orders").select("o_orderkey", F.element_at(fields, F.lit("status")).alias("value"), about["source"].alias("source"), about["evidence"].alias("evidence"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'csv' WHEN 1 THEN 'pdf' WHEN 2 THEN 'csv' ELSE 'rar' END AS file_type, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'unsupported' END AS status,
+  CASE WHEN doc_id % 4 = 0 THEN 'Лист: CSV' || chr(10) || 'Строка 1: A: Наименование | B: Кол-во' || chr(10) || 'Строка 2: A: ' || source || ' | B: ' || doc_id
+    WHEN doc_id % 4 = 2 THEN substr('Лист: CSV' || chr(10) || 'Строка 1: A: ' || repeat('x', 300), 1, 200) END AS text, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS warnings FROM documents""")
+def parsed_file_texts(read: Frame) -> DataFrame:
+    """A file for each document, told by type, read by its reader and clipped."""
+    from .sources.files import parsed_files
+
+    k = F.col("doc_id") % 4
+    table = F.encode(F.concat(F.lit("Наименование;Кол-во\n"), F.col("source"), F.lit(";"), F.col("doc_id").cast("string"), F.lit("\n")), "UTF-8")
+    wide = F.encode(F.repeat(F.lit("x"), 300), "UTF-8")
+    content = F.when(k == 0, table).when(k == 1, F.unhex(F.lit("255044462D"))).when(k == 2, wide).otherwise(F.unhex(F.lit("526172211A0700")))
+    name = F.concat(F.col("doc_id").cast("string"), F.when(k % 2 == 0, ".csv").otherwise(".bin"))
+    out = parsed_files(read("documents").select("doc_id", name.alias("name"), content.alias("content")), ["doc_id"], most=200)
+    return out.select("doc_id", "file_type", "status", "text", F.size("warnings").cast("long").alias("warnings"))
+
+
 @query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS said, count(*) AS turns FROM conversations GROUP BY conv_id""")
 def conversation_fold(read: Frame) -> DataFrame:
-    said = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("s")))), lambda x: x["s"])
-    return read("conversations").groupBy("conv_id").agg(F.array_join(said, "\n").alias("said"), F.count(F.lit(1)).alias("turns"))
+    rows = read("conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("said"))
+    threads = audit.runs_with_events(rows.select("conv_id").distinct(), rows, "conv_id", ("turn",))
+    return threads.select("conv_id", F.array_join(F.transform("events", lambda x: x["said"]), "\n").alias("said"), F.size("events").cast("long").alias("turns"))
 
 
 @query("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_dup_docs(read: Frame) -> DataFrame:
-    return read("documents").groupBy(F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    return documents.equal_contents(read("documents"), "doc_id", "text").select(F.col("md5").alias("digest"), "n", F.col("first_doc_id").alias("first_doc"))
 
 
 @query("""WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles FROM f GROUP BY conv_id""")
@@ -304,8 +408,9 @@ def ordered_unique_list(read: Frame) -> DataFrame:
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE AS last_signup FROM events""")
 def header_forward_fill(read: Frame) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return read("events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).cast("double").alias("last_signup"))
+    events = read("events").withColumn("at", F.struct("ts", "event_id"))
+    signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    return events.select("event_id", positions.forward_filled(events, ["user_id"], "at", signup).cast("double").alias("last_signup"))
 
 
 @query("""SELECT event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS segment FROM events""")
@@ -385,8 +490,9 @@ def price_source_label(read: Frame) -> DataFrame:
 
 @query("""SELECT o_custkey, o_orderkey, rank::INTEGER AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3""")
 def top_customers_scored(read: Frame) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return read("orders").withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("o_custkey", "o_orderkey", "rank")
+    from .operators.customer import best_scored
+
+    return best_scored(read("orders"), ["o_custkey"], F.col("o_totalprice"), F.col("o_orderkey"), 3).select("o_custkey", "o_orderkey", "rank")
 
 
 @query("""WITH r AS (SELECT s_nationkey, s_suppkey, s_suppkey % 4 AS code, s_name FROM supplier), m AS (SELECT c_custkey, s_name, row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(code = c_custkey % 4, false) DESC, s_suppkey) AS rn, count(s_suppkey) OVER (PARTITION BY c_custkey) AS n FROM customer LEFT JOIN r ON c_nationkey = s_nationkey)
@@ -404,10 +510,22 @@ def registry_lookup(read: Frame) -> DataFrame:
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest, max(event_id) FILTER (event_type = 'purchase')::DOUBLE AS last_purchase, count(*) AS n FROM events GROUP BY user_id")
 def job_latest_state(read: Frame) -> DataFrame:
-    return read("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"), F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).cast("double").alias("last_purchase"), F.count(F.lit(1)).alias("n"))
-
-
-@query()
+    events = read("events")
+    latest = audit.ranked_latest(events, "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", F.col("event_type").alias("latest"))
+    bought = audit.high_water(events.withColumn("bought", F.when(F.col("event_type") == "purchase", F.col("event_id"))), ["user_id"], ["bought"])
+    counted = audit.conditional_counts(events, "event_type", [], ("user_id",))
+    return latest.join(bought, "user_id").join(counted, "user_id").select("user_id", "latest", F.col("peak_bought").cast("double").alias("last_purchase"), F.col("total").alias("n"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT user_id, CASE event_type WHEN 'signup' THEN 'dispatch' WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' WHEN 'click' THEN 'requeue' END AS move,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, 0::BIGINT AS rn, 'queued' AS status, 0 AS attempt, NULL::VARCHAR AS worker FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT f.user_id, m.rn,
+    CASE WHEN m.move = 'dispatch' AND f.status = 'queued' THEN 'dispatching' WHEN m.move = 'claim' AND f.status = 'dispatching' THEN 'processing' WHEN m.move = 'complete' AND f.status = 'processing' AND f.worker = 'w' THEN 'completed'
+      WHEN m.move = 'fail' AND f.status = 'processing' AND f.worker = 'w' THEN 'failed' WHEN m.move = 'requeue' AND f.status = 'failed' THEN 'queued' ELSE f.status END,
+    f.attempt + CASE WHEN m.move = 'claim' AND f.status = 'dispatching' THEN 1 ELSE 0 END, CASE WHEN m.move = 'claim' AND f.status = 'dispatching' THEN 'w' ELSE f.worker END
+  FROM f JOIN m ON m.user_id = f.user_id AND m.rn = f.rn + 1)
+SELECT user_id AS record_key, arg_max(status, rn) AS status, arg_max(attempt, rn) AS attempt, arg_max(worker, rn) FILTER (worker IS NOT NULL) AS worker FROM f GROUP BY user_id""")
 def job_state_fold(read: Frame) -> DataFrame:
     moves = F.create_map(*[F.lit(x) for p in (("signup", "dispatch"), ("view", "claim"), ("purchase", "complete"), ("error", "fail"), ("click", "requeue")) for x in p])
     rows = read("events").select(F.col("user_id").alias("record_key"), F.col("ts").alias("event_time"), "event_id", F.try_element_at(moves, F.col("event_type")).alias("move"), F.lit("w").alias("worker"))
@@ -528,14 +646,11 @@ def latest_groups(read: Frame) -> DataFrame:
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_counters(read: Frame) -> DataFrame:
-    from .streaming.events import drained, hourly_counts
+    """The hourly counts as a stream over all of the table's files, drained into a Parquet folder."""
+    from .streaming.events import drained, event_stream, hourly_counts
 
     batch = read("events")
-    spark = batch.sparkSession
-    path = batch.inputFiles()[0] if len(batch.inputFiles()) == 1 else None
-    if path is None:
-        return audit.hourly(batch, "ts", ["event_type"])
-    folder, name = path.rsplit("/", 1)
-    rows = spark.readStream.schema(batch.schema).option("pathGlobFilter", name).parquet(folder)
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-    return drained(hourly_counts(rows, "event_type"), "lotwise_hourly").select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+    files = batch.inputFiles()
+    folder = files[0].rsplit("/", 1)[0]
+    rows = event_stream(batch.sparkSession, folder, batch.schema, glob=files[0].rsplit("/", 1)[1] if len(files) == 1 else "*.parquet")
+    return drained(hourly_counts(rows, "event_type"), "lotwise-hourly").select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")

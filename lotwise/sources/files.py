@@ -202,6 +202,39 @@ def with_ooxml(files: DataFrame, keys: list[str], content: str = "content") -> D
     return _read(files, keys, content, ooxml_kind, [("ooxml", T.StringType())]).drop("error")
 
 
+#: Type of file and the reader that takes it; others are told as unsupported.
+READERS = ("xlsx", "csv", "docx")
+
+
+def parsed_files(files: DataFrame, keys: list[str], name: str = "name", content: str = "content", most: int = 250_000) -> DataFrame:
+    """keys, file_name, file_type, text, status, text_ok and warnings of each file: told by type, read by its reader, clipped.
+
+    keys name a file. status: ok, no_text, error or unsupported; a table's text is its rows as lines, sheet by sheet.
+    """
+    typed = files.select(*keys, F.col(name).alias("file_name"), content)
+    zipped = with_ooxml(typed.where(magic_of(F.col(content)) == "zip"), keys, content)
+    typed = typed.join(zipped, keys, "left")
+    typed = typed.withColumn("file_type", file_type(F.col("file_name"), F.col(content), F.col("ooxml"))).drop("ooxml")
+    cells = read_xlsx(typed.where("file_type = 'xlsx'"), keys, content).unionByName(read_delimited(typed.where("file_type = 'csv'"), keys, content))
+    lines = row_lines(cells, keys).groupBy(*keys, "sheet").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("x"))
+    sheets = lines.select(*keys, F.struct("sheet", F.concat(F.lit("Лист: "), F.col("sheet"), F.lit("\n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("t")).alias("s"))
+    tables = sheets.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n").alias("text"))
+    failed = cells.where(F.col("error").isNotNull()).groupBy(*keys).agg(F.min("error").alias("error"))
+    tables = tables.join(failed, keys, "full")
+    words = read_docx(typed.where("file_type = 'docx'"), keys, content)
+    read = tables.select(*keys, "text", "error").unionByName(words.select(*keys, "text", "error"))
+    out = typed.drop(content).join(read, keys, "left")
+    table = F.col("file_type").isin("xlsx", "csv")
+    status = F.when(~F.col("file_type").isin(*READERS), "unsupported").when(F.col("error").isNotNull(), "error").when(F.coalesce(F.length("text"), F.lit(0)) == 0, "no_text").otherwise("ok")
+    cut = F.coalesce(F.length("text") > most, F.lit(False))
+    said = F.array_compact(F.array(
+        F.when(status == "unsupported", F.concat(F.lit("Неподдерживаемый тип файла: "), F.col("file_type"))),
+        F.when(cut, F.concat(F.lit("Текст "), F.col("file_name"), F.lit(f" обрезан до {most} символов."))),
+    ))
+    out = out.withColumns({"status": status, "warnings": said, "text_ok": F.coalesce(F.when(table, sheet_quality(F.col("text"))).otherwise(F.length("text") > 0), F.lit(False))})
+    return out.withColumn("text", F.substring("text", 1, most)).select(*keys, "file_name", "file_type", "text", "status", "text_ok", "warnings", "error")
+
+
 def expanded(files: DataFrame, keys: list[str], index: str, name: str = "name", content: str = "content", depth: int = 1, limits: dict | None = None) -> DataFrame:
     """Files with the members of their archives, unrolled to a fixed depth; a member's index is parent * 1000 + its number."""
     cols = [*keys, index, name, content, "parent", "error"]

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.audit import metric_increments
 from ..operators.jobs import MOVES
+from ..shared import shared_dir
 
 
-def event_stream(spark: SparkSession, path: str, schema, time: str = "ts", delay: str = "10 minutes", files: int = 100) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, schema, time: str = "ts", delay: str = "10 minutes", files: int = 100, glob: str = "*") -> DataFrame:
     """Parquet events as a stream with a watermark; times without a zone count as the session's."""
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", glob).parquet(path)
     return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
@@ -42,18 +45,23 @@ def first_deliveries(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def job_states(transitions: DataFrame) -> DataFrame:
-    """record_key, status, attempt after each batch of transitions (record_key, event_id, move, worker); illegal moves are ignored."""
+    """record_key, status, attempt after each batch of transitions (record_key, event_id, move, worker, and event_time if there is one); illegal moves are ignored.
+
+    A batch's moves count in the order of time and number, as in jobs.folded().
+    """
+    order = [c for c in ("event_time", "event_id") if c in transitions.columns]
     steps = {(m, s): t for m, s, t in MOVES}
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, attempt, worker = state.get if state.exists else ("queued", 0, "")
-        for row in pd.concat(list(batches)).sort_values("event_id").itertuples():
-            to = steps.get((row.move, status))
-            if to is None or (row.move in ("complete", "fail") and (row.worker or "") != worker):
+        rows = pd.concat(list(batches)).sort_values(order)
+        for move, by in zip(rows["move"].tolist(), rows["worker"].fillna("").tolist(), strict=True):
+            to = steps.get((move, status))
+            if to is None or (move in ("complete", "fail") and by != worker):
                 continue
             status = to
-            if row.move == "claim":
-                attempt, worker = attempt + 1, row.worker or ""
+            if move == "claim":
+                attempt, worker = attempt + 1, by
         state.update((status, attempt, worker))
         yield pd.DataFrame({"record_key": [key[0]], "status": [status], "attempt": [attempt]})
 
@@ -61,7 +69,13 @@ def job_states(transitions: DataFrame) -> DataFrame:
 
 
 def drained(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """What a stream holds once all available input is read, as a table in memory (for tests and small results)."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """What a stream gives once all available input is read, from Parquet in the shared folder: the last whole result, or all updates."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    rows = spark.read.schema(StructType([*df.schema, StructField("batch", LongType())])).parquet(f"{path}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == F.lit(rows.agg(F.max("batch")).first()[0]))
+    return rows.drop("batch")
