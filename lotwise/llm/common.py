@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..shared import shared_dir
 
 #: Fixed value: ASCII white space, as a regular-expression class body.
 WS = r"\x20\x09-\x0D"
-#: Rows of a side that may be broadcast after it has been counted; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a side, and bytes of their values, that may be broadcast after they have been counted; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 * 2**20
 #: Matches that one step of a span fold holds, so that a text's fold is not quadratic in its matches.
 CHUNK = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is named."""
-    sc = spark.sparkContext
-    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lotwise-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, and still there when an executor is lost."""
     spark = df.sparkSession
@@ -35,9 +27,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written table for broadcast if its counted rows stay within the bound."""
-    return F.broadcast(df) if df.count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """The bytes of a row's values: fixed ones by their type, text and lists by what they hold."""
+    total = F.lit(16 * len(df.columns))
+    for field in df.schema:
+        kind, name = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(name), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(name)), F.lit(0))
+    return total
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a written table for broadcast if its counted rows and bytes stay within the bounds."""
+    held = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df).cast("long")).alias("size")).first()
+    return F.broadcast(df) if held["n"] <= rows and (held["size"] or 0) <= most else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -4,8 +4,8 @@ Text: byte trigrams hashed into a fixed number of bins; each language's bin coun
 summed over all labelled documents. Overlapping trigrams are not independent, so their log
 likelihood is tempered. Markup: the lang attribute of the page. Address: a language
 code as top-level domain or as first path segment. Host: the languages that the other evidence
-gives the host's pages, shrunk towards those of its domain, and these towards all pages',
-by grouped aggregation. The parts add up as log odds; the posterior is normalised.
+gives the host's other pages (a page's own evidence is left out), shrunk towards those of its domain, and
+these towards all pages', by grouped aggregation. The parts add up as log odds; the posterior is normalised.
 
 Defined results: a null or empty page has no text evidence and falls back on address, host
 and global priors; repeated rows are judged alike; an empty table stays empty; without
@@ -112,6 +112,13 @@ def _plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
+def host_prior(own: Column, of_host: Column, of_domain: Column, shares: Column) -> Column:
+    """Log probabilities of the languages on a page's host, from all pages but this one, whose evidence is own."""
+    less = lambda sums: F.zip_with(sums, own, lambda s, p: F.greatest(s - p, F.lit(0.0)))
+    mixed = lambda sums, towards, strength: F.zip_with(sums, towards, lambda s, t: (s + strength * t) / (F.aggregate(sums, F.lit(0.0), lambda a, x: a + x) + strength))
+    return F.transform(mixed(less(of_host), mixed(less(of_domain), shares, DOMAIN_STRENGTH), HOST_STRENGTH), lambda p: F.log(p))
+
+
 def languages(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row id, host, declared, addressed, lang, probability, text_lang for each page."""
     from .url_filter import host_of, path_of
@@ -135,13 +142,14 @@ def languages(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", ur
     by_domain = by_host.groupBy("domain", "i").agg(F.sum("n").alias("dn"))
     whole = {r["i"]: r["n"] for r in by_host.groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row for each language
     everything = sum(whole.values()) or 1.0
-    share = F.element_at(F.array(*[F.lit((whole.get(i, 0.0) + 0.5) / (everything + 0.5 * len(langs))) for i in range(len(langs))]), F.col("i") + 1)
-    domains = by_domain.join(by_domain.groupBy("domain").agg(F.sum("dn").alias("dall")), "domain").withColumn("dp", (F.col("dn") + DOMAIN_STRENGTH * share) / (F.col("dall") + DOMAIN_STRENGTH))
-    hosts = by_host.join(by_host.groupBy("host").agg(F.sum("n").alias("hall")), "host").join(domains.select("domain", "i", "dp"), ["domain", "i"])
-    hosts = hosts.withColumn("p", (F.col("n") + HOST_STRENGTH * F.col("dp")) / (F.col("hall") + HOST_STRENGTH))
-    priors = hosts.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.log("p").alias("l")))), lambda x: x["l"]).alias("prior"))
-    priors = small_side(written(priors.withColumnRenamed("host", "_host"), "lang-priors"))
-    final = scored.join(priors, F.col("host") == F.col("_host"), "left").withColumn("posterior", _softmax(_plus(F.col("own"), F.col("prior"))))
+    shares = F.array(*[F.lit((whole.get(i, 0.0) + 0.5) / (everything + 0.5 * len(langs))) for i in range(len(langs))])
+    listed = lambda value: F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(value).alias("v")))), lambda x: x["v"])
+    # a row for each host: the sums of its pages and of its domain's, by language (a list for each of them)
+    domains = by_domain.groupBy("domain").agg(listed("dn").alias("of_domain"))
+    hosts = by_host.groupBy("domain", "host").agg(listed("n").alias("of_host")).join(domains, "domain").select(F.col("host").alias("_host"), "of_host", "of_domain")
+    hosts = small_side(written(hosts, "lang-priors"))
+    final = scored.join(hosts, F.col("host") == F.col("_host"), "left").withColumn("soft", _softmax(F.col("own")))
+    final = final.withColumn("prior", host_prior(F.col("soft"), F.col("of_host"), F.col("of_domain"), shares)).withColumn("posterior", _softmax(_plus(F.col("own"), F.col("prior"))))
     best = lambda scores: F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position(scores, F.array_max(scores)).cast("int"))
     return final.select(
         id_col, "host", "declared", "addressed", best(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("probability"), best(F.col("text")).alias("text_lang")

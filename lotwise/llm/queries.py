@@ -23,6 +23,12 @@ URL_RULES = [
 ]
 
 
+#: Entropy of the mixture's sources, as a share of the highest one.
+SOURCE_ENTROPY = 0.9998
+#: A page's address ends in the number of its document.
+DOCUMENT_NUMBER = "try_cast(regexp_extract(url, '/([0-9]+)[^/0-9]*/?(?:[?#].*)?$', 1) as bigint)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,8 +42,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    # a page's address ends in the number of its document, whose label is the page's
-    number = F.expr("try_cast(regexp_extract(url, '/([0-9]+)[^/0-9]*/?(?:[?#].*)?$', 1) as bigint)")
+    # a document's label is its page's
+    number = F.expr(DOCUMENT_NUMBER)
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
     labelled = pages.select("page_id", number.alias("doc_id")).join(labels, "doc_id").select("page_id", "bad")
     out = url_filter.url_filter(pages, URL_RULES, labelled)
@@ -70,7 +76,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), repeats=4.0)
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), entropy=SOURCE_ENTROPY)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +86,9 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return site_quality.site_quality(docs, table(spark, sf_dir, "labels"))
+    url = F.col("url")
+    pages = table(spark, sf_dir, "pages").select(F.expr(DOCUMENT_NUMBER).alias("doc_id"), url_filter.host_of(url).alias("site"), F.regexp_extract(url_filter.path_of(url), "^/([^/]*)/", 1).alias("path"))
+    return site_quality.site_quality(docs, table(spark, sf_dir, "labels"), places=pages)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Quality classifier with hierarchical empirical Bayes over sites and paths.
 
-A logistic model over text statistics is fitted on a bounded sample of labelled rows. Its
-probabilities for all documents are averaged by site and by path (grouped
+A logistic model over text statistics is fitted on a bounded sample of labelled rows. The labels
+of all labelled documents, and its probabilities for the others, are averaged by site and by path (grouped
 aggregation); sparse sites shrink towards the global mean and paths towards their
 site, with strengths that the method of moments takes from the spread between groups. A
-document's final odds are its own likelihood ratio times its path's posterior odds.
+document's prior is what the other documents of its path and site give (its own label and
+probability are left out), and its final odds are its own likelihood ratio times its prior odds.
+A document's site and path are those that `places` (say, the hosts and paths of its pages) names for it, the
+smallest of several; a document without a place has the columns site_col and path_col instead.
 
 Defined results: null and empty texts have zero statistics and are judged as such; a null
 site or path is a group of its own; repeated rows are judged alike; an empty table stays
@@ -58,8 +61,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sampl
     chosen = labels.where(F.col("quality").isNotNull()).select(F.col(id_col).alias("_id"), "quality").orderBy(F.xxhash64("_id"), "quality").limit(sample)
     chosen = written(chosen, "site-sample")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id")  # at most `sample` rows
-    stats = rows.select("quality", text_statistics("_t").alias("s"))
-    got = stats.select("quality", F.array(*features("s")).alias("x")).orderBy("quality", "x").limit(2 * sample).toPandas()
+    # repeated rows and labels are one each, so the table holds at most `sample` rows (or as many texts as share these ids)
+    stats = rows.select("_id", "quality", text_statistics("_t").alias("s")).select("_id", "quality", F.array(*features("s")).alias("x")).groupBy("_id", "x").agg(F.max("quality").alias("quality"))
+    got = stats.groupBy("_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("r.*").orderBy("quality", "x").toPandas()
     if got["quality"].nunique() < 2:
         return np.zeros(len(FEATURES) + 1), 0.0
     y = got["quality"].to_numpy(float)
@@ -78,7 +82,7 @@ def shrunk(scored: DataFrame) -> DataFrame:
     sites = written(paths.groupBy("site").agg(F.sum("n").alias("sn"), F.sum("good").alias("sgood")), "site-sites")
     whole = sites.agg(F.sum("sn").alias("n"), F.sum("sgood").alias("g"), F.avg(F.pow(F.col("sgood") / F.col("sn"), 2)).alias("m2"), F.avg(F.col("sgood") / F.col("sn")).alias("m1"), F.avg(1 / F.col("sn")).alias("inv")).first()
     if not whole["n"]:
-        return paths.select(F.col("site").alias("_site"), F.col("path").alias("_path"), F.lit(0.5).alias("prior"))
+        return paths.select(F.col("site").alias("_site"), F.col("path").alias("_path"), F.lit(0.5).alias("prior"), *[F.lit(1.0).alias(c) for c in ("n", "good", "sn", "sgood", "k_site", "k_path", "mean")])
     mean = min(max(whole["g"] / whole["n"], 1e-6), 1 - 1e-6)
     k_site = strength(mean, whole["m2"] - whole["m1"] ** 2, mean * (1 - mean) * whole["inv"])
     both = paths.join(sites, paths["site"].eqNullSafe(sites["site"])).drop(sites["site"])
@@ -86,20 +90,37 @@ def shrunk(scored: DataFrame) -> DataFrame:
     both = both.withColumn("site_mean", site_mean)
     gaps = both.agg(F.avg(F.pow(F.col("good") / F.col("n") - F.col("site_mean"), 2)).alias("v"), F.avg(1 / F.col("n")).alias("inv")).first()
     k_path = strength(mean, gaps["v"], mean * (1 - mean) * gaps["inv"])
-    return both.select(F.col("site").alias("_site"), F.col("path").alias("_path"), ((F.col("good") + k_path * F.col("site_mean")) / (F.col("n") + k_path)).alias("prior"))
+    counts = [F.col(c).cast("double").alias(c) for c in ("n", "good", "sn", "sgood")] + [F.lit(x).alias(c) for c, x in (("k_site", k_site), ("k_path", k_path), ("mean", mean))]
+    return both.select(F.col("site").alias("_site"), F.col("path").alias("_path"), ((F.col("good") + k_path * F.col("site_mean")) / (F.col("n") + k_path)).alias("prior"), *counts)
 
 
-def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """One row id, site, path, evidence (logit), prior, quality, kept for each row of docs."""
+def others_prior(own: Column) -> Column:
+    """A path's prior from all documents but one, whose good share is own."""
+    c = F.col
+    site = (F.greatest(c("sgood") - own, F.lit(0.0)) + c("k_site") * c("mean")) / (F.greatest(c("sn") - 1, F.lit(0.0)) + c("k_site"))
+    return (F.greatest(c("good") - own, F.lit(0.0)) + c("k_path") * site) / (F.greatest(c("n") - 1, F.lit(0.0)) + c("k_path"))
+
+
+def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", path_col: str = "lang", threshold: float = 0.5, sample: int = SAMPLE, places: DataFrame | None = None) -> DataFrame:
+    """One row id, site, path, evidence (logit), prior, quality, kept for each row of docs. places: id, site, path."""
     weights, base = fitted(docs, labels, id_col, text_col, sample)
     stats = docs.select(F.col(id_col).alias(id_col), F.col(site_col).alias("site"), F.col(path_col).alias("path"), text_statistics(F.col(text_col)).alias("_s"))
     logit = F.lit(float(weights[-1]))
     for w, x in zip(weights[:-1], features("_s"), strict=True):
         logit = logit + F.lit(float(w)) * x
     logit = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), logit))
-    scored = written(stats.select(id_col, "site", "path", logit.alias("logit")), "site-scores")
-    priors = small_side(written(shrunk(scored.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))), "site-priors"))
-    out = scored.join(priors, F.col("site").eqNullSafe(F.col("_site")) & F.col("path").eqNullSafe(F.col("_path")), "left")
+    scored = written(stats.select(F.col(id_col).alias("_id"), "site", "path", logit.alias("logit")), "site-scores")
+    # all labels count (several of one id by their mean); ids, not texts, meet labels and places
+    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(F.avg("quality").alias("label"))
+    rows = scored.join(small_side(written(known, "site-labels")), F.col("_id") == F.col("_of"), "left").drop("_of")
+    if places is not None:
+        place = places.where(F.col("site") != "").groupBy(F.col(id_col).alias("_of")).agg(F.min(F.struct("site", "path")).alias("_place"))
+        rows = rows.join(small_side(written(place, "site-places")), F.col("_id") == F.col("_of"), "left").drop("_of")
+        named = F.col("_place").isNotNull()
+        rows = rows.withColumns({"site": F.when(named, F.col("_place.site")).otherwise(F.col("site")), "path": F.when(named, F.col("_place.path")).otherwise(F.col("path"))}).drop("_place")
+    rows = written(rows.withColumn("p", F.coalesce("label", 1 / (1 + F.exp(-F.col("logit"))))).withColumnRenamed("_id", id_col), "site-rows")
+    priors = small_side(written(shrunk(rows).drop("prior"), "site-priors"))
+    out = rows.join(priors, F.col("site").eqNullSafe(F.col("_site")) & F.col("path").eqNullSafe(F.col("_path")), "left").withColumn("prior", others_prior(F.col("p")))
     evidence = F.col("logit") - F.lit(base)
     prior = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("prior")))
     quality = 1 / (1 + F.exp(-(evidence + F.log(prior / (1 - prior)))))

@@ -389,3 +389,21 @@ def test_prefix_code_lengths():
             assert (lengths[used] > 0).all() and not lengths[~used].any() and lengths.max() <= most
             if used.sum() > 1:
                 assert sum(2.0 ** -lengths[used]) == 1
+
+
+def test_entropy_target_and_passes(spark):
+    """The exponent lies inside (0, 1) and meets the entropy; each pass is a permutation with a place for each row taken."""
+    r = random.Random(3)
+    rows = [(i, f"s{min(int(r.expovariate(0.7)), 4)}", "w " * r.randint(1, 20)) for i in range(4000)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string"), entropy=0.95).toPandas()
+    by = got.groupby("source").agg(weight=("weight", "first"), tokens=("n_tokens", "sum"))
+    exponent = got["exponent"].iloc[0]
+    assert 0 < exponent < 1 and got["exponent"].nunique() == 1
+    assert abs(-(by.weight * np.log(by.weight)).sum() / np.log(len(by)) - 0.95) < 1e-6
+    powered = (by.tokens / by.tokens.sum()) ** exponent
+    assert np.allclose(by.weight, powered / powered.sum())
+    taken = [(row.source, p["pass"], p["block_order"], p["row_order"], row.doc_id, row.block) for row in got.itertuples() for p in row.passes]
+    assert all(len(row.passes) == row.copies and [p["pass"] for p in row.passes] == list(range(1, row.copies + 1)) for row in got.itertuples())
+    assert len({t[:4] for t in taken}) == len(taken)  # no two rows share a place of a pass
+    blocks = {(t[0], t[1], t[5]): t[2] for t in taken}
+    assert len(set(blocks.values())) == len(blocks) and all(blocks[t[0], t[1], t[5]] == t[2] for t in taken)

@@ -309,3 +309,57 @@ def test_em_does_not_depend_on_the_number_of_documents():
     for post, rates in found:
         assert post[0] > 0.9 and post[1] < 0.01 and rates[-1].max() < 0.01
     assert np.abs(found[0][0] - found[1][0]).max() < 0.05
+
+
+def plain_priors(rows, ids):
+    """Priors of shrunk sites and paths, each document left out of its own, from (site, path, p)."""
+    n, good, sn, sgood = {}, {}, {}, {}
+    for s, p, x in rows:
+        n[s, p], good[s, p] = n.get((s, p), 0) + 1, good.get((s, p), 0) + x
+        sn[s], sgood[s] = sn.get(s, 0) + 1, sgood.get(s, 0) + x
+    mean, means = sum(sgood.values()) / sum(sn.values()), np.array([sgood[s] / sn[s] for s in sn])
+    k_site = site_quality.strength(mean, (means**2).mean() - means.mean() ** 2, mean * (1 - mean) * np.mean([1 / sn[s] for s in sn]))
+    site_mean = {s: (sgood[s] + k_site * mean) / (sn[s] + k_site) for s in sn}
+    k_path = site_quality.strength(mean, np.mean([(good[k] / n[k] - site_mean[k[0]]) ** 2 for k in n]), mean * (1 - mean) * np.mean([1 / n[k] for k in n]))
+    out = {}
+    for (s, p, x), i in zip(rows, ids, strict=True):
+        site = (sgood[s] - x + k_site * mean) / (sn[s] - 1 + k_site)
+        out[i] = (good[s, p] - x + k_path * site) / (n[s, p] - 1 + k_path)
+    return out
+
+
+def test_site_priors_against_a_plain_version(spark):
+    """Places from pages, columns where there are none; all labels count; a document is left out of its own prior."""
+    r = random.Random(21)
+    rows = [(i, prose(r, 60) if r.random() < 0.8 else " ".join(w + "&&&" for w in prose(r, 40).split()), f"s{i % 3}", "en") for i in range(160)]
+    labels = [(i, r.randint(0, 1)) for i in range(0, 160, 3)]
+    places = [(i, f"h{i % 11}.org", r.choice("ab")) for i in range(0, 160, 2)] + [(0, "z.org", "a"), (7, "", "x"), (None, "h0.org", "a")]
+    docs = spark.createDataFrame(rows, DOCS + ", source string, lang string").withColumn("site", F.lit("clash"))
+    got = {x.doc_id: x for x in site_quality.site_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int"), places=spark.createDataFrame(places, "doc_id long, site string, path string")).collect()}
+    assert len(got) == 160 and got[0].site == "h0.org" and got[7].site == "s1"
+    label, p = dict(labels), {}
+    _, base = site_quality.fitted(docs, spark.createDataFrame(labels, "doc_id long, quality int"), "doc_id", "text")
+    for i in range(160):
+        p[i] = label[i] if i in label else 1 / (1 + np.exp(-(got[i].evidence + base)))
+    want = plain_priors([(got[i].site, got[i].path, p[i]) for i in range(160)], range(160))
+    assert all(abs(got[i].prior - want[i]) < 1e-9 for i in range(160))
+    assert all(abs(np.log(got[i].quality / (1 - got[i].quality)) - got[i].evidence - np.log(want[i] / (1 - want[i]))) < 1e-6 for i in range(160))
+
+
+def test_language_priors_leave_the_page_out(spark):
+    """Host and domain priors against a plain version; a page without evidence follows its host's other pages, a lone page votes once."""
+    r = random.Random(22)
+    words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["zwei", "acht", "quatsch"]}
+    text = lambda x, n: " ".join(r.choice(words[x]) for _ in range(n))
+    labelled = spark.createDataFrame([(text(x, 60), x) for x in ("aa", "bb") for _ in range(20)], "text string, lang string")
+    rows = [(i, f"http://h{i % 4}.d{i % 2}.org/x/{i}", f"<p>{text('aa' if i % 4 else 'bb', 50)}</p>") for i in range(40)]
+    rows += [(100, "http://h0.d0.org/y", "<p></p>"), (101, "http://lone.net/y", f"<html lang='aa'><p>{text('bb', 2)}</p>"), (102, "http://h1.d1.org/z", None), (103, None, ""), (100, "http://h0.d0.org/y", "<p></p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x for x in language.languages(pages, labelled).collect()}
+    assert got[100].lang == "bb" and got[102].lang == "aa" and language.languages(pages, labelled).count() == 45
+    own, of_host, of_domain, shares = [0.9, 0.1], [3.9, 0.1], [8.0, 2.0], [0.5, 0.5]
+    found = spark.range(1).select(language.host_prior(*[F.array(*map(F.lit, x)) for x in (own, of_host, of_domain, shares)]).alias("x")).first().x
+    for i in range(2):
+        domain = (of_domain[i] - own[i] + language.DOMAIN_STRENGTH * shares[i]) / (9 + language.DOMAIN_STRENGTH)
+        assert abs(found[i] - np.log((of_host[i] - own[i] + language.HOST_STRENGTH * domain) / (3 + language.HOST_STRENGTH))) < 1e-9
+    assert language.languages(pages.limit(0), labelled).count() == 0
