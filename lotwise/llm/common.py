@@ -34,6 +34,8 @@ def row_bytes(df: DataFrame) -> Column:
         kind, name = field.dataType, F.col(f"`{field.name}`")
         if isinstance(kind, (T.StringType, T.BinaryType)):
             total = total + F.coalesce(F.octet_length(name), F.lit(0))
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            total = total + 8 * F.greatest(F.size(name), F.lit(0))
         elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
             total = total + F.coalesce(F.octet_length(F.to_json(name)), F.lit(0))
     return total

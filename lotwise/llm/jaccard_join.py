@@ -12,7 +12,11 @@ of its tokens, which bounds how deep into any global order the first shared toke
    share - 1 most frequent of the shared prefix tokens form the index, so passages
    that many documents have in common rarely open a candidate group.
 3. Another hash order. A pair that is compared directly must share a token of its
-   prefixes under this order, too, before the sets are intersected.
+   prefixes under this order, too, before the sets are intersected. Pairs of a hub and a member
+   of its groups skip it: what a member shares with its hub is needed for the pivots, linked or not.
+
+Tokens and hubs that very many classes have are counted by partial aggregation and met by a
+broadcast within bounds; beyond them a hub's set is dealt out in copies, one for SPLIT members each.
 
 Groups are never expanded into pairs. Each index group is compared with one hub (a
 star), and what many members of a hub's family have beyond the hub joins the hub's
@@ -47,6 +51,8 @@ from .shingles import class_of, mix, shingle_sets, signed
 OTHER_ORDER = 0x5851F42D4C957F2D
 #: Hash segments by which overlaps with a pivot are counted (a power of two).
 SEGMENTS = 64
+#: Members of a hub that one copy of its set serves where hubs are not broadcast.
+SPLIT = 4096
 #: Members from which a hub's family gets a pivot, and the share of them that a token needs to join it.
 FAMILY, POPULAR = 8, 0.25
 
@@ -150,23 +156,24 @@ def surviving(docs: DataFrame, members: DataFrame, text_col: str = "text", size:
 
 
 def index(sets: DataFrame) -> DataFrame:
-    """t, c, size, score of the rarest-first prefixes; score says how central a class is among its groups."""
+    """Written table t, c, score of the rarest-first prefixes; score says how central a class is among its groups."""
     n = missing(F.col("size")) + share(F.col("size"))
     rows = sets.select("c", "size", F.explode(F.slice("tokens", F.lit(1), n.cast("int"))).alias("t"))
-    rows = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t"))).where(F.col("df") > 1)
+    held = written(rows.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1), "jaccard-tokens")
+    rows = rows.join(small_side(held), "t")
     own = Window.partitionBy("c")
     ranked = rows.withColumns({
         "rank": F.row_number().over(own.orderBy("df", "t")),
         "n": F.count(F.lit(1)).over(own),
         "score": F.sum("df").over(own),
     })
-    return ranked.where(F.col("rank") <= F.col("n") - least_shared(F.col("size")) + 1).select("t", "c", "size", "score")
+    return written(ranked.where(F.col("rank") <= F.col("n") - least_shared(F.col("size")) + 1).select("t", "c", "score"), "jaccard-index")
 
 
 def stars(groups: DataFrame) -> DataFrame:
     """Distinct (h, c): every class of a group with the group's most central class."""
-    hub = F.max(F.struct("score", "c")).over(Window.partitionBy("t"))
-    return groups.select("c", hub["c"].alias("h")).where(F.col("c") != F.col("h")).distinct()
+    hubs = small_side(written(groups.groupBy("t").agg(F.max(F.struct("score", "c"))["c"].alias("h")), "jaccard-hubs"))
+    return groups.join(hubs, "t").where(F.col("c") != F.col("h")).select("h", "c").distinct()
 
 
 def enough(i: Column, a: Column, b: Column) -> Column:
@@ -214,8 +221,14 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def star_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Written table h, c, size, hsize, i (overlap with h), segments (the same by segments), rest (what h lacks)."""
-    left = pairs.join(sets.select("c", "size", "tokens"), "c")
-    both = left.join(sets.select(F.col("c").alias("h"), F.col("size").alias("hsize"), F.col("tokens").alias("htokens")), "h")
+    pairs = written(pairs, "jaccard-pairs")
+    members = written(pairs.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")), "jaccard-members")
+    many = small_side(written(members.where("parts > 1"), "jaccard-large"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(many, "h", "left").select("h", "c", F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"))
+    hubs = sets.select(F.col("c").alias("h"), F.col("size").alias("hsize"), F.col("tokens").alias("htokens")).join(small_side(members), "h")
+    hubs = written(hubs.select("h", "hsize", "htokens", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), "jaccard-hub-sets")
+    both = sets.select("c", "size", "tokens").join(small_side(written(left, "jaccard-left")), "c").join(small_side(hubs), ["h", "part"])
     rows = both.select("h", "c", "size", "hsize", F.lit(0).alias("i"), F.lit(None).cast("array<int>").alias("segments"), "tokens", "htokens")
     return written(rows.mapInArrow(_overlaps, _MET), "jaccard-stars")
 
@@ -225,7 +238,7 @@ def with_pivots(met: DataFrame) -> DataFrame:
     families = met.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= FAMILY)
     beyond = met.join(families, "h").select("h", "members", F.explode("rest").alias("t")).groupBy("h", "t").agg(F.count(F.lit(1)).alias("n"), F.max("members").alias("members"))
     popular = beyond.where(F.col("n") >= F.greatest(F.lit(3), F.col("members") * POPULAR)).groupBy("h").agg(F.collect_list("t").alias("more"))
-    rows = met.join(popular, "h", "left").select("h", "c", "size", "hsize", "i", "segments", "rest", "more")
+    rows = met.join(small_side(written(popular, "jaccard-popular")), "h", "left").select("h", "c", "size", "hsize", "i", "segments", "rest", "more")
     return written(rows.mapInArrow(_overlaps, _MET), "jaccard-pivots")
 
 
@@ -265,8 +278,8 @@ def open_pairs(met: DataFrame, labels: DataFrame) -> DataFrame:
     # tokens beyond the pivot: the first that the least shared number of them allows; groups in one component need no look
     need = F.greatest(F.lit(1), F.col("size") - missing(F.col("size")) - F.col("i"))
     rest = everyone.withColumn("t", F.explode(F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.col("more") - need + 1).cast("int"))))
-    group = Window.partitionBy("h", "t")
-    mixed = rest.select("h", "t", "c", "size", "segments", "more", "label", F.min("label").over(group).alias("lo"), F.max("label").over(group).alias("hi")).where(F.col("lo") != F.col("hi"))
+    several = rest.groupBy("h", "t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("h", "t")
+    mixed = rest.join(small_side(written(several, "jaccard-mixed")), ["h", "t"]).select("h", "t", "c", "size", "segments", "more", "label")
     one = mixed.select("h", "t", F.col("c").alias("x"), F.col("size").alias("xsize"), F.col("segments").alias("xs"), F.col("more").alias("xmore"), F.col("label").alias("xlabel"))
     two = mixed.select(F.col("h").alias("yh"), F.col("t").alias("yt"), F.col("c").alias("y"), F.col("size").alias("ysize"), "segments", "more", F.col("label").alias("ylabel"))
     beside = one.join(two, (F.col("h") == F.col("yh")) & (F.col("t") == F.col("yt")) & (F.col("x") < F.col("y")) & (F.col("xlabel") != F.col("ylabel")) & enough(both + F.least("more", "xmore"), F.col("ysize"), F.col("xsize")))
