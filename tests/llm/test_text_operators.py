@@ -363,3 +363,147 @@ def test_language_priors_leave_the_page_out(spark):
         domain = (of_domain[i] - own[i] + language.DOMAIN_STRENGTH * shares[i]) / (9 + language.DOMAIN_STRENGTH)
         assert abs(found[i] - np.log((of_host[i] - own[i] + language.HOST_STRENGTH * domain) / (3 + language.HOST_STRENGTH))) < 1e-9
     assert language.languages(pages.limit(0), labelled).count() == 0
+
+
+def plain_links(parts, reach):
+    """Parts near which, within reach and in the same block, stand parts of the complementary roles; parts: (block, start, end, role)."""
+    near = lambda a, b: a[0] == b[0] and (0 <= b[1] - a[2] <= reach or 0 <= a[1] - b[2] <= reach)
+    inside = lambda a, b: a[0] == b[0] and (0 <= b[1] - a[1] <= reach or 0 <= a[1] - b[1] <= reach or 0 <= b[1] - a[2] <= reach or 0 <= a[1] - b[2] <= reach)
+    out = set()
+    for i, a in enumerate(parts):
+        met = {b[3] for j, b in enumerate(parts) if i != j and near(a, b)}
+        held = {b[3] for j, b in enumerate(parts) if i != j and inside(a, b)}
+        if (a[3] == "identifier" and "secret" in met) or (a[3] == "secret" and "identifier" in met):
+            out.add(i)
+        # an endpoint may hold the other two
+        if a[3] == "endpoint" and {"identifier", "secret"} <= held | met:
+            out.add(i)
+    return out
+
+
+def test_interval_join_against_all_pairs(spark):
+    """Identifiers and secrets link exactly where some pair lies within reach; endpoints never link where no pair could."""
+    r = random.Random(31)
+    rows, want, texts = [], {}, 40
+    for text in range(texts):
+        at, parts = 0, []
+        for _ in range(r.randint(0, 12)):
+            at += r.randint(0, 60)
+            size = r.randint(1, 30)
+            parts.append((r.randint(0, 1) if r.random() < 0.2 else at // 400, at, at + size, r.choice(("identifier", "secret", "endpoint"))))
+            at += size if r.random() < 0.8 else 0
+        rows += [(text, text, b, s, e, role, False) for b, s, e, role in parts]
+        want[text] = {(parts[i][1], parts[i][2], parts[i][3]) for i in plain_links(parts, 50) if parts[i][3] != "endpoint"}
+    found = secret_scan.linked(spark.createDataFrame(rows, "id long, k long, block int, s long, e long, role string, strong boolean").distinct(), 50).collect()
+    got = {}
+    for x in found:
+        if x.role != "endpoint":
+            got.setdefault(x.id, set()).add((x.s, x.e, x.role))
+    assert {k: v for k, v in want.items() if v} == got
+    ends = {(x.id, x.s, x.e) for x in found if x.role == "endpoint"}
+    possible = set()
+    for text in range(texts):
+        parts = [(b, s, e, role) for t, _, b, s, e, role, _ in rows if t == text]
+        possible |= {(text, parts[i][1], parts[i][2]) for i in plain_links(parts, 50) if parts[i][3] == "endpoint"}
+    assert ends <= possible and ends
+
+
+def plain_graph(items, words, rounds, threshold):
+    """Scores of candidates by the same rules, in plain loops; items: (kind or None, v, l, r)."""
+    edges = {}
+    for kind, v, left, right in items:
+        for side, word in (("L", left), ("R", right)):
+            if word:
+                edges[side, word, v, kind] = edges.get((side, word, v, kind), 0) + 1
+    seeds, distinct = {}, {}
+    for (side, word, _, kind), times in edges.items():
+        if kind:
+            seeds[side, word, kind] = seeds.get((side, word, kind), 0) + times
+            distinct[side, word, kind] = distinct.get((side, word, kind), 0) + 1
+    patterns = {p: n for p, n in seeds.items() if distinct[p] >= personal_data.MIN_SEEDS and p[1] in words}
+    links = [(side, word, kind, v, times) for (side, word, v, k), times in edges.items() if k is None for (s2, w2, kind) in patterns if (s2, w2) == (side, word)]
+    known = {p: n / (words[p[1]] + personal_data.SMOOTHING) for p, n in patterns.items()}
+    score = {}
+    for _ in range(rounds):
+        odds = {}
+        for side, word, kind, v, _ in links:
+            odds[v, kind] = odds.get((v, kind), 0.0) + np.log1p(-min(known[side, word, kind], 0.999))
+        score = {k: 1 - np.exp(x) for k, x in odds.items() if 1 - np.exp(x) >= threshold}
+        known = {p: (n + sum(score.get((v, p[2]), 0.0) * times for side, word, kind, v, times in links if (side, word, kind) == p)) / (words[p[1]] + personal_data.SMOOTHING) for p, n in patterns.items()}
+    return score
+
+
+def test_pattern_graph_against_a_plain_version(spark):
+    r = random.Random(32)
+    vocabulary = ["to", "mail", "tel", "call", "at", ""]
+    items = [(r.choice(("email", "phone", None, None)), f"v{r.randint(0, 25)}", r.choice(vocabulary), r.choice(vocabulary)) for _ in range(400)]
+    words = {w: sum((a == w) + (b == w) for _, _, a, b in items) + r.randint(0, 60) for w in vocabulary if w}
+    held = spark.createDataFrame(items, "kind string, v string, l string, r string")
+    for threshold in (0.3, 0.6):
+        got = {(x.v, x.kind): x.score for x in personal_data.discovered(held, spark.createDataFrame(list(words.items()), "word string, n long"), 3, threshold).collect()}
+        want = plain_graph(items, words, 3, threshold)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+        assert got or threshold > 0.5
+
+
+def plain_templates(rows):
+    """Templates by the same rules, host by host in plain loops; rows: (host, segments, bad or None)."""
+    typed = lambda s: "<n>" if re.fullmatch("[0-9]+", s) else s
+    out = [""] * len(rows)
+    for level in range(max(len(s) for _, s, _ in rows)):
+        groups = {}
+        for i, (host, segments, _) in enumerate(rows):
+            if len(segments) > level:
+                groups.setdefault((host, out[i]), []).append(i)
+        for members in groups.values():
+            own, after = {}, {}
+            for i in members:
+                own.setdefault(typed(rows[i][1][level]), []).append(i)
+            marked = [rows[i][2] for i in members if rows[i][2] is not None]
+            for segment, inside in own.items():
+                labels = [rows[i][2] for i in inside if rows[i][2] is not None]
+                rest = len(marked) - len(labels)
+                differs = False
+                if labels and rest:
+                    pooled = sum(marked) / len(marked)
+                    gap = abs(sum(labels) / len(labels) - (sum(marked) - sum(labels)) / rest)
+                    differs = gap > url_filter.Z * np.sqrt(pooled * (1 - pooled) * (1 / len(labels) + 1 / rest))
+                literal = segment.startswith("<") or (len(inside) >= url_filter.MIN_COUNT and (differs or len(inside) == len(members)))
+                for i in inside:
+                    after[i] = f"{out[i]}/{segment if literal else '*'}"
+            for i, template in after.items():
+                out[i] = template
+    return out
+
+
+def test_template_tree_against_a_plain_version(spark):
+    """Random trees up to five levels with labels, ties, repeated rows and missing labels."""
+    r = random.Random(33)
+    rows = []
+    for _ in range(900):
+        segments = [r.choice(("news", "spam", "shop", "x", str(r.randint(1, 99)))) for _ in range(r.randint(0, 5))]
+        bad = None if r.random() < 0.3 else int("spam" in segments[:2] or r.random() < 0.1)
+        rows.append((r.choice(("a.org", "b.org", "c.org")), segments, bad))
+    rows += rows[:20]
+    pages = spark.createDataFrame([(i, f"http://{h}/{'/'.join(s)}") for i, (h, s, _) in enumerate(rows)], "page_id long, url string")
+    labelled = spark.createDataFrame([(i, b) for i, (_, _, b) in enumerate(rows) if i % 5], "page_id long, bad int")
+    rows = [(h, s, b if i % 5 else None) for i, (h, s, b) in enumerate(rows)]
+    got = {x.page_id: x for x in url_filter.url_filter(pages, [], labelled).collect()}
+    want = plain_templates(rows)
+    assert [got[i].template for i in range(len(rows))] == want
+    sums, alike = {}, {}
+    for (host, _, bad), template in zip(rows, want, strict=True):
+        for held, key in ((sums, (host, template)), (alike, template)):
+            n, b = held.get(key, (0, 0))
+            held[key] = (n + (bad is not None), b + (bad or 0))
+    rate = sum(b for _, b in alike.values()) / sum(n for n, _ in alike.values())
+    for i, ((host, _, _), template) in enumerate(zip(rows, want, strict=True)):
+        over = (alike[template][1] + url_filter.STRENGTH * rate) / (alike[template][0] + url_filter.STRENGTH)
+        purity = 1 - (sums[host, template][1] + url_filter.STRENGTH * over) / (sums[host, template][0] + url_filter.STRENGTH)
+        assert abs(got[i].purity - purity) < 1e-9 and got[i].verdict == ("block" if purity < url_filter.THRESHOLD else "allow")
+
+
+def test_masking_base_spans(spark):
+    texts = [None, "", "write to a@b.org or +1 212 555 0100", "1.2.3.4 and 4111 1111 1111 1111", "nothing", "a@b.c" * 2]
+    rows = {x.doc_id: x.text for x in personal_data.masked(spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("_text", F.lit("mine"))).collect()}
+    assert rows[0] is None and rows[1] == "" and rows[2] == "write to <email> or <phone>" and rows[3] == "<ip> and <card>" and rows[4] == "nothing"
