@@ -135,7 +135,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "pii-base",
     )
     items = held.select("id", "k", F.explode("items").alias("x")).select("id", "k", "x.*")
-    words = own.select(F.explode(F.split(F.lower("t"), f"[{WS}]+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # only words that seeds make patterns of are counted
+    patterns = _patterns(items.where(F.col("kind").isNotNull())).groupBy("side", "word", "kind").agg(F.count_distinct("v").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
+    wanted = small_side(written(patterns.select("word").distinct(), "pii-words"))
+    words = own.select(F.explode(F.split(F.lower("t"), f"[{WS}]+")).alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     score = written(discovered(items, words, rounds, threshold), "pii-found")
     candidates = items.where(F.col("kind").isNull()).drop("kind", "l", "r").distinct()
     best = score.groupBy("v").agg(F.max_by("kind", "score").alias("kind"), F.max("score").alias("score"))
