@@ -73,8 +73,8 @@ def trigram_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
 
 def visible_text(html: Column) -> Column:
-    """The page without scripts, styles, comments and tags."""
-    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*+>|<!--.*?-->", " "), r"<[^<>]*+>", " ")
+    """The page without scripts, styles, comments and tags; one that is not closed reaches to the page's end, so no page is scanned twice."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\z)|<!--.*?(?:-->|\z)", " "), r"<[^<>]*+>", " ")
 
 
 def likelihoods(model):

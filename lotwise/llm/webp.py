@@ -161,6 +161,11 @@ def read_code(bits: Bits, alphabet: int) -> Code:
             lengths[symbol : symbol + times] = [last] * times
         symbol += times
     bits.skip(AHEAD - room)
+    return Code.of(np.array(lengths, np.int64)) if alphabet > 40 else _known_code(tuple(lengths))
+
+
+@lru_cache(maxsize=64)
+def _known_code(lengths: tuple[int, ...]) -> Code:
     return Code.of(np.array(lengths, np.int64))
 
 
@@ -742,6 +747,14 @@ def _used(lengths: np.ndarray) -> np.ndarray:
     return lengths if np.count_nonzero(lengths) > 1 else np.zeros_like(lengths)
 
 
+@lru_cache(maxsize=1)
+def _far_code() -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The writer's code of distances, which are few and spread: lengths, codes, and how it is written."""
+    lengths, out = np.repeat([5, 6], [24, 16]), Writer()
+    put_lengths(out, lengths)
+    return lengths, codewords(lengths), out.value, out.n
+
+
 def put_image(head: Writer, values: np.ndarray, width: int, alpha: int) -> tuple[np.ndarray, np.ndarray]:
     """Writes the codes of an image whose green varies to head; the bits of its symbols as values and sizes."""
     place = np.arange(len(values))
@@ -766,17 +779,17 @@ def put_image(head: Writer, values: np.ndarray, width: int, alpha: int) -> tuple
     symbol[copies[:, 0]] = 256 + times
     symbol = symbol[shown]
     green = code_lengths(np.bincount(symbol, minlength=280 + (1 << CACHE_BITS)), 15)
-    distance = code_lengths(np.bincount(far, minlength=40) if len(far) else np.eye(1, 40, dtype=np.int64)[0], 15)
+    distance, words, *written = _far_code()
     head.put(1, 1)
     head.put(CACHE_BITS, 4)
     head.put(0, 1)  # one group of codes
     put_lengths(head, green)
     for only in (0, 0, alpha):
         _put_code(head, [only], 256)
-    put_lengths(head, distance)
+    head.put(*written)
     bits, sizes = codewords(green)[symbol].astype(np.uint64), _used(green)[symbol]
     at = np.flatnonzero((symbol >= 256) & (symbol < 280))
-    for x, n in ((times_extra, times_bits), (codewords(distance)[far], _used(distance)[far]), (far_extra, far_bits)):
+    for x, n in ((times_extra, times_bits), (words[far], distance[far]), (far_extra, far_bits)):
         bits[at] |= x.astype(np.uint64) << sizes[at].astype(np.uint64)
         sizes[at] += n
     return bits, sizes

@@ -507,3 +507,13 @@ def test_masking_base_spans(spark):
     texts = [None, "", "write to a@b.org or +1 212 555 0100", "1.2.3.4 and 4111 1111 1111 1111", "nothing", "a@b.c" * 2]
     rows = {x.doc_id: x.text for x in personal_data.masked(spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("_text", F.lit("mine"))).collect()}
     assert rows[0] is None and rows[1] == "" and rows[2] == "write to <email> or <phone>" and rows[3] == "<ip> and <card>" and rows[4] == "nothing"
+
+
+def test_unclosed_markup_is_read_once(spark):
+    """Thousands of scripts and comments that are not closed neither crash nor take long; closed ones go, text stays."""
+    import time
+
+    pages = [(1, "a <script>x</script> b <!-- c --> <b>d</b>"), (2, "a " + "<script>x <!-- " * 30_000), (3, "<style>" * 30_000 + "b"), (4, None)]
+    start = time.time()
+    got = {x.i: x.t for x in spark.createDataFrame(pages, "i int, t string").select("i", language.visible_text(F.col("t")).alias("t")).collect()}
+    assert got[1].split() == ["a", "b", "d"] and got[2].split() == ["a"] and got[3].strip() == "" and got[4] is None and time.time() - start < 30
