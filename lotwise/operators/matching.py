@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,19 +60,27 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 50, query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding", digits: int = 9, blocks: int = 64) -> DataFrame:
+#: Bytes of the queries that a vector meets at a time, and of those that are broadcast at a time.
+BLOCK_BYTES, BROADCAST_BYTES = 2**20, 64 * 2**20
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 50, query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
     """The k most similar vectors of each query, by score, then id.
 
-    The stated query set is grouped into `blocks` rows and each vector meets each block, so
-    the catalogue is read once and never shuffled whole: a partial top k leaves each task.
+    The stated query set is counted, dealt into blocks of some BLOCK_BYTES and broadcast, at most
+    BROADCAST_BYTES at a time; each vector meets each block, so the catalogue is read once for each
+    broadcast and never shuffled: a partial top k leaves each task.
     """
     k = min(max(k, 1), 500)
     unit = lambda v: F.transform(v, lambda x: x.cast("double"))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     side = queries.select(F.col(query_id).alias("_q"), unit(F.col(vector)).alias("_v")).withColumn("_n", norm(F.col("_v")))
-    packed = side.groupBy(F.pmod(F.xxhash64("_q"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("_q", "_v", "_n")).alias("_queries"))
+    size = side.agg(F.sum(8 * F.size("_v").cast("long") + 32).alias("n")).first()["n"] or 0
+    blocks, rounds = -(-size // BLOCK_BYTES) or 1, -(-size // BROADCAST_BYTES) or 1
+    packed = side.groupBy(F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(F.struct("_q", "_v", "_n")).alias("_queries"))
     rows = vectors.select(F.col(vector_id), unit(F.col(vector)).alias("_w")).withColumn("_m", norm(F.col("_w")))
-    met = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "_block")
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = reduce(DataFrame.unionByName, [rows.join(F.broadcast(packed.where(F.col("_block") % rounds == r)), "_block") for r in range(rounds)])
     dot = lambda v: F.aggregate(F.zip_with(v, F.col("_w"), lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
     scored = met.select(vector_id, F.explode(F.transform("_queries", lambda x: F.struct(x["_q"].alias(query_id), F.round(dot(x["_v"]) / F.nullif(x["_n"] * F.col("_m"), F.lit(0.0)), digits).alias("score")))).alias("x")).select("x.*", vector_id)
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), vector_id)

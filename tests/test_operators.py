@@ -272,3 +272,60 @@ def test_text_rules_cover_every_document(spark, tmp_path):
     got = {x.doc_id: (x.gap_hit, x.gap_text) for x in entry.queries()["text_rules_all_docs"](spark, str(tmp_path)).collect()}
     want = {i: (None, None) if t is None else (bool(plain_gap(t)), plain_gap(t)) for i, t in enumerate(texts)}
     assert got == want and 20 < sum(bool(hit) for hit, _ in got.values()) < 350
+
+
+def test_top_k_in_several_broadcasts(spark, monkeypatch):
+    """Blocks and rounds do not change who is nearest."""
+    import random
+
+    r = random.Random(5)
+    vectors = spark.createDataFrame([(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(120)], "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    want = sorted(tuple(x) for x in matching.top_k(queries, vectors, 4).select("query_id", "vec_id", "rank", "score").collect())
+    monkeypatch.setattr(matching, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", 1000)
+    assert sorted(tuple(x) for x in matching.top_k(queries, vectors, 4).select("query_id", "vec_id", "rank", "score").collect()) == want and len(want) == 160
+    assert matching.top_k(queries.limit(0), vectors, 4).count() == 0
+
+
+def test_voltage_evidence_is_the_firing_match(spark):
+    text = "кабель 010 кВ " + "x " * 300 + "выключатель 110 кВ конец"
+    assert [(r, "110 кВ" in e and "010" not in e) for r, e in reasons(spark, text)] == [(rules.VOLTAGE, True)]
+    assert names(spark, "кабель 12,40 кВ") == [] and names(spark, "35 кВ") == [rules.VOLTAGE] and names(spark, None) == []
+
+
+def test_checks_and_context(spark):
+    import json
+
+    rows = spark.createDataFrame([("Мониторинг рынка", 3, 2.0, "5 000", "2024-01-31", "01.08.2025", 0), (None, 1, None, None, None, None, 2)], "all_text string, report_id int, remaining_days double, initial_price string, date_created string, delivery_date string, total long")
+    day = F.lit("2024-02-01").cast("date")
+    out = rules.decision_context(rules.with_checks(rules.hard_reasons(rows, day), day), 5).collect()
+    first, second = (json.loads(x.context) for x in sorted(out, key=lambda x: -x.report_id))
+    assert first["marketResearchCheck"]["triggered"] and first["submissionDeadlineCheck"]["triggered"] and first["initialPriceNumeric"] == 5000 and first["deliveryDeadlineCheck"]["exceedsMaximum"]
+    assert rules.MARKET in first["reasonOptions"] and rules.MARKET not in second["reasonOptions"] and not set(rules.NOT_OFFERED) & set(first["reasonOptions"])
+    assert second["deliveryDeadlineCheck"] == {"createdDate": "2024-02-01", "deliveryDate": None, "maximumPeriodMonths": 18, "limitDate": "2025-08-01", "exceedsMaximum": False}
+    assert not first["documentationCheck"]["productsExtracted"] and {x.context_text for x in out} == {"Монит", ""}
+
+
+def test_rows_with_units_and_labels(spark):
+    text = "Строка 1: A: 1 | B: Кабель: силовой | D: шт | E: 10\nСтрока 2: B: Кол-во | D: шт | E: 4\nСтрока 3: A: 7 | D: шт | E: 4\nСтрока 4: B: Лампа | C: шт\nНаименование товара: Труба | Ед. изм.: м | Кол-во: 2,5\nстрока 5: B: Кабель: силовой | D: ШТ | E: 10"
+    docs = spark.createDataFrame([("t", text), ("u", None), ("v", "")], "t string, text string")
+    got = [(r.product, r.unit, r.quantity) for r in positions.unit_rows(docs, ["t"]).orderBy("line_no").collect()]
+    assert got == [("Кабель: силовой", "шт", 10.0), ("Кабель: силовой", "ШТ", 10.0)]
+    got = [(r.product, r.unit, r.quantity) for r in positions.deterministic_positions(docs, ["t"]).orderBy("ord").collect()]
+    assert got == [("Кабель: силовой", "шт", 10.0), ("Труба", "м", 2.5)]
+
+
+def test_files_are_told_read_and_clipped(spark):
+    rows = [(1, "a.csv", "Наименование;Цена\nКабель;5\n".encode("cp1251")), (2, "b.bin", b"%PDF-1"), (3, "c.docx", b"PK\x03\x04broken"), (4, "d.csv", b""), (5, None, None)]
+    got = {r.k: r for r in files.parsed_files(spark.createDataFrame(rows, "k int, name string, content binary"), ["k"], most=40).collect()}
+    assert got[1].text == "Лист: CSV\nСтрока 1: A: Наименование | B:" and got[1].status == "ok" and len(got[1].warnings) == 1
+    assert (got[2].file_type, got[2].status) == ("pdf", "unsupported") and got[3].status == "error" and got[4].status == "no_text" and got[5].status == "unsupported" and len(got) == 5
+
+
+def test_fields_are_written_with_their_meta(spark):
+    rows = spark.createDataFrame([("v",), (" ",), (None,)], "x string")
+    none = F.expr("cast(map() as map<string,struct<source:string,confidence:string,evidence:string>>)")
+    fields, meta = normalize.written_field(F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("kept")), none, "a", F.col("x"), F.lit("s"), F.lit("high"), F.lit("e" * 1000))
+    got = {r.x: (r.f, r.m) for r in rows.select("x", fields.alias("f"), meta.alias("m")).collect()}
+    assert got["v"][0] == {"a": "v", "b": "kept"} and len(got["v"][1]["a"].evidence) == 900 and got[" "] == got[None] == ({"a": "old", "b": "kept"}, {})
