@@ -14,7 +14,7 @@ from ..shared import shared_dir
 #: Fixed value: ASCII white space, as a regular-expression class body.
 WS = r"\x20\x09-\x0D"
 #: Rows of a side, and bytes of their values, that may be broadcast after they have been counted; beyond either the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 * 2**20
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 12 * 2**20
 #: Matches that one step of a span fold holds, so that a text's fold is not quadratic in its matches.
 CHUNK = 256
 

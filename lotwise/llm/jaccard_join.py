@@ -15,8 +15,8 @@ of its tokens, which bounds how deep into any global order the first shared toke
    prefixes under this order, too, before the sets are intersected. Pairs of a hub and a member
    of its groups skip it: what a member shares with its hub is needed for the pivots, linked or not.
 
-Tokens and hubs that very many classes have are counted by partial aggregation and met by a
-broadcast within bounds; beyond them a hub's set is dealt out in copies, one for SPLIT members each.
+Tokens that very many classes have are counted by partial aggregation and met by a broadcast within
+bounds, else by a join that is split where it is skewed; a hub's set is dealt out in copies, one for SPLIT members each.
 
 Groups are never expanded into pairs. Each index group is compared with one hub (a
 star), and what many members of a hub's family have beyond the hub joins the hub's
@@ -51,7 +51,7 @@ from .shingles import class_of, mix, shingle_sets, signed
 OTHER_ORDER = 0x5851F42D4C957F2D
 #: Hash segments by which overlaps with a pivot are counted (a power of two).
 SEGMENTS = 64
-#: Members of a hub that one copy of its set serves where hubs are not broadcast.
+#: Members of a hub that one copy of its set serves.
 SPLIT = 4096
 #: Members from which a hub's family gets a pivot, and the share of them that a token needs to join it.
 FAMILY, POPULAR = 8, 0.25
@@ -228,7 +228,7 @@ def star_overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = pairs.join(many, "h", "left").select("h", "c", F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"))
     hubs = sets.select(F.col("c").alias("h"), F.col("size").alias("hsize"), F.col("tokens").alias("htokens")).join(small_side(members), "h")
     hubs = written(hubs.select("h", "hsize", "htokens", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), "jaccard-hub-sets")
-    both = sets.select("c", "size", "tokens").join(small_side(written(left, "jaccard-left")), "c").join(small_side(hubs), ["h", "part"])
+    both = sets.select("c", "size", "tokens").join(small_side(written(left, "jaccard-left")), "c").join(hubs, ["h", "part"])
     rows = both.select("h", "c", "size", "hsize", F.lit(0).alias("i"), F.lit(None).cast("array<int>").alias("segments"), "tokens", "htokens")
     return written(rows.mapInArrow(_overlaps, _MET), "jaccard-stars")
 

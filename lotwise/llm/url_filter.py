@@ -119,14 +119,17 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: Da
     labelled: id and bad (0 or 1) of some pages.
     """
     had = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "template", "purity", "bad")]
-    rows = pages.select(*[F.col(f"`{c}`") for c in had], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    # the page's own columns travel in a struct, so that none of their names can clash
+    own = F.struct(*[F.col(f"`{c}`") for c in had]).alias("_page")
+    rows = pages.select(own, F.col(id_col).alias("_key"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if labelled is None:
         rows = rows.withColumn("bad", F.lit(None).cast("int"))
     else:
         marks = small_side(written(labelled.select(F.col(id_col).alias("_id"), "bad").dropDuplicates(["_id"]), "url-labels"))
-        rows = rows.join(marks, F.col(id_col) == F.col("_id"), "left").drop("_id")
+        rows = rows.join(marks, F.col("_key") == F.col("_id"), "left").drop("_id")
     rows = templates(rows)
     judged = rows.join(small_side(written(purities(rows), "url-purities")), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left").drop("_h", "_t", "bad")
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("purity") < threshold, "block").otherwise("allow")
-    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_method)})
+    back = [F.col(f"_page.`{c}`").alias(c) for c in had]
+    return judged.select(*back, "host", "path", "template", "purity", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"))

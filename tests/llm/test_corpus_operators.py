@@ -407,3 +407,36 @@ def test_entropy_target_and_passes(spark):
     assert len({t[:4] for t in taken}) == len(taken)  # no two rows share a place of a pass
     blocks = {(t[0], t[1], t[5]): t[2] for t in taken}
     assert len(set(blocks.values())) == len(blocks) and all(blocks[t[0], t[1], t[5]] == t[2] for t in taken)
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """An empty table gives an empty result with the same columns; nulls, empty and repeated rows and extra columns pass through."""
+    import corpus_pipeline
+
+    schema = DOCS + ", lang string, source string, n_chars long, extra string, _k long"
+    r = random.Random(9)
+    prose = " ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8))) + ("." if r.random() < 0.08 else "") for _ in range(60))
+    other = " ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8))) + ("." if r.random() < 0.08 else "") for _ in range(60))
+    rows = [(1, None, None, None, None, None, None), (2, "", "en", "s", 0, "x", 1), (3, prose, "en", "s", 1, "x", 1), (3, prose, "en", "s", 1, "x", 1), (None, other, None, None, None, None, None)]
+    for name, data in (("none", []), ("some", rows)):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+    empty, some = (corpus_pipeline.run(spark, str(tmp_path / name)) for name in ("none", "some"))
+    assert empty.columns == some.columns and empty.count() == 0
+    got = some.collect()
+    assert {x.doc_id for x in got} == {3, None} and all(x.round_trip for x in got)
+
+
+def test_hot_tokens_without_broadcasts(spark, monkeypatch):
+    """The same components where neither tokens, pairs nor hubs are broadcast and hubs are dealt out in copies."""
+    rows = family(5, 150, (60, 90), 5, 2) + [(1000 + i, "same words in very many texts of one kind here " * 3) for i in range(40)]
+    monkeypatch.setattr(jaccard_join, "SPLIT", 3)
+    monkeypatch.setattr(jaccard_join, "small_side", lambda df, *a: df)
+    got = {x.id: (x.size, x.component) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
+    assert got == plain_components(rows)
+
+
+def test_source_mixing_query_binds(spark):
+    """op7's target is met by an exponent strictly inside (0, 1) on the given tables."""
+    rows = queries.op7_source_mixing(spark, "/root/testdata/sf0.001").toPandas()
+    by = rows.groupby("source").weight.first()
+    assert 0 < rows["exponent"].iloc[0] < 1 and abs(-(by * np.log(by)).sum() / np.log(len(by)) - queries.SOURCE_ENTROPY) < 1e-6

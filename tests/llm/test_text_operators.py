@@ -517,3 +517,32 @@ def test_unclosed_markup_is_read_once(spark):
     start = time.time()
     got = {x.i: x.t for x in spark.createDataFrame(pages, "i int, t string").select("i", language.visible_text(F.col("t")).alias("t")).collect()}
     assert got[1].split() == ["a", "b", "d"] and got[2].split() == ["a"] and got[3].strip() == "" and got[4] is None and time.time() - start < 30
+
+
+def test_url_filter_edge_cases(spark):
+    """Null labels, repeated rows and labels, clashing columns and hosts without labels have defined results."""
+    pages = spark.createDataFrame([(1, "http://a.org/x/1"), (1, "http://a.org/x/1"), (2, None), (None, "http://b.org/"), (3, "http://b.org/y")], "page_id long, url string").withColumns({"Template": F.lit("mine"), "_h": F.lit(1)})
+    marks = spark.createDataFrame([(1, None), (1, 1), (2, 0), (None, 1)], "page_id long, bad int")
+    got = url_filter.url_filter(pages, [], marks)
+    assert got.count() == 5 and [c.lower() for c in got.columns].count("template") == 1
+    assert {x.verdict for x in got.collect()} <= {"allow", "block"} and url_filter.url_filter(pages, [], marks.limit(0)).where("verdict = 'allow'").count() == 5
+
+
+def test_long_texts_with_many_matches(spark):
+    text = " ".join(f"u{i}@site.org 10.0.0.{i % 256} password=abcdefgh{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, text)], DOCS)
+    x = personal_data.digest(personal_data.personal_data(docs)).first()
+    want = plain_personal(text)
+    assert (x.n_email, x.n_ip, x.base_sha256) == (3000, 3000, sha(sum(want, [])))
+    y = secret_scan.digest(secret_scan.secret_scan(docs)).first()
+    assert y.n_assign == 3000 and y.base_sha256 == sha(plain_secrets(text))
+
+
+def test_site_quality_with_repeated_ids(spark):
+    """Ids that repeat in documents and labels neither multiply rows nor fail."""
+    r = random.Random(41)
+    rows = [(i % 50, prose(r, 40), "s", "en") for i in range(150)]
+    labels = spark.createDataFrame([(i % 50, i % 2) for i in range(200)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, DOCS + ", source string, lang string").withColumns({"prior": F.lit("clash"), "_id": F.lit(0)})
+    got = site_quality.site_quality(docs, labels).collect()
+    assert len(got) == 150 and all(0 < x.prior < 1 for x in got)
