@@ -203,14 +203,14 @@ PLANTED_SQL = "".join(f" WHEN {i} THEN '{reason}'" for i, (_, reason) in enumera
 
 
 @query(f"""SELECT doc_id, CASE doc_id % {len(PHRASES)}{PLANTED_SQL} ELSE '' END AS reasons,
-  CASE WHEN doc_id % {len(PHRASES)} < {sum(r is not None for _, r in PHRASES)} THEN true END AS shown FROM documents""")
+  doc_id % {len(PHRASES)} < {sum(r is not None for _, r in PHRASES)} AS shown FROM documents""")
 def text_reasons_planted(read: Frame) -> DataFrame:
     """All text rules over every document's whole text with a phrase after it: what fires, and whether the evidence shows the phrase."""
     phrase = F.element_at(F.array(*[F.lit(p) for p, _ in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
     core = F.element_at(F.array(*[F.lit(p.split(" и ")[-1].removesuffix(" дней")) for p, _ in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
     tenders = read("documents").select("doc_id", core.alias("core"), F.concat_ws("\n", "text", phrase).alias("all_text"), F.lit(100.0).alias("coverage_percent"), F.lit(1).cast("long").alias("total"), F.lit(3).alias("report_id"))
     found = rules.hard_reasons(tenders, F.lit("2024-01-01").cast("date"))
-    return found.select("doc_id", F.array_join(F.transform("hard", lambda x: x["reason"]), " | ").alias("reasons"), F.get("hard", F.lit(0))["evidence"].contains(F.col("core")).alias("shown"))
+    return found.select("doc_id", F.array_join(F.transform("hard", lambda x: x["reason"]), " | ").alias("reasons"), F.coalesce(F.get("hard", F.lit(0))["evidence"].contains(F.col("core")), F.lit(False)).alias("shown"))
 
 
 GAP = r"(?:the|der|los)[\s\S]{0,40}(?:and|und|con)[\s\S]{0,40}(?:of|von|del)"
