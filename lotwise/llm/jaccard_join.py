@@ -318,8 +318,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         single = top.join(labels.select("c"), "c", "left_anti")
         labels = written(lower.unionByName(single.select("c", "label")), "jaccard-final")
     named = members.where(F.col("size") > 0).join(labels, "c", "left").withColumn("root", F.coalesce("label", "c"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component"))
-    held = named.join(smallest, "root").select("k", "id", "size", "component", "root")
+    # written first, so that both sides of the join are plain shuffles, whose large partitions Spark splits
+    smallest = written(named.groupBy("root").agg(F.min("id").alias("component")), "jaccard-smallest")
+    held = named.join(small_side(smallest), "root").select("k", "id", "size", "component", "root")
     return written(held.unionByName(members.where(F.col("size") == 0).select("k", "id", "size", F.col("id").alias("component"), F.lit(None).cast("long").alias("root"))), "jaccard-components")
 
 
@@ -332,8 +333,9 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = found.where(F.col("size") > 0).select("k").distinct().join(best.select("k"), "k", "left_anti")
     gone = small_side(written(gone.select(F.col("k").alias(key)), "jaccard-copies"))
     kept = docs.withColumn(own, text_key(id_col, text_col)).join(gone, F.col(own) == F.col(key), "left_anti")
-    repeated = found.where(F.col("size") > 0).join(best, "k", "left_semi").groupBy("k").count().where(F.col("count") > 1)
+    repeated = found.where(F.col("size") > 0).groupBy("k").count().where(F.col("count") > 1)
+    repeated = written(repeated.join(best.select("k"), "k", "left_semi").select(F.col("k").alias(key)), "jaccard-repeated")
     if not repeated.isEmpty():
-        full = kept.withColumn("_", F.when(F.length(F.trim(text_col)) > 0, F.col(own)))
-        kept = full.where(F.col("_").isNotNull()).dropDuplicates(["_"]).unionByName(full.where(F.col("_").isNull())).drop("_")
+        same, side = F.col(own) == F.col(key), small_side(repeated)
+        kept = kept.join(side, same, "left_anti").unionByName(kept.join(side, same, "left_semi").dropDuplicates([own]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .shingles import mix
 from .textstats import passes
 
@@ -492,8 +493,8 @@ def sampled(docs: DataFrame, model_path: str, k: int = 3, temperature: float = 1
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(model_bytes(spark, model_path))
     new = [T.StructField("samples", T.ArrayType(_SAMPLE))] + ([T.StructField("decoded", T.StringType())] if decode else [])
-    had = [c for c in docs.columns if c.lower() not in ("_key", *[f.name for f in new])]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in had], F.xxhash64(F.lit(seed), F.col(id_col)).alias("_key"))
+    had = [c for c in docs.columns if c.lower() not in [f.name for f in new]]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in had], F.xxhash64(F.lit(seed), F.col(id_col)).alias(fresh(docs, "_key")[0]))
     schema = T.StructType([*[f for f in docs.schema if f.name in had], *new])
     return keyed.mapInArrow(partial(_sampled, text_at=had.index(text_col), k=k, temperature=temperature, model=model, decode=decode), schema)
 

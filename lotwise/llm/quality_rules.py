@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import fresh, written
 from .textstats import COUNTS, text_counts
 
 _STATS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
@@ -80,7 +80,8 @@ ROUNDS = 100
 def with_votes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds COUNTS and `votes`, the votes of RULES as base-3 digits."""
     had = [c for c in docs.columns if c.lower() not in {*COUNTS, "votes"}]
-    out = docs.withColumn("_stats", text_statistics(F.col(text_col))).select(*[docs[f"`{c}`"] for c in had], "_stats.*")
+    (stats,) = fresh(docs, "_stats")
+    out = docs.withColumn(stats, text_statistics(F.col(text_col))).select(*[F.col(f"`{c}`") for c in had], F.col(f"{stats}.*"))
     code = F.lit(0)
     votes = rules()
     for name in RULES:

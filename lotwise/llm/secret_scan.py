@@ -131,11 +131,11 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     """
     from .personal_data import replaced
 
-    key, more, ident, union = fresh(docs, "_key", "_more", "_id", "_spans")
+    key, own, more, ident, union = fresh(docs, "_key", "_own", "_more", "_id", "_spans")
     found = secret_scan(docs, id_col, text_col, reach).where(F.size("secrets.found") > 0)
     found = written(found.select(F.col(id_col).alias(ident), F.col("key").alias(key), F.transform("secrets.found", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(more)).distinct(), "secrets-join")
-    keyed = docs.withColumn(f"{key}_", text_key(id_col, text_col))
-    out = keyed.join(small_side(found), (F.col(key) == F.col(f"{key}_")) & F.col(ident).eqNullSafe(F.col(id_col)), "left")
+    keyed = docs.withColumn(own, text_key(id_col, text_col))
+    out = keyed.join(small_side(found), (F.col(key) == F.col(own)) & F.col(ident).eqNullSafe(F.col(id_col)), "left")
     every = F.array_sort(F.concat(*[base_spans(F.col(text_col), kind) for kind in KINDS], F.coalesce(F.col(more), F.expr("cast(array() as array<struct<s:bigint,e:bigint>>)"))))
     out = out.withColumn(union, merged(every)).withColumn(text_col, replaced(F.col(text_col), F.col(union), F.lit(by)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -118,7 +118,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: Da
 
     labelled: id and bad (0 or 1) of some pages.
     """
-    had = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "template", "purity", "bad")]
+    had = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "template", "purity")]
     # the page's own columns travel in a struct, so that none of their names can clash
     own = F.struct(*[F.col(f"`{c}`") for c in had]).alias("_page")
     rows = pages.select(own, F.col(id_col).alias("_key"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
