@@ -1,68 +1,27 @@
-"""Helpers that the operators share: durable intermediate tables, row keys, native text spans."""
+"""Helpers that the operators share: row keys and native text spans, and what the library shares with them."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..shared import shared_dir
+from ..shared import fresh, small_side, written
+
+__all__ = ["CHUNK", "WS", "fresh", "joined", "let", "small_side", "spans", "text_key", "written"]
 
 #: Fixed value: ASCII white space, as a regular-expression class body.
 WS = r"\x20\x09-\x0D"
-#: Rows of a side, and bytes of their values, that may be broadcast after they have been counted; beyond either the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 12 * 2**20
 #: Matches that one step of a span fold holds, so that a text's fold is not quadratic in its matches.
 CHUNK = 256
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, and still there when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lotwise-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def row_bytes(df: DataFrame) -> Column:
-    """The bytes of a row's values: fixed ones by their type, text and lists by what they hold."""
-    total = F.lit(16 * len(df.columns))
-    for field in df.schema:
-        kind, name = field.dataType, F.col(f"`{field.name}`")
-        if isinstance(kind, (T.StringType, T.BinaryType)):
-            total = total + F.coalesce(F.octet_length(name), F.lit(0))
-        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
-            total = total + 8 * F.greatest(F.size(name), F.lit(0))
-        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-            total = total + F.coalesce(F.octet_length(F.to_json(name)), F.lit(0))
-    return total
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks a written table for broadcast if its counted rows and bytes stay within the bounds."""
-    held = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df).cast("long")).alias("size")).first()
-    return F.broadcast(df) if held["n"] <= rows and (held["size"] or 0) <= most else df
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, lengthened until no column of df has them (column names ignore case)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def text_key(id_col: str, text_col: str) -> Column:
     """Key of a row's id and text: repeated rows share it, other texts under the same id do not."""
     return F.xxhash64(F.col(id_col), F.length(F.col(text_col)), F.col(text_col))
