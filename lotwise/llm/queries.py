@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language, mixing, personal_data, pieces, quality_rules, secret_scan, site_quality, url_filter, webp
+from . import jaccard_join, language, merkle, mixing, personal_data, pieces, quality_rules, secret_scan, site_quality, url_filter, webp
 from .common import written
 
 
@@ -95,6 +95,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda text: merkle.leaf_of(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    # deleting line breaks stands for tampering, in rows whose number has an even checksum
+    even = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0, F.lit(False))
+    changed = F.when(even, leaf(F.replace(F.col("text"), F.lit("\n"), F.lit("")))).otherwise(leaf(F.col("text")))
+    out = merkle.manifest(docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), changed.alias("changed")))
+    out = out.withColumn("folded_root", merkle.folded(F.col("changed"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
