@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language, merkle, mixing, personal_data, pieces, quality_rules, secret_scan, site_quality, url_filter, webp
+from . import jaccard_join, language, merkle, mixing, personal_data, pieces, quality_rules, secret_scan, site_quality, url_filter, webp, whitening
 from .common import written
 
 
@@ -106,6 +106,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(*whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
