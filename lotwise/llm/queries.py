@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language, merkle, mixing, personal_data, pieces, quality_rules, secret_scan, site_quality, url_filter, webp, whitening
+from . import chat, jaccard_join, language, merkle, mixing, personal_data, pieces, quality_rules, secret_scan, site_quality, url_filter, webp, whitening
 from .common import written
 
 
@@ -95,6 +95,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+#: A conversation that consists of control strings.
+PLANTED_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(PLANTED_TURNS, turns.schema)
+    return chat.digests(written(chat.segment_windows(turns.unionByName(planted)), "chat-windows"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     leaf = lambda text: merkle.leaf_of(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
