@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import json
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,10 +168,47 @@ def disposition_filename(header: Column) -> Column:
     return F.coalesce(string_or_none(wide), string_or_none(plain))
 
 
+#: What counts as white space around a text, and the white space and control characters that references never give.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{0,31});?"
+#: Names that are references even without a semicolon, longest first, so that the longest one wins.
+OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
+
+def _numbered(code: Column) -> Column:
+    """The character of a numeric reference; 0x80 to 0x9F mean what they mean in windows-1252."""
+    western = F.from_json(F.lit(json.dumps({str(n): unescape(f"&#{n};") for n in range(0x80, 0xA0)})), "map<string,string>")
+    never = code.between(1, 8) | code.isin(11, 0x7F) | code.between(14, 31) | code.between(0xFDD0, 0xFDEF) | ((code % 0x10000) >= 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(code.between(0x80, 0x9F), F.try_element_at(western, code.cast("string"))).when(never, "").otherwise(plain)
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its character references, numbered and named, as characters; what is none stays."""
+    names = F.from_json(F.lit(json.dumps({n: html5[n] for n in sorted(html5, key=lambda n: n.removesuffix(";") not in html5)})), "map<string,string>")
+    longest = "^&(" + "|".join(OPEN_NAMES) + ")"
+
+    def one(ref: Column) -> Column:
+        hexed = F.regexp_extract(ref, "(?i)^&#x0*([0-9a-f]*)", 1)
+        code = F.when(ref.rlike("(?i)^&#x"), F.when(F.length(hexed) <= 8, F.conv(hexed, 16, 10).cast("long"))).otherwise(F.regexp_extract(ref, "^&#([0-9]*)", 1).try_cast("long"))
+        named = F.when(ref.endswith(";"), F.try_element_at(names, F.substring(ref, 2, 40)))
+        prefix = F.regexp_extract(ref, longest, 1)
+        partly = F.when(prefix != "", F.concat(F.try_element_at(names, prefix), F.substring(ref, F.length(prefix) + 2, F.lit(40))))
+        return F.when(ref.startswith("&#"), _numbered(code)).otherwise(F.coalesce(named, partly, ref))
+
+    parts = F.zip_with(F.split(text, REFERENCE, -1), F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+
+
 def page_text(html: Column, limit: int | None = None) -> Column:
-    """A page without scripts and tags; entities decoded; at most one empty line in a row."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*+>.*?</\1\s*+>", "\n"), r"(?s)<!--.*?-->|<[^>]*+>", "\n")
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("middot", "·"), ("copy", "©"), ("amp", "&")):
-        bare = F.replace(bare, F.lit(f"&{name};"), F.lit(char))
-    text = F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    """A page's texts, each trimmed and on a line of its own, without scripts, styles and comments; references decoded.
+
+    What is not closed reaches to the page's end, so no page is read twice; an unfinished tag at the end is text.
+    """
+    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)|<!--.*?(?:-->|\z)", "<br>")
+    closed = F.regexp_extract(bare, r"(?s)^(.*>)", 1)
+    texts = F.concat(F.split(closed, "</?[A-Za-z][^>]*+>|<[!?][^>]*+>", -1), F.array(F.substring(bare, F.length(closed) + 1, F.length(bare))))
+    lines = F.filter(F.transform(texts, lambda x: F.btrim(unescaped(x), F.lit(SPACES))), lambda x: x != "")
+    # decoded once more as one text, for references that were themselves written with references
+    text = unescaped(F.btrim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), F.lit(SPACES)))
     return text if limit is None else clip(text, limit)

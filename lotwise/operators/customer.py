@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import FLAGS, collapse, digits, registration_code, tax_number
+from ..functions.text import FLAGS, collapse, registration_code, tax_number
+from ..shared import small_side, written
 
 #: Fixed patterns and scores.
 ROLE = FLAGS + r"грузополучател|получател|филиал|обособлен|заказчик|покупател|сторона\s*1"
@@ -59,15 +60,35 @@ def resolved(df: DataFrame) -> DataFrame:
     })
 
 
-def looked_up(wanted: DataFrame, registry: DataFrame, key: str, order: str = "pos") -> DataFrame:
-    """status, match and filled numbers of each wanted row (key, inn, kpp): by tax number; an equal code is preferred, never required.
+#: Why a counterparty is not found.
+NO_NUMBER = "Для проверки IPro отсутствует корректный ИНН контрагента."
+NOT_LISTED = ("Организация с ИНН ", " в IPro не найдена.")
+LOOKUP_FAILED = ("IPro API не выполнил проверку по ИНН ", ": ")
 
-    registry: inn, kpp, full_name, short_name and an order column.
+
+def looked_up(wanted: DataFrame, registry: DataFrame, key: str, order: str = "pos", failed: DataFrame | None = None) -> DataFrame:
+    """status, reason, match and filled numbers of each wanted row (key, inn, kpp): by tax number; an equal code is preferred, never required.
+
+    registry: inn, kpp, full_name, short_name and an order column; failed: inn and error of lookups without an answer.
+    Numbers of another length than a tax number's or a code's count as none, on both sides. status: matched, not_found or
+    lookup_error. The registry is reduced to its first row of each number before it is joined, so no row meets more than two.
     """
-    own = registry.select(F.nullif(digits(F.col("inn")), F.lit("")).alias("_inn"), F.nullif(digits(F.col("kpp")), F.lit("")).alias("_kpp"), F.coalesce(F.nullif(F.trim("full_name"), F.lit("")), F.nullif(F.trim("short_name"), F.lit(""))).alias("_name"), F.col(order).alias("_pos"))
-    met = wanted.join(own, F.nullif(digits(F.col("inn")), F.lit("")) == F.col("_inn"), "left")
-    best = Window.partitionBy(key).orderBy(F.coalesce(F.col("_kpp") == F.nullif(digits(F.col("kpp")), F.lit("")), F.lit(False)).desc(), F.col("_pos").asc_nulls_last())
-    n = F.count("_inn").over(Window.partitionBy(key))
-    out = met.withColumns({"by_inn_count": n, "_rn": F.row_number().over(best)}).where("_rn = 1")
-    out = out.withColumns({"status": F.when(F.col("_inn").isNotNull(), "matched").otherwise("not_found"), "matched_name": F.col("_name"), "matched_kpp": F.col("_kpp")})
-    return out.withColumn("kpp", F.coalesce(F.nullif(digits(F.col("kpp")), F.lit("")), F.col("_kpp"))).drop("_inn", "_kpp", "_name", "_pos", "_rn")
+    name = F.coalesce(F.nullif(F.trim("full_name"), F.lit("")), F.nullif(F.trim("short_name"), F.lit("")))
+    first = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("pos"), name.isNull().alias("unnamed"), name.alias("name"), registration_code(F.col("kpp")).alias("kpp"))
+    own = registry.select(tax_number(F.col("inn")).alias("_inn"), registration_code(F.col("kpp")).alias("_kpp"), first.alias("_first")).where("_inn IS NOT NULL")
+    by_inn = small_side(written(own.groupBy("_inn").agg(F.count(F.lit(1)).alias("_n"), F.min("_first").alias("_any")), "registry-numbers"))
+    by_both = small_side(written(own.where("_kpp IS NOT NULL").groupBy(F.col("_inn").alias("_inn2"), F.col("_kpp")).agg(F.min("_first").alias("_same")), "registry-codes"))
+    inn, kpp = tax_number(F.col("inn")), registration_code(F.col("kpp"))
+    out = wanted.join(by_inn, inn == F.col("_inn"), "left").join(by_both, (inn == F.col("_inn2")) & (kpp == F.col("_kpp")), "left")
+    error = F.lit(None).cast("string")
+    if failed is not None:
+        errors = failed.groupBy(tax_number(F.col("inn")).alias("_inn3")).agg(F.min("error").alias("_error"))
+        out, error = out.join(small_side(written(errors, "registry-errors")), inn == F.col("_inn3"), "left"), F.col("_error")
+    found, best = F.col("_n").isNotNull() & error.isNull(), F.coalesce("_same", "_any")
+    status = F.when(inn.isNull(), "not_found").when(error.isNotNull(), "lookup_error").when(found, "matched").otherwise("not_found")
+    reason = F.when(inn.isNull(), NO_NUMBER).when(error.isNotNull(), F.concat(F.lit(LOOKUP_FAILED[0]), inn, F.lit(LOOKUP_FAILED[1]), error)).when(~found, F.concat(F.lit(NOT_LISTED[0]), inn, F.lit(NOT_LISTED[1])))
+    shown = {
+        "status": status, "reason": reason, "by_inn_count": F.when(found, F.col("_n")).otherwise(F.lit(0)).cast("long"),
+        "matched_name": F.when(found, best["name"]), "matched_kpp": F.when(found, best["kpp"]), "kpp": F.coalesce(kpp, F.when(found, best["kpp"])),
+    }
+    return out.withColumns(shown).drop("_inn", "_n", "_any", "_inn2", "_kpp", "_same", "_inn3", "_error")

@@ -119,7 +119,7 @@ TEXT_LENGTH, SHORT_LENGTH = 500, 100
 def text_status(text: Column) -> Column:
     """ok, short or unusable: by length and whether it has letters or digits."""
     n = F.length(text)
-    return F.when((n >= TEXT_LENGTH) & text.rlike("[A-Za-z0-9]"), "ok").when(n >= SHORT_LENGTH, "short").otherwise("unusable")
+    return F.when((n >= TEXT_LENGTH) & text.rlike(r"[\p{L}\p{N}]"), "ok").when(n >= SHORT_LENGTH, "short").otherwise("unusable")
 
 
 def first_documents(df: DataFrame, keys: list[str], order: str, most: int = 100) -> DataFrame:

@@ -20,7 +20,7 @@ def decide_tenders(tenders: DataFrame, items: DataFrame, registry: DataFrame, re
     """
     lots = coverage_summary(coverage(matched_items(items, link_prefix), tenders.select(key, "lot_divisible"), [key]))
     checks = lots.drop("lot_divisible", "status").withColumn("supply_total", F.col("quantity_total"))
-    party = looked_up(tenders.select(key, "inn", "kpp"), registry, key).select(key, F.col("status").alias("counterparty_status"), F.lit(None).cast("string").alias("counterparty_reason"))
+    party = looked_up(tenders.select(key, "inn", "kpp"), registry, key).select(key, F.col("status").alias("counterparty_status"), F.col("reason").alias("counterparty_reason"))
     rows = tenders.join(checks, key).join(party, key)
     rows = rows.join(model, key, "left") if model is not None else rows.withColumn("model", F.lit(None).cast(MODEL))
     return decided(hard_reasons(rows, ref_date))

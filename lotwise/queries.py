@@ -292,12 +292,37 @@ def url_parts(read: Frame) -> DataFrame:
     return read("pages").select("page_id", tx.host(url).alias("host"), tx.loggable_url(url).alias("shown"), F.nullif(F.regexp_extract(url, "/([0-9]+)", 1), F.lit("")).alias("number"))
 
 
-@query(r"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', chr(10), 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', chr(10), 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g') AS t FROM pages)
-SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM bare""")
+# texts between tags, each trimmed; references as they occur in the given pages, some without a semicolon
+BARE_SQL = r"""bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '<br>', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '<br>', 'g'), '(?s)<!--.*?-->', '<br>', 'g') AS t FROM pages),
+plain AS (SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '</?[A-Za-z][^>]*>|<[!?][^>]*>'),
+  lambda x: regexp_replace(replace(replace(replace(regexp_replace(x, '&amp;?', '&', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS joined FROM bare),
+page AS (SELECT page_id, regexp_replace(regexp_replace(joined, '\n{3,}', chr(10) || chr(10), 'g'), '&amp;?', '&', 'g') AS text FROM plain)"""
+
+
+@query(f"WITH {BARE_SQL} SELECT page_id, text FROM page")
 def html_to_text(read: Frame) -> DataFrame:
     return read("pages").select("page_id", tx.page_text(F.col("html")).alias("text"))
 
 
+#: What is planted behind a page, and how it reads.
+PLANTED_MARKUP = (
+    ("<p>&laquo;Кабель&raquo; &mdash; &#1056;&#x420;&#X44F;", "«Кабель» — РРя"),
+    ("<p>  a\n&nbsp;<b> b</b>&emsp;</p>&#8194;<i></i>c", "a\nb\nc"),
+    ("<p>x<noscript>gone</noscript>y<STYLE>p{}</STYLE >z<script>not closed <p>", "x\ny\nz"),
+    ("<p>&amp;lt;b&amp;gt; &ltd &notit; &unknown; &#xD800;&#150;&#0;", "<b> <d ¬it; &unknown; �–�"),
+    ("<p>1 < 2 and 3 > 2 <!-- not closed <p> at all", "1 < 2 and 3 > 2"),
+    ("<p>&hearts;&hellip;&CounterClockwiseContourIntegral;&para&sect;", "♥…∳¶§"),
+    ("<p>A<br>\n\n\n\n<br/>B\n\n\n\n\nC</p> ", "A\nB\n\nC"),
+)
+
+
+@query(f"""WITH {BARE_SQL} SELECT page_id, CASE WHEN text = '' THEN '' ELSE text || chr(10) END || list_extract([{", ".join("'" + shown.replace(chr(10), "' || chr(10) || '") + "'" for _, shown in PLANTED_MARKUP)}], (page_id % {len(PLANTED_MARKUP)} + 1)::INTEGER) AS text FROM page""")
+def html_references_planted(read: Frame) -> DataFrame:
+    """Pages that end in references of all kinds, odd white space and markup that is never closed."""
+    planted = F.element_at(F.array(*[F.lit(raw) for raw, _ in PLANTED_MARKUP]), (F.col("page_id") % len(PLANTED_MARKUP) + 1).cast("int"))
+    return read("pages").select("page_id", tx.page_text(F.concat("html", F.lit("<hr>"), planted)).alias("text"))
+
+
 # --- documents ------------------------------------------------------------------------------------
 
 
@@ -311,6 +336,15 @@ def doc_quality_status(read: Frame) -> DataFrame:
     return read("documents").select("doc_id", documents.text_status(F.col("text")).alias("status"))
 
 
+@query(r"""SELECT doc_id, CASE WHEN length(text) >= 500 AND regexp_matches(regexp_replace(text, '[0-9]', '', 'g'), '[\p{L}\p{N}]') THEN 'ok' WHEN length(text) >= 100 THEN 'short' ELSE 'unusable' END AS russian,
+  CASE WHEN length(text) >= 100 THEN 'short' ELSE 'unusable' END AS dashes FROM documents""")
+def doc_quality_cyrillic(read: Frame) -> DataFrame:
+    """The texts in Cyrillic letters without digits, and as dashes: only the latter have nothing to read."""
+    latin = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    russian = F.regexp_replace(F.translate("text", latin, "абвгдежзийклмнопрстуфхцчшщАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩ"), "[0-9]", "-")
+    return read("documents").select("doc_id", documents.text_status(russian).alias("russian"), documents.text_status(F.regexp_replace("text", "(?s).", "-")).alias("dashes"))
+
+
 @query("""SELECT source, count(*) AS requested, count(*) FILTER (length(text) >= 500) AS parsed, string_agg(CASE WHEN length(text) < 100 THEN doc_id::VARCHAR END, ',' ORDER BY doc_id) AS unusable,
   CASE WHEN count(*) FILTER (length(text) >= 500) = 0 THEN 'unavailable' WHEN count(*) FILTER (length(text) < 100) > 0 THEN 'partial' ELSE 'available' END AS status FROM documents GROUP BY source""")
 def doc_status_by_source(read: Frame) -> DataFrame:
@@ -505,6 +539,32 @@ def registry_lookup(read: Frame) -> DataFrame:
     return looked_up(wanted, registry, "c_custkey").select("c_custkey", "status", "matched_name", "by_inn_count")
 
 
+#: Numbers as they are written: digits apart, too few or too many of them, none.
+NUMBERS_SQL = """CASE {c} % 6 WHEN 0 THEN lpad({n}::VARCHAR, 10, '0') WHEN 1 THEN '12-' || {n} WHEN 2 THEN substr(lpad({n}::VARCHAR, 12, '0'), 1, 6) || ' ' || substr(lpad({n}::VARCHAR, 12, '0'), 7) WHEN 3 THEN NULL WHEN 4 THEN 'ИНН ' || lpad({n}::VARCHAR, 10, '0') ELSE {n}::VARCHAR END"""
+MALFORMED_SQL = f"""WITH w AS (SELECT c_custkey, regexp_replace(coalesce({NUMBERS_SQL.format(c="c_custkey", n="c_nationkey")}, ''), '[^0-9]', '', 'g') AS inn, CASE WHEN c_custkey % 5 < 3 THEN lpad((c_custkey % 4)::VARCHAR, 9, '0') ELSE (c_custkey % 4)::VARCHAR END AS kpp FROM customer),
+r AS (SELECT s_suppkey AS pos, s_name, regexp_replace(coalesce({NUMBERS_SQL.format(c="s_suppkey", n="s_nationkey")}, ''), '[^0-9]', '', 'g') AS inn, CASE WHEN s_suppkey % 2 = 0 THEN lpad((s_suppkey % 4)::VARCHAR, 9, '0') END AS kpp FROM supplier),
+m AS (SELECT c_custkey, w.inn, s_name, count(pos) OVER (PARTITION BY c_custkey) AS n, row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(length(w.kpp) = 9 AND w.kpp = r.kpp, false) DESC, pos) AS rn
+  FROM w LEFT JOIN r ON w.inn = r.inn AND length(w.inn) IN (10, 12))
+SELECT c_custkey, CASE WHEN n > 0 THEN 'matched' ELSE 'not_found' END AS status, CASE WHEN n = 0 THEN CASE WHEN length(inn) IN (10, 12) THEN 'listed' ELSE 'number' END END AS missing, s_name AS matched_name, n AS by_inn_count FROM m WHERE rn = 1"""
+
+
+@query(MALFORMED_SQL)
+def registry_lookup_malformed(read: Frame) -> DataFrame:
+    """Numbers of all shapes on both sides; only those of a tax number's length can match."""
+    from .operators.customer import NO_NUMBER, looked_up
+
+    def number(c: str, n: str):
+        n, k = F.col(n).cast("string"), F.col(c) % 6
+        spaced = F.concat(F.substring(F.lpad(n, 12, "0"), 1, 6), F.lit(" "), F.substring(F.lpad(n, 12, "0"), 7, 6))
+        return F.when(k == 0, F.lpad(n, 10, "0")).when(k == 1, F.concat(F.lit("12-"), n)).when(k == 2, spaced).when(k == 3, None).when(k == 4, F.concat(F.lit("ИНН "), F.lpad(n, 10, "0"))).otherwise(n)
+
+    code = lambda c: F.lpad((F.col(c) % 4).cast("string"), 9, "0")
+    wanted = read("customer").select("c_custkey", number("c_custkey", "c_nationkey").alias("inn"), F.when(F.col("c_custkey") % 5 < 3, code("c_custkey")).otherwise((F.col("c_custkey") % 4).cast("string")).alias("kpp"))
+    registry = read("supplier").select(number("s_suppkey", "s_nationkey").alias("inn"), F.when(F.col("s_suppkey") % 2 == 0, code("s_suppkey")).alias("kpp"), F.col("s_name").alias("full_name"), F.lit("").alias("short_name"), F.col("s_suppkey").alias("pos"))
+    missing = F.when(F.col("reason") == NO_NUMBER, "number").when(F.col("reason").isNotNull(), "listed")
+    return looked_up(wanted, registry, "c_custkey").select("c_custkey", "status", missing.alias("missing"), "matched_name", "by_inn_count")
+
+
 # --- jobs and audit -------------------------------------------------------------------------------
 
 

@@ -64,4 +64,26 @@ def test_files_and_addresses(spark):
     assert values(spark, ["dir/a%20b:c.pdf"], text.safe_filename) == ["a b_c.pdf"]
     assert values(spark, ["attachment; filename*=UTF-8''%D0%B0.txt", 'inline; filename="x.doc"'], text.disposition_filename) == ["а.txt", "x.doc"]
     assert values(spark, ["https://u:p@host.example/a?b#c"], text.loggable_url) == ["https://host.example/a"]
-    assert values(spark, ["<p>a&amp;b</p><script>x<y</script>\n\n\n\nc"], text.page_text) == ["a&b\n\nc"]
+    assert values(spark, ["<p>a&amp;b</p><script>x<y</script>\n\n\n\nc"], text.page_text) == ["a&b\nc"]
+
+
+def test_references_as_the_standard_library_reads_them(spark):
+    import html
+    import random
+
+    r = random.Random(4)
+    parts = ["&", "amp", ";", "#", "x", "41", "1056", "lt", "notit", "hearts", "é", " ", "&#x", "&#", "&amp;", "&copy", "d800", "110000", "150", "0", "99999999999", "&Aacute", "&zwnj;", "\n", "FDD0"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(1500)] + ["", "plain"]
+    assert values(spark, texts, text.unescaped) == [html.unescape(t) for t in texts]
+
+
+def test_unclosed_markup_takes_linear_time(spark):
+    import time
+
+    for piece in ("<script>", "<script ", "<style>x", "<!-- ", "<a ", "&", "<", "<p> ", "&#"):
+        pages = [piece * n for n in (20_000, 80_000)]
+        values(spark, pages[:1], text.page_text)
+        start = time.perf_counter()
+        values(spark, pages, text.page_text)
+        assert time.perf_counter() - start < 10, piece
+    assert values(spark, ["<p>a</p><script>x</p>", "<b>c <a href=", "d<!--", "<noscript>e", None], text.page_text) == ["a", "c <a href=", "d", "", None]
