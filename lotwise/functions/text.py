@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import json
 from html import unescape
 from html.entities import html5
 
@@ -175,9 +174,19 @@ REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{0,31});?"
 OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _literal(pairs: dict[str, str]) -> Column:
+    """A map that is a constant of the plan."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in pairs.items())), F.lit("\x02"), F.lit("\x01"))
+
+
 def _numbered(code: Column) -> Column:
     """The character of a numeric reference; 0x80 to 0x9F mean what they mean in windows-1252."""
-    western = F.from_json(F.lit(json.dumps({str(n): unescape(f"&#{n};") for n in range(0x80, 0xA0)})), "map<string,string>")
+    western = _literal({str(n): unescape(f"&#{n};") for n in range(0x80, 0xA0)})
     never = code.between(1, 8) | code.isin(11, 0x7F) | code.between(14, 31) | code.between(0xFDD0, 0xFDEF) | ((code % 0x10000) >= 0xFFFE)
     plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     return F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").when(code.between(0x80, 0x9F), F.try_element_at(western, code.cast("string"))).when(never, "").otherwise(plain)
@@ -185,7 +194,7 @@ def _numbered(code: Column) -> Column:
 
 def unescaped(text: Column) -> Column:
     """Text with its character references, numbered and named, as characters; what is none stays."""
-    names = F.from_json(F.lit(json.dumps({n: html5[n] for n in sorted(html5, key=lambda n: n.removesuffix(";") not in html5)})), "map<string,string>")
+    names = _literal({n: html5[n] for n in sorted(html5, key=lambda n: n.removesuffix(";") not in html5)})
     longest = "^&(" + "|".join(OPEN_NAMES) + ")"
 
     def one(ref: Column) -> Column:
@@ -196,8 +205,11 @@ def unescaped(text: Column) -> Column:
         partly = F.when(prefix != "", F.concat(F.try_element_at(names, prefix), F.substring(ref, F.length(prefix) + 2, F.lit(40))))
         return F.when(ref.startswith("&#"), _numbered(code)).otherwise(F.coalesce(named, partly, ref))
 
-    parts = F.zip_with(F.split(text, REFERENCE, -1), F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+    def decoded(x: Column) -> Column:
+        parts = F.zip_with(F.split(x, REFERENCE, -1), F.transform(F.regexp_extract_all(x, F.lit(REFERENCE), F.lit(0)), one), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(F.contains(x, F.lit("&")) & x.rlike(REFERENCE), F.array_join(parts, "")).otherwise(x)
+
+    return _let(text, decoded)
 
 
 def page_text(html: Column, limit: int | None = None) -> Column:
@@ -206,8 +218,9 @@ def page_text(html: Column, limit: int | None = None) -> Column:
     What is not closed reaches to the page's end, so no page is read twice; an unfinished tag at the end is text.
     """
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)|<!--.*?(?:-->|\z)", "<br>")
-    closed = F.regexp_extract(bare, r"(?s)^(.*>)", 1)
-    texts = F.concat(F.split(closed, "</?[A-Za-z][^>]*+>|<[!?][^>]*+>", -1), F.array(F.substring(bare, F.length(closed) + 1, F.length(bare))))
+    last = lambda b: F.length(b) - F.locate(">", F.reverse(b)) + 1
+    ends = _let(bare, lambda b: F.when(F.contains(b, F.lit(">")), F.array(F.substring(b, F.lit(1), last(b)), F.substring(b, last(b) + 1, F.length(b)))).otherwise(F.array(F.lit(""), b)))
+    texts = _let(ends, lambda e: F.concat(F.split(e[0], "</?[A-Za-z][^>]*+>|<[!?][^>]*+>", -1), F.slice(e, 2, 1)))
     lines = F.filter(F.transform(texts, lambda x: F.btrim(unescaped(x), F.lit(SPACES))), lambda x: x != "")
     # decoded once more as one text, for references that were themselves written with references
     text = unescaped(F.btrim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), F.lit(SPACES)))

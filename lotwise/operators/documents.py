@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import FLAGS, first_defined
+from ..shared import small_side, written
+from .scan import prefix_scan
 
 EMPTY_FILE = FLAGS + r"пуст(?:ой|ые|ого)|empty\s+file|zero[- ]byte"
 
@@ -46,13 +48,13 @@ def availability(requested: DataFrame, parsed: DataFrame, keys: list[str]) -> Da
 def within_budget(df: DataFrame, keys: list[str], order: list[str], text: str, budget: int) -> DataFrame:
     """Adds used (characters before the row) and clips the text where the running total passes the budget.
 
-    keys and order name a row. The running totals go over lengths; texts are joined to them and never enter the window.
+    keys and order name a row. The running totals are a prefix scan over lengths; texts are joined to them, by broadcast
+    within its bounds, and never enter it.
     """
-    sizes = df.select(*keys, *order, F.length(text).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    used = sizes.withColumn("used", before).drop("_n").withColumnsRenamed({c: f"_{c}" for c in (*keys, *order)})
+    sizes = df.select(*keys, *order, F.length(text).cast("long").alias("_n"))
+    used = prefix_scan(sizes, keys, list(order), {"used": ("before", F.col("_n"))}).drop("_n").withColumnsRenamed({c: f"_{c}" for c in (*keys, *order)})
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, *order)]
-    out = df.join(used, same).drop(*[f"_{c}" for c in (*keys, *order)])
+    out = df.drop("used").join(small_side(written(used, "budget")), same).drop(*[f"_{c}" for c in (*keys, *order)])
     return out.withColumn("clipped", F.substring(F.col(text), F.lit(1), F.greatest(F.lit(0), F.lit(budget) - F.col("used")).cast("int")))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import fresh
+
 #: From which state a transition leads to which.
 MOVES = (("dispatch", "queued", "dispatching"), ("claim", "dispatching", "processing"), ("complete", "processing", "completed"), ("fail", "processing", "failed"), ("release", "dispatching", "queued"), ("requeue", "failed", "queued"))
 TERMINAL = ("completed", "failed")
@@ -72,10 +74,18 @@ def progress(jobs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def claimable(jobs: DataFrame, slots: int, order: list[Column], partition: tuple[str, ...] = (), active: Column | None = None) -> DataFrame:
-    """Queued jobs that fit into the free slots, oldest first, per partition or overall."""
-    busy = F.coalesce(F.count_if(active).over(Window.partitionBy(*partition)), F.lit(0)) if active is not None else F.lit(0)
-    out = jobs.withColumn("_busy", busy).where(F.col("status") == "queued")
-    return out.withColumn("_rn", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("_rn") <= F.lit(slots) - F.col("_busy")).drop("_rn", "_busy")
+    """Queued jobs that fit into the free slots, oldest first, per partition or overall.
+
+    Each task first keeps its own `slots` jobs of a partition, so no task gets the whole queue; active jobs are counted apart.
+    """
+    rn, busy, *of = fresh(jobs, "_rn", "_busy", *[f"_of{i}" for i in range(len(partition))])
+    first = jobs.where(F.col("status") == "queued").withColumn(rn, F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col(rn) <= slots)
+    if active is None:
+        return first.drop(rn)
+    counted = jobs.where(active).groupBy(*[F.col(c).alias(o) for c, o in zip(partition, of, strict=True)]).agg(F.count(F.lit(1)).alias(busy))
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(partition, of, strict=True)]
+    met = first.join(counted, same, "left") if partition else first.crossJoin(F.broadcast(counted))  # one row of counts
+    return met.where(F.col(rn) <= F.lit(slots) - F.coalesce(busy, F.lit(0))).drop(rn, busy, *of)
 
 
 def requeued(jobs: DataFrame, ref: Column, attempts: int = 3, dispatch_minutes: int = 10, process_minutes: int = 30) -> DataFrame:

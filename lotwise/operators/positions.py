@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numbers import parse_quantity
 from ..functions.text import clean, currency_in, first_defined, header_role, name_key, string_or_none, structured_cells, without_yo
+from .scan import prefix_scan
 
 ROLES = ("product", "unit", "quantity", "unit_price", "line_total")
 #: Units, and where a row begins.
@@ -25,6 +26,11 @@ def lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return docs.select(*keys, F.posexplode(F.split(text, "\r\n|\n|\r")).alias("line_no", "line"))
 
 
+def filled(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Adds the last value at or before each row, however many rows a key has."""
+    return prefix_scan(df, keys, list(order), {name: ("last", value) for name, value in values.items()})
+
+
 def forward_filled(df: DataFrame, keys: list[str], order: str, value: Column, boundary: Column | None = None) -> Column:
     """The last value at or before a row; a boundary row (by its running count) forgets what came before."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -34,11 +40,16 @@ def forward_filled(df: DataFrame, keys: list[str], order: str, value: Column, bo
 
 
 def segments(df: DataFrame, keys: list[str], order: str, boundary: Column, name: str = "_segment") -> DataFrame:
-    """Adds the running number of boundaries."""
+    """Adds the running number of boundaries within a document's lines."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.sum(boundary.cast("int")).over(w))
 
 
+def numbered_segments(df: DataFrame, keys: list[str], order: list[str], boundary: Column, name: str = "segment") -> DataFrame:
+    """Adds the running number of boundaries, however many rows a key has."""
+    return prefix_scan(df, keys, list(order), {name: ("sum", boundary.cast("long"))})
+
+
 def table_positions(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Line items from `Строка n: A: v | B: v` rows under header rows, with file, sheet and row.
 

@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 
 from .functions import dates, numbers
 from .functions import text as tx
-from .operators import audit, coverage, documents, jobs, matching, normalize, positions, rules
+from .operators import audit, coverage, documents, jobs, matching, normalize, positions, rules, vector_index
 from .operators.documents import within_budget
+from .operators.scan import prefix_scan
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -442,14 +443,22 @@ def ordered_unique_list(read: Frame) -> DataFrame:
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE AS last_signup FROM events""")
 def header_forward_fill(read: Frame) -> DataFrame:
-    events = read("events").withColumn("at", F.struct("ts", "event_id"))
-    signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    return events.select("event_id", positions.forward_filled(events, ["user_id"], "at", signup).cast("double").alias("last_signup"))
+    signup = F.when(F.col("event_type") == "signup", F.col("event_id").cast("double"))
+    return positions.filled(read("events"), ["user_id"], ["ts", "event_id"], {"last_signup": signup}).select("event_id", "last_signup")
 
 
 @query("""SELECT event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS segment FROM events""")
 def segment_ids(read: Frame) -> DataFrame:
-    return positions.segments(read("events"), ["user_id"], "event_id", F.col("event_type") == "signup", "segment").select("event_id", "segment")
+    return positions.numbered_segments(read("events"), ["user_id"], ["event_id"], F.col("event_type") == "signup").select("event_id", "segment")
+
+
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS quantity_before, count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n,
+  last_value(CASE WHEN l_linestatus = 'F' THEN l_orderkey END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE AS last_filled FROM (SELECT * FROM lineitem) WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber)""")
+def hot_prefix_scan(read: Frame) -> DataFrame:
+    """Running values over three keys that hold all rows, each dealt over many ranges."""
+    rows = read("lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity", "l_linestatus")
+    values = {"quantity_before": ("before", F.col("l_quantity")), "n": ("count", F.lit(1)), "last_filled": ("last", F.when(F.col("l_linestatus") == "F", F.col("l_orderkey").cast("double")))}
+    return prefix_scan(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber"], values, most=0).select("l_returnflag", "l_orderkey", "l_linenumber", *values)
 
 
 @query("""SELECT source, event_type, event_id FROM (SELECT user_id AS source, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
@@ -488,6 +497,10 @@ s AS (SELECT q.vec_id AS query_id, q.label AS query_label, v.vec_id, v.label, ro
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 
+#: Cells that a probe reads. The given vectors have no clusters to speak of, so many are needed for nine tenths of the nearest ones.
+PROBES = 280
+
+
 def nearest(read: Frame, k: int) -> DataFrame:
     """The stated queries (every vector whose id is divisible by 50) against all vectors."""
     vectors = read("embeddings")
@@ -499,6 +512,26 @@ def knn_topk(read: Frame) -> DataFrame:
     return nearest(read, 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(KNN_SQL + " SELECT query_id, vec_id, rank::INTEGER AS rank, round(score, 6) AS score FROM r WHERE rank <= 10")
+def vector_index_topk(read: Frame) -> DataFrame:
+    """The same by the cluster index, whose bounds leave the result exact."""
+    vectors = read("embeddings")
+    found, _ = vector_index.search(vector_index.build(vectors), vectors.where(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id"), 10)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_index_report(read: Frame) -> DataFrame:
+    """For each stated query: vectors in all, cells and vectors that the exact search and a probe of PROBES cells read, and how many of the ten nearest the probe finds."""
+    vectors = read("embeddings")
+    index = vector_index.build(vectors)
+    asked = vectors.where(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id")
+    (exact, all_read), (near, few_read) = vector_index.search(index, asked, 10), vector_index.search(index, asked, 10, PROBES)
+    hits = exact.select("query_id", "vec_id").join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("nearest"))
+    few = vector_index.reads(index, few_read).withColumnsRenamed({"cells": "probe_cells", "vectors": "probe_vectors"})
+    return hits.join(vector_index.reads(index, all_read), "query_id").join(few, "query_id").withColumn("indexed", F.lit(index.vectors.count()))
+
+
 @query(KNN_SQL + " SELECT query_id, count(*) FILTER (label = query_label) AS same_label, count(*) AS n FROM r WHERE rank <= 11 GROUP BY query_id")
 def knn_label_vote(read: Frame) -> DataFrame:
     labels = read("embeddings").select("vec_id", "label")

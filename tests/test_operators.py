@@ -329,3 +329,29 @@ def test_fields_are_written_with_their_meta(spark):
     fields, meta = normalize.written_field(F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("kept")), none, "a", F.col("x"), F.lit("s"), F.lit("high"), F.lit("e" * 1000))
     got = {r.x: (r.f, r.m) for r in rows.select("x", fields.alias("f"), meta.alias("m")).collect()}
     assert got["v"][0] == {"a": "v", "b": "kept"} and len(got["v"][1]["a"].evidence) == 900 and got[" "] == got[None] == ({"a": "old", "b": "kept"}, {})
+
+
+def test_slots_overall_and_by_partition(spark):
+    """The oldest queued jobs within the free slots, with and without partitions, and clashing names."""
+    rows = [(i, "queued" if i % 3 else "running", "p" if i % 4 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, status string, part string").withColumn("_rn", F.lit(9)).repartition(5)
+    running = F.col("status") == "running"
+    queued = [i for i, s, _ in rows if s == "queued"]
+    busy = lambda keep: sum(s == "running" for _, s, p in rows if keep(p))
+    got = sorted(r.i for r in jobs.claimable(df, 20, [F.col("i")], (), running).collect())
+    assert got == queued[: 20 - busy(lambda p: True)]
+    got = sorted(r.i for r in jobs.claimable(df, 12, [F.col("i")], ("part",), running).collect())
+    want = [i for p in ("p", None) for i in [i for i, s, q in rows if s == "queued" and q == p][: 12 - busy(lambda q, p=p: q == p)]]
+    assert got == sorted(want) and jobs.claimable(df, 3, [F.col("i")]).count() == 3
+
+
+def test_budget_and_fills_with_one_hot_key(spark, monkeypatch):
+    """The same rows where every key is dealt into ranges."""
+    from lotwise.operators import scan
+    from lotwise.operators.documents import within_budget
+
+    docs = spark.createDataFrame([(i, "hot" if i % 2 else None, "x" * (i % 7)) for i in range(200)], "i int, k string, text string").withColumn("used", F.lit("clash")).repartition(6)
+    shown = lambda: (sorted(map(str, within_budget(docs, ["k"], ["i"], "text", 90).collect())), sorted(map(str, positions.filled(docs, ["k"], ["i"], {"last": F.when(F.col("i") % 5 == 0, F.col("i"))}).collect())), sorted(map(str, positions.numbered_segments(docs, ["k"], ["i"], F.col("i") % 9 == 0).collect())))
+    plain = shown()
+    monkeypatch.setattr(scan.prefix_scan, "__defaults__", (0,))
+    assert shown() == plain
