@@ -452,13 +452,13 @@ def segment_ids(read: Frame) -> DataFrame:
     return positions.numbered_segments(read("events"), ["user_id"], ["event_id"], F.col("event_type") == "signup").select("event_id", "segment")
 
 
-@query("""SELECT l_returnflag, l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS quantity_before, count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n,
-  last_value(CASE WHEN l_linestatus = 'F' THEN l_orderkey END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE AS last_filled FROM (SELECT * FROM lineitem) WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber)""")
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS quantity_before, count(*) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n,
+  last_value(CASE WHEN l_linestatus = 'F' THEN l_orderkey END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE AS last_filled FROM (SELECT * FROM lineitem) WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity)""")
 def hot_prefix_scan(read: Frame) -> DataFrame:
     """Running values over three keys that hold all rows, each dealt over many ranges."""
-    rows = read("lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity", "l_linestatus")
+    rows = read("lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus")
     values = {"quantity_before": ("before", F.col("l_quantity")), "n": ("count", F.lit(1)), "last_filled": ("last", F.when(F.col("l_linestatus") == "F", F.col("l_orderkey").cast("double")))}
-    return prefix_scan(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber"], values, most=0).select("l_returnflag", "l_orderkey", "l_linenumber", *values)
+    return prefix_scan(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], values, most=0).drop("l_quantity", "l_linestatus")
 
 
 @query("""SELECT source, event_type, event_id FROM (SELECT user_id AS source, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
