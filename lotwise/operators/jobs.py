@@ -11,6 +11,8 @@ from ..shared import fresh
 #: From which state a transition leads to which.
 MOVES = (("dispatch", "queued", "dispatching"), ("claim", "dispatching", "processing"), ("complete", "processing", "completed"), ("fail", "processing", "failed"), ("release", "dispatching", "queued"), ("requeue", "failed", "queued"))
 TERMINAL = ("completed", "failed")
+#: Minutes after which a job is stuck, and attempts that a failed one has.
+DISPATCH_MINUTES, PROCESS_MINUTES, ATTEMPTS = 10, 30, 3
 
 
 def validated(batch: DataFrame, key: str = "record_key") -> DataFrame:
@@ -65,6 +67,37 @@ def folded(transitions: DataFrame, key: str = "record_key", order: tuple[str, ..
     return ordered.select(key, F.aggregate("_moves", start, step).alias("_s")).select(key, "_s.*")
 
 
+def lifecycle(transitions: DataFrame, until: Column, key: str = "record_key", order: tuple[str, ...] = ("event_time", "event_id"), attempts: int = ATTEMPTS, dispatch_minutes: int = DISPATCH_MINUTES, process_minutes: int = PROCESS_MINUTES) -> DataFrame:
+    """status, attempt, worker and since of each job at a time, as folded(), with what happens without an event in between.
+
+    A job that is longer than the minutes in a state goes back to the queue when they are over, and a failed one with attempts
+    left at once, before its next transition is looked at.
+    """
+    ordered = transitions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "move", "worker"))).alias("_moves"))
+    at = order[0]
+    last = F.array(F.struct(until.cast("timestamp").alias(at), F.lit(None).cast("string").alias("move"), F.lit(None).cast("string").alias("worker")))
+    moves = F.concat(F.transform("_moves", lambda x: F.struct(x[at].cast("timestamp").alias(at), x["move"].alias("move"), x["worker"].alias("worker"))), last)
+    start = F.struct(F.lit("queued").alias("status"), F.lit(0).alias("attempt"), F.lit(None).cast("string").alias("worker"), F.lit(None).cast("timestamp").alias("since"))
+
+    def step(acc: Column, x: Column) -> Column:
+        stuck = lambda status, n: F.when(acc["status"] == status, acc["since"] + F.expr(f"interval {int(n)} minutes"))
+        due = F.coalesce(stuck("dispatching", dispatch_minutes), stuck("processing", process_minutes), F.when((acc["status"] == "failed") & (acc["attempt"] < attempts), acc["since"]))
+        over = F.coalesce(x[at] > due, F.lit(False))
+        status, target = F.when(over, "queued").otherwise(acc["status"]), None
+        for move, source, to in MOVES:
+            legal = (x["move"] == move) & (status == source)
+            if move in ("complete", "fail"):
+                legal &= acc["worker"].eqNullSafe(x["worker"])
+            target = F.when(legal, to) if target is None else target.when(legal, to)
+        claim = target.isNotNull() & (x["move"] == "claim")
+        return F.struct(
+            F.coalesce(target, status).alias("status"), (acc["attempt"] + claim.cast("int")).alias("attempt"), F.when(claim, x["worker"]).otherwise(acc["worker"]).alias("worker"),
+            F.when(target.isNotNull(), x[at]).when(over, due).otherwise(acc["since"]).alias("since"),
+        )
+
+    return ordered.select(key, F.aggregate(moves, start, step).alias("_s")).select(key, "_s.*")
+
+
 def progress(jobs: DataFrame, keys: list[str]) -> DataFrame:
     """completed, failed, total and whether all of a batch's jobs have ended."""
     ended = F.col("status").isin(*TERMINAL)
@@ -88,7 +121,7 @@ def claimable(jobs: DataFrame, slots: int, order: list[Column], partition: tuple
     return met.where(F.col(rn) <= F.lit(slots) - F.coalesce(busy, F.lit(0))).drop(rn, busy, *of)
 
 
-def requeued(jobs: DataFrame, ref: Column, attempts: int = 3, dispatch_minutes: int = 10, process_minutes: int = 30) -> DataFrame:
+def requeued(jobs: DataFrame, ref: Column, attempts: int = ATTEMPTS, dispatch_minutes: int = DISPATCH_MINUTES, process_minutes: int = PROCESS_MINUTES) -> DataFrame:
     """Adds next_status: jobs stuck in a state or failed with attempts left go back to the queue."""
     late = lambda n: F.col("updated_at") < ref - F.expr(f"interval {int(n)} minutes")
     back = ((F.col("status") == "dispatching") & late(dispatch_minutes)) | ((F.col("status") == "processing") & late(process_minutes)) | ((F.col("status") == "failed") & F.col("input_valid") & (F.col("attempt") < attempts))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -625,6 +626,57 @@ def job_state_fold(read: Frame) -> DataFrame:
     return jobs.folded(rows)
 
 
+#: What is taken for a job's moves, the minutes that a state may last here, and when all is looked at.
+JOB_MOVES = {"signup": "dispatch", "view": "claim", "purchase": "complete", "error": "fail", "click": "claim"}
+JOB_MINUTES, JOB_UNTIL = (900, 1500), "2024-02-20"
+LIFECYCLE_SQL = f"""WITH RECURSIVE m AS (SELECT user_id, ts, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in JOB_MOVES.items())} END AS move, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, 0::BIGINT AS rn, 'queued' AS status, 0 AS attempt, NULL::TIMESTAMP AS since FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, nrn,
+    CASE WHEN move = 'dispatch' AND st = 'queued' THEN 'dispatching' WHEN move = 'claim' AND st = 'dispatching' THEN 'processing' WHEN move = 'complete' AND st = 'processing' THEN 'completed' WHEN move = 'fail' AND st = 'processing' THEN 'failed' ELSE st END,
+    attempt + CASE WHEN move = 'claim' AND st = 'dispatching' THEN 1 ELSE 0 END,
+    CASE WHEN (move = 'dispatch' AND st = 'queued') OR (move = 'claim' AND st = 'dispatching') OR (move IN ('complete', 'fail') AND st = 'processing') THEN ts WHEN st <> status THEN due ELSE since END
+  FROM (SELECT *, CASE WHEN ts > due THEN 'queued' ELSE status END AS st FROM (SELECT f.*, m.ts, m.move, m.rn AS nrn,
+    CASE status WHEN 'dispatching' THEN since + INTERVAL {JOB_MINUTES[0]} MINUTE WHEN 'processing' THEN since + INTERVAL {JOB_MINUTES[1]} MINUTE WHEN 'failed' THEN CASE WHEN attempt < 3 THEN since END END AS due FROM f JOIN m ON m.user_id = f.user_id AND m.rn = f.rn + 1))),
+l AS (SELECT user_id, arg_max(status, rn) AS status, arg_max(attempt, rn) AS attempt FROM f GROUP BY user_id)
+SELECT user_id AS record_key, CASE WHEN status IN ('dispatching', 'processing') OR (status = 'failed' AND attempt < 3) THEN 'queued' ELSE status END AS status, attempt FROM l"""
+
+
+def job_moves(read: Frame) -> DataFrame:
+    moves = F.create_map(*[F.lit(x) for pair in JOB_MOVES.items() for x in pair])
+    return read("events").select(F.col("user_id").cast("string").alias("record_key"), F.col("ts").cast("timestamp").alias("event_time"), "event_id", F.try_element_at(moves, F.col("event_type")).alias("move"), F.lit("w").alias("worker"))
+
+
+@query(LIFECYCLE_SQL)
+def job_lifecycle(read: Frame) -> DataFrame:
+    """Job states with what happens without events: stuck jobs and failed ones go back to the queue."""
+    out = jobs.lifecycle(job_moves(read), F.lit(JOB_UNTIL), dispatch_minutes=JOB_MINUTES[0], process_minutes=JOB_MINUTES[1])
+    return out.select(F.col("record_key").cast("long").alias("record_key"), "status", "attempt")
+
+
+@query(LIFECYCLE_SQL)
+def streaming_job_lifecycle(read: Frame) -> DataFrame:
+    """The same as a stream of all moves in parts of the time range, shuffled within a part, with timers; a last row lets the time pass."""
+    from .shared import shared_dir
+    from .streaming.events import drained
+    from .streaming.lifecycle import Limits, job_changes, keyed_state
+
+    moves = job_moves(read)
+    spark = moves.sparkSession
+    folder = f"{shared_dir(spark)}/lotwise-moves-{uuid.uuid4().hex}"
+    parts = moves.repartitionByRange("event_time").sortWithinPartitions(F.xxhash64("event_id"))
+    parts.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(folder)
+    end = F.lit(JOB_UNTIL).cast("timestamp") + F.expr("interval 2 days")
+    clock = spark.range(1).select(F.lit("clock").alias("record_key"), end.alias("event_time"), F.lit(0).cast("long").alias("event_id"), F.lit("none").alias("move"), F.lit("w").alias("worker"), F.lit(9).alias("part"))
+    clock.write.mode("append").partitionBy("part").parquet(folder)
+    # one batch reads all files, whatever their order; the last row then lets the watermark pass every timer
+    stream = spark.readStream.schema(parts.schema).parquet(folder).withWatermark("event_time", "1 hour")
+    with keyed_state(spark):
+        changes = drained(job_changes(stream, Limits(*JOB_MINUTES)), "lotwise-lifecycle", "update")
+    last = changes.groupBy("record_key").agg(F.max(F.struct("change", "status", "attempt")).alias("last"))
+    every = moves.select("record_key").distinct().join(last, "record_key", "left")
+    return every.select(F.col("record_key").cast("long").alias("record_key"), F.coalesce("last.status", F.lit("queued")).alias("status"), F.coalesce("last.attempt", F.lit(0)).alias("attempt"))
+
+
 @query("""SELECT event_id, next_start, CASE WHEN event_type = 'view' AND next_start IS NOT NULL THEN 'interrupted' ELSE event_type END AS final_status FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next_start FROM events)""")
 def job_superseded(read: Frame) -> DataFrame:
     runs = read("events").select("event_id", F.col("user_id").alias("record_key"), F.col("ts").alias("started_at"), F.when(F.col("event_type") == "view", "running").otherwise(F.col("event_type")).alias("status"))
