@@ -1,10 +1,10 @@
 """URL filters: explicit rules first, then a path-template tree judged by labelled purity.
 
-Per host, paths form a tree of segments. Level by level, down to the
-deepest, a segment of at least MIN_COUNT pages stays literal if its labelled rate differs from its siblings'
+Per host, paths form a tree of segments, counted over distinct paths. Down to the deepest, a segment of at least
+`least` pages stays literal if its labelled rate differs from its siblings'
 by a two-proportion test, or if it has no siblings; other segments become wildcards (<n> for
-numbers, <id> for identifiers, * for the rest), whatever the size of the host. A template's purity is its
-share of good labels, smoothed towards the same template on all hosts and towards the
+numbers, <id> for identifiers, * for the rest), whatever the size of the host. Runs of segments without siblings are taken in one
+step. A template's purity is its share of good labels, smoothed towards the same template on all hosts and towards the
 global share; templates below the threshold are blocked. Everything is grouped
 aggregation with DataFrame functions; the tree itself stays distributed.
 
@@ -21,12 +21,10 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, small_side, written
+from .common import small_side, written
 
-#: Pages that a literal segment needs.
+#: Pages that a literal segment needs, by default.
 MIN_COUNT = 5
-#: Levels after which the rows that go deeper are written, so that no plan grows with the depth.
-LEVELS = 3
 Z = 2.58
 STRENGTH = 20.0
 THRESHOLD = 0.5
@@ -61,62 +59,73 @@ def _typed(segment: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, ending)).otherwise(segment)
 
 
-def templates(urls: DataFrame) -> DataFrame:
-    """Adds `template` to rows with host, path and bad (1, 0, or null without a label)."""
-    segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = urls.withColumn("_segments", segments).withColumn("template", F.lit(""))
-    done, level = [], 0
+def _tail(segments: Column, at: Column) -> Column:
+    """What follows `at` segments, as a template without literal segments; a slash before each."""
+    rest = F.slice(segments, at + 1, F.greatest(F.size(segments) - at, F.lit(0)))
+    return F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/"), F.when(x.startswith("<"), x).otherwise("*"))), "")
+
+
+def templates(urls: DataFrame, least: int = MIN_COUNT) -> DataFrame:
+    """Written table host, path, template, n, labelled, bads of the distinct paths of rows with host, path and bad (1, 0, or null without a label).
+
+    Each round takes every group of paths that share a template as far as they have all segments in common, and past one branching;
+    so the rounds grow with the branchings and page-bearing levels of the deepest section, not with its depth.
+    """
+    counted = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bads"))
+    segments = F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), _typed)
+    rows = counted.select("*", segments.alias("segments"), F.lit(0).alias("at"), F.lit("").alias("template"))
+    done = []
     while True:
-        if level and level % LEVELS == 0:
-            rows = written(rows, "url-rows")
-            done.append(rows.where(F.size("_segments") <= level))
-            rows = rows.where(F.size("_segments") > level)
-            # below MIN_COUNT pages no segment can stay literal, so these end here
-            groups = written(rows.groupBy("host", "template").agg((F.count(F.lit(1)) >= MIN_COUNT).alias("_many")), "url-groups").withColumnsRenamed({"host": "_h", "template": "_t"})
-            rows = rows.join(small_side(groups), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).drop("_h", "_t")
-            tail = F.transform(F.slice("_segments", level + 1, F.greatest(F.size("_segments") - level, F.lit(0))), lambda x: let(_typed(x), lambda y: F.when(y.startswith("<"), y).otherwise("*")))
-            done.append(rows.where(~F.col("_many")).drop("_many").withColumn("template", F.concat("template", F.lit("/"), F.array_join(tail, "/"))))
-            rows = rows.where("_many").drop("_many")
-            if rows.isEmpty():
-                break
-        deep = F.size("_segments") > level
-        own = F.when(deep, _typed(F.get("_segments", F.lit(level))))
-        rows = rows.withColumn("_own", own)
-        counted = rows.where(deep & ~F.col("_own").startswith("<")).groupBy("host", "template", "_own").agg(
-            F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.sum("bad").alias("bads")
+        rows = written(rows, "url-paths")
+        done.append(rows.where(F.size("segments") <= F.col("at")))
+        rows = rows.where(F.size("segments") > F.col("at"))
+        if rows.isEmpty():
+            break
+        groups = rows.groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(
+            F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("bads").alias("all_bads"), F.min("segments").alias("lo"), F.max("segments").alias("hi")
+        )
+        apart = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), False)
+        groups = small_side(written(groups.select("_h", "_t", "all", "all_labelled", "all_bads", F.when(apart > 0, apart - 1).otherwise(F.size("lo")).cast("int").alias("common")), "url-groups"))
+        rows = rows.join(groups, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).drop("_h", "_t")
+        # where a group has fewer pages than a literal segment needs, its paths end; what all have in common stays literal
+        chain = F.array_join(F.transform(F.slice("segments", F.col("at") + 1, F.col("common") - F.col("at")), lambda x: F.concat(F.lit("/"), x)), "")
+        branching = (F.col("all") >= least) & (F.col("common") <= F.col("at"))
+        own = F.get("segments", F.col("at"))
+        branches = rows.where(branching & ~own.startswith("<")).groupBy(F.col("host").alias("_h"), F.col("template").alias("_t"), own.alias("_s")).agg(
+            F.sum("n").alias("bn"), F.sum("labelled").alias("bl"), F.sum("bads").alias("bb"), F.max("all_labelled").alias("al"), F.max("all_bads").alias("ab")
         )
-        parents = rows.where(deep).groupBy("host", "template").agg(F.count(F.lit(1)).alias("all"), F.count("bad").alias("all_labelled"), F.sum("bad").alias("all_bads"))
-        frequent = counted.join(parents, ["host", "template"]).where(F.col("n") >= MIN_COUNT)
         # merged unless the branch's labels differ from those of its siblings taken together
-        rest_n, rest_bad = F.col("all_labelled") - F.col("labelled"), F.coalesce("all_bads", F.lit(0)) - F.coalesce("bads", F.lit(0))
-        pooled = F.col("all_bads") / F.col("all_labelled")
-        gap = F.abs(F.col("bads") / F.col("labelled") - rest_bad / rest_n)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_n))
-        differs = F.when((F.col("labelled") > 0) & (rest_n > 0), gap > Z * error).otherwise(F.lit(False))
-        literal = frequent.where(differs | (F.col("n") == F.col("all"))).select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_own").alias("_s"))
-        literal = small_side(written(literal, "url-branches"))
-        same = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("_own") == F.col("_s"))
-        step = F.when(F.col("_own").startswith("<") | F.col("_s").isNotNull(), F.col("_own")).otherwise(F.lit("*"))
-        rows = rows.join(literal, same, "left").withColumn("template", F.when(deep, F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))).drop("_h", "_t", "_s", "_own")
-        level += 1
-    return reduce(DataFrame.unionByName, done).drop("_segments")
-
-
-def purities(rows: DataFrame, strength: float = STRENGTH) -> DataFrame:
-    """host, template, purity: good labels' share, smoothed over all hosts' equal templates and globally."""
-    own = rows.groupBy("host", "template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    own = written(own, "url-templates")
-    alike = own.groupBy("template").agg(F.sum("n").alias("tn"), F.sum("b").alias("tb"))
+        rest_n, pooled = F.col("al") - F.col("bl"), F.col("ab") / F.col("al")
+        gap = F.abs(F.col("bb") / F.col("bl") - (F.col("ab") - F.col("bb")) / rest_n)
+        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("bl") + 1 / rest_n))
+        differs = F.when((F.col("bl") > 0) & (rest_n > 0), gap > Z * error).otherwise(F.lit(False))
+        literal = small_side(written(branches.where((F.col("bn") >= least) & differs).select("_h", "_t", "_s"), "url-branches"))
+        rows = rows.join(literal, branching & (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (own == F.col("_s")), "left")
+        step = F.concat(F.lit("/"), F.when(own.startswith("<") | F.col("_s").isNotNull(), own).otherwise("*"))
+        few = F.col("all") < least
+        rows = rows.select(
+            "host", "path", "n", "labelled", "bads", "segments", F.when(few, F.size("segments")).when(branching, F.col("at") + 1).otherwise(F.col("common")).alias("at"),
+            F.concat("template", F.when(few, _tail(F.col("segments"), F.col("at"))).when(branching, step).otherwise(chain)).alias("template"),
+        )
+    return written(reduce(DataFrame.unionByName, done).select("host", "path", "template", "n", "labelled", "bads"), "url-templates")
+
+
+def purities(paths: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """host, template, purity of templates(): good labels' share, smoothed over all hosts' equal templates and globally."""
+    own = written(paths.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("bads").alias("b")), "url-sums")
+    alike = own.groupBy(F.col("template").alias("_of")).agg(F.sum("n").alias("tn"), F.sum("b").alias("tb"))
     whole = own.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
     rate = (whole["b"] or 0) / whole["n"] if whole["n"] else 0.0
     over = (F.col("tb") + strength * rate) / (F.col("tn") + strength)
-    return own.join(alike, "template").select(F.col("host").alias("_h"), F.col("template").alias("_t"), (1 - (F.col("b") + strength * over) / (F.col("n") + strength)).alias("purity"))
+    met = own.join(small_side(written(alike, "url-alike")), F.col("template") == F.col("_of"))
+    return met.select(F.col("host").alias("_h"), F.col("template").alias("_t"), (1 - (F.col("b") + strength * over) / (F.col("n") + strength)).alias("purity"))
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = THRESHOLD) -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = THRESHOLD, least: int = MIN_COUNT) -> DataFrame:
     """pages with host, path, rule, verdict, template and purity.
 
-    labelled: id and bad (0 or 1) of some pages.
+    labelled: id and bad (0 or 1) of some pages; a page with several labels is bad if one of them says so. least: pages that a
+    literal segment needs.
     """
     had = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "template", "purity")]
     # the page's own columns travel in a struct, so that none of their names can clash
@@ -125,10 +134,11 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: Da
     if labelled is None:
         rows = rows.withColumn("bad", F.lit(None).cast("int"))
     else:
-        marks = small_side(written(labelled.select(F.col(id_col).alias("_id"), "bad").dropDuplicates(["_id"]), "url-labels"))
+        marks = small_side(written(labelled.select(F.col(id_col).alias("_id"), "bad").groupBy("_id").agg(F.max("bad").alias("bad")), "url-labels"))
         rows = rows.join(marks, F.col("_key") == F.col("_id"), "left").drop("_id")
-    rows = templates(rows)
-    judged = rows.join(small_side(written(purities(rows), "url-purities")), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left").drop("_h", "_t", "bad")
+    paths = templates(rows, least)
+    judged_paths = paths.join(small_side(written(purities(paths), "url-purities")), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select(F.col("host").alias("_ho"), F.col("path").alias("_pa"), "template", "purity")
+    judged = rows.drop("bad").join(small_side(written(judged_paths, "url-judged")), (F.col("host") == F.col("_ho")) & (F.col("path") == F.col("_pa")))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("purity") < threshold, "block").otherwise("allow")
     back = [F.col(f"_page.`{c}`").alias(c) for c in had]

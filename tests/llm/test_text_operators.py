@@ -546,3 +546,25 @@ def test_site_quality_with_repeated_ids(spark):
     docs = spark.createDataFrame(rows, DOCS + ", source string, lang string").withColumns({"prior": F.lit("clash"), "_id": F.lit(0)})
     got = site_quality.site_quality(docs, labels).collect()
     assert len(got) == 150 and all(0 < x.prior < 1 for x in got)
+
+
+def test_deep_paths_take_few_rounds(spark):
+    """Copies of a url of 2,000 segments, and pages that part deep below a common path, end within seconds."""
+    import time
+
+    deep = "/".join(f"x{i}" for i in range(2000))
+    rows = [f"http://deep.org/{deep}" for _ in range(5)] + [f"http://two.org/{'/'.join(['a'] * 500)}/{s}/{'/'.join(['b'] * 300)}" for s in ("one", "two") * 20]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    bad = spark.createDataFrame([(i, int("/two/" in u)) for i, u in enumerate(rows)], "page_id long, bad int")
+    url_filter.url_filter(pages, [], bad).collect()
+    start = time.time()
+    got = {x.page_id: x.template for x in url_filter.url_filter(pages, [], bad).collect()}
+    assert time.time() - start < 30 and got[0] == "/" + deep and got[5] == "/" + rows[5].split("/", 3)[3] and got[6].count("/two/") == 1
+
+
+def test_labels_of_one_page_and_the_least_count(spark):
+    rows = [(i, f"http://h.org/{'spam' if i % 2 else 'news'}/{i}") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    marks = spark.createDataFrame([(i, b) for i in range(40) for b in (0, i % 2, None)], "page_id long, bad int")
+    assert {x.template for x in url_filter.url_filter(pages, [], marks).collect()} == {"/spam/<n>", "/news/<n>"}
+    assert {x.template for x in url_filter.url_filter(pages, [], marks, least=21).collect()} == {"/*/<n>"}
