@@ -1,8 +1,9 @@
 """Language identification by fusing text, markup, address and host evidence.
 
 Text: byte trigrams hashed into a fixed number of bins; each language's bin counts are
-summed over all labelled documents. Overlapping trigrams are not independent, so their log
-likelihood is tempered. Markup: the lang attribute of the page. Address: a language
+summed over all labelled documents, and the model holds the bins that occur. A label is a language if it starts with
+a code of two or three letters (the rest of en-US is left away), which bounds the languages by LANGUAGES. Overlapping
+trigrams are not independent, so a text's log likelihood counts as that of their number to the power TEMPER. Markup: the lang attribute of the page. Address: a language
 code as top-level domain or as first path segment. Host: the languages that the other evidence
 gives the host's other pages (a page's own evidence is left out), shrunk towards those of its domain, and
 these towards all pages', by grouped aggregation. The parts add up as log odds; the posterior is normalised.
@@ -15,6 +16,7 @@ labelled documents there is no result language (null); clashing columns are repl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_side, written
+from .common import let, small_side, written
 from .textstats import _UPPER, passes
 
 BINS = 8192
-#: Languages that a model has at most; more labels than that are an error.
-MOST_LANGUAGES = 512
-TEMPER, CEILING = 0.25, 200.0
+#: Codes of two and three letters: more languages than these a model cannot have.
+LANGUAGES = 26**2 + 26**3
+CODE = "^([A-Za-z]{2,3})(?:[-_].*)?$"
+TEMPER = 0.75
 #: How often markup and address tell the truth where they speak.
 MARKUP_RIGHT, ADDRESS_RIGHT = 0.9, 0.85
 HOST_STRENGTH, DOMAIN_STRENGTH = 10.0, 50.0
+#: Distinct bins of documents that a step looks up at once.
+SEEN = 200_000
 _COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
@@ -59,17 +64,28 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([kinds[i] for i in some // BINS], pa.string()), pa.array(some % BINS, pa.int32()), pa.array(total[some])], names=["lang", "bin", "n"])
 
 
-def trigram_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages, and log probabilities (language, bin) over all documents with a language."""
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+class Model(NamedTuple):
+    """log probability of a bin that a language lacks, and by bin (start to start of the next) the languages that have it and what it adds."""
+
+    languages: list[str]
+    absent: np.ndarray
+    start: np.ndarray
+    owner: np.ndarray
+    more: np.ndarray
+
+
+def trigram_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Smoothed log probabilities of the bins over all documents with a language."""
+    code = F.lower(F.regexp_extract(F.trim(lang_col), CODE, 1))
+    rows = docs.select(code.alias("lang"), F.col(text_col).alias("text")).where(F.col("lang") != "")
     summed = rows.mapInArrow(_counts, _COUNTS).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    got = summed.orderBy("lang", "bin").limit(MOST_LANGUAGES * BINS + 1).toPandas()  # at most languages x bins rows
-    langs = sorted(got["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = np.full((len(langs), BINS), 0.5)
-    counts[got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), got["bin"].to_numpy(int)] += got["n"].to_numpy(float)
-    return langs, np.log(counts / counts.sum(1, keepdims=True))
+    got = summed.toPandas()  # a row for each language and bin that occurs; both are bounded
+    langs = sorted({*got["lang"], *(r["lang"] for r in rows.select("lang").distinct().collect())})
+    owner, bins, n = got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), got["bin"].to_numpy(int), got["n"].to_numpy(float)
+    total = np.bincount(owner, weights=n, minlength=len(langs)) + 0.5 * BINS
+    order = np.lexsort((owner, bins))
+    start = np.searchsorted(bins[order], np.arange(BINS + 1))
+    return Model(langs, np.log(0.5 / total), start, owner[order].astype(np.int32), np.log((n[order] + 0.5) / 0.5))
 
 
 def visible_text(html: Column) -> Column:
@@ -82,30 +98,40 @@ def likelihoods(model):
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(texts: pa.Array) -> pa.Array:
-        table = model.value
-        out = []
+        _, absent, start, owner, more = model.value
+        size, out = len(absent), []
         for _, n, data, at in passes(texts):
             bins, doc = trigram_bins(data, at)
-            count = np.maximum(np.bincount(doc, minlength=n), 1)
-            ll = np.stack([np.bincount(doc, weights=own[bins], minlength=n) for own in table], 1)
-            out.append(ll / count[:, None] * np.minimum(count * TEMPER, CEILING)[:, None])
-        flat = np.concatenate(out) if out else np.zeros((0, len(table)))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(table), pa.int32()), pa.array(flat.ravel(), pa.float64()))
+            count = np.bincount(doc, minlength=n)
+            # each document's distinct bins, and the languages that have them
+            seen, times = np.unique(doc * BINS + bins, return_counts=True)
+            ll = count[:, None] * absent
+            for first in range(0, len(seen), SEEN):
+                own_doc, own_bin, own_times = *np.divmod(seen[first : first + SEEN], BINS), times[first : first + SEEN]
+                widths = start[own_bin + 1] - start[own_bin]
+                entry = np.repeat(start[own_bin] - np.concatenate([[0], np.cumsum(widths)[:-1]]), widths) + np.arange(widths.sum())
+                ll += np.bincount(np.repeat(own_doc, widths) * size + owner[entry], weights=np.repeat(own_times, widths) * more[entry], minlength=n * size).reshape(n, size)
+            out.append(ll / np.maximum(count, 1)[:, None] * (count**TEMPER)[:, None])
+        flat = np.concatenate(out) if out else np.zeros((0, size))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * size, pa.int32()), pa.array(flat.ravel(), pa.float64()))
 
     return score
 
 
 def _said(code: Column, langs: list[str], right: float) -> Column:
     """Log likelihoods of a language code where it names one of the languages, else none."""
-    wrong = (1 - right) / max(1, len(langs) - 1)
-    known = code.isin(*langs)
-    return F.when(known, F.array(*[F.when(code == x, float(np.log(right))).otherwise(float(np.log(wrong))) for x in langs])).otherwise(F.array(*[F.lit(0.0) for _ in langs]))
+    wrong, listed = (1 - right) / max(1, len(langs) - 1), F.lit(langs)
+    known = F.array_contains(listed, code)
+    return F.when(known, F.transform(listed, lambda x: F.when(x == code, float(np.log(right))).otherwise(float(np.log(wrong))))).otherwise(F.transform(listed, lambda x: F.lit(0.0)))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
 def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    mass = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.transform(scores, lambda x: F.exp(x - top) / mass)
+    powered = let(scores, lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top))))
+    return let(powered, lambda e: let(_total(e), lambda mass: F.transform(e, lambda x: x / mass)))
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -115,7 +141,7 @@ def _plus(a: Column, b: Column) -> Column:
 def host_prior(own: Column, of_host: Column, of_domain: Column, shares: Column) -> Column:
     """Log probabilities of the languages on a page's host, from all pages but this one, whose evidence is own."""
     less = lambda sums: F.zip_with(sums, own, lambda s, p: F.greatest(s - p, F.lit(0.0)))
-    mixed = lambda sums, towards, strength: F.zip_with(sums, towards, lambda s, t: (s + strength * t) / (F.aggregate(sums, F.lit(0.0), lambda a, x: a + x) + strength))
+    mixed = lambda sums, towards, strength: let(sums, lambda own: let(_total(own) + strength, lambda all: F.zip_with(own, towards, lambda s, t: (s + strength * t) / all)))
     return F.transform(mixed(less(of_host), mixed(less(of_domain), shares, DOMAIN_STRENGTH), HOST_STRENGTH), lambda p: F.log(p))
 
 
@@ -123,16 +149,18 @@ def languages(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", ur
     """One row id, host, declared, addressed, lang, probability, text_lang for each page."""
     from .url_filter import host_of, path_of
 
-    langs, table = trigram_model(labelled, text_col, lang_col)
+    trigrams = trigram_model(labelled, text_col, lang_col)
+    langs = trigrams.languages
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     declared = F.lower(F.regexp_extract(F.col(html_col), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), declared.alias("declared"), visible_text(F.col(html_col)).alias("_text"))
     code, ending = F.lower(F.regexp_extract("path", r"^/([A-Za-z]{2})(?:[/_-]|$)", 1)), F.regexp_extract("host", r"\.([a-z]{2})$", 1)
     if not langs:
         return rows.select(id_col, "host", "declared", F.lit("").alias("addressed"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"))
-    model = pages.sparkSession.sparkContext.broadcast(table)
+    model = pages.sparkSession.sparkContext.broadcast(trigrams)
     likelihood = likelihoods(model)
-    addressed = F.when(code.isin(*langs), code).when(ending.isin(*langs), ending).otherwise("")
+    is_one = lambda c: F.array_contains(F.lit(langs), c)
+    addressed = F.when(is_one(code), code).when(is_one(ending), ending).otherwise("")
     seen = written(rows.select(id_col, "host", "declared", addressed.alias("addressed"), likelihood("_text").alias("text")), "lang-evidence")
     domain = F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1)
     said = _plus(F.col("text"), _plus(_said(F.col("declared"), langs, MARKUP_RIGHT), _said(F.col("addressed"), langs, ADDRESS_RIGHT)))
@@ -142,7 +170,7 @@ def languages(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", ur
     by_domain = by_host.groupBy("domain", "i").agg(F.sum("n").alias("dn"))
     whole = {r["i"]: r["n"] for r in by_host.groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row for each language
     everything = sum(whole.values()) or 1.0
-    shares = F.array(*[F.lit((whole.get(i, 0.0) + 0.5) / (everything + 0.5 * len(langs))) for i in range(len(langs))])
+    shares = F.lit([(whole.get(i, 0.0) + 0.5) / (everything + 0.5 * len(langs)) for i in range(len(langs))])
     listed = lambda value: F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(value).alias("v")))), lambda x: x["v"])
     # a row for each host: the sums of its pages and of its domain's, by language (a list for each of them)
     domains = by_domain.groupBy("domain").agg(listed("dn").alias("of_domain"))
@@ -150,7 +178,7 @@ def languages(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", ur
     hosts = small_side(written(hosts, "lang-priors"))
     final = scored.join(hosts, F.col("host") == F.col("_host"), "left").withColumn("soft", _softmax(F.col("own")))
     final = final.withColumn("prior", host_prior(F.col("soft"), F.col("of_host"), F.col("of_domain"), shares)).withColumn("posterior", _softmax(_plus(F.col("own"), F.col("prior"))))
-    best = lambda scores: F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position(scores, F.array_max(scores)).cast("int"))
+    best = lambda scores: F.element_at(F.lit(langs), F.array_position(scores, F.array_max(scores)).cast("int"))
     return final.select(
         id_col, "host", "declared", "addressed", best(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("probability"), best(F.col("text")).alias("text_lang")
     )

@@ -25,6 +25,8 @@ URL_RULES = [
 
 #: Entropy of the mixture's sources, as a share of the highest one.
 SOURCE_ENTROPY = 0.9998
+#: Rows of the mixture's blocks: small ones, so that a pass shuffles several of each source.
+MIXING_BLOCK = 32
 #: A page's address ends in the number of its document.
 DOCUMENT_NUMBER = "try_cast(regexp_extract(url, '/([0-9]+)[^/0-9]*/?(?:[?#].*)?$', 1) as bigint)"
 
@@ -76,7 +78,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), entropy=SOURCE_ENTROPY)
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), entropy=SOURCE_ENTROPY, block_rows=MIXING_BLOCK)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

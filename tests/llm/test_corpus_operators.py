@@ -440,3 +440,26 @@ def test_source_mixing_query_binds(spark):
     rows = queries.op7_source_mixing(spark, "/root/testdata/sf0.001").toPandas()
     by = rows.groupby("source").weight.first()
     assert 0 < rows["exponent"].iloc[0] < 1 and abs(-(by * np.log(by)).sum() / np.log(len(by)) - queries.SOURCE_ENTROPY) < 1e-6
+
+
+def test_a_tiny_source_beside_a_large_one(spark):
+    """A source of one token is taken very often: its row stays short, and copies are made step by step."""
+    rows = [(i, "large", "w " * 500) for i in range(400)] + [(1000, "tiny", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {x.doc_id: x for x in mixing.mixed(docs, entropy=0.999999, block_rows=8).collect()}
+    assert got[1000].copies > 100_000 and len(got[1000].passes) == mixing.LISTED and got[1000].whole + got[1000].extra == got[1000].copies
+    assert len({x.block for x in got.values()}) > 30
+    both = {x.doc_id: x for x in mixing.mixed(docs, entropy=0.999999, repeats=3.0).collect()}
+    assert 3 >= both[1000].copies >= 2
+    copies = F.when(F.col("id") == 0, F.lit(200_001)).otherwise(F.col("id"))
+    made = mixing.repeated(spark.range(3), copies.cast("long"), "turn").groupBy("id").agg(F.count("*").alias("n"), F.min("turn").alias("lo"), F.max("turn").alias("hi"), F.count_distinct("turn").alias("d"))
+    assert {tuple(x) for x in made.collect()} == {(0, 200_001, 1, 200_001, 200_001), (1, 1, 1, 1, 1), (2, 2, 1, 2, 2)}
+
+
+def test_mixing_without_broadcasts(spark, monkeypatch):
+    rows = [(i, None if i % 3 == 0 else f"s{i % 4}", "w " * (i % 9)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    shown = lambda: (sorted(map(str, mixing.mixed(docs, repeats=2.0, block_rows=8).collect())), sorted(map(str, mixing.arranged(docs, repeats=2.0, block_rows=8).collect())))
+    want = shown()
+    monkeypatch.setattr(mixing, "small_side", lambda df: df)
+    assert shown() == want

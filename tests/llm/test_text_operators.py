@@ -568,3 +568,50 @@ def test_labels_of_one_page_and_the_least_count(spark):
     marks = spark.createDataFrame([(i, b) for i in range(40) for b in (0, i % 2, None)], "page_id long, bad int")
     assert {x.template for x in url_filter.url_filter(pages, [], marks).collect()} == {"/spam/<n>", "/news/<n>"}
     assert {x.template for x in url_filter.url_filter(pages, [], marks, least=21).collect()} == {"/*/<n>"}
+
+
+def plain_scores(labelled, texts):
+    """Tempered log likelihoods by plain counting of byte trigrams."""
+    def bins(t):
+        b = bytearray((t or "").encode())
+        low = [c + 32 if 65 <= c <= 90 else c for c in b]
+        return [((low[i] | low[i + 1] << 8 | low[i + 2] << 16) * 2654435761 % 2**32) >> (32 - language.BINS.bit_length() + 1) for i in range(len(low) - 2)]
+
+    counts = {}
+    for t, lang in labelled:
+        own = counts.setdefault(lang, {})
+        for x in bins(t):
+            own[x] = own.get(x, 0) + 1
+    out = []
+    for t in texts:
+        own = bins(t)
+        row = [sum(np.log((c.get(x, 0) + 0.5) / (sum(c.values()) + 0.5 * language.BINS)) for x in own) for _, c in sorted(counts.items())]
+        out.append([x / max(1, len(own)) * len(own) ** language.TEMPER for x in row])
+    return out
+
+
+def test_trigram_model_against_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(language, "SEEN", 50)
+    r = random.Random(2)
+    words = {"aa": "lorem ipsum dolor sit amet".split(), "bb": "zwei acht quatsch über Öl".split(), "cc": "unus duo tres".split()}
+    labelled = [(" ".join(r.choice(words[x]) for _ in range(r.randint(0, 40))), x) for x in words for _ in range(6)] + [("", "dd")]
+    texts = [None, "", "ab", "LOREM Ipsum", "quatsch mit Soße " * 80, "tres acht"]
+    model = language.trigram_model(spark.createDataFrame(labelled + [("ignored text", "not a code"), ("more ignored", None), ("x", "")], "text string, lang string"))
+    assert model.languages == ["aa", "bb", "cc", "dd"]
+    score = language.likelihoods(spark.sparkContext.broadcast(model))
+    got = [x.s for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", score("t").alias("s")).orderBy("i").collect()]
+    want = plain_scores(labelled, texts)
+    assert np.allclose(got, want) and all(abs(x) < 1e-12 for x in got[0])
+
+
+def test_many_languages(spark):
+    """2,000 language codes, tags with regions among them, neither fail nor take long."""
+    import itertools
+    import time
+
+    codes = ["".join(c) for c in itertools.islice(itertools.product("abcdefghijklmnop", repeat=3), 2000)]
+    labelled = spark.createDataFrame([(f"{c} {c[::-1]}{c} word{i}", c.upper() + ("-XX" if i % 2 else "")) for i, c in enumerate(codes)], "text string, lang string")
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.org/{i}", f"<p>{codes[i * 90]} {codes[i * 90][::-1]}{codes[i * 90]} word{i * 90}</p>") for i in range(20)], "page_id long, url string, html string")
+    start = time.time()
+    got = {x.page_id: x for x in language.languages(pages, labelled).collect()}
+    assert time.time() - start < 90 and sum(got[i].text_lang == codes[i * 90] for i in range(20)) >= 18
