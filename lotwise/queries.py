@@ -677,6 +677,39 @@ def streaming_job_lifecycle(read: Frame) -> DataFrame:
     return every.select(F.col("record_key").cast("long").alias("record_key"), F.coalesce("last.status", F.lit("queued")).alias("status"), F.coalesce("last.attempt", F.lit(0)).alias("attempt"))
 
 
+@query("SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_event, max(value) AS peak FROM events GROUP BY 1, 2")
+def keyed_counters(read: Frame) -> DataFrame:
+    """Counters in a keyed table, upserted in three batches, one of which comes twice."""
+    from .shared import shared_dir
+    from .sources.keyed_table import KeyedTable, added
+
+    counted = read("events").groupBy("user_id", "event_type", F.pmod("event_id", F.lit(3)).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"), F.max("value").alias("peak"))
+    spark, rows = counted.sparkSession, counted.drop("batch")
+    table = KeyedTable(spark, f"{shared_dir(spark)}/lotwise-counters-{uuid.uuid4().hex}", rows.schema, ["user_id", "event_type"], 8)
+    for batch in (0, 1, 1, 2):
+        table.upsert(counted.where(F.col("batch") == batch).drop("batch"), f"events {batch}", added("n"))
+    return table.rows()
+
+
+@query("""SELECT event_id, ts AS started, CASE WHEN event_id % 5 <> 0 THEN ts + INTERVAL (event_id % 90) MINUTE END AS finished FROM events""")
+def streaming_stages(read: Frame) -> DataFrame:
+    """Planted stages, a fifth of them without an end, as a join of two streams within two hours."""
+    from .shared import shared_dir
+    from .streaming.events import drained, stage_intervals
+
+    events = read("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    spark = events.sparkSession
+    ends = events.where("event_id % 5 <> 0").select("event_id", F.timestamp_add("MINUTE", F.pmod("event_id", F.lit(90)), F.col("ts")).alias("ts"), F.lit("stage_finished").alias("kind"))
+    rows = events.withColumn("kind", F.lit("stage_started")).unionByName(ends)
+    folder = f"{shared_dir(spark)}/lotwise-stages-{uuid.uuid4().hex}"
+    rows.repartition(F.xxhash64("event_id", "kind")).write.parquet(folder)
+    # one more stage, long after all others, lets the time pass
+    later = events.agg(F.timestamp_add("DAY", F.lit(3), F.max("ts")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.explode(F.array(F.lit("stage_started"), F.lit("stage_finished"))).alias("kind"))
+    later.write.mode("append").parquet(folder)
+    found = drained(stage_intervals(spark.readStream.schema(rows.schema).parquet(folder), ["event_id"]), "lotwise-stages", "append")
+    return found.where("event_id >= 0").select("event_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("finished").cast("timestamp_ntz").alias("finished"))
+
+
 @query("""SELECT event_id, next_start, CASE WHEN event_type = 'view' AND next_start IS NOT NULL THEN 'interrupted' ELSE event_type END AS final_status FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next_start FROM events)""")
 def job_superseded(read: Frame) -> DataFrame:
     runs = read("events").select("event_id", F.col("user_id").alias("record_key"), F.col("ts").alias("started_at"), F.when(F.col("event_type") == "view", "running").otherwise(F.col("event_type")).alias("status"))

@@ -44,6 +44,19 @@ def first_deliveries(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(keys)
 
 
+def stage_intervals(events: DataFrame, keys: list[str], longest: str = "2 hours", delay: str = "1 hour", time: str = "ts", kind: str = "kind") -> DataFrame:
+    """Stages with their start and end as both sides arrive: keys, started, finished, seconds; an end more than `longest` after its start is none.
+
+    Two watermarked sides and a time range between them bound what is kept; a stage without an end is given once the
+    watermark has passed the range. Rows later than the delay are dropped, as in any stream with a watermark.
+    """
+    side = lambda value, name: events.where(F.col(kind) == value).select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col(time).alias(name)).withWatermark(name, delay)
+    started, finished = side("stage_started", "started"), side("stage_finished", "finished")
+    same = [F.col(f"started_{k}") == F.col(f"finished_{k}") for k in keys]
+    met = started.join(finished, [*same, F.col("finished") >= F.col("started"), F.col("finished") <= F.col("started") + F.expr(f"interval {longest}")], "leftOuter")
+    return met.select(*[F.col(f"started_{k}").alias(k) for k in keys], "started", "finished", (F.unix_micros("finished") - F.unix_micros("started")).alias("micros")).withColumn("seconds", F.col("micros") / 1e6).drop("micros")
+
+
 def job_states(transitions: DataFrame) -> DataFrame:
     """record_key, status, attempt after each batch of transitions (record_key, event_id, move, worker, and event_time if there is one); illegal moves are ignored.
 
