@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from .functions import dates, numbers
 from .functions import text as tx
-from .operators import audit, coverage, documents, jobs, matching, normalize, positions, rules, vector_index
+from .operators import answers, audit, coverage, documents, jobs, matching, normalize, positions, rules, vector_index
 from .operators.documents import within_budget
 from .operators.scan import prefix_scan
 
@@ -540,6 +540,25 @@ def knn_label_vote(read: Frame) -> DataFrame:
     return met.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("query_label")).alias("same_label"), F.count(F.lit(1)).alias("n"))
 
 
+#: Replies with the number {n} in them, and how they are told: origin and whether they were repaired (null: nothing to read).
+PLANTED_REPLIES = (
+    ('{{"n": {n}, "fields": {{"a": "x"}}}}', "raw", False), ('So:\n```json\n{{"n": {n}, "fields": {{"a": "x"}}}}\n```', "markdown_fence", False), ('It is {{"n": {n}, "fields": {{"a": "x"}}}} indeed', "object_bounds", False),
+    ('{{"n": {n} "fields": {{"a": "x" }},}}', "raw", True), ("{{'n': {n}, fields: {{'a': 'x',, }} }}", "raw", True), ('{{"n": {n}, "fields": {{"a": "x"', "raw", True), ('{{"n": {n}, "fields": {{"a": "x', "raw", True),
+    ('Here:\n```json\n{{"n": {n}, "fields": {{"a": "x", "b": [1, 2}}}}\n```', "markdown_fence", True), ('Sure {{"n" {n} "fields": {{"a" : x, "b": }} , "c": True}} bye', "object_bounds", True), ("plain {n}", None, None), ("", None, None),
+)
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN origin IS NOT NULL THEN o_custkey::VARCHAR END AS n, CASE WHEN origin IS NOT NULL THEN 'x' END AS a, origin, repaired FROM (SELECT *,
+  list_extract([{", ".join("NULL" if o is None else f"'{o}'" for _, o, _ in PLANTED_REPLIES)}], (o_orderkey % {len(PLANTED_REPLIES)} + 1)::INTEGER) AS origin, list_extract([{", ".join("NULL" if r is None else str(r) for _, _, r in PLANTED_REPLIES)}]::BOOLEAN[], (o_orderkey % {len(PLANTED_REPLIES)} + 1)::INTEGER) AS repaired FROM orders)""")
+def repaired_replies(read: Frame) -> DataFrame:
+    """Replies of a model in all states of repair."""
+    number = F.col("o_custkey").cast("string")
+    shapes = [F.replace(F.lit(raw.format(n="#N#")), F.lit("#N#"), number) for raw, _, _ in PLANTED_REPLIES]
+    said = read("orders").select("o_orderkey", F.element_at(F.array(*shapes), (F.col("o_orderkey") % len(shapes) + 1).cast("int")).alias("reply"))
+    told = said.select("o_orderkey", answers.json_result(F.col("reply")).alias("r"))
+    return told.select("o_orderkey", F.get_json_object("r.json", "$.n").alias("n"), F.get_json_object("r.json", "$.fields.a").alias("a"), "r.origin", "r.repaired")
+
+
 @query("""SELECT p_brand, round(median(p_retailprice), 2) AS median_price, count(p_retailprice) AS priced, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS fields FROM part GROUP BY p_brand""")
 def same_product_median(read: Frame) -> DataFrame:
     rows = read("part").select(F.lit(1).alias("q"), F.col("p_brand").alias("product_id"), F.col("p_partkey").cast("string").alias("point_id"), F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("unit_price"), F.col("p_type").alias("price_field"), F.lit("RUB").alias("currency"))

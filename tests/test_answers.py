@@ -49,3 +49,26 @@ def test_registry_rows(spark):
     assert got == [
         (0, 0, "7700000001", "770001001", "Org", None), (0, 1, None, None, None, None), (1, 0, "7700000001", "770001001", "Org", None), (2, 0, None, None, None, "code 500: down"),
     ]
+
+
+def test_broken_json_is_repaired(spark):
+    import json
+
+    cases = {
+        '{"fields":{"dateCreated":{"value":"2026-08-17" "confidence":"high","source":"document"}},"warnings":[]}': {"fields": {"dateCreated": {"value": "2026-08-17", "confidence": "high", "source": "document"}}, "warnings": []},
+        '{"decision":"reject"': {"decision": "reject"}, '{"a": [1, 2, {"b": "open': {"a": [1, 2, {"b": "open"}]}, "{'a': 'it\\'s \"x\"', b: None,}": {"a": 'it\'s "x"', "b": None},
+        '[1 2,, 3,]': [1, 2, 3], '{"a":, "b": 1, "c"}': {"a": None, "b": 1, "c": None}, '{"a": "line\nbreak"}': {"a": "line\nbreak"}, '{"a": [1}, "b": 2}': {"a": [1]}, '{"a": tru, "b": 01}': {"a": "tru", "b": "01"},
+        'x {"a": {"b": []}} {"second": 1}': {"a": {"b": []}}, '{"a": "\\u00e9\\"q"': {"a": 'é"q'}, "[]": [], "{": {}, '{"a": 1]': {"a": 1}, '{{"a": 1}}': {"": {"a": 1}},
+        "no json": None, "": None, None: None, "]}": None, '{"a": "tail\\': {"a": "tail"},
+    }
+    got = col(spark, list(cases), answers.repaired_json)
+    assert [json.loads(x) if x is not None else None for x in got] == list(cases.values())
+    long = '{"a": [' + " ".join(f'{{"k": {i}}}' for i in range(20_000))
+    (made,) = col(spark, [long], answers.repaired_json)
+    assert [x["k"] for x in json.loads(made)["a"]] == list(range(20_000))
+
+
+def test_cut_replies_are_not_repaired(spark):
+    rows = spark.createDataFrame([('{"decision":"reject"', True), ('{"decision":"reject"', False), ('{"decision":"reject"}', True), ('{"decision":"reject"', None)], "t string, cut boolean")
+    got = [(r.x.json, r.x.repaired) if r.x else None for r in rows.select(answers.json_result(F.col("t"), F.col("cut")).alias("x")).collect()]
+    assert got == [None, ('{"decision":"reject"}', True), ('{"decision":"reject"}', False), ('{"decision":"reject"}', True)]
