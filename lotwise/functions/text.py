@@ -224,4 +224,5 @@ def page_text(html: Column, limit: int | None = None) -> Column:
     lines = F.filter(F.transform(texts, lambda x: F.btrim(unescaped(x), F.lit(SPACES))), lambda x: x != "")
     # decoded once more as one text, for references that were themselves written with references
     text = unescaped(F.btrim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), F.lit(SPACES)))
+    text = F.when(html.isNotNull(), text)
     return text if limit is None else clip(text, limit)
