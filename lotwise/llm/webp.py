@@ -470,7 +470,7 @@ def undo_predictor(image: np.ndarray, width: int, height: int, size: int, modes:
             if not part.any():
                 continue
             part = part.reshape(height, width)
-            part[0, 0] += np.uint8(255) if shift == 24 else np.uint8(0)
+            part[0, 0] = (int(part[0, 0]) + (255 if shift == 24 else 0)) & 255
             part[0] = np.cumsum(part[0], dtype=np.uint8)
             for y, mode in zip(first.tolist(), chosen[:, 0].tolist(), strict=True):
                 own = slice(max(1, y), y + (1 << size))
