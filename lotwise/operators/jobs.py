@@ -15,10 +15,10 @@ TERMINAL = ("completed", "failed")
 DISPATCH_MINUTES, PROCESS_MINUTES, ATTEMPTS = 10, 30, 3
 
 
-def validated(batch: DataFrame, key: str = "record_key") -> DataFrame:
-    """Trims keys and adds error: blank and repeated keys are refused, not dropped."""
+def validated(batch: DataFrame, key: str = "record_key", within: tuple[str, ...] = ()) -> DataFrame:
+    """Trims keys and adds error: blank keys and keys that are repeated (within a request, if its columns are named) are refused, not dropped."""
     out = batch.withColumn(key, F.trim(key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*within, key))
     return out.withColumn("error", F.when(F.coalesce(F.length(key), F.lit(0)) == 0, "blank_key").when(n > 1, "duplicate_key"))
 
 

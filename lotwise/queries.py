@@ -696,6 +696,30 @@ def streaming_job_lifecycle(read: Frame) -> DataFrame:
     return every.select(F.col("record_key").cast("long").alias("record_key"), F.coalesce("last.status", F.lit("queued")).alias("status"), F.coalesce("last.attempt", F.lit(0)).alias("attempt"))
 
 
+@query("""WITH r AS (SELECT o_custkey::VARCHAR AS request_id, CASE o_orderkey % 11 WHEN 0 THEN '' WHEN 1 THEN (o_orderkey - o_orderkey % 3)::VARCHAR WHEN 2 THEN 'x' || o_orderkey ELSE o_orderkey::VARCHAR END AS record_key FROM orders),
+c AS (SELECT *, count(*) OVER (PARTITION BY request_id, record_key) AS same, count(*) OVER (PARTITION BY request_id) AS all_of FROM r)
+SELECT request_id, record_key, count(*) AS n, CASE WHEN record_key = '' THEN 'blank_key' WHEN same > 1 THEN 'duplicate_key' WHEN all_of > 25 THEN 'too_many_jobs' WHEN o_orderkey IS NULL THEN 'not_found' WHEN o_orderstatus = 'O' THEN 'accepted' ELSE 'status_' || o_orderstatus END AS outcome
+FROM c LEFT JOIN orders ON record_key = o_orderkey::VARCHAR GROUP BY 1, 2, 4""")
+def streaming_intake(read: Frame) -> DataFrame:
+    """Requests of many jobs each, with blank, repeated and unknown keys, as a stream of JSON lines into two tables."""
+    from .shared import shared_dir
+    from .streaming.intake import ACCEPTED, REFUSED, intake, request_stream, taken_in
+
+    key, n = F.col("o_orderkey"), F.pmod("o_orderkey", F.lit(11))
+    named = F.when(n == 0, "  ").when(n == 1, F.concat((key - key % 3).cast("string"), F.lit(" "))).when(n == 2, F.concat(F.lit("x"), key.cast("string"))).otherwise(key.cast("string"))
+    orders = read("orders")
+    spark = orders.sparkSession
+    folder = f"{shared_dir(spark)}/lotwise-intake-{uuid.uuid4().hex}"
+    requests = orders.select(F.col("o_custkey").cast("string").alias("request_id"), named.alias("record_key"), F.col("o_orderpriority").alias("payload"))
+    # a request's lines stay in one file
+    requests.repartition("request_id").select(F.to_json(F.struct("*")).alias("value")).write.text(f"{folder}/in")
+    stream = request_stream(spark, f"{folder}/in", files=3)
+    jobs_now = orders.select(key.cast("string").alias("record_key"), F.when(F.col("o_orderstatus") == "O", "dispatching").otherwise(F.col("o_orderstatus")).alias("status"))
+    intake(stream, lambda: jobs_now, folder)
+    every = taken_in(spark, folder, ACCEPTED, stream.schema).unionByName(taken_in(spark, folder, REFUSED, stream.schema))
+    return every.groupBy("request_id", "record_key", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_event, max(value) AS peak FROM events GROUP BY 1, 2")
 def keyed_counters(read: Frame) -> DataFrame:
     """Counters in a keyed table, upserted in three batches, one of which comes twice."""
