@@ -104,6 +104,7 @@ def currency(x: Column) -> Column:
 
 def currency_in(*cells: Column) -> Column:
     """RUB if any price cell shows the rouble."""
+    # fixed pattern
     return F.when(F.concat_ws(" ", *cells).rlike(FLAGS + r"₽|\bруб(?:\.|лей|ля)?\b"), "RUB")
 
 
@@ -151,6 +152,7 @@ def loggable_url(url: Column) -> Column:
 
 def catalog_id(url: Column) -> Column:
     """The article in a catalogue address."""
+    # fixed pattern
     return F.nullif(F.regexp_extract(url, r"(?i)/cat/nn/([^/?#]+)", 1), F.lit(""))
 
 
@@ -162,6 +164,7 @@ def safe_filename(x: Column, limit: int = 220) -> Column:
 
 def disposition_filename(header: Column) -> Column:
     """The file name of a content disposition: the extended form, else the plain one."""
+    # fixed patterns
     wide = F.try_url_decode(F.regexp_extract(header, r"(?i)filename\*\s*=\s*[^']*'[^']*'([^;]+)", 1))
     plain = F.regexp_extract(header, r'(?i)filename\s*=\s*"?([^";]+)', 1)
     return F.coalesce(string_or_none(wide), string_or_none(plain))

@@ -13,6 +13,11 @@ from .scan import prefix_scan
 EMPTY_FILE = FLAGS + r"пуст(?:ой|ые|ого)|empty\s+file|zero[- ]byte"
 
 
+#: The sentences of a note on documents; what stands between two parts is counted or listed.
+NOTE_NOTHING = ("Seldon выдал ссылки на ", " документ(ов), но пригодный текст документации не получен.")
+NOTE_EMPTY, NOTE_FAILED, NOTE_UNREAD, NOTE_END = "Пустые файлы: ", "Не удалось скачать или обработать: ", "Файлы без пригодного текста: ", "."
+
+
 def availability(requested: DataFrame, parsed: DataFrame, keys: list[str]) -> DataFrame:
     """requested, parsed, names by fate, status and note of each tender's documents.
 
@@ -37,10 +42,10 @@ def availability(requested: DataFrame, parsed: DataFrame, keys: list[str]) -> Da
     listed = lambda c, sep: F.array_join(F.slice(c, 1, 20), sep)
     note = F.concat_ws(
         " ",
-        F.when(unavailable, F.concat(F.lit("Seldon выдал ссылки на "), F.col("n_requested").cast("string"), F.lit(" документ(ов), но пригодный текст документации не получен."))),
-        F.when(asked & (F.size("empty_files") > 0), F.concat(F.lit("Пустые файлы: "), listed("empty_files", ", "), F.lit("."))),
-        F.when(asked & (F.size("failed_files") > 0), F.concat(F.lit("Не удалось скачать или обработать: "), listed("failed_files", "; "), F.lit("."))),
-        F.when(asked & (F.size("files_without_text") > 0), F.concat(F.lit("Файлы без пригодного текста: "), listed("files_without_text", ", "), F.lit("."))),
+        F.when(unavailable, F.concat(F.lit(NOTE_NOTHING[0]), F.col("n_requested").cast("string"), F.lit(NOTE_NOTHING[1]))),
+        F.when(asked & (F.size("empty_files") > 0), F.concat(F.lit(NOTE_EMPTY), listed("empty_files", ", "), F.lit(NOTE_END))),
+        F.when(asked & (F.size("failed_files") > 0), F.concat(F.lit(NOTE_FAILED), listed("failed_files", "; "), F.lit(NOTE_END))),
+        F.when(asked & (F.size("files_without_text") > 0), F.concat(F.lit(NOTE_UNREAD), listed("files_without_text", ", "), F.lit(NOTE_END))),
     )
     return out.withColumns({"processing_status": status, "documentation_unavailable": unavailable, "documentation_note": F.substring(note, 1, 3000)})
 

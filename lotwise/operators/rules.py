@@ -96,6 +96,19 @@ def text_rule(priority: int, reason: str, text: Column, pattern: str) -> Rule:
     return Rule(priority, reason, text.rlike(full), snippet(text, full))
 
 
+#: Sentences of evidence; what stands between two parts is a value of the row.
+SAID_LOT, SAID_PAPERS = "Проверка комплектования лота не пройдена.", "документация отсутствует"
+SAID_NOTHING = "Товарные позиции для проверки ассортимента не извлечены; coverage не рассчитан. Автоматическое согласование запрещено."
+SAID_DAYS, SAID_PRICE = ("Колонка «Осталось дней»: ", ". Условие: remainingDays < 3."), "НМЦК: "
+SAID_DELIVERY = ("Дата заведения: ", "; предел 18 месяцев: ", "; поставка: ")
+#: Sentences of a decision's note.
+NOTE_PARTY, NOTE_MAIN, NOTE_MODEL = "Контрагент с указанным ИНН не найден в IPro.", "Основная причина отказа: ", "Подтверждён критерий отказа: "
+NOTE_WEAK, NOTE_NONE = "LLM reject содержал только запрещённую/неподтверждённую controlled-причину.", "Критерии отказа не подтверждены."
+NOTE_FALLBACK = "LLM решения по статусу не вернул валидный JSON; обязательные критерии не сработали."
+NOTE_ADVISORY = ("Дополнительная информация по контрагенту: ", " Статус «Проработка контрагента» не применяется, поскольку тендер уже имеет подтверждённую причину отказа.")
+NOTE_MORE = "Дополнительные подтверждённые причины: "
+
+
 def hard_rules(ref_date: Column) -> list[Rule]:
     """All rules, in their order, over the columns of hard_reasons()."""
     text, c = F.coalesce("all_text", F.lit("")), F.col
@@ -110,12 +123,12 @@ def hard_rules(ref_date: Column) -> list[Rule]:
     limit = F.add_months(created, 18)
     works = snippet(text, FLAGS + WORKS_PATTERN, 120)
     rules = [
-        Rule(5, INDIVISIBLE, c("hard_reject"), F.coalesce("summary", F.lit("Проверка комплектования лота не пройдена."))),
-        Rule(25, DOCUMENTATION, c("documentation_missing"), F.coalesce("documentation_note", F.lit("документация отсутствует"))),
-        Rule(25, DOCUMENTATION, F.coalesce(c("total") <= 0, F.lit(False)) | c("coverage_percent").isNull(), F.lit("Товарные позиции для проверки ассортимента не извлечены; coverage не рассчитан. Автоматическое согласование запрещено.")),
+        Rule(5, INDIVISIBLE, c("hard_reject"), F.coalesce("summary", F.lit(SAID_LOT))),
+        Rule(25, DOCUMENTATION, c("documentation_missing"), F.coalesce("documentation_note", F.lit(SAID_PAPERS))),
+        Rule(25, DOCUMENTATION, F.coalesce(c("total") <= 0, F.lit(False)) | c("coverage_percent").isNull(), F.lit(SAID_NOTHING)),
         text_rule(10, DUPLICATE, text, DUPLICATE_PATTERN),
-        Rule(15, DEADLINE, c("remaining_days") < 3, F.concat(F.lit("Колонка «Осталось дней»: "), c("remaining_days").cast("string"), F.lit(". Условие: remainingDays < 3."))),
-        Rule(20, PRICE, (price > 0) & (price < 1_000_000), F.concat(F.lit("НМЦК: "), c("initial_price").cast("string"))),
+        Rule(15, DEADLINE, c("remaining_days") < 3, F.concat(F.lit(SAID_DAYS[0]), c("remaining_days").cast("string"), F.lit(SAID_DAYS[1]))),
+        Rule(20, PRICE, (price > 0) & (price < 1_000_000), F.concat(F.lit(SAID_PRICE), c("initial_price").cast("string"))),
         Rule(21, PRICE, c("value_reject") & c("threshold_applicable") & c("price_complete") & c("coverage_approved") & (c("supply_total") < 1_000_000), F.coalesce("price_summary", c("supply_total").cast("string"))),
     ]
     rules += [text_rule(priority, reason, text, pattern) for priority, reason, pattern in TEXT_PATTERNS]
@@ -124,7 +137,7 @@ def hard_rules(ref_date: Column) -> list[Rule]:
         Rule(18, MARKET, (c("report_id") == 3) & market.condition, market.evidence),
         Rule(55, VOLTAGE, high.isNotNull(), snippet_of(text, volts, firing)),
         Rule(35, PAY_DELAY, F.size(delays) > 0, F.get(delays, F.lit(0))),
-        Rule(32, DELIVERY, delivery > limit, F.concat(F.lit("Дата заведения: "), created.cast("string"), F.lit("; предел 18 месяцев: "), limit.cast("string"), F.lit("; поставка: "), delivery.cast("string"))),
+        Rule(32, DELIVERY, delivery > limit, F.concat(F.lit(SAID_DELIVERY[0]), created.cast("string"), F.lit(SAID_DELIVERY[1]), limit.cast("string"), F.lit(SAID_DELIVERY[2]), delivery.cast("string"))),
         Rule(80, WORKS, works.isNotNull() & ~works.rlike(FLAGS + NO_WORKS_PATTERN), works),
     ]
     return rules
@@ -245,19 +258,19 @@ def decided(tenders: DataFrame) -> DataFrame:
         "reason_origin": pick(*map(text, ("deterministic", "llm_alternative_over_coverage", "deterministic", "llm", "counterparty", "none", "none", "fallback"))),
     })
     advisory = (c("status") == REJECTED) & unknown
-    party = F.coalesce(F.nullif("counterparty_reason", F.lit("")), text("Контрагент с указанным ИНН не найден в IPro."))
+    party = F.coalesce(F.nullif("counterparty_reason", F.lit("")), text(NOTE_PARTY))
     hard_as = F.transform("_hard", lambda x: F.struct(x["reason"].alias("reason"), collapse(x["evidence"]).alias("evidence"), F.lit("high").alias("confidence")))
     more = F.when(c("status") == REJECTED, F.filter(once(F.concat(hard_as, c("_model"))), lambda x: x["reason"] != c("reason"))).otherwise(none)
     out = out.withColumn("additional_reasons", more)
     listed = F.array_join(F.transform("additional_reasons", lambda x: F.when(x["evidence"] != "", F.concat(x["reason"], text(" — "), x["evidence"])).otherwise(x["reason"])), " | ")
     papers = F.get(F.filter("_hard", lambda x: x["reason"] == DOCUMENTATION), F.lit(0))["evidence"]
     main = pick(
-        *[F.concat(text("Основная причина отказа: "), c("reason"), text("."))] * 3,
-        F.coalesce(F.nullif(c("model.note"), text("")), F.concat(text("Подтверждён критерий отказа: "), c("_primary"), text("."))), party,
-        text("LLM reject содержал только запрещённую/неподтверждённую controlled-причину."), F.coalesce(F.nullif(c("model.note"), text("")), text("Критерии отказа не подтверждены.")),
-        text("LLM решения по статусу не вернул валидный JSON; обязательные критерии не сработали."),
+        *[F.concat(text(NOTE_MAIN), c("reason"), text("."))] * 3,
+        F.coalesce(F.nullif(c("model.note"), text("")), F.concat(text(NOTE_MODEL), c("_primary"), text("."))), party,
+        text(NOTE_WEAK), F.coalesce(F.nullif(c("model.note"), text("")), text(NOTE_NONE)),
+        text(NOTE_FALLBACK),
     )
-    about = F.when(advisory, F.concat(text("Дополнительная информация по контрагенту: "), party, text(" Статус «Проработка контрагента» не применяется, поскольку тендер уже имеет подтверждённую причину отказа.")))
-    parts = F.array(c("summary"), main, F.when(rejected, papers), about, F.when(F.size("additional_reasons") > 0, F.concat(text("Дополнительные подтверждённые причины: "), listed)))
+    about = F.when(advisory, F.concat(text(NOTE_ADVISORY[0]), party, text(NOTE_ADVISORY[1])))
+    parts = F.array(c("summary"), main, F.when(rejected, papers), about, F.when(F.size("additional_reasons") > 0, F.concat(text(NOTE_MORE), listed)))
     tidy = F.array_distinct(F.filter(F.transform(parts, lambda x: collapse(F.coalesce(x, text("")))), lambda x: x != ""))
     return out.withColumns({"note": F.substring(F.array_join(tidy, " "), 1, 4000), "counterparty_advisory_only": advisory}).drop("_hard", "_other", "_allowed", "_primary", "_model")
