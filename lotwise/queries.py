@@ -288,6 +288,34 @@ def tri_state_flags(read: Frame) -> DataFrame:
     return read("events").select("event_id", tx.available(word).cast("string").alias("flag"), tx.currency(money).alias("currency"))
 
 
+#: Field values as they are written, #N# standing for a number, and as they are read (null: nothing to read), for each function.
+PLANTED_VALUES = {
+    "quantity": (numbers.parse_quantity, [("#N#,5 шт", "#N#.5"), ("около #N#", "#N#"), ("-#N#", "#N#"), ("нет", None), ("", None), ("2 x #N#", "2")]),
+    "clock": (dates.normal_time, [("в 9.05 #N#", "09:05"), ("23:59", "23:59"), ("#N#", None), ("7:5", None), ("c 10:30 до 12:00", "10:30")]),
+    "inn": (tx.tax_number, [("12345-67890", "1234567890"), ("ИНН 123456789012", "123456789012"), ("123", None), ("12345678901", None)]),
+    "kpp": (tx.registration_code, [("12345 6789", "123456789"), ("1234567890", None), ("КПП:000000001", "000000001")]),
+    "file_name": (tx.safe_filename, [("a/b/%D0%94oc#N#.pdf", "Дoc#N#.pdf"), ("x<y>|#N#?.txt", "x_y__#N#_.txt"), ("C:\\dir\\f#N#.doc", "f#N#.doc"), ("dir/", "")]),
+    "article": (tx.catalog_id, [("https://h/cat/nn/A#N#?x", "A#N#"), ("https://h/CAT/NN/b#N#/c", "b#N#"), ("https://h/x", None)]),
+    "name_key": (tx.name_key, [("Насос  Ёлка-#N# (шт.)", "насос елка #N# шт"), ("undefined X#N#", "x#N#"), ("«»", "")]),
+    "currency": (tx.currency_in, [("#N# руб.", "RUB"), ("#N# ₽", "RUB"), ("USD #N#", None), ("рубероид", None)]),
+    "header": (tx.header_role, [("Цена за единицу", "unit_price"), ("Кол-во", "quantity"), ("Ед. изм.", "unit"), ("Наименование товара", "product"), ("Сумма, руб", "line_total"), ("Прочее #N#", None)]),
+    "value": (tx.real_value, [("  NULL ", None), (" v#N# ", "v#N#"), ("Товар не найден", None), ("0", "0")]),
+}
+
+
+def listed_sql(values: list, index: str) -> str:
+    """SQL for the value of a list of texts at an index, with the order's customer in place of #N#."""
+    shown = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"replace(list_extract([{shown}]::VARCHAR[], ({index} % {len(values)} + 1)::INTEGER), '#N#', o_custkey::VARCHAR)"
+
+
+@query("SELECT o_orderkey, " + ", ".join(listed_sql([want for _, want in cases], "o_orderkey") + ("::DOUBLE" if name == "quantity" else "") + f" AS {name}" for name, (_, cases) in PLANTED_VALUES.items()) + " FROM orders")
+def field_values(read: Frame) -> DataFrame:
+    """Each reader of field values on many shapes."""
+    written_as = lambda cases: F.replace(F.element_at(F.array(*[F.lit(raw) for raw, _ in cases]), (F.col("o_orderkey") % len(cases) + 1).cast("int")), F.lit("#N#"), F.col("o_custkey").cast("string"))
+    return read("orders").select("o_orderkey", *[f(written_as(cases)).alias(name) for name, (f, cases) in PLANTED_VALUES.items()])
+
+
 @query(r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, regexp_replace(url, '[?#].*$', '') AS shown, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS number FROM pages""")
 def url_parts(read: Frame) -> DataFrame:
     url = F.col("url")
@@ -366,6 +394,21 @@ def char_budget_clip(read: Frame) -> DataFrame:
     return within_budget(read("documents").select("doc_id", "source", "text"), ["source"], ["doc_id"], "text", 50_000).select("doc_id", F.col("used").cast("long").alias("used"), F.md5("clipped").alias("clipped_md5"))
 
 
+@query("""SELECT DISTINCT l_orderkey, 'Item ' || l_partkey % 5 AS product, l_quantity % 3 AS quantity, CASE l_suppkey % 3 WHEN 0 THEN 'шт' WHEN 1 THEN 'компл' ELSE '' END AS unit FROM lineitem""")
+def structured_purchases(read: Frame) -> DataFrame:
+    """Line items of purchases as JSON: own products and those of lots, numbers and units in several shapes, equal ones once."""
+    line, supplier = F.col("l_linenumber"), F.col("l_suppkey") % 3
+    name, quantity = F.concat(F.lit("Item "), (F.col("l_partkey") % 5).cast("string")), (F.col("l_quantity") % 3).cast("int").cast("string")
+    unit = F.when(supplier == 0, '"unit": "шт"').when(supplier == 1, '"okei": {"code": "1", "shortName": " компл "}').otherwise('"unit": ""')
+    item = F.when(line % 3 == 0, F.concat(F.lit('{"product": {"name": "'), name, F.lit('"}, "qty": "'), quantity, F.lit(',0", '), unit, F.lit("}"))).when(
+        line % 3 == 1, F.concat(F.lit('{"title": "'), name, F.lit('", "count": '), quantity, F.lit(", "), unit, F.lit("}"))
+    ).otherwise(F.concat(F.lit('{"productName": "  '), name, F.lit(' ", "quantity": "'), quantity, F.lit(' ед", '), unit, F.lit("}")))
+    rows = read("lineitem").select("l_orderkey", item.alias("item"), (line % 2 == 0).alias("own"))
+    listed = lambda own: F.array_join(F.collect_list(F.when(F.col("own") == own, F.col("item"))), ", ")
+    purchases = rows.groupBy("l_orderkey").agg(F.concat(F.lit('{"items": ['), listed(True), F.lit('], "lots": [{"products": ['), listed(False), F.lit("]}]}")).alias("purchase"))
+    return positions.structured_positions(purchases, ["l_orderkey"]).select("l_orderkey", "product", "quantity", "unit")
+
+
 FOLDER_SQL = """docs AS (SELECT doc_id, doc_id % 7 + 1 AS q, 'Item' || chr((65 + doc_id % 20)::INTEGER) || ' ' || source AS name FROM documents)"""
 
 
