@@ -226,7 +226,8 @@ def text_rules_docs(read: Frame) -> DataFrame:
     return read("documents").select("doc_id", rule.condition.alias("gap_hit"), F.regexp_extract("text", rules.FLAGS + GAP + r"(?![\p{L}\p{M}\p{Nd}\p{Pc}])", 0).alias("gap_text"))
 
 
-@query()
+@query(rf"""SELECT doc_id, regexp_matches(text, '(?i){GAP}(?:[^\p{{L}}\p{{M}}\p{{N}}_]|$)') AS gap_hit,
+  regexp_extract(text, '(?i)({GAP})(?:[^\p{{L}}\p{{M}}\p{{N}}_]|$)', 1) AS gap_text FROM documents""")
 def text_rules_all_docs(read: Frame) -> DataFrame:
     """The same rule, but no letter number or other digit of any script may follow either."""
     pattern = rf"(?i){GAP}(?![\p{{L}}\p{{M}}\p{{N}}_])"
