@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import parse_quantity
-from ..functions.text import clean, currency_in, first_defined, header_role, name_key, string_or_none, structured_cells, without_yo
+from ..functions.text import clean, currency_in, header_role, name_key, string_or_none, structured_cells, without_yo
 from .scan import prefix_scan
 
 ROLES = ("product", "unit", "quantity", "unit_price", "line_total")
@@ -119,23 +119,40 @@ QUANTITY = ("quantity", "amount", "count", "qty", "volume", "productQuantity")
 UNIT = ("unit", "okei", "measureUnit", "unitName", "measure")
 
 
-def _list(json: Column, names: tuple[str, ...]) -> Column:
-    """The first of the named members as a list of JSON texts; a single object is a list of one."""
-    value = first_defined(*[F.get_json_object(json, f"$.{n}") for n in names])
+def _members(df: DataFrame, json: str, names: tuple[str, ...], prefix: str) -> DataFrame:
+    """df with the named members of a column's JSON object, each as `prefix` and its name; one reading of the text gives all."""
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(*own, F.json_tuple(json, *names).alias(*[f"{prefix}{n}" for n in names]))
+
+
+def _list(value: Column) -> Column:
+    """A member as a list of JSON texts; a single object is a list of one."""
     return F.when(value.startswith("["), F.from_json(value, "array<string>")).when(value.startswith("{"), F.array(value)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def _first(names: tuple[str, ...], *prefixes: str) -> Column:
+    """The first of the named members that is neither null nor blank."""
+    return F.coalesce(*[string_or_none(F.col(f"{p}{n}")) for n in names for p in prefixes])
+
+
 def structured_positions(purchases: DataFrame, keys: list[str], json: str = "purchase") -> DataFrame:
     """Line items of structured purchases: their own products, then those of their lots; first of equal ones."""
-    boxes = purchases.select(*keys, F.posexplode(F.concat(F.array(F.col(json)), _list(F.col(json), LOTS))).alias("box_no", "box"))
-    items = boxes.select(*keys, "box_no", F.posexplode(_list(F.col("box"), PRODUCTS)).alias("item_no", "item")).where(F.col("item").startswith("{"))
-    get = lambda names: first_defined(*[F.coalesce(string_or_none(F.get_json_object("item", f"$.{n}")), string_or_none(F.get_json_object("item", f"$.product.{n}"))) for n in names])
-    nested = F.get_json_object("item", "$.product")
-    unit = get(UNIT)
-    named = F.coalesce(*[string_or_none(F.get_json_object(unit, f"$.{n}")) for n in ("name", "shortName", "symbol", "code")])
+    lots = _members(purchases.select(*keys, F.col(json).alias("_json")), "_json", LOTS, "_lot_").withColumn("_lots", _first(LOTS, "_lot_"))
+    boxes = lots.select(*keys, F.posexplode(F.concat(F.array("_json"), _list(F.col("_lots")))).alias("box_no", "box"))
+    listed = _members(boxes, "box", PRODUCTS, "_list_").withColumn("_items", _first(PRODUCTS, "_list_"))
+    items = listed.select(*keys, "box_no", F.posexplode(_list(F.col("_items"))).alias("item_no", "item")).where(F.col("item").startswith("{"))
+    parts = (*PRODUCT_NAME, *QUANTITY, *UNIT)
+    items = _members(items, "item", (*parts, "product"), "_own_")
+    nested = F.col("_own_product")
+    # an object under `product`, but not a text that looks like one
+    quoted = F.col("item").rlike(r'"product"\s*:\s*"') & F.from_json("item", "product struct<name: string>")["product"].isNull()
+    items = _members(items.withColumn("_product", F.when(nested.startswith("{") & ~quoted, nested)), "_product", parts, "_in_")
+    items = items.withColumn("_unit", _first(UNIT, "_own_", "_in_"))
+    shown = ("name", "shortName", "symbol", "code")
+    items = _members(items.withColumn("_unit_json", F.when(F.col("_unit").startswith("{"), F.col("_unit"))), "_unit_json", shown, "_as_")
     out = items.select(
-        *keys, (F.col("box_no") * 100_000 + F.col("item_no")).alias("ord"), clean(F.coalesce(get(PRODUCT_NAME), F.when(~nested.startswith("{"), nested))).alias("product"),
-        parse_quantity(get(QUANTITY)).alias("quantity"), clean(F.when(unit.startswith("{"), named).otherwise(unit)).alias("unit"), F.substring("item", 1, 500).alias("evidence"),
+        *keys, (F.col("box_no") * 100_000 + F.col("item_no")).alias("ord"), clean(F.coalesce(_first(PRODUCT_NAME, "_own_", "_in_"), F.when(~nested.startswith("{"), nested))).alias("product"),
+        parse_quantity(_first(QUANTITY, "_own_", "_in_")).alias("quantity"), clean(F.when(F.col("_unit").startswith("{"), _first(shown, "_as_")).otherwise(F.col("_unit"))).alias("unit"), F.substring("item", 1, 500).alias("evidence"),
     )
     out = out.withColumn("_key", name_key(F.col("product"))).where(F.col("_key") != "")
     w = Window.partitionBy(*keys, "_key", "quantity", F.lower("unit")).orderBy("ord")

@@ -144,6 +144,16 @@ def test_structured_and_text_positions(spark):
     assert [(r.product, r.quantity) for r in got] == [("Кабель силовой", 12.0), ("Лампа", 3.5)]
 
 
+def test_structured_purchases_are_read_once(spark):
+    """One reading of a purchase's text for all members that a step needs, not one for each spelling of each."""
+    purchase = '{"items": [{"product": "{\\"name\\": \\"A\\"}", "qty": 1}, {"product": {"name": "B", "product": "x"}, "count": 1e3, "okei": {"shortName": " m "}}, {"product": "C", "amount": "2 ед"}]}'
+    out = positions.structured_positions(spark.createDataFrame([("t", purchase), ("u", None), ("v", "{")], "t string, purchase string"), ["t"])
+    # a text that looks like an object has no members, and is no name
+    assert [(r.t, r.product, r.quantity, r.unit) for r in out.orderBy("ord").collect()] == [("t", "B", 1000.0, "m"), ("t", "C", 2.0, "")]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("get_json_object") == 0 and plan.count("Generate json_tuple") == 5
+
+
 def test_registry(spark):
     wanted = spark.createDataFrame([(1, "1234567890", "111111111"), (2, "1234567890", "999999999"), (3, "0000000000", None)], "k int, inn string, kpp string")
     registry = spark.createDataFrame([("1234567890", "222222222", "A", "a", 1), ("1234567890", "111111111", "", "b", 2)], "inn string, kpp string, full_name string, short_name string, pos int")
