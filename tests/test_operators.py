@@ -365,3 +365,33 @@ def test_budget_and_fills_with_one_hot_key(spark, monkeypatch):
     plain = shown()
     monkeypatch.setattr(scan.prefix_scan, "__defaults__", (0,))
     assert shown() == plain
+
+
+def test_top_k_of_odd_vectors(spark, monkeypatch):
+    """Null, short, zero, huge and repeated vectors rank as the plain sums do; most pairs are sorted out by a matrix product, and no pair is scored in the plan."""
+    import math
+    import random
+
+    r, nan = random.Random(9), float("nan")
+    odd = [None, [1.0, None, 2.0], [0.0, 0.0, 0.0], [nan, 1.0, 2.0], [1e-200, 2e-200, 1e-200], [1e200, -2e200, 1e200], [1.0, 2.0], []]
+    rows = [(i, r.choice(odd) if i % 5 == 0 else [1.0, float(r.randint(0, 2)), 0.0] if i % 3 == 0 else [r.uniform(-1, 1) for _ in range(3)]) for i in range(150)]
+
+    def score(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        dot = lambda x, y: sum((p * q for p, q in zip(x, y, strict=True)), 0.0)
+        over = math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))
+        return None if over == 0 else dot(a, b) / over
+
+    def place(x):
+        s, i = x
+        return (2, 0.0, i) if s is None else (0, 0.0, i) if math.isnan(s) else (1, -round(s, 9), i)
+
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "query_id")
+    want = {(q, n + 1, i) for q, v in rows if q % 2 == 0 for n, (_, i) in enumerate(sorted(((score(v, w), i) for i, w in rows), key=place)[:7])}
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", 2000)
+    monkeypatch.setattr(matching, "CELLS", 500)
+    found = matching.top_k(queries, vectors, 7)
+    assert {(x.query_id, x["rank"], x.vec_id) for x in found.collect()} == want
+    assert "zip_with" not in found._jdf.queryExecution().analyzed().toString().lower().replace("zipwith", "zip_with")
