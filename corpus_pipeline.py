@@ -16,6 +16,8 @@ from lotwise.llm.queries import PIECE_MODEL, table
 
 #: The scarcest source passes at most so often while the most plentiful one passes once; no document is lost.
 REPEATS = 1.5
+#: Distinct segmentations of each document: the first is its pieces, the others go beside it.
+SAMPLES = 3
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +41,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document's sampled segmentation, with its scores, and whether they decode to the text."""
-    out = pieces.sampled(docs.select("doc_id", "source", "text"), PIECE_MODEL, k=1, decode=True).select("*", F.col("samples")[0].alias("best"))
-    return out.select("doc_id", "source", F.col("best.ids").alias("ids"), F.size("best.ids").alias("n_pieces"), F.col("best.logp").alias("logp"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    """The pieces of each document's best sampled segmentation and of the others, with their scores, and whether the best ones decode to the text."""
+    out = pieces.sampled(docs.select("doc_id", "source", "text"), PIECE_MODEL, k=SAMPLES, decode=True).select("*", F.col("samples")[0].alias("best"))
+    return out.select("doc_id", "source", F.col("best.ids").alias("ids"), F.size("best.ids").alias("n_pieces"), F.col("best.logp").alias("logp"), F.col("best.log_inclusion").alias("log_inclusion"), F.slice("samples", 2, SAMPLES).alias("others"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 STAGES = [("quality_rules", rules), ("jaccard_join", near_copies), ("secret_scan", secrets), ("source_mixing", mixture), ("sentencepiece", tokens)]

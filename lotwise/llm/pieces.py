@@ -16,7 +16,7 @@ Scores are kept as arrival times exp(-score), in which a truncated Gumbel variat
 exponential one over the region's mass. All variates are hashes of the row key, path and
 word, so a row's samples do not depend on how rows are dealt out.
 
-Lattices, walks and searches are vectorised over some megabytes of text at a time: equal words
+Lattices, walks and searches are vectorised over half a megabyte of text at a time: equal words
 share one lattice, k independent walks over all words supply the paths, and the texts' searches
 draw their next paths in step.
 
@@ -50,7 +50,7 @@ DEEPEST = -60.0
 #: Words that are looked at first for regions above DEEPEST, and words of several texts that are looked at together.
 NEAR, CELLS = 128, 200_000
 #: Bytes of text that are segmented at a time (a longer text is a pass of its own).
-PASS_BYTES = 2_000_000
+PASS_BYTES = 500_000
 _WORD = 2**64 - 1
 
 

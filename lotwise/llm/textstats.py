@@ -17,7 +17,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 #: Bytes of text that one vector pass holds at most (a longer text is a pass of its own).
-PASS_BYTES = 4_000_000
+PASS_BYTES = 1_000_000
 
 
 def table_of(members: bytes) -> np.ndarray:

@@ -347,6 +347,19 @@ def test_pipeline(spark, tmp_path):
     assert mid.columns == docs.columns and "[secret]" in mid.where("doc_id = 201").first().text
 
 
+def test_pipeline_samples_several_segmentations(spark):
+    """The last stage searches beyond the first walk: the others are distinct, less likely to come first, and spell the same text."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "s", "some words of a plain text"), (2, "s", ""), (3, "s", None)], "doc_id long, source string, text string")
+    got = {x.doc_id: x for x in corpus_pipeline.tokens(spark, docs, "").collect()}
+    want = {x.doc_id: x.samples for x in pieces.sampled(docs, MODEL, k=3).collect()}
+    assert corpus_pipeline.SAMPLES == 3 and len(got[1].others) == 2 and len({tuple(got[1].ids), *(tuple(o.ids) for o in got[1].others)}) == 3
+    assert got[1].ids == want[1][0].ids and got[1].others == want[1][1:] and got[2].others == [] and got[3].others is None
+    spelt = spark.createDataFrame([(o.ids,) for o in got[1].others], "ids array<int>")
+    assert {x.decoded for x in pieces.decoded(spelt, F.col("ids"), MODEL).collect()} == {"some words of a plain text"}
+
+
 def test_only_linked_rows_are_copies(spark):
     """Unlinked texts that share a null or a repeated id all stay."""
     rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "m n o p q r"), (5, "s t u v w x"), (5, "y z a1 b1 c1 d1"), (7, "A B C D E F")]
