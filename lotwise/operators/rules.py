@@ -7,6 +7,7 @@ row's reasons are an array of struct<priority, ord, reason, evidence>.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +65,12 @@ TEXT_PATTERNS = (
     (90, CLOSED, r"\b(закрыт(?:ый|ая)\s+(?:тендер|закупка)|не\s+прошли\s+квалификац)\b"),
     (91, CANCELLED, r"\b(отказ\s+организатора|закупка\s+отменена|отказался\s+от\s+проведения)\b"),
 )
+#: For each text rule the stems of which an upper-case text holds one wherever the pattern matches: a text without them is not searched.
+STEMS = {
+    DUPLICATE: ("ДУБЛ", "КАРТОЧКА", "ЗАГРУЖЕН"), MARKET: ("РЫНКА", "МАРКЕТИНГОВ", "АНОНС", "КИМ"), PAY_AFTER: ("ГЕНПОДРЯДЧИК", "ГОСЗАКАЗЧИК"), REMOTE: ("САХА", "ЯКУТ", "ДАГЕСТАН", "КАЛИНИНГРАД"),
+    CONSIGNMENT: ("ПОСТАВЩИК",), DRIVE: ("ПРИВОД", "ПРЕОБРАЗОВАТЕЛЬ", "ПЧ"), SPARES: ("КОМПЛЕКТ", "ЗИП", "ЗАПАСН", "ЧЕРТЕЖ"), MILITARY: ("ВОЕНН",), NUCLEAR: ("АТОМН", "ДЛЯ", "БЕЗОПАСНОСТИ"), SELF_SUBMIT: ("МОПП", "МЕНЕДЖЕР"),
+    CLOSED: ("ЗАКРЫТ", "КВАЛИФИКАЦ"), CANCELLED: ("ОТКАЗ", "ОТМЕНЕНА"), PAY_DELAY: ("ОТСРОЧК", "ОПЛАТ"), WORKS: ("МОНТАЖ", "УСТАНОВК", "ПУСКОНАЛАДК", "ВВОД"), VOLTAGE: ("К",),
+}
 REJECTED, APPROVED, NEEDS_WORK, LOADED = "Отказано КУ ЦП", "Согласовано КУ ЦП", "Проработка контрагента", "Загружен Seldon"
 
 
@@ -91,9 +98,15 @@ def evaluated(rules: list[Rule]) -> Column:
     return F.array_sort(first)
 
 
-def text_rule(priority: int, reason: str, text: Column, pattern: str) -> Rule:
+def text_rule(priority: int, reason: str, text: Column, pattern: str, probe: Column | None = None) -> Rule:
+    """probe: a cheaper condition that holds wherever the pattern matches."""
     full = FLAGS + pattern
-    return Rule(priority, reason, text.rlike(full), snippet(text, full))
+    return Rule(priority, reason, text.rlike(full) if probe is None else probe & text.rlike(full), snippet(text, full))
+
+
+def held(upper: Column, reason: str) -> Column:
+    """Whether an upper-case text holds a stem of the reason's pattern."""
+    return reduce(Column.__or__, [upper.contains(stem) for stem in STEMS[reason]])
 
 
 #: Sentences of evidence; what stands between two parts is a value of the row.
@@ -110,29 +123,30 @@ NOTE_MORE = "Дополнительные подтверждённые прич
 
 
 def hard_rules(ref_date: Column) -> list[Rule]:
-    """All rules, in their order, over the columns of hard_reasons()."""
+    """All rules, in their order, over the columns of hard_reasons() and `_upper`, the text in upper case."""
     text, c = F.coalesce("all_text", F.lit("")), F.col
+    probe = lambda reason: held(c("_upper"), reason)
     price = parse_money(c("initial_price"))
     volts = FLAGS + VOLTAGE_PATTERN
-    high = F.when(text.rlike(volts), F.get(numbers_in(text, volts, 35), F.lit(0)))
+    high = F.when(probe(VOLTAGE) & c("_upper").rlike(r"(?U)К\s*В") & text.rlike(volts), F.get(numbers_in(text, volts, 35), F.lit(0)))
     named = F.regexp_extract_all(text, F.lit(volts), F.lit(1))
     firing = F.array_position(F.transform(named, lambda v: F.translate(v, ",", ".").try_cast("double") >= 35), F.lit(True))
-    delays = F.filter(F.regexp_extract_all(text, F.lit(FLAGS + PAY_DELAY_PATTERN), F.lit(0)), lambda m: F.regexp_extract(m, r"(\d+)\s*(?:(?iuU)(?:рабоч|календарн)[а-я]*)?\s*[дД]$", 1).try_cast("long") >= 90)
+    delays = F.when(probe(PAY_DELAY), F.filter(F.regexp_extract_all(text, F.lit(FLAGS + PAY_DELAY_PATTERN), F.lit(0)), lambda m: F.regexp_extract(m, r"(\d+)\s*(?:(?iuU)(?:рабоч|календарн)[а-я]*)?\s*[дД]$", 1).try_cast("long") >= 90))
     created = F.coalesce(parse_date(c("date_created")), ref_date)
     delivery = delivery_date(created, parse_date(c("delivery_date")), parse_money(c("delivery_days")))
     limit = F.add_months(created, 18)
-    works = snippet(text, FLAGS + WORKS_PATTERN, 120)
+    works = F.when(probe(WORKS), snippet(text, FLAGS + WORKS_PATTERN, 120))
     rules = [
         Rule(5, INDIVISIBLE, c("hard_reject"), F.coalesce("summary", F.lit(SAID_LOT))),
         Rule(25, DOCUMENTATION, c("documentation_missing"), F.coalesce("documentation_note", F.lit(SAID_PAPERS))),
         Rule(25, DOCUMENTATION, F.coalesce(c("total") <= 0, F.lit(False)) | c("coverage_percent").isNull(), F.lit(SAID_NOTHING)),
-        text_rule(10, DUPLICATE, text, DUPLICATE_PATTERN),
+        text_rule(10, DUPLICATE, text, DUPLICATE_PATTERN, probe(DUPLICATE)),
         Rule(15, DEADLINE, c("remaining_days") < 3, F.concat(F.lit(SAID_DAYS[0]), c("remaining_days").cast("string"), F.lit(SAID_DAYS[1]))),
         Rule(20, PRICE, (price > 0) & (price < 1_000_000), F.concat(F.lit(SAID_PRICE), c("initial_price").cast("string"))),
         Rule(21, PRICE, c("value_reject") & c("threshold_applicable") & c("price_complete") & c("coverage_approved") & (c("supply_total") < 1_000_000), F.coalesce("price_summary", c("supply_total").cast("string"))),
     ]
-    rules += [text_rule(priority, reason, text, pattern) for priority, reason, pattern in TEXT_PATTERNS]
-    market = text_rule(18, MARKET, text, MARKET_PATTERN)
+    rules += [text_rule(priority, reason, text, pattern, probe(reason)) for priority, reason, pattern in TEXT_PATTERNS]
+    market = text_rule(18, MARKET, text, MARKET_PATTERN, probe(MARKET))
     rules += [
         Rule(18, MARKET, (c("report_id") == 3) & market.condition, market.evidence),
         Rule(55, VOLTAGE, high.isNotNull(), snippet_of(text, volts, firing)),
@@ -203,7 +217,8 @@ INPUTS = {
 
 def hard_reasons(tenders: DataFrame, ref_date: Column) -> DataFrame:
     """Adds `hard`, the fired rules' reasons. Missing INPUTS count as null."""
-    return _with_inputs(tenders).withColumn("hard", evaluated(hard_rules(ref_date)))
+    upper = F.upper(F.coalesce("all_text", F.lit("")))
+    return _with_inputs(tenders).withColumn("_upper", upper).withColumn("hard", evaluated(hard_rules(ref_date))).drop("_upper")
 
 
 def _with_inputs(tenders: DataFrame) -> DataFrame:

@@ -395,3 +395,20 @@ def test_top_k_of_odd_vectors(spark, monkeypatch):
     found = matching.top_k(queries, vectors, 7)
     assert {(x.query_id, x["rank"], x.vec_id) for x in found.collect()} == want
     assert "zip_with" not in found._jdf.queryExecution().analyzed().toString().lower().replace("zipwith", "zip_with")
+
+
+def test_text_rules_search_only_texts_with_a_stem(spark):
+    """Wherever a rule's pattern matches, its probe holds, whatever the case; other texts are not searched."""
+    from functools import reduce
+
+    from lotwise.queries import PHRASES
+
+    more = ["уже загружено", "повторная  карточка", "Маркетингового исследования", "КИМ", "анонс закупки", "ЗИП", "запасная часть", "приёмка для объекта", "приемки для оиаэ", "10 к В 35кв", "ПЧ на 10 кВ", "Ввод в эксплуатацию подрядчиком", "оплата в течение 95 дней", "хранение у покупателя, поставщик", "ᲁубль"]
+    texts = [p for p, _ in PHRASES] + [p.upper() for p, _ in PHRASES] + more + ["plain text", ""]
+    patterns = {r: p for _, r, p in rules.TEXT_PATTERNS} | {rules.DUPLICATE: rules.DUPLICATE_PATTERN, rules.MARKET: rules.MARKET_PATTERN, rules.VOLTAGE: rules.VOLTAGE_PATTERN, rules.PAY_DELAY: rules.PAY_DELAY_PATTERN, rules.WORKS: rules.WORKS_PATTERN}
+    assert set(patterns) == set(rules.STEMS)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", *[F.struct(F.col("t").rlike(rules.FLAGS + p).alias("hit"), rules.held(F.upper("t"), r).alias("held")).alias(f"r{i}") for i, (r, p) in enumerate(patterns.items())]).collect()
+    for i in range(len(patterns)):
+        assert any(x[f"r{i}"].hit for x in found) and all(x[f"r{i}"].held or not x[f"r{i}"].hit for x in found)
+    assert not any(reduce(lambda a, i: a or x[f"r{i}"].held, range(len(patterns)), False) for x in found if x.t in ("plain text", ""))
