@@ -15,7 +15,7 @@ permutation; its order key places whole blocks, shuffled anew in each pass.
 
 Defined results: null and empty texts have no tokens and are taken once; a null source is
 a source of its own; repeated rows share their place in the permutation, so they are taken
-alike; a row's places are listed for its first LISTED passes, and turn_order() gives the others; an empty table stays empty; columns that clash with the new ones are replaced.
+alike; a row's places are listed LISTED passes at a time: its first ones, or in as many rows as it takes all of them; an empty table stays empty; columns that clash with the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -155,13 +155,14 @@ def copies_of(place: Column, whole: Column, part: Column, border: Column) -> Col
 
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None,
-    entropy: float | None = None, repeats: float | None = None, least_epochs: float = 1.0, seed: int = 17, block_rows: int = BLOCK_ROWS, listed: int = LISTED,
+    entropy: float | None = None, repeats: float | None = None, least_epochs: float = 1.0, seed: int = 17, block_rows: int = BLOCK_ROWS, listed: int = LISTED, every: bool = False,
 ) -> DataFrame:
     """One row id, source, n_tokens, weight, epochs, copies, whole, extra, block, exponent, passes for each row of docs.
 
     copies: the whole passes, and one more if the row is extra. passes: for each of the first `listed` times that the row is
     taken the pass and its place there: the hash by which the pass shuffles blocks, and the hash by which it
-    shuffles the rows of a block (see arranged()); later passes follow from turn_order(), so a row that is taken often is no longer than others.
+    shuffles the rows of a block (see arranged()); every: a row that is taken more often comes again for each `listed`
+    further passes, so that all of them are there and no row is longer than others; else later passes follow from turn_order().
     """
     tokens = word_tokens(text_col) if tokens is None else tokens
     sized, plan = mixing_plan(docs, id_col, source_col, tokens, entropy, repeats, least_epochs, seed, block_rows)
@@ -169,12 +170,15 @@ def mixed(
     out = out.withColumns({
         "copies": copies_of(F.col("place"), F.col("whole"), F.col("part"), F.col("border")), "block": block_of(F.col("place"), F.ceil(F.col("rows") / block_rows)),
     })
+    stretches = F.greatest(F.ceil(F.col("copies") / listed), F.lit(1)).cast("long")
+    out = repeated(out, stretches, "stretch") if every else out.withColumn("stretch", F.lit(1).cast("long"))
+    first, last = (F.col("stretch") - 1) * listed + 1, F.least("copies", F.col("stretch") * listed)
     turn = lambda t: F.struct(t.alias("pass"), *[x.alias(n) for n, x in zip(("block_order", "row_order"), turn_order(seed, t.cast("long"), F.col("source"), F.col("block"), F.col("place")), strict=True)])
     none = F.expr("cast(array() as array<struct<pass:int,block_order:bigint,row_order:bigint>>)")
     return out.select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "weight", "epochs",
         "copies", F.col("whole").cast("long").alias("whole"), (F.col("copies") > F.col("whole")).alias("extra"), "block", "exponent",
-        F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.least("copies", F.lit(listed)).cast("int")), turn)).otherwise(none).alias("passes"),
+        F.when(F.col("copies") > 0, F.transform(F.sequence(first.cast("int"), last.cast("int")), turn)).otherwise(none).alias("passes"),
     )
 
 

@@ -78,7 +78,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), entropy=SOURCE_ENTROPY, block_rows=MIXING_BLOCK)
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), entropy=SOURCE_ENTROPY, block_rows=MIXING_BLOCK, every=True)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

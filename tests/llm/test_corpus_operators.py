@@ -469,6 +469,17 @@ def test_a_tiny_source_beside_a_large_one(spark):
     assert {tuple(x) for x in made.collect()} == {(0, 200_001, 1, 200_001, 200_001), (1, 1, 1, 1, 1), (2, 2, 1, 2, 2)}
 
 
+def test_all_passes_are_listed(spark, tmp_path):
+    """op7 gives every pass of a row that is taken often, a bounded number in each row."""
+    rows = [(i, "large", "w " * 50) for i in range(60)] + [(1000, "tiny", "w"), (1001, "blank", "")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_source_mixing(spark, str(tmp_path)).toPandas()
+    assert got.passes.map(len).max() == mixing.LISTED and set(got.doc_id) == {x[0] for x in rows}
+    for _, own in got.groupby("doc_id"):
+        assert sorted(p["pass"] for x in own.passes for p in x) == list(range(1, own.copies.iloc[0] + 1))
+    assert got[got.doc_id == 1000].copies.iloc[0] > 2 * mixing.LISTED
+
+
 def test_mixing_without_broadcasts(spark, monkeypatch):
     rows = [(i, None if i % 3 == 0 else f"s{i % 4}", "w " * (i % 9)) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
