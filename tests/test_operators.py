@@ -412,3 +412,22 @@ def test_text_rules_search_only_texts_with_a_stem(spark):
     for i in range(len(patterns)):
         assert any(x[f"r{i}"].hit for x in found) and all(x[f"r{i}"].held or not x[f"r{i}"].hit for x in found)
     assert not any(reduce(lambda a, i: a or x[f"r{i}"].held, range(len(patterns)), False) for x in found if x.t in ("plain text", ""))
+
+
+def test_top_k_sorts_when_the_vectors_met_have_doubled(monkeypatch):
+    """A block of queries sorts its pairs some log2 times, not once for each matrix of scores, and finds the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    table = lambda x, v: pa.table([pa.array(np.zeros(len(x), np.int32)), pa.array(np.arange(len(x))), pa.array(x.tolist())], names=["_block", "_id", v])
+    q, w = r.standard_normal((20, 6)), np.tile(r.standard_normal((800, 6)), (2, 1))
+    calls, plain = [], matching._leading
+    monkeypatch.setattr(matching, "CELLS", 20 * 16)
+    monkeypatch.setattr(matching, "_leading", lambda *x: calls.append(1) or plain(*x))
+    found = matching._nearest(table(q, "_v"), table(w, "_w"), 5, 1e-8).to_pylist()
+    score = (q / np.linalg.norm(q, axis=1)[:, None]) @ (w / np.linalg.norm(w, axis=1)[:, None]).T
+    for i in range(20):
+        own = sorted((-round(x["score"], 9), x["vector"]) for x in found if x["query"] == i)[:5]
+        assert own == sorted((-round(s, 9), j) for j, s in enumerate(score[i].tolist()))[:5]
+    assert len(calls) <= 10  # 100 matrices of scores
