@@ -27,13 +27,16 @@ def parse_money(x: Column) -> Column:
     With both separators the right one is the decimal one; a single kind is decimal before
     one or two digits, else it separates thousands. Negative and broken amounts are null.
     """
+    text = x.cast("string")
     # array elements are computed once, however often the lambda names them
-    parts = F.array(x.cast("string"), F.rtrim(F.regexp_replace(x.cast("string"), r"[^0-9,.\-]+", ""), F.lit(".,")))
-    return F.transform(F.array(parts), lambda p: _amount(p[0], p[1]))[0]
+    parts = F.array(text, F.rtrim(F.regexp_replace(text, r"[^0-9,.\-]+", ""), F.lit(".,")))
+    any_text = F.get(F.filter(F.transform(F.array(parts), lambda p: _amount(p[0], p[1])), lambda n: n >= 0), F.lit(0))
+    # most amounts are plain numbers, which need none of this
+    return F.when(text.isNull(), None).when(text.rlike(r"^[0-9]+(?:\.[0-9]{1,2})?\z"), text.try_cast("double")).otherwise(any_text)
 
 
 def _amount(text: Column, kept: Column) -> Column:
-    """The amount that the digits and separators of a text make."""
+    """The amount, negative ones too, that the digits and separators of a text make."""
     # the digits after the last separator of each kind
     after_comma, after_dot = F.substring_index(kept, ",", -1), F.substring_index(kept, ".", -1)
     comma, dot = kept.contains(","), kept.contains(".")
@@ -43,8 +46,7 @@ def _amount(text: Column, kept: Column) -> Column:
     plain = F.when(decimal_comma, F.translate(kept, ",.", ".")).when(decimal_dot, F.translate(kept, ",", "")).otherwise(F.translate(kept, ",.", ""))
     low = F.lower(text)
     times = F.when(~low.contains("мл"), 1.0).when(low.rlike(r"(?U)\bмлрд"), 1e9).when(low.rlike(r"(?U)\bмлн"), 1e6).otherwise(1.0)
-    n = F.when(kept.rlike("[0-9]"), plain.try_cast("double")) * times
-    return F.when(n >= 0, n)
+    return F.when(kept.rlike("[0-9]"), plain.try_cast("double")) * times
 
 
 def numbers_in(text: Column, pattern: str, least: float) -> Column:

@@ -6,6 +6,7 @@ row's reasons are an array of struct<priority, ord, reason, evidence>.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -94,8 +95,9 @@ def evaluated(rules: list[Rule]) -> Column:
         for i, r in enumerate(rules)
     ]
     fired = F.filter(F.array(*each), lambda x: x.isNotNull())
-    first = F.aggregate(fired, F.expr(f"cast(array() as {REASON_TYPE})"), lambda acc, x: F.when(F.exists(acc, lambda y: y["reason"] == x["reason"]), acc).otherwise(F.concat(acc, F.array(x))))
-    return F.array_sort(first)
+    first = lambda xs: F.aggregate(xs, F.expr(f"cast(array() as {REASON_TYPE})"), lambda acc, x: F.when(F.exists(acc, lambda y: y["reason"] == x["reason"]), acc).otherwise(F.concat(acc, F.array(x))))
+    # an array's element is computed once, however often the lambda names it
+    return F.transform(F.array(fired), lambda xs: F.when(F.size(xs) < 2, xs).otherwise(F.array_sort(first(xs))))[0]
 
 
 def text_rule(priority: int, reason: str, text: Column, pattern: str, probe: Column | None = None) -> Rule:
@@ -123,10 +125,10 @@ NOTE_MORE = "Дополнительные подтверждённые прич
 
 
 def hard_rules(ref_date: Column) -> list[Rule]:
-    """All rules, in their order, over the columns of hard_reasons() and `_upper`, the text in upper case."""
+    """All rules, in their order, over the columns of hard_reasons(), `_upper`, the text in upper case, and `_price`, the initial price as an amount."""
     text, c = F.coalesce("all_text", F.lit("")), F.col
     probe = lambda reason: held(c("_upper"), reason)
-    price = parse_money(c("initial_price"))
+    price = c("_price")
     volts = FLAGS + VOLTAGE_PATTERN
     high = F.when(probe(VOLTAGE) & c("_upper").rlike(r"(?U)К\s*В") & text.rlike(volts), F.get(numbers_in(text, volts, 35), F.lit(0)))
     named = F.regexp_extract_all(text, F.lit(volts), F.lit(1))
@@ -190,10 +192,10 @@ def with_checks(tenders: DataFrame, ref_date: Column) -> DataFrame:
     return _with_inputs(tenders).withColumn("checks", checks(ref_date))
 
 
-def reason_options(report: Column) -> Column:
-    """The reasons that a model may choose from: research of the market only where it applies."""
+def reason_options(report: Column, form: Callable[[Column], Column] = lambda options: options) -> Column:
+    """The reasons that a model may choose from, in the given form: research of the market only where it applies."""
     offered = F.array(*[F.lit(r) for r in REASONS if r not in NOT_OFFERED])
-    return F.when(F.coalesce(report.isin(1, 2), F.lit(False)), F.array_remove(offered, MARKET)).otherwise(offered)
+    return F.when(F.coalesce(report.isin(1, 2), F.lit(False)), form(F.array_remove(offered, MARKET))).otherwise(form(offered))
 
 
 def decision_context(tenders: DataFrame, most_text: int = 220_000) -> DataFrame:
@@ -203,8 +205,11 @@ def decision_context(tenders: DataFrame, most_text: int = 220_000) -> DataFrame:
     """
     product = F.col("product_check") if "product_check" in tenders.columns else F.lit(None).cast("struct<total:bigint>")
     hard = F.transform("hard", lambda x: F.struct(x["reason"].alias("reason"), x["evidence"].alias("evidence"), x["priority"].alias("priority")))
-    context = F.struct(F.lit(RULES_VERSION).alias("rulesVersion"), reason_options(F.col("report_id")).alias("reasonOptions"), product.alias("productCheck"), hard.alias("hardReasons"), *[F.col(f"checks.{n}") for n in tenders.schema["checks"].dataType.names])
-    return tenders.withColumns({"context": F.to_json(context, {"ignoreNullFields": "false"}), "context_text": clip(F.coalesce("all_text", F.lit("")), most_text)})
+    # the members that do not depend on the row are made into text once, not for each row
+    fixed = reason_options(F.col("report_id"), lambda options: F.rtrim(F.to_json(F.struct(F.lit(RULES_VERSION).alias("rulesVersion"), options.alias("reasonOptions"))), F.lit("}")))
+    own = F.struct(product.alias("productCheck"), hard.alias("hardReasons"), *[F.col(f"checks.{n}") for n in tenders.schema["checks"].dataType.names])
+    context = F.concat(fixed, F.lit(","), F.substr(F.to_json(own, {"ignoreNullFields": "false"}), F.lit(2)))
+    return tenders.withColumns({"context": context, "context_text": clip(F.coalesce("all_text", F.lit("")), most_text)})
 
 
 #: Columns that the rules read, with the type of those that a caller leaves out.
@@ -218,7 +223,8 @@ INPUTS = {
 def hard_reasons(tenders: DataFrame, ref_date: Column) -> DataFrame:
     """Adds `hard`, the fired rules' reasons. Missing INPUTS count as null."""
     upper = F.upper(F.coalesce("all_text", F.lit("")))
-    return _with_inputs(tenders).withColumn("_upper", upper).withColumn("hard", evaluated(hard_rules(ref_date))).drop("_upper")
+    known = _with_inputs(tenders).withColumns({"_upper": upper, "_price": parse_money(F.col("initial_price"))})
+    return known.withColumn("hard", evaluated(hard_rules(ref_date))).drop("_upper", "_price")
 
 
 def _with_inputs(tenders: DataFrame) -> DataFrame:

@@ -431,3 +431,18 @@ def test_top_k_sorts_when_the_vectors_met_have_doubled(monkeypatch):
         own = sorted((-round(x["score"], 9), x["vector"]) for x in found if x["query"] == i)[:5]
         assert own == sorted((-round(s, 9), j) for j, s in enumerate(score[i].tolist()))[:5]
     assert len(calls) <= 10  # 100 matrices of scores
+
+
+def test_context_is_written_without_repeated_work(spark):
+    """The same text as that of the whole structure; its fixed members are constants of the plan, and a price is read once by the rules."""
+    rows = spark.createDataFrame([(1, "12.50", 3, 0), (2, "2 млн", 1, 4), (3, None, None, None)], "id int, initial_price string, report_id int, total bigint")
+    day = F.lit("2024-01-01").cast("date")
+    checked = rules.with_checks(rules.hard_reasons(rows, day), day)
+    hard = F.transform("hard", lambda x: F.struct(x["reason"].alias("reason"), x["evidence"].alias("evidence"), x["priority"].alias("priority")))
+    whole = F.struct(F.lit(rules.RULES_VERSION).alias("rulesVersion"), rules.reason_options(F.col("report_id")).alias("reasonOptions"), F.lit(None).cast("struct<total:bigint>").alias("productCheck"), hard.alias("hardReasons"), "checks.*")
+    out = rules.decision_context(checked)
+    assert all(x.context == x.whole for x in out.withColumn("whole", F.to_json(whole, {"ignoreNullFields": "false"})).collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(rules.hard_reasons(rows, day).select("hard")).count("regexp_replace(initial_price") == 1
+    options = spark.createDataFrame([(1,)], "report_id int").select(rules.reason_options(F.col("report_id"), F.to_json).alias("x"))
+    assert "structstojson" not in plan(options).lower() and "StructsToJsonEvaluator" not in plan(options)
