@@ -18,15 +18,24 @@ from lotwise.llm.queries import PIECE_MODEL, table
 REPEATS = 1.5
 #: Distinct segmentations of each document: the first is its pieces, the others go beside it.
 SAMPLES = 3
+#: Bytes of rows that pass between Spark and Python at a time; by default 64 MB of them lie in the executor and in each of its workers.
+BATCH_BYTES = 4 * 2**20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, for the plans of a stage that runs Python, whenever they run."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    small_batches(spark)
     return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies."""
+    small_batches(spark)
     return jaccard_join.without_copies(docs)
 
 
@@ -42,6 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document's best sampled segmentation and of the others, with their scores, and whether the best ones decode to the text."""
+    small_batches(spark)
     out = pieces.sampled(docs.select("doc_id", "source", "text"), PIECE_MODEL, k=SAMPLES, decode=True).select("*", F.col("samples")[0].alias("best"))
     return out.select("doc_id", "source", F.col("best.ids").alias("ids"), F.size("best.ids").alias("n_pieces"), F.col("best.logp").alias("logp"), F.col("best.log_inclusion").alias("log_inclusion"), F.slice("samples", 2, SAMPLES).alias("others"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 

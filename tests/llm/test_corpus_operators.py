@@ -487,3 +487,23 @@ def test_mixing_without_broadcasts(spark, monkeypatch):
     want = shown()
     monkeypatch.setattr(mixing, "small_side", lambda df: df)
     assert shown() == want
+
+
+@pytest.mark.parametrize("stage", ["quality_rules", "jaccard_join", "sentencepiece"])
+def test_stages_with_python_bound_their_batches(spark, stage):
+    """Long texts reach Python a few MB at a time, not a whole partition at once."""
+    import corpus_pipeline
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["size"])
+
+    few = spark.createDataFrame([(1, "some words of a text", "en", "web", 20)], "doc_id long, text string, lang string, source string, n_chars long")
+    long = spark.range(0, 1000, 1, 1).select(F.expr("repeat('word and ', 2000)").alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, few, "")
+        found = [x.size for x in long.mapInArrow(sizes, "size long").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert sum(found) > 16_000_000 and max(found) <= corpus_pipeline.BATCH_BYTES + 20_000
