@@ -101,7 +101,7 @@ class Code:
 
 
 #: Bits that the lengths of a code are read from at once, and the most that one of them takes.
-AHEAD, LENGTH_BITS = 4096, 14
+AHEAD, LENGTH_BITS = 1024, 14
 
 
 @lru_cache(maxsize=256)
@@ -119,22 +119,49 @@ def _simple(*symbols: int) -> Code:
     return Code(symbols[0]) if len(symbols) == 1 else Code(None, 1, np.array(symbols, np.int32), np.ones(2, np.int32))
 
 
+#: The last code of distances: its bits, how many they are, and the code; writers repeat it from image to image.
+_last_far: list[tuple[int, int, Code]] = []
+
+
 def read_code(bits: Bits, alphabet: int) -> Code:
     start = bits.peek(19)
     if start & 1:
-        size = 8 if start & 4 else 1
-        symbols = [start >> 3 & (1 << size) - 1] + ([start >> 3 + size & 255] if start & 2 else [])
-        bits.skip(3 + size + (8 if start & 2 else 0))
-        if max(symbols) >= alphabet:
-            raise ValueError("a symbol beyond its alphabet")
-        return _simple(*sorted(set(symbols)))
+        code, n = _simple_code(start & (0x7FF if start & 4 else 0xF) if not start & 2 else start, alphabet)
+        bits.skip(n)
+        return code
+    if alphabet != 40:
+        return _read_code(bits, alphabet)
+    # what a code is depends on its own bits alone
+    for value, n, code in _last_far:
+        if bits.peek(n) == value:
+            bits.skip(n)
+            return code
+    start = bits.at
+    code, n = _read_code(bits, alphabet), bits.at - start
+    bits.at = start
+    _last_far[:] = [(bits.peek(n), n, code)]
+    bits.skip(n)
+    return code
+
+
+@lru_cache(maxsize=512)
+def _simple_code(start: int, alphabet: int) -> tuple[Code, int]:
+    """A code of one or two symbols by its first bits, and how many they are."""
+    size = 8 if start & 4 else 1
+    symbols = [start >> 3 & (1 << size) - 1] + ([start >> 3 + size & 255] if start & 2 else [])
+    if max(symbols) >= alphabet:
+        raise ValueError("a symbol beyond its alphabet")
+    return _simple(*sorted(set(symbols))), 3 + size + (8 if start & 2 else 0)
+
+
+def _read_code(bits: Bits, alphabet: int) -> Code:
     bits.skip(1)
     n = 4 + bits.read(4)
     symbols, sizes, mask = _length_code(n, bits.read(3 * n))
     left = alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    lengths = [0] * alphabet
+    lengths = bytearray(alphabet)
     symbol, last = 0, 8
     window, room = bits.peek(AHEAD), AHEAD
     while symbol < alphabet and left:
@@ -158,15 +185,10 @@ def read_code(bits: Bits, alphabet: int) -> Code:
         if symbol + times > alphabet:
             raise ValueError("lengths beyond the alphabet")
         if n == 16:
-            lengths[symbol : symbol + times] = [last] * times
+            lengths[symbol : symbol + times] = bytes([last]) * times
         symbol += times
     bits.skip(AHEAD - room)
-    return Code.of(np.array(lengths, np.int64)) if alphabet > 40 else _known_code(tuple(lengths))
-
-
-@lru_cache(maxsize=64)
-def _known_code(lengths: tuple[int, ...]) -> Code:
-    return Code.of(np.array(lengths, np.int64))
+    return Code.of(np.frombuffer(lengths, np.uint8).astype(np.int64))
 
 
 def _extra(bits: Bits, symbol: int) -> int:
@@ -283,7 +305,8 @@ def _tokens(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.n
     if green.single is not None:
         return None
     varied = [code for code in (red, blue, alpha) if code.single is None]
-    advance = green.sizes + np.where((green.symbols >= 256) & (green.symbols < 280), AWAY, 0).astype(np.intp)
+    advance = green.sizes.astype(np.intp)
+    advance[(green.symbols >= 256) & (green.symbols < 280)] += AWAY
     found, pixels = [], 0
     while pixels < total:
         first = bits.at >> 3
@@ -300,8 +323,10 @@ def _tokens(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.n
         ahead = ahead.ravel()
         look = lambda code, at: ahead[at] & ((1 << code.depth) - 1)
         here = ahead[:n] & ((1 << green.depth) - 1)
-        after = advance[here]
-        after += np.arange(n)
+        step = np.empty(n + 1, np.intp)
+        step[n] = n
+        after = step[:n]
+        np.add(advance[here], np.arange(n), out=after)
         copies = np.flatnonzero(after < 0)
         if varied:
             plain = np.flatnonzero(green.symbols[here] < 256)
@@ -313,7 +338,8 @@ def _tokens(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.n
             at = after[copies] - AWAY + _more(green.symbols[here[copies]] - 256)
             place = look(far, at)
             after[copies] = at + far.sizes[place] + _more(far.symbols[place])
-        step = np.append(np.minimum(after, n), n)
+        ends = after[max(0, n - REACH) :].copy()
+        np.minimum(after, n, out=after)
         jumps = step
         for _ in range(STRIDE.bit_length() - 1):
             jumps = jumps[jumps]
@@ -342,6 +368,9 @@ def _tokens(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.n
         colour = symbol[plain].astype(np.int64) << 8
         then = start[plain]
         for part, shift in ((red, 16), (blue, 0), (alpha, 24)):
+            if part.single is not None:
+                colour |= part.single << shift
+                continue
             place = look(part, then)
             colour |= part.symbols[place].astype(np.int64) << shift
             then = then + part.sizes[place]
@@ -349,7 +378,8 @@ def _tokens(bits: Bits, codes: list[Code], total: int) -> tuple[np.ndarray, np.n
         upto = pixels + np.cumsum(widths)
         some = min(int(np.searchsorted(upto, total)) + 1, len(at))
         found.append((symbol[:some], value[:some], code[:some]))
-        bits.at = 8 * first + int(after[at[some - 1]])
+        last = int(at[some - 1]) - max(0, n - REACH)
+        bits.at = 8 * first + int(ends[last] if last >= 0 else after[at[some - 1]])
         pixels = int(upto[some - 1])
         if bits.at > 8 * len(bits.data):
             raise ValueError("the stream ends early")
@@ -465,11 +495,11 @@ def undo_predictor(image: np.ndarray, width: int, height: int, size: int, modes:
     first = np.arange(0, height, 1 << size)
     if set(chosen.ravel().tolist()) <= {1, 2} and (chosen == chosen[:, :1]).all():
         out = np.full((height, width), BLACK, np.uint32)
+        some = int(np.bitwise_or.reduce(image))
         for shift in (0, 8, 16, 24):
-            part = (image >> np.uint32(shift)).astype(np.uint8)
-            if not part.any():
+            if not some >> shift & 255:
                 continue
-            part = part.reshape(height, width)
+            part = (image >> np.uint32(shift)).astype(np.uint8).reshape(height, width)
             part[0, 0] = (int(part[0, 0]) + (255 if shift == 24 else 0)) & 255
             part[0] = np.cumsum(part[0], dtype=np.uint8)
             for y, mode in zip(first.tolist(), chosen[:, 0].tolist(), strict=True):
@@ -656,8 +686,28 @@ OUTER = (4,) + (5,) * 2 + (4,) * 10 + (5,) * 4 + (4, 4)
 
 
 @lru_cache(maxsize=1)
-def _outer_words() -> tuple[list[int], tuple[int, ...]]:
-    return codewords(np.array(OUTER)).tolist(), OUTER
+def _outer_words() -> tuple[list[int], tuple[int, ...], int, int]:
+    """The words of the code of code lengths, their sizes, and how it is written."""
+    out = Writer()
+    out.put(0, 1)
+    out.put(15, 4)
+    for place in LENGTH_ORDER:
+        out.put(OUTER[place], 3)
+    out.put(0, 1)
+    return codewords(np.array(OUTER)).tolist(), OUTER, out.value, out.n
+
+
+@lru_cache(maxsize=2048)
+def _zeros(run: int) -> tuple[int, int]:
+    """A run of zeros in a code's lengths as bits, and how many they are."""
+    words, sizes, _, _ = _outer_words()
+    out = Writer()
+    while run:
+        size = min(run, 138)
+        symbol, extra, more = (18, size - 11, 7) if size >= 11 else (17, size - 3, 3) if size >= 3 else (0, 0, 0)
+        out.put(words[symbol] | extra << sizes[symbol], sizes[symbol] + more)
+        run -= size if size >= 3 else 1
+    return out.value, out.n
 
 
 def put_lengths(out: Writer, lengths: np.ndarray) -> None:
@@ -665,28 +715,21 @@ def put_lengths(out: Writer, lengths: np.ndarray) -> None:
     used = np.flatnonzero(lengths).tolist()
     if len(used) <= 2 and used[-1] < 256:
         return _put_code(out, used, len(lengths))
-    tokens, at = [], 0
-    for s, n in zip([*used, len(lengths)], [*lengths[used].tolist(), 0], strict=True):
-        run = s - at
-        while run:
-            size = min(run, 138)
-            tokens.append((18, size - 11, 7) if size >= 11 else (17, size - 3, 3) if size >= 3 else (0, 0, 0))
-            run -= size if size >= 3 else 1
-        if n:
-            tokens.append((n, 0, 0))
-        at = s + 1
-    words, sizes = _outer_words()
-    out.put(0, 1)
-    out.put(15, 4)
-    for place in LENGTH_ORDER:
-        out.put(OUTER[place], 3)
-    out.put(0, 1)
-    value = n = 0
-    for symbol, extra, size in tokens:
-        own = sizes[symbol]
-        value |= (words[symbol] | extra << own) << n
-        n += own + size
-    out.put(value, n)
+    words, sizes, value, bits = _outer_words()
+    at = 0
+    for symbol, n in zip(used, lengths[used].tolist(), strict=True):
+        if symbol > at:
+            run, size = _zeros(symbol - at)
+            value |= run << bits
+            bits += size
+        value |= words[n] << bits
+        bits += sizes[n]
+        at = symbol + 1
+    if at < len(lengths):
+        run, size = _zeros(len(lengths) - at)
+        value |= run << bits
+        bits += size
+    out.put(value, bits)
 
 
 #: Bytes that a back-reference repeats at least and at most, and how far back it reaches.
@@ -703,11 +746,14 @@ def repeats(values: np.ndarray) -> list[tuple[int, int, int]]:
     windows = np.ndarray((n,), "<u8", np.ascontiguousarray(values), strides=(1,)).copy()
     hashed = (windows * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
     order = np.argsort(hashed, kind="stable")
-    before = np.full(n, -1, np.int64)
+    before = np.empty(n, np.int64)
     before[order[1:]] = order[:-1]
-    at = np.arange(n)
-    distance = np.where((before >= 0) & (windows[before] == windows) & (at - before <= FARTHEST), at - before, 0)
-    change = np.flatnonzero(np.diff(distance, prepend=-1))
+    before[order[0]] = order[0]
+    distance = np.arange(n) - before
+    distance *= windows[before] == windows
+    if n > FARTHEST:
+        distance[distance > FARTHEST] = 0
+    change = np.append(0, np.flatnonzero(distance[1:] != distance[:-1]) + 1)
     ends = np.append(change[1:], n)
     some = distance[change] > 0
     found, free = [], 0
@@ -755,27 +801,35 @@ def _far_code() -> tuple[np.ndarray, np.ndarray, int, int]:
     return lengths, codewords(lengths), out.value, out.n
 
 
+@lru_cache(maxsize=2)
+def _flat_codes(alpha: int) -> tuple[int, int]:
+    """The codes of red and blue, which are 0, and of an alpha that does not vary."""
+    out = Writer()
+    for only in (0, 0, alpha):
+        _put_code(out, [only], 256)
+    return out.value, out.n
+
+
 def put_image(head: Writer, values: np.ndarray, width: int, alpha: int) -> tuple[np.ndarray, np.ndarray]:
     """Writes the codes of an image whose green varies to head; the bits of its symbols as values and sizes."""
-    place = np.arange(len(values))
     counts = np.bincount(values, minlength=256)
-    first = np.zeros(256, np.int64)
-    first[values[::-1]] = place[::-1]
     frequent = np.argsort(-counts, kind="stable")[:CACHED]
-    named = np.zeros(256, np.int64)
+    frequent = frequent[counts[frequent] > 0]
+    named = np.arange(256)
     named[frequent] = 280 + slot(frequent << 8 | alpha << 24, CACHE_BITS)
+    symbol = named[values]
     # a colour is in the cache once it has been shown
-    symbol = np.where((named[values] > 0) & (place > first[values]), named[values], values)
+    symbol[[*map(values.tobytes().index, frequent.tolist())]] = frequent
     copies = np.array(repeats(values), np.int64).reshape(-1, 3)
     covered = np.zeros(len(values) + 1, np.int32)
     covered[copies[:, 0]] += 1
     covered[copies[:, 0] + copies[:, 1]] -= 1
     shown = np.cumsum(covered[:-1]) == 0
     shown[copies[:, 0]] = True
-    times, times_extra, times_bits = prefix(copies[:, 1])
     near = _near_codes(width)
     code = np.where(copies[:, 2] < len(near), near[np.minimum(copies[:, 2], len(near) - 1)], 0)
-    far, far_extra, far_bits = prefix(np.where(code > 0, code, copies[:, 2] + 120))
+    both = prefix(np.concatenate([copies[:, 1], np.where(code > 0, code, copies[:, 2] + 120)]))
+    (times, far), (times_extra, far_extra), (times_bits, far_bits) = (x.reshape(2, -1) for x in both)
     symbol[copies[:, 0]] = 256 + times
     symbol = symbol[shown]
     green = code_lengths(np.bincount(symbol, minlength=280 + (1 << CACHE_BITS)), 15)
@@ -784,8 +838,7 @@ def put_image(head: Writer, values: np.ndarray, width: int, alpha: int) -> tuple
     head.put(CACHE_BITS, 4)
     head.put(0, 1)  # one group of codes
     put_lengths(head, green)
-    for only in (0, 0, alpha):
-        _put_code(head, [only], 256)
+    head.put(*_flat_codes(alpha))
     head.put(*written)
     bits, sizes = codewords(green)[symbol].astype(np.uint64), _used(green)[symbol]
     at = np.flatnonzero((symbol >= 256) & (symbol < 280))
@@ -805,7 +858,7 @@ def packed_bits(head: Writer, bits: np.ndarray, sizes: np.ndarray) -> bytes:
     word, off = start >> 6, (start & 63).astype(np.uint64)
     if len(bits):
         # symbols that start in one word lie together
-        first = np.flatnonzero(np.diff(word, prepend=-1))
+        first = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
         words[word[first]] |= np.bitwise_or.reduceat(bits << off, first)
         over = np.flatnonzero(end >> 6 > word)
         words[word[over] + 1] |= bits[over] >> np.uint64(1) >> (np.uint64(63) - off[over])
@@ -916,8 +969,9 @@ def feature_of(samples: np.ndarray) -> str:
     """Size, mean and contrast in thousandths, share of each 32-level band in thousandths, and a gradient hash."""
     rows = samples.reshape(-1, WIDTH)
     n = len(samples)
-    bands = np.bincount(samples >> 5, minlength=8)
-    total, squares = int(samples.sum(dtype=np.int64)), int((samples.astype(np.int64) ** 2).sum())
+    counts = np.bincount(samples, minlength=256)
+    bands, values = counts.reshape(8, 32).sum(1), np.arange(256)
+    total, squares = int(counts @ values), int(counts @ values**2)
     spread = (squares * n - total * total) // (n * n)
     cut = np.linspace(0, len(rows), 9).astype(int)[:-1]
     lines = np.add.reduceat(rows, cut, axis=0, dtype=np.int64) if len(rows) >= 8 else np.repeat(rows.sum(0, dtype=np.int64)[None], 8, 0)

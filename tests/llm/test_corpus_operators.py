@@ -507,3 +507,23 @@ def test_stages_with_python_bound_their_batches(spark, stage):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     assert sum(found) > 16_000_000 and max(found) <= corpus_pipeline.BATCH_BYTES + 20_000
+
+
+def test_repeated_codes_are_read_once(monkeypatch):
+    """Of an image after another only the code of greens is read from its lengths; what is written and read stays the same."""
+    read, own = [], webp._read_code
+    monkeypatch.setattr(webp, "_read_code", lambda bits, alphabet: read.append(alphabet) or own(bits, alphabet))
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 9))) for _ in range(300)).encode() for _ in range(3)]
+    stored = [webp.store(webp.padded(x)) for x in texts]
+    webp.load(stored[0])
+    read.clear()
+    assert [webp.load(x).tobytes() for x in stored] == [webp.padded(x) for x in texts] and 40 not in read and len(read) == 3
+    # another code of distances, and the first one again, cut short
+    out, lengths = webp.Writer(), np.repeat([5, 6], [24, 16])[::-1]
+    webp.put_lengths(out, lengths)
+    raw = out.value.to_bytes(out.n // 8 + 1, "little")
+    other = webp.read_code(webp.Bits(raw), 40)
+    assert np.bincount(other.symbols)[[0, 39]].tolist() == [1, 2] and read[-1] == 40
+    with pytest.raises(ValueError):
+        webp.read_code(webp.Bits(raw[: len(raw) // 2]), 40)
