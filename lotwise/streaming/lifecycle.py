@@ -80,36 +80,41 @@ class JobProcessor(StatefulProcessor):
         return 1000 * (times.getCurrentWatermarkInMs() if self.event_time else times.getCurrentProcessingTimeInMs())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now, held = self._now(timerValues), list(self.waiting.get()) if self.waiting.exists() else []
+        now, held = self._now(timerValues), list(self.waiting.get())
+        waited = len(held)
         for batch in rows:
             times = batch["event_time"].astype("datetime64[us]").astype("int64").tolist()
             for time, number, move, worker in zip(times, batch["event_id"].tolist(), batch["move"].tolist(), batch["worker"].fillna("").tolist(), strict=True):
                 due = time if self.event_time else now + int(self.limits.hold_minutes * MINUTE)
                 held.append((due, time, int(number), move or "", worker))
-        yield from self._advance(key, held, now)
+        yield from self._advance(key, held, now, waited)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = list(self.waiting.get()) if self.waiting.exists() else []
+        held = list(self.waiting.get())
         yield from self._advance(key, held, self._now(timerValues))
 
-    def _advance(self, key, held: list[tuple], now: int) -> Iterator[pd.DataFrame]:
-        known = self.job.exists()
-        job = tuple(self.job.get()) if known else ("queued", 0, "", 0, 0)
+    def _advance(self, key, held: list[tuple], now: int, waited: int | None = None) -> Iterator[pd.DataFrame]:
+        """waited: how many of the moves were in the state before (all, if not given). Each call of a state is a round trip, so none is made that changes nothing."""
+        waited = len(held) if waited is None else waited
+        before = self.job.get()
+        known = before is not None
+        job = before = tuple(before) if known else ("queued", 0, "", 0, 0)
         held = [tuple(x) for x in held]
         ready = sorted((x for x in held if x[0] <= now), key=lambda x: (x[1], x[2]))
         later = [x for x in held if x[0] > now]
         job, changes = advanced(job, [(x[1] if self.event_time else x[0], x[3], x[4]) for x in ready], now, self.limits)
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
+        if known or waited:  # else no timer has been set
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
         if known and not later and self.event_time and job[0] in ("completed", "failed", "queued") and not changes and now > job[3] + self.limits.keep_minutes * MINUTE:
             self.job.clear()
             self.waiting.clear()
             return
-        if known or ready:
+        if job != before or ready and not known:
             self.job.update(job)
         if later:
             self.waiting.put(later)
-        else:
+        elif waited:
             self.waiting.clear()
         due = self.limits.due(job[0], job[1], job[3])
         ends = due if due is not None else job[3] + int(self.limits.keep_minutes * MINUTE) if self.event_time and (known or ready) else None

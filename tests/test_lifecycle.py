@@ -123,3 +123,24 @@ def test_ended_jobs_are_forgotten():
 
 def pd_rows(frames):
     return [row for f in frames for row in f.itertuples()]
+
+
+def test_a_new_job_takes_few_round_trips():
+    """Moves of a job that has no state yet: both states are read, the moves put, a timer set, and nothing else is asked."""
+    import pandas as pd
+
+    asked = []
+
+    class Recorder:
+        def __init__(self, of, value=None):
+            self.of, self.value = of, value
+
+        def __getattr__(self, name):
+            return lambda *args: asked.append(f"{self.of}.{name}") or self.value
+
+    p, handle = lifecycle.JobProcessor(lifecycle.Limits(), True), Recorder("handle")
+    handle.getValueState, handle.getListState = lambda *_: Recorder("job"), lambda *_: Recorder("waiting", [])
+    p.init(handle)
+    rows = pd.DataFrame({"event_time": [pd.Timestamp(START)], "event_id": [1], "move": ["dispatch"], "worker": ["w"]})
+    assert list(p.handleInputRows(("k",), iter([rows]), Recorder("times", 0))) == []
+    assert sorted(x for x in asked if not x.startswith("times")) == ["handle.registerTimer", "job.get", "waiting.get", "waiting.put"]
