@@ -7,6 +7,10 @@ bit positions are looked up at once, those on the chain from the first one are k
 pixels, cached colours and copies are laid out together; in images of several groups, or where
 cached colours share slots, one pixel after another. Predictors are undone by rows and blocks of rows.
 
+load_all() reads many images: those in the form that encode() gives texts share one walk, a symbol
+of each image at a time through tables side by side, and are laid out together; what is
+of another form, large, damaged or without company of its kind is read by decode().
+
 encode() writes samples as the green of an image: few values as a packed palette, others with
 a predictor for each block of rows (least absolute residuals); repeats as back-references,
 known colours as cache symbols, and prefix codes by the symbols' frequencies.
@@ -21,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -485,6 +491,18 @@ def row_guess(mode: int, above: np.ndarray, right: np.ndarray, a: int, b: int) -
     return np.broadcast_to(np.array([0, 0, 0, 255], np.uint8), (b - a, 4))
 
 
+def _undo_rows(part: np.ndarray, size: int, modes: list[int]) -> None:
+    """Adds the left or the upper neighbour in one channel, in place; a mode for each block of rows."""
+    part[0] = np.cumsum(part[0], dtype=np.uint8)
+    for i, mode in enumerate(modes):
+        y, end = max(1, i << size), (i + 1) << size
+        if mode == 2:
+            part[y - 1 : end] = np.cumsum(part[y - 1 : end], 0, dtype=np.uint8)
+        else:
+            part[y - 1 : end, 0] = np.cumsum(part[y - 1 : end, 0], dtype=np.uint8)
+            part[y:end] = np.cumsum(part[y:end], 1, dtype=np.uint8)
+
+
 def undo_predictor(image: np.ndarray, width: int, height: int, size: int, modes: np.ndarray) -> np.ndarray:
     """Adds what was predicted: whole blocks of rows at once for one mode that looks left or up, else row by row.
 
@@ -492,7 +510,6 @@ def undo_predictor(image: np.ndarray, width: int, height: int, size: int, modes:
     """
     coarse = -(-width >> size)
     chosen = (modes >> 8 & 15).reshape(-1, coarse)
-    first = np.arange(0, height, 1 << size)
     if set(chosen.ravel().tolist()) <= {1, 2} and (chosen == chosen[:, :1]).all():
         out = np.full((height, width), BLACK, np.uint32)
         some = int(np.bitwise_or.reduce(image))
@@ -501,15 +518,7 @@ def undo_predictor(image: np.ndarray, width: int, height: int, size: int, modes:
                 continue
             part = (image >> np.uint32(shift)).astype(np.uint8).reshape(height, width)
             part[0, 0] = (int(part[0, 0]) + (255 if shift == 24 else 0)) & 255
-            part[0] = np.cumsum(part[0], dtype=np.uint8)
-            for y, mode in zip(first.tolist(), chosen[:, 0].tolist(), strict=True):
-                own = slice(max(1, y), y + (1 << size))
-                from_above = slice(max(1, y) - 1, y + (1 << size))
-                if mode == 2:
-                    part[from_above] = np.cumsum(part[from_above], 0, dtype=np.uint8)
-                else:
-                    part[from_above, 0] = np.cumsum(part[from_above, 0], dtype=np.uint8)
-                    part[own] = np.cumsum(part[own], 1, dtype=np.uint8)
+            _undo_rows(part, size, chosen[:, 0].tolist())
             out &= np.uint32(0xFFFFFFFF ^ 255 << shift)
             out |= part.astype(np.uint32) << np.uint32(shift)
         return out.ravel()
@@ -884,16 +893,26 @@ def predicted(rows: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return out, modes
 
 
+def _put_modes(head: Writer, modes: list[int], coarse: int) -> None:
+    """What follows the height of an image with a predictor: opaque, version 0, and a mode for each block of rows."""
+    head.put(0, 4)
+    head.put(1, 1)
+    head.put(0, 2)
+    head.put(BLOCK - 2, 3)
+    _put_pixels(head, [BLACK | m << 8 for m in modes for _ in range(coarse)])
+
+
 def encode(samples: np.ndarray, width: int = WIDTH) -> bytes:
     """8-bit samples as the green channel of an opaque image."""
     rows = samples.reshape(-1, width)
     height = len(rows)
     kinds = np.flatnonzero(np.bincount(samples, minlength=256))
     head = Writer()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 4)):  # opaque, version 0
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14)):
         head.put(value, n)
-    head.put(1, 1)
     if len(kinds) <= 16:
+        head.put(0, 4)  # opaque, version 0
+        head.put(1, 1)
         head.put(3, 2)
         head.put(len(kinds) - 1, 8)
         colours = [BLACK | k << 8 for k in kinds.tolist()]
@@ -905,11 +924,8 @@ def encode(samples: np.ndarray, width: int = WIDTH) -> bytes:
         values = (index << (np.arange(1 << packed, dtype=np.uint8) * each)).sum(2, dtype=np.uint8)
         now, alpha = narrow, 255
     else:
-        head.put(0, 2)
-        head.put(BLOCK - 2, 3)
         values, modes = predicted(rows)
-        coarse = -(-width >> BLOCK)
-        _put_pixels(head, [BLACK | m << 8 for m in modes for _ in range(coarse)])
+        _put_modes(head, modes, -(-width >> BLOCK))
         now, alpha = width, 0
     head.put(0, 1)
     bits, sizes = put_image(head, np.ascontiguousarray(values).ravel(), now, alpha)
@@ -965,6 +981,246 @@ def load(stored: bytes) -> np.ndarray:
     return np.concatenate([(decode(x)[2] >> np.uint32(8)).astype(np.uint8) for x in images_in(stored)])
 
 
+#: Images and bytes that are opened at once, bytes that are read side by side, the rows that have one predictor, and the bytes of an image from which on it is read alone.
+AT_ONCE, OPEN_BYTES, WALK_BYTES, ONE_MODE, ALONE = 4096, 1 << 23, 1 << 21, 1 << BLOCK, 1 << 15
+#: Entries of the tables of images that are read side by side, the fewest images, symbols between two looks at which ones have ended, symbols laid out at once.
+TABLE, FEWEST, STRETCH, LAID_OUT = 1 << 21, 16, 64, 1 << 16
+#: By symbol of green: the extra bits that follow, and 64 where a distance comes next.
+GREEN_BITS = np.concatenate([np.zeros(256, np.uint8), 64 + _more(np.arange(24)).astype(np.uint8), np.zeros(1 << CACHE_BITS, np.uint8)])
+#: The green that a symbol shows (-1: none), each in its own slot of the cache.
+SHOWN = np.append(np.arange(256), np.full(24 + (1 << CACHE_BITS), -1))
+SHOWN[280 + slot(np.arange(256) << 8, CACHE_BITS)] = np.arange(256)
+
+
+@lru_cache(maxsize=1)
+def _form() -> tuple[dict[int, int], int, int, int]:
+    """The bits between height and greens' code lengths in what encode() writes with one predictor, to its mode; how many; those after the lengths, and how many."""
+    heads = {}
+    for mode in MODES:
+        head = Writer()
+        _put_modes(head, [mode], 1)
+        for value, n in ((0, 1), (1, 1), (CACHE_BITS, 4), (0, 1), _outer_words()[2:]):
+            head.put(value, n)
+        heads[head.value] = mode
+    tail = Writer()
+    tail.put(*_flat_codes(0))
+    tail.put(*_far_code()[2:])
+    return heads, head.n, tail.value, tail.n
+
+
+@lru_cache(maxsize=1)
+def _length_steps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By the next 12 bits of a code's lengths: bits of the first one, how many symbols it is for, and it. The last entry stands still."""
+    code, value = Code.of(np.array(OUTER)), np.arange(1 << 12)
+    symbol, size = (x[value & (1 << code.depth) - 1].astype(np.int64) for x in (code.symbols, code.sizes))
+    more = np.where(symbol == 17, 3, np.where(symbol == 18, 7, 0))
+    times = np.where(symbol < 16, 1, np.where(symbol == 16, 1 << 12, np.where(symbol == 17, 3, 11) + (value >> size & (1 << more) - 1)))
+    return np.append(size + more, 0), np.append(times, 0), np.append(np.where(symbol < 16, symbol, 0), 0)
+
+
+class Codes(NamedTuple):
+    """Images of encode()'s form up to their symbols: place in the list, bytes, mode, first bit; and the lengths of the greens' codes."""
+
+    which: list[int]
+    data: list[bytes]
+    modes: list[int]
+    at: np.ndarray
+    depth: np.ndarray
+    row: np.ndarray
+    symbol: np.ndarray
+    size: np.ndarray
+
+
+def _opened(stored: list[bytes]) -> Codes | None:
+    """The images of one predictor that are written as encode() does it."""
+    heads, bits, tail, tail_bits = _form()
+    found = []
+    for i, x in enumerate(stored):
+        start = int.from_bytes(x[20 : 20 + (36 + bits + 7) // 8], "little")
+        mode = heads.get(start >> 36 & (1 << bits) - 1)
+        if mode and start & (1 << 22) - 1 == 0x2F | WIDTH - 1 << 8 and start >> 22 & 0x3FFF < ONE_MODE and len(x) < ALONE:
+            if x[:4] == b"RIFF" and x[8:16] == b"WEBPVP8L" and struct.unpack("<I", x[4:8])[0] + 8 == len(x) == struct.unpack("<I", x[16:20])[0] + 20:
+                found.append((i, x[20:], mode))
+    if len(found) < FEWEST:
+        return None
+    which, data, modes = (list(x) for x in zip(*found, strict=True))
+    raw = np.frombuffer(b"".join(data) + bytes(4), np.uint8)
+    begin = 8 * np.cumsum([0, *map(len, data)])[:-1]
+    # the lengths of all codes, one of each image at a time
+    step, times, length = _length_steps()
+    p, reached, alphabet, met = begin + 36 + bits, np.zeros(len(data), np.int64), len(SHOWN), []
+    while (live := reached < alphabet).any():
+        at = p >> 3
+        ahead = raw.take(at, mode="clip") | raw.take(at + 1, mode="clip").astype(np.int64) << 8 | raw.take(at + 2, mode="clip").astype(np.int64) << 16
+        met.append(np.where(live, ahead >> (p & 7) & 0xFFF, 1 << 12))
+        p += step[met[-1]]
+        reached += times[met[-1]]
+    entry = np.stack(met, 1)
+    each = times[entry]
+    row, column = np.nonzero(length[entry])
+    symbol, size = (np.cumsum(each, 1) - each)[row, column], length[entry[row, column]]
+    p -= begin
+    good = (reached == alphabet) & (np.bincount(row, 1 << 15 - size, len(data)) == 1 << 15)
+    for i, at in enumerate(p.tolist()):
+        if int.from_bytes(data[i][at >> 3 : (at + tail_bits + 7) >> 3], "little") >> (at & 7) & (1 << tail_bits) - 1 != tail:
+            good[i] = False
+    depth = np.full(len(data), 6)
+    np.maximum.at(depth, row, size)
+    depth[~good] = 0
+    return Codes(which, data, modes, p + tail_bits, depth, row, symbol, size)
+
+
+def _walk(depth: int, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table entries that the images' symbols meet, image after image, and how many each has: too many rather than too few, none if few images are as long.
+
+    One symbol of every image at a time; where a distance follows, it is the next symbol, and its table comes after all others.
+    """
+    n = len(starts)
+    counts, found = np.zeros(n, np.int64), []
+    alive, p, base, own = np.arange(n), starts.copy(), np.arange(n) << depth, np.arange(n) << depth
+    while len(alive) >= FEWEST:
+        block = np.empty((STRETCH, len(p)), np.int64)
+        at, ahead, step, away = np.empty_like(p), np.empty_like(p), np.empty(len(p), np.uint8), (n << depth) - own
+        three, seven, size, flag, mask = (np.full(len(p), x) for x in (3, 7, 63, 6, (1 << depth) - 1))
+        for entry in block:
+            np.right_shift(p, three, out=at)
+            words.take(at, out=ahead, mode="clip")
+            np.bitwise_and(p, seven, out=at)
+            np.right_shift(ahead, at, out=ahead)
+            np.bitwise_and(ahead, mask, out=ahead)
+            np.add(ahead, base, out=entry)
+            steps.take(entry, out=step, mode="clip")
+            at[:] = step
+            np.bitwise_and(at, size, out=ahead)
+            np.add(p, ahead, out=p)
+            np.right_shift(at, flag, out=at)
+            np.multiply(at, away, out=at)
+            np.add(own, at, out=base)
+        found.append((alive, block.astype(np.int32)))
+        more = p < ends
+        if not more.all():
+            counts[alive[~more]] = len(found) * STRETCH
+            alive, p, base, own, ends = (x[more] for x in (alive, p, base, own, ends))
+    out, first = np.empty(int(counts.sum()), np.int32), np.cumsum(counts) - counts
+    for i, (which, block) in enumerate(found):
+        ended = counts[which] > 0
+        out[first[which[ended], None] + np.arange(i * STRETCH, (i + 1) * STRETCH)] = block.T[ended]
+    return out, counts
+
+
+def _side_by_side(codes: Codes, rows: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Place in the list and samples of the images `rows`, whose tables take `depth` bits; those that have to be read alone are left out."""
+    n, data = len(rows), [codes.data[i] for i in rows.tolist()]
+    place = np.full(len(codes.data), -1)
+    place[rows] = np.arange(n)
+    own = np.flatnonzero(place[codes.row] >= 0)
+    own = own[np.argsort(place[codes.row[own]] << 4 | codes.size[own], kind="stable")]
+    symbol, size, turned = codes.symbol[own], codes.size[own], _turned(depth)
+    table = lambda green, far: np.append(np.repeat(green, 1 << depth - size).reshape(n, -1).take(turned, 1), np.resize(far, 1 << depth))
+    far = Code.of(_far_code()[0])
+    steps = table((size + GREEN_BITS[symbol]).astype(np.uint8), (far.sizes + _more(far.symbols)).astype(np.uint8))
+    names = table(symbol.astype(np.int16), far.symbols.astype(np.int16))
+    joined = b"".join(data) + bytes(8 * STRETCH)
+    words = np.ndarray((len(joined) - 7,), "<i8", joined, strides=(1,)).copy()
+    ends = 8 * np.cumsum([len(x) for x in data])
+    starts = np.append(0, ends[:-1]) + codes.at[rows]
+    entries, counts = _walk(depth, words, starts, ends, steps)
+    heights = np.array([int.from_bytes(x[2:5], "little") >> 6 & 0x3FFF for x in data]) + 1
+    upto, a = np.cumsum(counts), 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + LAID_OUT)))
+        for i, samples in _laid_out(entries[upto[a] - counts[a] : upto[b - 1]], counts[a:b], starts[a:b], ends[a:b], heights[a:b] * WIDTH, words, steps, names, n << depth):
+            samples = samples.reshape(-1, WIDTH)
+            _undo_rows(samples, BLOCK, [codes.modes[rows[a + i]]])
+            yield codes.which[rows[a + i]], samples.ravel()
+        a = b
+
+
+def _laid_out(
+    entries: np.ndarray, counts: np.ndarray, starts: np.ndarray, ends: np.ndarray, totals: np.ndarray, words: np.ndarray, steps: np.ndarray, names: np.ndarray, far: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and pixels of the images whose symbols meet these table entries; those that do not fit together are left out."""
+    good = counts > 0
+    if not len(entries):
+        return
+    symbol, moved = names[entries], steps[entries] & np.uint8(63)
+    image, first = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+    # the bit after each symbol, and the pixels that it gives
+    after = np.cumsum(moved, dtype=np.int64)
+    shift = np.repeat(starts - (np.append(0, after)[first]), counts)
+    after += shift
+    distances = entries >= far
+    widths = (~distances).astype(np.int64)
+    copy = np.flatnonzero((symbol >= 256) & (symbol < 280))
+    widths[copy] = 0
+    copy = copy[copy + 1 < len(image)]
+    copy = copy[image[copy] == image[copy + 1]]
+
+    def number(which: np.ndarray, own: np.ndarray) -> np.ndarray:
+        more = _more(own)
+        at = after[which] - more
+        extra = words[at >> 3] >> (at & 7) & (1 << more) - 1
+        return np.where(own < 4, own, (2 + (own & 1) << more) + extra) + 1
+
+    widths[copy] = number(copy, symbol[copy].astype(np.int64) - 256)
+    code = number(copy + 1, symbol[copy + 1].astype(np.int64))
+    distance = np.where(code > 120, code - 120, _distances(WIDTH)[np.minimum(code, 120) - 1])
+    after[copy] = after[copy + 1]
+    # where each symbol's pixels are, image after image
+    offset = np.cumsum(totals) - totals
+    begin = np.cumsum(widths)
+    begin -= widths
+    begin += np.repeat(offset - np.append(begin, 0)[first], counts)
+    limit = np.repeat(offset + totals, counts)
+    kept = begin < limit
+    kept &= widths > 0
+    taken = np.flatnonzero(kept)
+    last = np.zeros(len(counts), np.int64)
+    last[image[taken]] = taken
+    good &= (begin[last] + widths[last] == offset + totals) & (after[last] <= ends)
+    some = kept[copy]
+    copy, distance = copy[some], distance[some]
+    good[image[copy[distance > begin[copy] - offset[image[copy]]]]] = False
+    # new colours, those from the cache (a slot holds its colour from that colour's first place on), and copies
+    raw = bytearray(int(totals.sum()))
+    out = np.frombuffer(raw, np.uint8)
+    own, at, image = symbol[taken], begin[taken], image[taken]
+    shown = SHOWN[own]
+    out[at] = shown
+    since = np.full(len(counts) << 8, len(raw))
+    plain, cached = np.flatnonzero(own < 256), np.flatnonzero(own >= 280)
+    since[(image[plain] << 8 | shown[plain])[::-1]] = at[plain[::-1]]
+    named = shown[cached]
+    good[image[cached[(named < 0) | (since[image[cached] << 8 | named] >= at[cached])]]] = False
+    fit = good[np.searchsorted(offset, begin[copy], "right") - 1]
+    copy, distance = copy[fit], distance[fit]
+    for s, n, d in zip(begin[copy].tolist(), widths[copy].tolist(), distance.tolist(), strict=True):
+        raw[s : s + n] = raw[s - d : s - d + n] if d >= n else (raw[s - d : s] * (n // d + 1))[:n]
+    for i in np.flatnonzero(good).tolist():
+        yield i, out[offset[i] : offset[i] + totals[i]]
+
+
+def load_all(stored: list[bytes]) -> Iterator[np.ndarray]:
+    """What load() gives, for many: images in encode()'s own form, with tables of one size, are read side by side, all others alone."""
+    upto, begin = np.cumsum([len(x) for x in stored]), 0
+    while begin < len(stored):
+        end = min(begin + AT_ONCE, max(begin + 1, int(np.searchsorted(upto, upto[begin] + OPEN_BYTES))))
+        some, begin = stored[begin:end], end
+        found: dict[int, np.ndarray] = {}
+        if (codes := _opened(some)) is not None:
+            lengths = np.array([len(x) for x in codes.data])
+            for depth in set(codes.depth.tolist()) - {0}:
+                rows = np.flatnonzero(codes.depth == depth)
+                rows = rows[np.argsort(lengths[rows], kind="stable")]
+                size, a = np.cumsum(lengths[rows]), 0
+                while len(rows) - a >= FEWEST:
+                    b = min(a + max(FEWEST, TABLE >> depth), max(a + FEWEST, int(np.searchsorted(size, size[a] + WALK_BYTES))))
+                    found.update(_side_by_side(codes, np.sort(rows[a:b]), depth))
+                    a = b
+        for i, x in enumerate(some):
+            yield found.pop(i) if i in found else load(x)
+
+
 def feature_of(samples: np.ndarray) -> str:
     """Size, mean and contrast in thousandths, share of each 32-level band in thousandths, and a gradient hash."""
     rows = samples.reshape(-1, WIDTH)
@@ -1015,8 +1271,8 @@ def read_back(media: pa.Array) -> pa.Array:
     """Digests and features of what stored() wrote, from the decoded samples; equal media of a batch are read once."""
     coded = media.dictionary_encode()
     out = []
-    for x in coded.dictionary.to_pylist():
-        samples = load(x)
+    images = coded.dictionary.to_pylist()
+    for x, samples in zip(images, load_all(images), strict=True):
         raw = samples.tobytes()
         out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(x), hashlib.sha256(x).hexdigest(), feature_of(samples)))
     found = pa.StructArray.from_arrays([pa.array([x[i] for x in out], pa.int64() if i in (0, 2, 3) else pa.string()) for i in range(6)], [f.name for f in _READ])

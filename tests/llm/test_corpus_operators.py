@@ -527,3 +527,29 @@ def test_repeated_codes_are_read_once(monkeypatch):
     assert np.bincount(other.symbols)[[0, 39]].tolist() == [1, 2] and read[-1] == 40
     with pytest.raises(ValueError):
         webp.read_code(webp.Bits(raw[: len(raw) // 2]), 40)
+
+
+def test_images_are_read_side_by_side(monkeypatch):
+    """Texts of a batch share the walk over their symbols; few are read alone, and samples, copies, palettes and damage come out as from load()."""
+    alone, own = [], webp._tokens
+    monkeypatch.setattr(webp, "_tokens", lambda *a: (alone.append(1), own(*a))[1])
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 9))) for _ in range(900)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(100, 400))).encode() for _ in range(300)]
+    texts[::5] = [x + b"\n" + x[:300] * 2 + b"-" * r.randint(0, 900) for x in texts[::5]]
+    raw = [webp.padded(x) for x in [*texts, b"", b"ab" * 500, bytes(range(256)) * 300, texts[0] * 20]]
+    stored = [webp.store(x) for x in raw]
+    found = webp.read_back.func(pa.array(stored, pa.binary())).to_pylist()
+    assert [(x["payload_bytes"], x["payload_sha256"]) for x in found] == [(len(x), hashlib.sha256(x).hexdigest()) for x in raw]
+    assert len(alone) < 60
+    # one bit is wrong: other samples, or the same error
+    readable = []
+    for i in range(300):
+        x = bytearray(stored[i])
+        x[r.randrange(20 + (i % 2) * 200, len(x))] ^= 1 << r.randrange(8)
+        try:
+            readable.append((bytes(x), webp.load(bytes(x)).tobytes()))
+        except ValueError as e:
+            with pytest.raises(ValueError, match=re.escape(str(e))):
+                list(webp.load_all([*stored[:40], bytes(x)]))
+    assert len(readable) > 30 and [x.tobytes() for x in webp.load_all([*stored, *(x for x, _ in readable)])] == raw + [x for _, x in readable]
